@@ -219,19 +219,23 @@ def _spans(docs: DataFrame, length: int, gram: int) -> DataFrame:
     return map_rows(docs, ["doc_id", "text"], run, "doc long, own int, start int, count int, anchor long, span long")
 
 
-def _packed(docs: DataFrame) -> DataFrame:
-    """Texts compressed for the exchange."""
+def _packed(docs: DataFrame, others: tuple[str, ...] = ()) -> DataFrame:
+    """Texts compressed for the exchange, with other columns of ``docs`` as they are."""
 
     def run(rows: Iterator[tuple]) -> Iterator[tuple]:
         import zstandard
         from xxhash import xxh32_intdigest
 
         squeeze = zstandard.ZstdCompressor(level=1)
-        for doc_id, text in rows:
+        for doc_id, text, *kept in rows:
             data = text.encode()
-            yield doc_id, xxh32_intdigest(data) - (1 << 31), squeeze.compress(data)
+            yield doc_id, xxh32_intdigest(data) - (1 << 31), squeeze.compress(data), *kept
+
+    return map_rows(docs, ["doc_id", "text", *others], run, "doc long, own int, packed binary" + _ddl(docs, others))
 
-    return map_rows(docs, ["doc_id", "text"], run, "doc long, own int, packed binary")
+
+def _ddl(df: DataFrame, names: tuple[str, ...]) -> str:
+    return "".join(f", {x} {df.schema[x].dataType.simpleString()}" for x in names)
 
 
 def _cut(wanted: DataFrame, docs: DataFrame, length: int) -> DataFrame:
@@ -333,23 +337,45 @@ def kept_bytes(data: bytes, ranges: list) -> tuple[bytes, int, int]:
     return b"".join(left), removed, runs
 
 
-def remove_repeated(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
-    """``doc_id``, ``n_bytes``, ``n_removed``, ``n_spans`` and the bytes ``kept`` of every row."""
-    rows = id_and_text(docs).withColumn("doc_id", F.coalesce("doc_id", F.lit(NO_ID)))
-    ranges = repeated_ranges(rows, length, gram).groupBy("doc", "own").agg(F.collect_list(F.struct("begin", "end")).alias("ranges"))
-    joined = _packed(rows).join(ranges, ["doc", "own"], "left")
+def remove_repeated(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, columns: tuple[str, ...] = ()) -> DataFrame:
+    """``doc_id``, ``n_bytes``, ``n_removed``, ``n_spans``, the bytes ``kept`` and the named ``columns`` of every row."""
+    others = tuple(f"_{k}" for k in range(len(columns)))
+    named = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), *(F.col(c).alias(o) for c, o in zip(columns, others, strict=True)))
+    ranges = repeated_ranges(named.select("doc_id", "text"), length, gram).groupBy("doc", "own").agg(F.collect_list(F.struct("begin", "end")).alias("ranges"))
+    joined = _packed(named, others).join(ranges, ["doc", "own"], "left")
 
     def run(parts: Iterator[tuple]) -> Iterator[tuple]:
         import zstandard
 
         open_up = zstandard.ZstdDecompressor()
-        for doc, packed, ranges in parts:
+        for doc, packed, ranges, *others in parts:
             data = open_up.decompress(packed)
             kept, removed, runs = kept_bytes(data, ranges or [])
-            yield None if doc == NO_ID else doc, len(data), removed, runs, kept
+            yield None if doc == NO_ID else doc, len(data), removed, runs, kept, *others
 
-    return map_rows(joined, ["doc", "packed", "ranges"], run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
+    schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary" + _ddl(named, others)
+    return map_rows(joined, ["doc", "packed", "ranges", *others], run, schema)
 
 
 def digest(removed: DataFrame) -> DataFrame:
     return removed.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def rewrite(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
+    """All columns of the rows that keep something, ``text`` without its repeated bytes and ``n_chars`` to match.
+
+    A character of which only a part repeats goes as a whole.  Rows that were empty before stay.
+    """
+    columns = tuple(c for c in docs.columns if c != "text")
+    found = remove_repeated(docs, length, gram, columns).where((F.col("n_removed") == 0) | (F.col("n_removed") < F.col("n_bytes")))
+    text = F.try_validate_utf8(F.col("kept").cast("string"))
+    whole = found.withColumn("_text", F.coalesce(text, _valid(F.col("kept"))))
+    named = {c: F.col(f"_{k}") for k, c in enumerate(columns)} | {"text": F.col("_text")}
+    if "n_chars" in named:
+        named["n_chars"] = F.char_length("_text").cast(docs.schema["n_chars"].dataType)
+    return whole.select(*(named[c].alias(c) for c in docs.columns))
+
+
+def _valid(data: F.Column) -> F.Column:
+    """The bytes as text, without parts of characters."""
+    return F.replace(F.make_valid_utf8(data.cast("string")), F.lit("\ufffd"), F.lit(""))
