@@ -1,6 +1,28 @@
-"""All registered queries of the reference's own operators and their SQL twins."""
+"""All registered queries of the corridor and event operators and their SQL twins."""
 
 from __future__ import annotations
 
+import importlib
+
 QUERIES: dict = {}
 SQL: dict = {}
+
+
+def query(name: str, sql: str | None = None):
+    """Register a function (spark, sf_dir) -> DataFrame under ``name``, with the SQL that gives the same rows."""
+
+    def add(fn):
+        QUERIES[name] = fn
+        if sql:
+            SQL[name] = sql
+        return fn
+
+    return add
+
+
+def load() -> None:
+    for part in ("corridor", "labels", "events"):
+        importlib.import_module(f"swathe.plans.{part}")
+
+
+load()
