@@ -3,14 +3,15 @@
 A byte is removed when a string of ``length`` bytes that covers it starts at another place too, in any document.  Every
 window of that length picks its least-hashed k-gram, so equal windows share that k-gram at one offset.  Windows of one
 document with one k-gram form a span.  Spans are dealt out by k-gram: equal windows meet in one group, whatever the
-machine.  Equal spans are counted before anything is exchanged; the spans of a group that differ are set side by side and
-a suffix array over them shows which of their windows are equal.
+machine.  Equal spans are counted before anything is exchanged.  Spans of a group that differ are cut into parts whose
+windows hold some bytes in common; parts that share those bytes with another are set side by side, and a suffix array over
+them shows which of their windows are equal.
 
 The array is built by linear grouping.  Suffixes are grouped by their Lyndon prefix: groups are processed in descending
 order, and each extends the prefix of the suffixes that its members' previous-smaller pointers lead to.  One more pass
 then emits every group's order, with no renaming and no recursion.
 
-A group of very many different spans (a passage at whose edge every copy differs) isn't put into one task: its windows are
+A group of very many parts (a passage at whose edge every copy differs) isn't put into one task: its windows are
 hashed and counted, which splits over machines and gives the same answer.
 
 Defined cases: a null text is empty; texts shorter than ``length`` keep all; equal rows are copies of one another, so a
@@ -19,7 +20,7 @@ repeated row of ``length`` bytes or more loses all; an empty table gives no rows
 
 from __future__ import annotations
 
-import hashlib
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,10 +34,12 @@ GRAM = 32
 NO_ID = -(1 << 63)
 #: Bytes of text hashed at once, with ``LENGTH - 1`` of overlap.
 CHUNK = 1 << 21
-#: Bytes of spans in one suffix array.
-BLOCK = 1 << 17
-#: Different spans of one k-gram beyond which its windows are counted by hash.
-WIDE = 400
+#: Symbols in one suffix array.
+BLOCK = 1 << 16
+#: A span is compared in so many parts.
+PARTS = 8
+#: Parts of one group beyond which its windows are counted by hash.
+WIDE = 1000
 
 
 # --- suffix array ----------------------------------------------------------------------------------------------------
@@ -124,7 +127,7 @@ def _emit(n: int, groups: list[list[int]], width: list[int], of: list[int], fina
     return order
 
 
-def share_prefix(text: bytes, order: list[int], length: int) -> list[bool]:
+def share_prefix(text: list[int], order: list[int], length: int) -> list[bool]:
     """Whether each suffix shares its first ``length`` bytes with the one before it in order."""
     last = len(text) - length
     out, before = [], None
@@ -135,9 +138,9 @@ def share_prefix(text: bytes, order: list[int], length: int) -> list[bool]:
     return out
 
 
-def repeated_windows(spans: list[bytes], length: int = LENGTH) -> list[list[tuple[int, int]]]:
-    """For each span, the runs [from, to) of its window starts whose ``length`` bytes start elsewhere in the spans too."""
-    text = b"".join(spans)
+def repeated_windows(spans: list[bytes | list[int]], length: int = LENGTH) -> list[list[tuple[int, int]]]:
+    """For each span, the runs [from, to) of its window starts whose ``length`` symbols start elsewhere in the spans too."""
+    text = [x for s in spans for x in s]
     first, owner = [], []
     for k, s in enumerate(spans):
         first.append(len(owner))
@@ -177,8 +180,8 @@ def _runs(starts: list[int]) -> list[tuple[int, int]]:
 # --- spans -----------------------------------------------------------------------------------------------------------
 
 
-def spans_of(data: bytes, length: int = LENGTH, gram: int = GRAM) -> Iterator[tuple[int, int, int]]:
-    """(first window, number of windows, hash of their k-gram); runs of windows, in order, every window once."""
+def spans_of(data: bytes, length: int = LENGTH, gram: int = GRAM) -> Iterator[tuple[int, int, int, int]]:
+    """(first window, number of windows, place of their k-gram after the first window, its hash); in order, every window once."""
     reach = length - gram + 1
     for base in range(0, max(len(data) - length + 1, 0), CHUNK):
         part = data[base : base + CHUNK + length - 1]
@@ -202,8 +205,24 @@ def spans_of(data: bytes, length: int = LENGTH, gram: int = GRAM) -> Iterator[tu
         cuts = np.flatnonzero(np.diff(where)) + 1
         starts = np.concatenate([[0], cuts])
         ends = np.concatenate([cuts, [len(where)]])
-        for s, e, p in zip(starts.tolist(), ends.tolist(), h.view(np.int64)[where[starts]].tolist(), strict=True):
-            yield base + s, e - s, p
+        for s, e, p, a in zip(starts.tolist(), ends.tolist(), where[starts].tolist(), h.view(np.int64)[where[starts]].tolist(), strict=True):
+            yield base + s, e - s, p - s, a
+
+
+def reach_of(length: int, gram: int) -> int:
+    """Window starts that a part spans at most."""
+    return max(1, (length - gram) // PARTS)
+
+
+def parts_of(data: bytes, start: int, count: int, place: int, anchor: int, length: int, reach: int) -> Iterator[tuple[int, int, int, bytes]]:
+    """(first window, number of windows, place of the core in it, group and core) of a span's parts; all windows of a part hold its core.
+
+    Parts are cut at fixed distances before the k-gram, so windows that are equal are in parts of the same bytes.
+    """
+    at = start + place
+    for k in range((place - count + 1) // reach, place // reach + 1):
+        low, high = max(place - count + 1, k * reach), min(place, k * reach + reach - 1)
+        yield at - high, high - low + 1, high - k * reach, b"%d %d " % (anchor, k) + data[at - k * reach : at - k * reach - reach + 1 + length]
 
 
 def _spans(docs: DataFrame, length: int, gram: int) -> DataFrame:
@@ -213,10 +232,10 @@ def _spans(docs: DataFrame, length: int, gram: int) -> DataFrame:
         for doc_id, text in rows:
             data = text.encode()
             own = xxh32_intdigest(data) - (1 << 31)
-            for start, count, anchor in spans_of(data, length, gram):
-                yield doc_id, own, start, count, anchor, xxh3_64_intdigest(data[start : start + count + length - 1]) - (1 << 63)
+            for start, count, place, anchor in spans_of(data, length, gram):
+                yield doc_id, own, start, count, place, anchor, xxh3_64_intdigest(data[start : start + count + length - 1]) - (1 << 63)
 
-    return map_rows(docs, ["doc_id", "text"], run, "doc long, own int, start int, count int, anchor long, span long")
+    return map_rows(docs, ["doc_id", "text"], run, "doc long, own int, start int, count int, place int, anchor long, span long")
 
 
 def _packed(docs: DataFrame, others: tuple[str, ...] = ()) -> DataFrame:
@@ -238,51 +257,85 @@ def _ddl(df: DataFrame, names: tuple[str, ...]) -> str:
     return "".join(f", {x} {df.schema[x].dataType.simpleString()}" for x in names)
 
 
-def _cut(wanted: DataFrame, docs: DataFrame, length: int) -> DataFrame:
-    """The bytes of the wanted spans."""
-    lists = wanted.groupBy("doc", "own").agg(F.collect_list(F.struct("start", "count", "anchor", "wide", "n")).alias("spans"))
-    joined = _packed(docs).join(lists, ["doc", "own"])
+def _with_text(wanted: DataFrame, docs: DataFrame, columns: list[str]) -> DataFrame:
+    """The wanted rows of a document as a list beside its compressed text."""
+    lists = wanted.groupBy("doc", "own").agg(F.collect_list(F.struct(*columns)).alias("wanted"))
+    return _packed(docs).join(lists, ["doc", "own"])
+
+
+def _parts(spans: DataFrame, docs: DataFrame, length: int, gram: int) -> DataFrame:
+    """Parts of the spans, with a hash of the bytes that a part's windows all hold."""
+    reach = reach_of(length, gram)
 
     def run(rows: Iterator[tuple]) -> Iterator[tuple]:
         import zstandard
+        from xxhash import xxh3_64_intdigest
 
         open_up = zstandard.ZstdDecompressor()
         for doc, own, packed, spans in rows:
             data = open_up.decompress(packed)
             for s in spans:
-                yield doc, own, s["start"], s["count"], s["anchor"], s["wide"], s["n"], data[s["start"] : s["start"] + s["count"] + length - 1]
+                for first, windows, lead, core in parts_of(data, s["start"], s["count"], s["place"], s["anchor"], length, reach):
+                    yield doc, own, first, windows, lead, xxh3_64_intdigest(core) - (1 << 63), s["n"]
 
-    return map_rows(joined, ["doc", "own", "packed", "spans"], run, "doc long, own int, start int, count int, anchor long, wide boolean, n long, bytes binary")
+    return map_rows(_with_text(spans, docs, ["start", "count", "place", "anchor", "n"]), ["doc", "own", "packed", "wanted"], run, "doc long, own int, first int, windows int, lead int, core long, n long")
 
 
-def _by_suffix_array(cut: DataFrame, length: int) -> DataFrame:
-    """Window runs of single spans that also occur in another span of their group."""
-    dealt = cut.repartition("anchor").sortWithinPartitions("anchor")
+def _cut(parts: DataFrame, docs: DataFrame, length: int) -> DataFrame:
+    """The bytes of the parts."""
 
     def run(rows: Iterator[tuple]) -> Iterator[tuple]:
-        held: list[tuple] = []
-        group: list[tuple] = []
-        size = 0
+        import zstandard
+
+        open_up = zstandard.ZstdDecompressor()
+        for doc, own, packed, parts in rows:
+            data = open_up.decompress(packed)
+            for p in parts:
+                yield doc, own, p["first"], p["lead"], p["core"], p["wide"], p["n"], data[p["first"] : p["first"] + p["windows"] + length - 1]
+
+    return map_rows(_with_text(parts, docs, ["first", "windows", "lead", "core", "wide", "n"]), ["doc", "own", "packed", "wanted"], run, "doc long, own int, first int, lead int, core long, wide boolean, n long, bytes binary")
 
-        def solve(part: list[tuple]) -> Iterator[tuple]:
-            for row, runs in zip(part, repeated_windows([r[5] for r in part], length), strict=True):
-                if row[4] == 1:
-                    for a, b in runs:
-                        yield row[0], row[1], row[2] + a, row[2] + b - 1 + length
 
-        for row in rows:
-            if group and row[3] != group[0][3]:
-                held += group
-                group = []
-                if size >= BLOCK:
-                    yield from solve(held)
-                    held, size = [], 0
-            group.append(row)
-            size += len(row[5])
-        if held or group:
-            yield from solve(held + group)
+def _by_suffix_array(cut: DataFrame, length: int, reach: int) -> DataFrame:
+    """Window runs of single spans' parts that also occur in another part of their group.
+
+    The core that a group shares stands as one symbol of its own in the suffix array, so a window is ``reach`` symbols there.
+    """
+    dealt = cut.repartition("core").sortWithinPartitions("core")
+    held_by_all = length - reach + 1
+
+    def run(rows: Iterator[tuple]) -> Iterator[tuple]:
+        groups: list[list[list[tuple]]] = []
+        size = 0
 
-    return map_rows(dealt, ["doc", "own", "start", "anchor", "n", "bytes"], run, "doc long, own int, begin int, end int")
+        def found(same: list[tuple], runs: list[tuple[int, int]]) -> Iterator[tuple]:
+            for doc, own, first, _, _, n, data in same:
+                if n == 1:
+                    for a, b in [(0, len(data) - length + 1)] if len(same) > 1 else runs:
+                        yield doc, own, first + a, first + b - 1 + length
+
+        def solve() -> Iterator[tuple]:
+            alike = [same for group in groups for same in group]
+            symbols = [[*same[0][6][: same[0][3]], 256 + k, *same[0][6][same[0][3] + held_by_all :]] for k, group in enumerate(groups) for same in group]
+            for same, runs in zip(alike, repeated_windows(symbols, reach), strict=True):
+                yield from found(same, runs)
+
+        for _, members in itertools.groupby(rows, key=lambda row: row[4]):
+            by_core: dict[bytes, dict[tuple, list[tuple]]] = {}
+            for row in members:
+                by_core.setdefault(row[6][row[3] : row[3] + held_by_all], {}).setdefault((row[3], row[6]), []).append(row)
+            for group in by_core.values():
+                if len(group) == 1:  # the same bytes throughout
+                    yield from found(*group.values(), [])
+                    continue
+                groups.append([*group.values()])
+                size += sum(len(data) - held_by_all + 1 for _, data in group)
+            if size >= BLOCK:
+                yield from solve()
+                groups, size = [], 0
+        yield from solve()
+
+    return map_rows(dealt, ["doc", "own", "first", "lead", "core", "n", "bytes"], run, "doc long, own int, begin int, end int")
 
 
 def _by_counting(cut: DataFrame, length: int) -> DataFrame:
@@ -291,13 +344,13 @@ def _by_counting(cut: DataFrame, length: int) -> DataFrame:
     def run(rows: Iterator[tuple]) -> Iterator[tuple]:
         from xxhash import xxh3_64_intdigest
 
-        for doc, own, start, count, anchor, n, data in rows:
-            for k in range(count):
-                yield doc, own, start + k, anchor, n, xxh3_64_intdigest(data[k : k + length]) - (1 << 63)
+        for doc, own, first, core, n, data in rows:
+            for k in range(len(data) - length + 1):
+                yield doc, own, first + k, n, xxh3_64_intdigest(data[k : k + length], core & 0xFFFFFFFF) - (1 << 63)
 
-    windows = materialize(map_rows(cut, ["doc", "own", "start", "count", "anchor", "n", "bytes"], run, "doc long, own int, start int, anchor long, n long, hash long"), "windows")
-    often = windows.groupBy("anchor", "hash").agg(F.sum("n").alias("all")).where("all > 1").drop("all")
-    return windows.where("n = 1").join(often, ["anchor", "hash"], "left_semi").select("doc", "own", F.col("start").alias("begin"), (F.col("start") + length).alias("end"))
+    windows = materialize(map_rows(cut, ["doc", "own", "first", "core", "n", "bytes"], run, "doc long, own int, first int, n long, hash long"), "windows")
+    often = windows.groupBy("hash").agg(F.sum("n").alias("all")).where("all > 1").drop("all")
+    return windows.where("n = 1").join(often, "hash", "left_semi").select("doc", "own", F.col("first").alias("begin"), (F.col("first") + length).alias("end"))
 
 
 def repeated_ranges(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
@@ -310,11 +363,12 @@ def repeated_ranges(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) ->
     known = materialize(spans.join(shared.select("anchor", (F.col("least") == F.col("most")).alias("same")), "anchor"), "shared")
     covered = lambda df: df.select("doc", "own", F.col("start").alias("begin"), (F.col("start") + F.col("count") + length - 1).alias("end"))
     mixed = known.where("not same")
-    kinds = materialize(mixed.groupBy("anchor", "span").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc", "own", "start", "count")).alias("at")).select("anchor", "span", "n", "at.*"), "kinds")
+    kinds = materialize(mixed.groupBy("anchor", "span").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc", "own", "start", "count", "place")).alias("at")).select("anchor", "span", "n", "at.*"), "kinds")
     often = kinds.where("n > 1").select("anchor", "span")
-    groups = kinds.groupBy("anchor").agg((F.count(F.lit(1)) > WIDE).alias("wide"), F.min("n").alias("least")).where("least = 1").drop("least")
-    cut = materialize(_cut(kinds.join(groups, "anchor"), docs, length), "cut")
-    singles = _by_suffix_array(cut.where("not wide"), length).unionByName(_by_counting(cut.where("wide"), length))
+    parts = materialize(_parts(kinds, docs, length, gram), "parts")
+    groups = parts.groupBy("core").agg(F.count(F.lit(1)).alias("size"), F.min("n").alias("least")).where("size > 1 and least = 1")
+    cut = materialize(_cut(parts.join(groups.select("core", (F.col("size") > WIDE).alias("wide")), "core"), docs, length), "cut")
+    singles = _by_suffix_array(cut.where("not wide"), length, reach_of(length, gram)).unionByName(_by_counting(cut.where("wide"), length))
     return covered(known.where("same")).unionByName(covered(mixed.join(often, ["anchor", "span"], "left_semi"))).unionByName(singles)
 
 
