@@ -9,7 +9,11 @@ from ..registry import query
 from .fixtures import twin, view
 
 c = F.col
-N = F.count(F.lit(1))
+
+
+def N():
+    return F.count(F.lit(1))
+
 ND = "case when {a}>=0 and {b}>=0 and {a}+{b}<>0 then ({a}-{b})/({a}+{b}) end"
 
 
@@ -34,7 +38,7 @@ def _(spark, d):
 
 @query("p14_clear_sky", twin("select zone, count(*) as n from pixels where cs_cdf>=0.6 and scl not in (1,2,11) group by 1"))
 def _(spark, d):
-    return px(spark, d).where(P.clear(c("cs_cdf"), c("scl"))).groupBy("zone").agg(N.alias("n"))
+    return px(spark, d).where(P.clear(c("cs_cdf"), c("scl"))).groupBy("zone").agg(N().alias("n"))
 
 
 @query("p15_class_masks", twin("select count(*) filter (scl not in (3,8,9,10,11)) as legacy, count(*) filter (scl not in (1,2,3,6,8,9,10,11)) as v2 from pixels"))
@@ -45,23 +49,23 @@ def _(spark, d):
 @query("p16_water_in_image", twin(f"select zone, count(*) as n from pixels where not (scl=6 or coalesce({nd('b2', 'b11')},-1)>0) group by 1"))
 def _(spark, d):
     wet = (c("scl") == 6) | (F.coalesce(P.normalized(c("b2"), c("b11")), F.lit(-1.0)) > 0)
-    return px(spark, d).where(~wet).groupBy("zone").agg(N.alias("n"))
+    return px(spark, d).where(~wet).groupBy("zone").agg(N().alias("n"))
 
 
 @query("p17_static_water", twin("select count(*) as cells from cells a where not exists (select 1 from water w where w.px between a.px-2 and a.px+2 and w.py between a.py-2 and a.py+2 and (w.px-a.px)*(w.px-a.px)+(w.py-a.py)*(w.py-a.py)<=4)", cells="select distinct px, py from pixels where landcover<>11", water="select distinct px, py from pixels where landcover=11 and zone=0"))
 def _(spark, d):
     p = px(spark, d)
-    return P.near(p.where("landcover <> 11").select("px", "py").distinct(), p.where("landcover = 11 and zone = 0"), 2).agg(N.alias("cells"))
+    return P.near(p.where("landcover <> 11").select("px", "py").distinct(), p.where("landcover = 11 and zone = 0"), 2).agg(N().alias("cells"))
 
 
 @query("p18_bit_mask", twin("select zone, count(*) as n from pixels where ((px*7+py) & 191)=0 or (px & 3)=0 group by 1"))
 def _(spark, d):
-    return px(spark, d).where(P.bits_clear(c("px") * 7 + c("py"), [0, 1, 2, 3, 4, 5, 7]) | P.bits_clear(c("px"), [0, 1])).groupBy("zone").agg(N.alias("n"))
+    return px(spark, d).where(P.bits_clear(c("px") * 7 + c("py"), [0, 1, 2, 3, 4, 5, 7]) | P.bits_clear(c("px"), [0, 1])).groupBy("zone").agg(N().alias("n"))
 
 
 @query("p19_thermal_scaling", twin("select zone, round(avg((px*40+20000)*0.00341802::double+149-273.15::double),6) as lst, count(*) as n from pixels where py*0.01::double<=3.5 group by 1"))
 def _(spark, d):
-    return px(spark, d).where(c("py") * 0.01 <= 3.5).groupBy("zone").agg(F.round(F.avg(P.kelvin_to_celsius(c("px") * 40 + 20000)), 6).alias("lst"), N.alias("n"))
+    return px(spark, d).where(c("py") * 0.01 <= 3.5).groupBy("zone").agg(F.round(F.avg(P.kelvin_to_celsius(c("px") * 40 + 20000)), 6).alias("lst"), N().alias("n"))
 
 
 @query("p20_harmonization", twin("select zone, round(avg(case when tile=0 then b4*2.75e-5-0.2 else (b4*2.75e-5-0.2)*0.9785::double-0.0095::double end),9) as red from pixels group by 1"))
@@ -72,7 +76,7 @@ def _(spark, d):
 
 @query("p21_season_window", twin("select year(dt) as year, count(*) as n from pixels where month(dt) in (3,4) and cs_cdf*100<60 group by 1"))
 def _(spark, d):
-    return px(spark, d).where(F.month("dt").isin(3, 4) & (c("cs_cdf") * 100 < 60)).groupBy(F.year("dt").alias("year")).agg(N.alias("n"))
+    return px(spark, d).where(F.month("dt").isin(3, 4) & (c("cs_cdf") * 100 < 60)).groupBy(F.year("dt").alias("year")).agg(N().alias("n"))
 
 
 @query("p23_wetness", twin("select zone, round(avg(ln(greatest(py*1e6/90,1))-ln(greatest(tan(radians(px/20.0::double)),0.001))),6) as twi from pixels group by 1"))
@@ -106,13 +110,13 @@ def _(spark, d):
 @query("g22_mean_composite", NDVI + "select zone, round(avg(m),9) as mean, count(*) as pixels, round(avg(k),9) as clear_images from (select zone, px, avg(ndvi) m, count(ndvi) k from p group by 1,2) group by 1")
 def _(spark, d):
     cells = ndvi(spark, d).groupBy("zone", "px").agg(F.avg("ndvi").alias("m"), F.count("ndvi").alias("k"))
-    return cells.groupBy("zone").agg(F.round(F.avg("m"), 9).alias("mean"), N.alias("pixels"), F.round(F.avg("k"), 9).alias("clear_images"))
+    return cells.groupBy("zone").agg(F.round(F.avg("m"), 9).alias("mean"), N().alias("pixels"), F.round(F.avg("k"), 9).alias("clear_images"))
 
 
 @query("g23_fixed_values", twin("select zone, elevation, soil from (select zone, round(avg(px),9) elevation from pixels group by 1) join (select zone, scl as soil from (select zone, scl, row_number() over (partition by zone order by count(*) desc, scl) rn from pixels group by 1,2) where rn=1) using (zone)"))
 def _(spark, d):
     """The mode is taken with ties to the lower class, from counts."""
-    counts = px(spark, d).groupBy("zone", "scl").agg(N.alias("n"), F.sum("px").alias("s"))
+    counts = px(spark, d).groupBy("zone", "scl").agg(N().alias("n"), F.sum("px").alias("s"))
     return counts.groupBy("zone").agg(F.round(F.sum("s") / F.sum("n"), 9).alias("elevation"), F.max_by("scl", F.struct("n", -c("scl"))).alias("soil"))
 
 
@@ -126,13 +130,13 @@ def _(spark, d):
 @query("v10_spot_history", NDVI + "select year(dt) as year, round(median(v),9) as median_ndvi, count(*) as clear_images from (select dt, orbit, avg(ndvi) v from p where (px-500)*(px-500)+(py-500)*(py-500)<=90000 group by 1,2) group by 1")
 def _(spark, d):
     spot = ndvi(spark, d).where((c("px") - 500) * (c("px") - 500) + (c("py") - 500) * (c("py") - 500) <= 90000)
-    return spot.groupBy("dt", "orbit").agg(F.avg("ndvi").alias("v")).groupBy(F.year("dt").alias("year")).agg(F.round(F.median("v"), 9).alias("median_ndvi"), N.alias("clear_images"))
+    return spot.groupBy("dt", "orbit").agg(F.avg("ndvi").alias("v")).groupBy(F.year("dt").alias("year")).agg(F.round(F.median("v"), 9).alias("median_ndvi"), N().alias("clear_images"))
 
 
 @query("g10_g11_band_area", twin("select zone, kept, kept_share, kept>=200 as has_zone from (select zone, count(*) filter (landcover<>11) kept, round(count(*) filter (landcover<>11)/count(*)::double,9) kept_share from pixels group by 1)"))
 def _(spark, d):
     ok = F.count_if(c("landcover") != 11)
-    return px(spark, d).groupBy("zone").agg(ok.alias("kept"), F.round(ok / N, 9).alias("kept_share"), (ok >= 200).alias("has_zone"))
+    return px(spark, d).groupBy("zone").agg(ok.alias("kept"), F.round(ok / N(), 9).alias("kept_share"), (ok >= 200).alias("has_zone"))
 
 
 @query("g12_coverage_ledger", twin("select coalesce(reason,'kept') as reason, ecoregion, quality_cd, count(*) as pieces, cast(sum(weight) as bigint) as km from (select *, case when k%9=0 then 'outside the regions' when quality_cd='X' then 'unknown accuracy' end reason from segment_dim) group by 1,2,3"))
@@ -141,4 +145,4 @@ def _(spark, d):
 
     r = first_reason((c("k") % 9 == 0, "outside the regions"), (c("quality_cd") == "X", "unknown accuracy"))
     rows = view(spark, d, "segment_dim").withColumn("reason", F.when(r == "", "kept").otherwise(r))
-    return rows.groupBy("reason", "ecoregion", "quality_cd").agg(N.alias("pieces"), F.sum("weight").cast("long").alias("km"))
+    return rows.groupBy("reason", "ecoregion", "quality_cd").agg(N().alias("pieces"), F.sum("weight").cast("long").alias("km"))

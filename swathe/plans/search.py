@@ -9,7 +9,11 @@ from ..registry import query
 from .fixtures import table, twin, view
 
 c = F.col
-N = F.count(F.lit(1))
+
+
+def N():
+    return F.count(F.lit(1))
+
 WORDS = "list_distinct(list_filter(regexp_extract_all(lower({0}),'([a-z0-9]+)',1), lambda w: length(w)>2))"
 ASKED = "the license and their tion"
 SCORE = "len(list_intersect(" + WORDS.format(f"'{ASKED}'") + "," + WORDS.format("narrative") + "))/len(" + WORDS.format(f"'{ASKED}'") + ")::double"
@@ -50,7 +54,7 @@ def _(spark, d):
 
 @query("g25_embedding_zonal_mean", twin("select label, year, count(*) as pixels, round(avg((vec::double[])[1]),6) as a00, round(avg((vec::double[])[64]),6) as a63 from places group by 1,2"))
 def _(spark, d):
-    long = places(spark, d).select("label", "year", "place_id", F.posexplode("vec").alias("k", "x")).groupBy("label", "year", "k").agg(F.avg(c("x").cast("double")).alias("m"), N.alias("pixels"))
+    long = places(spark, d).select("label", "year", "place_id", F.posexplode("vec").alias("k", "x")).groupBy("label", "year", "k").agg(F.avg(c("x").cast("double")).alias("m"), N().alias("pixels"))
     return long.groupBy("label", "year").agg(F.max("pixels").alias("pixels"), F.round(F.max(F.when(c("k") == 0, c("m"))), 6).alias("a00"), F.round(F.max(F.when(c("k") == 63, c("m"))), 6).alias("a63"))
 
 
@@ -78,7 +82,7 @@ def _(spark, d):
 def _(spark, d):
     rows = view(spark, d, "reports").where("soil_removed = 'yes'")
     top = rows.withColumn("s", S.keyword_score(ASKED, c("narrative"))).orderBy(F.desc("s"), "report_no").limit(8).select("report_no")
-    return top.crossJoin(F.broadcast(rows.agg(N.alias("matching"))))
+    return top.crossJoin(F.broadcast(rows.agg(N().alias("matching"))))
 
 
 @query("e7_v12_quote_support", twin(f"select report_no, soil_removed, {PLAIN.format('quote')}='' or contains({PLAIN.format('narrative')},{PLAIN.format('quote')}) as supported from reports"))
@@ -107,13 +111,13 @@ def _(spark, d):
 @query("e10_overlap_of_top_k", twin(f"select count(*) as shared from (select report_no from reports order by {SCORE} desc, report_no limit 50) join (select report_no from reports join embeddings e on report_no=e.vec_id, (select embedding::double[] v from embeddings where vec_id=0) s order by {HYBRID} desc, report_no limit 50) using (report_no)"))
 def _(spark, d):
     words = view(spark, d, "reports").withColumn("s", S.keyword_score(ASKED, c("narrative"))).orderBy(F.desc("s"), "report_no").limit(50).select("report_no")
-    return words.intersect(hybrid(spark, d).orderBy(F.desc("score"), "report_no").limit(50).select("report_no")).agg(N.alias("shared"))
+    return words.intersect(hybrid(spark, d).orderBy(F.desc("score"), "report_no").limit(50).select("report_no")).agg(N().alias("shared"))
 
 
 @query("e11_place_table", twin("select kind, year, count(*) as n_places from (select kind, year from places union all select 'comparison ring', year from places where kind='segment band') group by 1,2"))
 def _(spark, d):
     p = places(spark, d).select("kind", "year")
-    return p.unionByName(p.where("kind = 'segment band'").withColumn("kind", F.lit("comparison ring"))).groupBy("kind", "year").agg(N.alias("n_places"))
+    return p.unionByName(p.where("kind = 'segment band'").withColumn("kind", F.lit("comparison ring"))).groupBy("kind", "year").agg(N().alias("n_places"))
 
 
 @query("e12_entity_lookup", twin("select spill_id as place, x, y from spill_points where spill_id in ('S000003','S000017') union all select '12.5, -7.25', 12.5, -7.25"))

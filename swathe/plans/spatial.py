@@ -10,7 +10,11 @@ from ..registry import query
 from .fixtures import twin, view
 
 c = F.col
-N = F.count(F.lit(1))
+
+
+def N():
+    return F.count(F.lit(1))
+
 EDGES = {
     "e0": "select line_uid, seq, x x1, y y1, lead(x) over w x2, lead(y) over w y2 from line_vertices window w as (partition by line_uid order by seq)",
     "ed": "select *, sqrt((x2-x1)*(x2-x1)+(y2-y1)*(y2-y1)) len, ((x2-x1)*(x2-x1)+(y2-y1)*(y2-y1)) l2 from e0 where x2 is not null",
@@ -93,7 +97,7 @@ def _(spark, d):
     near = S.near_edges(points(spark, d), edge, 2000.0).join(last, "line_uid").withColumn("raw", S.foot(c("x"), c("y")))
     near = near.where(~((c("seq") == 0) & (c("raw") < 0)) & ~((c("seq") == c("last")) & (c("raw") > 1)))
     rows = near.groupBy("spill_id", "line_uid").agg(F.min("dist").alias("dist")).withColumn("ring", S.band(c("dist"), [0, 250, 500, 1000, 2000]))
-    return rows.where("ring is not null").groupBy("ring").agg(N.alias("points"))
+    return rows.where("ring is not null").groupBy("ring").agg(N().alias("points"))
 
 
 OWN = NEAR | {"per": "select spill_id, line_uid, min(dist) d from nr group by 1,2", "any1": "select spill_id, min(d) dmin from per group by 1"}
@@ -104,26 +108,26 @@ def _(spark, d):
     """Ground of the outer band stays where no line is nearer than the band's inner edge: own and least distance from one join."""
     per = S.near_edges(points(spark, d), lines(spark, d), 2000.0).groupBy("spill_id", "line_uid").agg(F.min("dist").alias("d"))
     rows = per.withColumn("dmin", F.min("d").over(Window.partitionBy("spill_id")))
-    return rows.where("d >= 500 and d < 1000 and dmin >= 500").groupBy("line_uid").agg(N.alias("kept"))
+    return rows.where("d >= 500 and d < 1000 and dmin >= 500").groupBy("line_uid").agg(N().alias("kept"))
 
 
 @query("g26_contamination", twin("select count(*) as points, round(avg(case when dmin<500 then 1.0::double else 0 end),9) as share from per join any1 using (spill_id) where d>=500 and d<1000", **OWN))
 def _(spark, d):
     per = S.near_edges(points(spark, d), lines(spark, d), 2000.0).groupBy("spill_id", "line_uid").agg(F.min("dist").alias("d"))
     rows = per.withColumn("dmin", F.min("d").over(Window.partitionBy("spill_id"))).where("d >= 500 and d < 1000")
-    return rows.agg(N.alias("points"), F.round(F.avg((c("dmin") < 500).cast("double")), 9).alias("share"))
+    return rows.agg(N().alias("points"), F.round(F.avg((c("dmin") < 500).cast("double")), 9).alias("share"))
 
 
 @query("g27_overlap_depth", twin("select round(avg(k),9) as mean, median(k) as median, quantile_cont(k,0.9) as p90, count(*) as covered from (select spill_id, count(distinct line_uid) k from nr group by 1)", **NEAR))
 def _(spark, d):
     per = S.near_edges(points(spark, d), lines(spark, d), 2000.0).groupBy("spill_id").agg(F.countDistinct("line_uid").alias("k"))
-    return per.agg(F.round(F.avg("k"), 9).alias("mean"), F.median("k").alias("median"), F.percentile("k", 0.9).alias("p90"), N.alias("covered"))
+    return per.agg(F.round(F.avg("k"), 9).alias("mean"), F.median("k").alias("median"), F.percentile("k", 0.9).alias("p90"), N().alias("covered"))
 
 
 @query("g28_overlap_patterns", twin("select count(distinct p) as patterns, count(*) as points from (select spill_id, string_agg(distinct line_uid, ',' order by line_uid) p from nr group by 1)", **NEAR))
 def _(spark, d):
     per = S.near_edges(points(spark, d), lines(spark, d), 2000.0).groupBy("spill_id").agg(F.array_join(F.sort_array(F.collect_set("line_uid")), ",").alias("p"))
-    return per.agg(F.countDistinct("p").alias("patterns"), N.alias("points"))
+    return per.agg(F.countDistinct("p").alias("patterns"), N().alias("points"))
 
 
 @query("g29_signed_offset", twin(f"select p.spill_id, e.line_uid, e.seq, round(sign((e.x2-e.x1)*(p.y-e.y1)-(e.y2-e.y1)*(p.x-e.x1))*{DIST},6) as offset_m from spill_points p, el e where {DIST}<=500", **EDGES))
@@ -228,7 +232,7 @@ def _(spark, d):
     regions = view(spark, d, "region_edges")
     parts = split_by_regions(lines(spark, d), regions)
     found = S.inside(parts.select("pid", "x", "y"), regions, "pid", 5000.0)
-    return parts.join(found, "pid", "left").groupBy("line_uid", "region").agg(F.round(F.sum("part_m"), 6).alias("metres"), N.alias("parts"))
+    return parts.join(found, "pid", "left").groupBy("line_uid", "region").agg(F.round(F.sum("part_m"), 6).alias("metres"), N().alias("parts"))
 
 
 @query("g5_join_parts")

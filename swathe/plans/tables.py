@@ -9,26 +9,28 @@ from ..operators import tables as T
 from ..registry import query
 from .fixtures import table, twin, view
 
-N = F.count(F.lit(1))
+
+def N():
+    return F.count(F.lit(1))
 
 
 @query("a6_thermal_springs", "select l_suppkey, year, round(median(v),9) as lst, count(*) as dates from (select l_suppkey, year(l_shipdate) as year, cast(l_shipdate as date) dt, sum(l_tax*l_quantity)/sum(l_quantity) v from lineitem group by 1,2,3 having sum(l_quantity)>=5) group by 1,2")
 def _(spark, d):
     per = table(spark, d, "lineitem").groupBy("l_suppkey", F.year("l_shipdate").alias("year"), F.to_date("l_shipdate").alias("dt")).agg((F.sum(F.col("l_tax") * F.col("l_quantity")) / F.sum("l_quantity")).alias("v"), F.sum("l_quantity").alias("q")).where("q >= 5")
-    return per.groupBy("l_suppkey", "year").agg(F.round(F.median("v"), 9).alias("lst"), N.alias("dates"))
+    return per.groupBy("l_suppkey", "year").agg(F.round(F.median("v"), 9).alias("lst"), N().alias("dates"))
 
 
 @query("a19_describe", "select o_orderpriority, count(*) as n, count(distinct o_custkey) as customers, round(quantile_cont(o_totalprice,0.25),6) as p25, round(quantile_cont(o_totalprice,0.5),6) as p50, round(quantile_cont(o_totalprice,0.75),6) as p75 from orders group by 1")
 def _(spark, d):
     q = F.percentile("o_totalprice", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    rows = table(spark, d, "orders").groupBy("o_orderpriority").agg(N.alias("n"), F.countDistinct("o_custkey").alias("customers"), q.alias("q"))
+    rows = table(spark, d, "orders").groupBy("o_orderpriority").agg(N().alias("n"), F.countDistinct("o_custkey").alias("customers"), q.alias("q"))
     return rows.select("o_orderpriority", "n", "customers", *(F.round(F.col("q")[k], 6).alias(p) for k, p in enumerate(("p25", "p50", "p75"))))
 
 
 @query("a20_threshold_counts", twin("select cause, count(*) as n, count(*) filter (barrels<=10) as within_10, count(*) filter (barrels<=25) as within_25, count(*) filter (barrels<=50) as within_50 from spill_points group by 1 union all select 'all', count(*), count(*) filter (barrels<=10), count(*) filter (barrels<=25), count(*) filter (barrels<=50) from spill_points"))
 def _(spark, d):
     rows = view(spark, d, "spill_points").withColumn("cause", F.explode(F.array("cause", F.lit("all"))))
-    return rows.groupBy("cause").agg(N.alias("n"), *(F.count_if(F.col("barrels") <= k).alias(f"within_{k}") for k in (10, 25, 50)))
+    return rows.groupBy("cause").agg(N().alias("n"), *(F.count_if(F.col("barrels") <= k).alias(f"within_{k}") for k in (10, 25, 50)))
 
 
 @query("a21_table_audit", twin("select count(*) as n_rows, count(*) filter (val is null) as blanks, round(100.0::double*count(*) filter (val is null)/count(*),6) as blank_pct, count(raw_id)-count(distinct raw_id) as duplicates, count(*) filter (contains(raw_id,' ')) as spaces, count(*) filter (contains(raw_id,'_')) as underscores, min(val) as least, round(avg(val),6) as mean, max(val) as most, max(length(regexp_extract(raw_id,'^(\\d+)',1))) as longest_number from part_tables"))
@@ -41,7 +43,7 @@ def _(spark, d):
     """The combined table leaves region P out; parts are looked up in it by key."""
     parts = view(spark, d, "part_tables")
     combined = parts.where("region <> 'P'").select("raw_id", F.lit(True).alias("there"))
-    return parts.join(combined, "raw_id", "left").groupBy("region").agg(N.alias("n_rows"), F.count_if(F.col("there").isNotNull()).alias("found"), F.count_if(F.col("there").isNull()).alias("missing"))
+    return parts.join(combined, "raw_id", "left").groupBy("region").agg(N().alias("n_rows"), F.count_if(F.col("there").isNotNull()).alias("found"), F.count_if(F.col("there").isNull()).alias("missing"))
 
 
 @query("a23_share_of_total", "select o_orderstatus, count(*) as pieces, round(sum(o_totalprice),2) as amount, round(100.0::double*count(*)/sum(count(*)) over (),6) as pieces_pct, round(100*sum(o_totalprice)/sum(sum(o_totalprice)) over (),6) as amount_pct from orders group by 1")
@@ -52,14 +54,14 @@ def _(spark, d):
 @query("a24_step_retention", "select l_returnflag, count(*) as before, count(*) filter (l_quantity>=10) as after, round(100.0::double*count(*) filter (l_quantity>=10)/count(*),6) as kept_pct, round(100*sum(case when l_quantity>=10 then l_quantity end)/sum(l_quantity),6) as kept_area_pct, count(*) filter (l_quantity<2) as small from lineitem group by 1")
 def _(spark, d):
     q = F.col("l_quantity")
-    return table(spark, d, "lineitem").groupBy("l_returnflag").agg(N.alias("before"), F.count_if(q >= 10).alias("after"), F.round(100 * F.count_if(q >= 10) / N, 6).alias("kept_pct"), F.round(100 * F.sum(F.when(q >= 10, q)) / F.sum(q), 6).alias("kept_area_pct"), F.count_if(q < 2).alias("small"))
+    return table(spark, d, "lineitem").groupBy("l_returnflag").agg(N().alias("before"), F.count_if(q >= 10).alias("after"), F.round(100 * F.count_if(q >= 10) / N(), 6).alias("kept_pct"), F.round(100 * F.sum(F.when(q >= 10, q)) / F.sum(q), 6).alias("kept_area_pct"), F.count_if(q < 2).alias("small"))
 
 
 @query("a25_repeat_spread", "select count(*) as keys, count(*) filter (n>1) as repeated, round(median(spread) filter (n>1),9) as median_spread, round(quantile_cont(spread,0.95) filter (n>1),9) as p95_spread from (select l_suppkey, l_partkey, cast(l_shipdate as date), count(*) n, max(l_tax)-min(l_tax) spread from lineitem group by 1,2,3)")
 def _(spark, d):
-    per = table(spark, d, "lineitem").groupBy("l_suppkey", "l_partkey", F.to_date("l_shipdate").alias("dt")).agg(N.alias("n"), (F.max("l_tax") - F.min("l_tax")).alias("spread"))
+    per = table(spark, d, "lineitem").groupBy("l_suppkey", "l_partkey", F.to_date("l_shipdate").alias("dt")).agg(N().alias("n"), (F.max("l_tax") - F.min("l_tax")).alias("spread"))
     s = F.when(F.col("n") > 1, F.col("spread"))
-    return per.agg(N.alias("keys"), F.count_if(F.col("n") > 1).alias("repeated"), F.round(F.median(s), 9).alias("median_spread"), F.round(F.percentile(s, 0.95), 9).alias("p95_spread"))
+    return per.agg(N().alias("keys"), F.count_if(F.col("n") > 1).alias("repeated"), F.round(F.median(s), 9).alias("median_spread"), F.round(F.percentile(s, 0.95), 9).alias("p95_spread"))
 
 
 @query("a28_clear_date_coverage", twin("select median(k) as median_dates, quantile_cont(k,0.1) as p10_dates, min(k) as least_dates, count(*) filter (k<5) as under_5 from (select zone, count(distinct dt) k from pixels where cs_cdf>=0.6 group by 1)"))
@@ -79,7 +81,7 @@ def _(spark, d):
 def _(spark, d):
     a, b = F.col("l_quantity"), F.col("l_linenumber") * 7
     ok = F.abs(a - b) <= 20
-    return table(spark, d, "lineitem").groupBy("l_returnflag").agg(N.alias("n"), F.count_if(ok).alias("agree"), F.round(F.median(F.when(ok, (a + b) / 2)), 6).alias("median_value"))
+    return table(spark, d, "lineitem").groupBy("l_returnflag").agg(N().alias("n"), F.count_if(ok).alias("agree"), F.round(F.median(F.when(ok, (a + b) / 2)), 6).alias("median_value"))
 
 
 @query("a26_effect_matrix", twin("select ring, printf('%.3f', sum(case when landcover=41 then m end)/count(case when landcover=41 then 1 end)) as forest, printf('%.3f', sum(case when landcover=52 then m end)/count(case when landcover=52 then 1 end)) as shrub from zone_obs group by 1"))
@@ -91,7 +93,7 @@ def _(spark, d):
 @query("j6_semi_anti", "select 'semi' as side, count(*) as n from customer where c_custkey in (select o_custkey from orders) union all select 'anti', count(*) from customer where c_custkey not in (select o_custkey from orders)")
 def _(spark, d):
     c, o = table(spark, d, "customer"), table(spark, d, "orders").select(F.col("o_custkey").alias("c_custkey"))
-    return c.join(o, "c_custkey", "left_semi").agg(F.lit("semi").alias("side"), N.alias("n")).unionByName(c.join(o, "c_custkey", "left_anti").agg(F.lit("anti").alias("side"), N.alias("n")))
+    return c.join(o, "c_custkey", "left_semi").agg(F.lit("semi").alias("side"), N().alias("n")).unionByName(c.join(o, "c_custkey", "left_anti").agg(F.lit("anti").alias("side"), N().alias("n")))
 
 
 @query("j7_text_key_join", twin("select r.report_no, l.quality from reports r left join labels l on cast(r.report_no as varchar)=cast(l.doc_id as varchar)"))
@@ -125,8 +127,8 @@ def _(spark, d):
 @query("j13_row_reconciliation", "select s.o_orderstatus, s.o_orderpriority, s.n as shape_rows, coalesce(t.n,0) as table_rows, s.n-coalesce(t.n,0) as difference from (select o_orderstatus,o_orderpriority,count(*) n from orders group by 1,2) s left join (select o_orderstatus,o_orderpriority,count(*) n from orders where o_orderkey%5<>0 and o_orderstatus<>'P' group by 1,2) t using (o_orderstatus,o_orderpriority)")
 def _(spark, d):
     o, by = table(spark, d, "orders"), ["o_orderstatus", "o_orderpriority"]
-    there = o.where("o_orderkey % 5 <> 0 and o_orderstatus <> 'P'").groupBy(*by).agg(N.alias("t"))
-    return o.groupBy(*by).agg(N.alias("shape_rows")).join(there, by, "left").select(*by, "shape_rows", F.coalesce("t", F.lit(0)).alias("table_rows"), (F.col("shape_rows") - F.coalesce("t", F.lit(0))).alias("difference"))
+    there = o.where("o_orderkey % 5 <> 0 and o_orderstatus <> 'P'").groupBy(*by).agg(N().alias("t"))
+    return o.groupBy(*by).agg(N().alias("shape_rows")).join(there, by, "left").select(*by, "shape_rows", F.coalesce("t", F.lit(0)).alias("table_rows"), (F.col("shape_rows") - F.coalesce("t", F.lit(0))).alias("difference"))
 
 
 LINKS = {"ds": "select n_nationkey id, concat_ws(',', cast(n_regionkey as varchar)||'r', case when n_nationkey>=5 then cast(n_nationkey-5 as varchar) end) inputs from nation"}
@@ -148,7 +150,7 @@ def _(spark, d):
 def _(spark, d):
     per = view(spark, d, "zone_obs").groupBy("segment_id", "landcover").agg(F.avg("m").alias("a"), F.median("m").alias("b"), F.countDistinct("pass_date").alias("k"), F.sum("n").alias("px")).where("k >= 5 and px >= 10")
     e = F.col("a") - F.col("b")
-    return per.groupBy("landcover").agg(N.alias("n"), F.round(F.corr("a", "b"), 6).alias("r"), F.round(F.avg(e), 9).alias("bias"), F.round(F.sqrt(F.avg(e * e)), 9).alias("rmse"))
+    return per.groupBy("landcover").agg(N().alias("n"), F.round(F.corr("a", "b"), 6).alias("r"), F.round(F.avg(e), 9).alias("bias"), F.round(F.sqrt(F.avg(e * e)), 9).alias("rmse"))
 
 
 @query("t1_top_k", "select o_orderkey, o_totalprice from orders order by o_totalprice desc, o_orderkey limit 10")
@@ -159,7 +161,7 @@ def _(spark, d):
 @query("t2_limited_display", "select o_orderkey, (select count(*) from orders where o_orderstatus='P') as total from orders where o_orderstatus='P' order by o_orderkey limit 15")
 def _(spark, d):
     rows = table(spark, d, "orders").where("o_orderstatus = 'P'")
-    return rows.select("o_orderkey").orderBy("o_orderkey").limit(15).crossJoin(F.broadcast(rows.agg(N.alias("total"))))
+    return rows.select("o_orderkey").orderBy("o_orderkey").limit(15).crossJoin(F.broadcast(rows.agg(N().alias("total"))))
 
 
 @query("t4_newest_first", "select o_orderkey, row_number() over (order by o_orderdate desc, o_orderkey) as place from orders qualify place<=20")
@@ -173,7 +175,7 @@ def _(spark, d):
 @query("u1_concat", "select src, count(*) as n from (select 'orders' src, o_orderkey from orders union all select 'lineitem', l_orderkey from lineitem) group by 1")
 def _(spark, d):
     a = table(spark, d, "orders").select(F.lit("orders").alias("src"), F.col("o_orderkey").alias("k"))
-    return a.unionByName(table(spark, d, "lineitem").select(F.lit("lineitem").alias("src"), F.col("l_orderkey").alias("k"))).groupBy("src").agg(N.alias("n"))
+    return a.unionByName(table(spark, d, "lineitem").select(F.lit("lineitem").alias("src"), F.col("l_orderkey").alias("k"))).groupBy("src").agg(N().alias("n"))
 
 
 @query("u2_intersections", "select a.s as first_layer, b.s as second_layer, count(*) as shared from (select distinct o_orderstatus s, o_custkey k from orders) a join (select distinct o_orderstatus s, o_custkey k from orders) b on a.k=b.k and a.s<b.s group by 1,2")
@@ -181,12 +183,12 @@ def _(spark, d):
     """Pairs of layers come from each customer's few layers, so the large table meets itself nowhere."""
     sets = table(spark, d, "orders").groupBy("o_custkey").agg(F.sort_array(F.collect_set("o_orderstatus")).alias("s"))
     pairs = F.flatten(F.transform("s", lambda a: F.transform(F.filter("s", lambda b: b > a), lambda b: F.struct(a.alias("first_layer"), b.alias("second_layer")))))
-    return sets.select(F.explode(pairs).alias("p")).groupBy("p.first_layer", "p.second_layer").agg(N.alias("shared"))
+    return sets.select(F.explode(pairs).alias("p")).groupBy("p.first_layer", "p.second_layer").agg(N().alias("shared"))
 
 
 @query("u3_set_difference", "select count(*) as only_in_customers from (select c_custkey from customer except select o_custkey from orders)")
 def _(spark, d):
-    return table(spark, d, "customer").select("c_custkey").subtract(table(spark, d, "orders").select("o_custkey")).agg(N.alias("only_in_customers"))
+    return table(spark, d, "customer").select("c_custkey").subtract(table(spark, d, "orders").select("o_custkey")).agg(N().alias("only_in_customers"))
 
 
 @query("u5_table_equality", twin("select coalesce(old.k,new.k) as k from old full join new on old.k=new.k where old.a is distinct from new.b and (old.a is null or new.b is null or abs(old.a-new.b)>1e-12+1e-9*abs(new.b))", **TWO))
@@ -200,7 +202,7 @@ def _(spark, d):
     found = None
     for name in ("region", "nation", "supplier", "customer", "part", "orders", "lineitem"):
         t = table(spark, d, name)
-        row = t.agg(F.lit(name).alias("name"), N.alias("n_rows"), F.lit(len(t.columns)).alias("n_columns"))
+        row = t.agg(F.lit(name).alias("name"), N().alias("n_rows"), F.lit(len(t.columns)).alias("n_columns"))
         found = row if found is None else found.unionByName(row)
     return found
 
@@ -222,7 +224,7 @@ def _(spark, d):
 
 @query("v7_event_summary_verdict", twin("select cause, round(avg(barrels),6) as mean, case when avg(barrels)<40 and count(*)>=3 then 'lower' else 'no' end as verdict from spill_points group by 1"))
 def _(spark, d):
-    return view(spark, d, "spill_points").groupBy("cause").agg(F.round(F.avg("barrels"), 6).alias("mean"), F.when((F.avg("barrels") < 40) & (N >= 3), "lower").otherwise("no").alias("verdict"))
+    return view(spark, d, "spill_points").groupBy("cause").agg(F.round(F.avg("barrels"), 6).alias("mean"), F.when((F.avg("barrels") < 40) & (N() >= 3), "lower").otherwise("no").alias("verdict"))
 
 
 @query("s9_size_bounded_batches")
@@ -237,20 +239,20 @@ def _(spark, d):
 
 @query("s10_id_range_chunks", "select cast(floor((o_orderkey-1)/2000) as bigint) as chunk, count(*) as n from orders group by 1")
 def _(spark, d):
-    return table(spark, d, "orders").groupBy(F.floor((F.col("o_orderkey") - 1) / 2000).alias("chunk")).agg(N.alias("n"))
+    return table(spark, d, "orders").groupBy(F.floor((F.col("o_orderkey") - 1) / 2000).alias("chunk")).agg(N().alias("n"))
 
 
 @query("s14_runs_union", "select 'strict' as matching, count(*) as n, null::bigint as extra from orders where o_orderstatus='F' union all select 'broader', count(*), 1 from orders")
 def _(spark, d):
     o = table(spark, d, "orders")
-    a = o.where("o_orderstatus = 'F'").agg(N.alias("n")).withColumn("matching", F.lit("strict"))
-    return a.unionByName(o.agg(N.alias("n")).withColumns({"matching": F.lit("broader"), "extra": F.lit(1).cast("long")}), allowMissingColumns=True)
+    a = o.where("o_orderstatus = 'F'").agg(N().alias("n")).withColumn("matching", F.lit("strict"))
+    return a.unionByName(o.agg(N().alias("n")).withColumns({"matching": F.lit("broader"), "extra": F.lit(1).cast("long")}), allowMissingColumns=True)
 
 
 @query("s15_load_summary", "select 'rows' as fact, '' as \"group\", cast(count(*) as double) as val from orders union all select 'empty', '', count(*) filter (o_totalprice is null) from orders union all select 'amount', o_orderstatus, round(sum(o_totalprice),2) from orders group by o_orderstatus")
 def _(spark, d):
     o = table(spark, d, "orders")
-    whole = o.agg(N.cast("double").alias("rows"), F.count_if(F.col("o_totalprice").isNull()).cast("double").alias("empty")).select(F.expr("stack(2, 'rows', '', rows, 'empty', '', empty) as (fact, `group`, val)"))
+    whole = o.agg(N().cast("double").alias("rows"), F.count_if(F.col("o_totalprice").isNull()).cast("double").alias("empty")).select(F.expr("stack(2, 'rows', '', rows, 'empty', '', empty) as (fact, `group`, val)"))
     return whole.unionByName(o.groupBy(F.col("o_orderstatus").alias("group")).agg(F.round(F.sum("o_totalprice"), 2).alias("val")).withColumn("fact", F.lit("amount")))
 
 
