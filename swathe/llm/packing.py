@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from .common import id_and_text, map_rows
 
-CACHE_WORDS = 600_000
+CACHE_WORDS = 1_000_000
 
 
 class WordCache:
@@ -35,16 +35,22 @@ class WordCache:
 
     def ids(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
-        split = [t.encode().split() for t in texts]
+        # the vocabulary is lower case, so words that differ in case are one; the special tokens' strings are not lowered
+        split = [(data if b"<|" in data else data.lower()).split() for data in map(str.encode, texts)]
         missing = {w for ws in split for w in ws if w not in self.known}
         if len(self.known) + len(missing) > CACHE_WORDS:
             self.known.clear()
             missing = {w for ws in split for w in ws}
-        new = list(missing)
+        # a full stop or comma after a letter is a token of its own
+        marked = [w for w in missing if w[-1:] in (b".", b",") and w[:-1].decode()[-1:].isalpha()]
+        parts = {w[:-1] for w in marked} | {w[-1:] for w in marked}
+        new = [w for w in missing.difference(marked) | parts if w not in self.known]
         for at in range(0, len(new), 20_000):
             part = new[at : at + 20_000]
             for w, e in zip(part, self.tokenizer.encode_batch_fast([w.decode() for w in part], add_special_tokens=False), strict=True):
                 self.known[w] = array.array("I", e.ids).tobytes()
+        for w in marked:
+            self.known[w] = self.known[w[:-1]] + self.known[w[-1:]]
         known = self.known
         return [b"".join([known[w] for w in ws]) for ws in split]
 
