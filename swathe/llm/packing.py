@@ -42,7 +42,7 @@ class WordCache:
             self.known.clear()
             missing = {w for ws in split for w in ws}
         # a full stop or comma after a letter is a token of its own
-        marked = [w for w in missing if w[-1:] in (b".", b",") and w[:-1].decode()[-1:].isalpha()]
+        marked = [w for w in missing if w[-1:] in (b".", b",") and w[:-1].decode()[-1:].lower().isalpha()]
         parts = {w[:-1] for w in marked} | {w[-1:] for w in marked}
         new = [w for w in missing.difference(marked) | parts if w not in self.known]
         for at in range(0, len(new), 20_000):
