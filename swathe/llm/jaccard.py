@@ -306,7 +306,8 @@ def linked_components(docs: DataFrame, k: int = GRAM_WORDS, percent: int = PERCE
     edges = found.where("signature is not null").select(F.col("name").alias("a"), least.alias("b")).unionByName(found.where("signature is null").select(F.col("name").alias("a"), F.col("other").alias("b")))
     groups = components(edges)
     sizes = groups.groupBy("root").agg(F.count(F.lit(1)).alias("size"))
-    packed = _packed(rows, k).join(groups, F.col("name") == F.col("node")).groupBy("name", "root").agg(F.min("packed").alias("packed"))
+    # sorted on both sides at every size: the groups have no size bound that would let them be broadcast
+    packed = _packed(rows, k).join(groups.hint("merge"), F.col("name") == F.col("node")).groupBy("name", "root").agg(F.min("packed").alias("packed"))
     linked = components(_links(packed.join(sizes, "root"), k, percent))
     classes = sets.where("name is not null").groupBy("name").agg(F.min("doc_id").alias("first"))
     joined = classes.join(linked, F.col("name") == F.col("node"), "left").select("name", "first", F.coalesce("root", "name").alias("root"))
