@@ -317,6 +317,6 @@ def linked_components(docs: DataFrame, k: int = GRAM_WORDS, percent: int = PERCE
 
 
 def one_of_each(docs: DataFrame, k: int = GRAM_WORDS, percent: int = PERCENT) -> DataFrame:
-    """The rows whose id is its component's; of rows that share an id, all with the first text by order stay."""
+    """The rows whose id is its component's; where rows share an id, all of them stay if one does."""
     parts = linked_components(docs, k, percent).where("component_id is null or doc_id = component_id").select(F.col("doc_id").alias("_kept")).distinct()
     return docs.join(parts, F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi")

@@ -36,7 +36,8 @@ def held_out(doc_id: str = "doc_id") -> F.Column:
 def train(labelled: DataFrame, model_path: str, docs_per_lang: int = 1000, smoothing: float = 0.05) -> dict:
     """Piece log probabilities by language from columns ``text`` and ``lang``.
 
-    The classifier is fitted on a bounded sample: about ``docs_per_lang`` rows of each language, chosen by a hash of the text.
+    The classifier is fitted on a bounded sample: about ``docs_per_lang`` texts of each language, chosen by a hash of the text.
+    A text counts once, so copies of a chosen text don't swell the sample.
     What reaches the driver is at most one count for each language and piece.
     """
     rows = labelled.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("lang", "text")
@@ -44,7 +45,7 @@ def train(labelled: DataFrame, model_path: str, docs_per_lang: int = 1000, smoot
     if not sizes:
         return {"langs": [], "pieces": {}}
     share = F.create_map(*(x for k, n in sorted(sizes.items()) for x in (F.lit(k), F.lit(min(1.0, docs_per_lang / n)))))
-    sample = rows.where(F.pmod(F.xxhash64("text", F.lit(4)), F.lit(1 << 20)) < share[F.col("lang")] * (1 << 20))
+    sample = rows.where(F.pmod(F.xxhash64("text", F.lit(4)), F.lit(1 << 20)) < share[F.col("lang")] * (1 << 20)).distinct()
 
     def count(part: Iterator[tuple]) -> Iterator[tuple]:
         from sentencepiece import SentencePieceProcessor
