@@ -218,40 +218,32 @@ def _name(grams: np.ndarray) -> int:
     return xxh3_64_intdigest(grams.tobytes()) - (1 << 63)
 
 
-def _sets(rows: DataFrame, k: int) -> DataFrame:
-    def run(parts: Iterator[tuple]) -> Iterator[tuple]:
-        hashes = WordHashes()
-        for doc_id, text in parts:
-            grams = _grams(hashes, text, k)
-            yield doc_id, len(grams), _name(grams) if len(grams) else None
-
-    return map_rows(rows, ["doc_id", "text"], run, "doc_id long, n_shingles long, name long")
-
-
-def _candidates(rows: DataFrame, k: int, percent: int) -> DataFrame:
-    """(signature, name) for the first set with a signature in a task, (null, name, other) for the next."""
+def _read(rows: DataFrame, k: int, percent: int) -> DataFrame:
+    """Size and name of each document's set, its signatures that are new in the task, and the sets that had another of them first."""
 
     def run(parts: Iterator[tuple]) -> Iterator[tuple]:
         hashes, seen, told = WordHashes(), {}, set()
-        for (text,) in parts:
+        for doc_id, text in parts:
             grams = _grams(hashes, text, k)
             if not len(grams):
+                yield doc_id, 0, None, [], []
                 continue
-            name = _name(grams)
+            name, new, others = _name(grams), [], []
             for s in signatures(grams, percent).view(np.int64).tolist():
                 first = seen.get(s)
                 if first is None:
                     if len(seen) >= SEEN:
                         seen.clear()
                     seen[s] = name
-                    yield s, name, None
+                    new.append(s)
                 elif first != name and (first, name) not in told:
                     if len(told) >= SEEN:
                         told.clear()
                     told.add((first, name))
-                    yield None, name, first
+                    others.append(first)
+            yield doc_id, len(grams), name, new, others
 
-    return map_rows(rows, ["text"], run, "signature long, name long, other long")
+    return map_rows(rows, ["doc_id", "text"], run, "doc_id long, n_shingles long, name long, signatures array<long>, others array<long>")
 
 
 def _packed(rows: DataFrame, k: int) -> DataFrame:
@@ -300,10 +292,10 @@ def _links(members: DataFrame, k: int, percent: int) -> DataFrame:
 def linked_components(docs: DataFrame, k: int = GRAM_WORDS, percent: int = PERCENT) -> DataFrame:
     """``doc_id``, ``n_shingles`` and ``component_id`` of every row."""
     rows = id_and_text(docs)
-    sets = materialize(_sets(rows, k), "sets")
-    found = materialize(_candidates(rows, k, percent), "signatures")
+    read = materialize(_read(rows, k, percent), "sets")
+    sets = read.select("doc_id", "n_shingles", "name")
     least = F.min("name").over(Window.partitionBy("signature"))
-    edges = found.where("signature is not null").select(F.col("name").alias("a"), least.alias("b")).unionByName(found.where("signature is null").select(F.col("name").alias("a"), F.col("other").alias("b")))
+    edges = read.select("name", F.explode("signatures").alias("signature")).select(F.col("name").alias("a"), least.alias("b")).unionByName(read.select(F.col("name").alias("a"), F.explode("others").alias("b")))
     groups = components(edges)
     sizes = groups.groupBy("root").agg(F.count(F.lit(1)).alias("size"))
     # sorted on both sides at every size: the groups have no size bound that would let them be broadcast
