@@ -15,6 +15,8 @@ from swathe.llm.queries import PSEUDONYM_KEY, documents, vocabulary
 
 #: A document whose likeliest language has less than this share of the probability is rejected.
 LEAST_SCORE = 0.5
+#: Near copies of the corpus: word shingles and the least likeness in percent; those of ``op9_ngram_jaccard`` are its own.
+NEAR_WORDS, NEAR_PERCENT = 5, 80
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -27,7 +29,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def ngram_jaccard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep one document of each group of near copies: that with the least id."""
-    return jaccard.one_of_each(docs)
+    return jaccard.one_of_each(docs, NEAR_WORDS, NEAR_PERCENT)
 
 
 def suffix_array(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

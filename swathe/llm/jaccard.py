@@ -7,7 +7,8 @@ row a task.  What signatures connect is only a candidate group; inside, a prefix
 global order of n-grams, so sets that begin alike share a path.  A set is looked up by walking the tree with the overlap so
 far, and a subtree is left as soon as the n-grams that remain on either side can't reach the overlap that a link needs.
 
-A large candidate group is cut into blocks, and every two of its blocks are joined in a task of their own.
+A large candidate group is cut by size into steps so wide that linked sets are of one step or of neighbours, and a step into
+blocks; every two blocks that can be linked are joined in a task of their own.
 
 Defined cases: a null or empty text, or one without words, has the empty set and is linked with nothing; a text with fewer
 words than an n-gram is one n-gram; equal rows are linked if they have an n-gram; an empty table gives no rows.
@@ -18,7 +19,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import id_and_text, map_rows, materialize
@@ -50,6 +51,14 @@ def size_classes(largest: int) -> list[int]:
 CLASSES = size_classes(1 << 40)
 
 
+def size_steps(percent: int) -> np.ndarray:
+    """Least size of each step: a set is at least ``percent`` of a linked larger one, which so reaches no further than the next step."""
+    out = [1]
+    while out[-1] < 1 << 40:
+        out.append(max(out[-1] + 1, 100 * (out[-1] - 1) // percent + 1, int(out[-1] * 1.1)))
+    return np.array(out)
+
+
 def most_different(smaller: int, percent: int) -> int:
     """The largest symmetric difference of two linked sets of which the smaller has at most ``smaller`` members.
 
@@ -219,14 +228,15 @@ def _name(grams: np.ndarray) -> int:
 
 
 def _read(rows: DataFrame, k: int, percent: int) -> DataFrame:
-    """Size and name of each document's set, its signatures that are new in the task, and the sets that had another of them first."""
+    """Size, name and step of each document's set, its signatures that are new in the task, and the sets that had another of them first."""
+    steps = size_steps(percent)
 
     def run(parts: Iterator[tuple]) -> Iterator[tuple]:
         hashes, seen, told = WordHashes(), {}, set()
         for doc_id, text in parts:
             grams = _grams(hashes, text, k)
             if not len(grams):
-                yield doc_id, 0, None, [], []
+                yield doc_id, 0, None, None, [], []
                 continue
             name, new, others = _name(grams), [], []
             for s in signatures(grams, percent).view(np.int64).tolist():
@@ -241,12 +251,14 @@ def _read(rows: DataFrame, k: int, percent: int) -> DataFrame:
                         told.clear()
                     told.add((first, name))
                     others.append(first)
-            yield doc_id, len(grams), name, new, others
+            yield doc_id, len(grams), name, int(np.searchsorted(steps, len(grams), side="right")), new, others
+
+    return map_rows(rows, ["doc_id", "text"], run, "doc_id long, n_shingles long, name long, step int, signatures array<long>, others array<long>")
 
-    return map_rows(rows, ["doc_id", "text"], run, "doc_id long, n_shingles long, name long, signatures array<long>, others array<long>")
 
+def _packed(rows: DataFrame, k: int, percent: int) -> DataFrame:
+    steps = size_steps(percent)
 
-def _packed(rows: DataFrame, k: int) -> DataFrame:
     def run(parts: Iterator[tuple]) -> Iterator[tuple]:
         import zstandard
 
@@ -254,18 +266,31 @@ def _packed(rows: DataFrame, k: int) -> DataFrame:
         for (text,) in parts:
             grams = _grams(hashes, text, k)
             if len(grams):
-                yield _name(grams), squeeze.compress(text.encode())
+                yield _name(grams), int(np.searchsorted(steps, len(grams), side="right")), squeeze.compress(text.encode())
 
-    return map_rows(rows, ["text"], run, "name long, packed binary")
+    return map_rows(rows, ["text"], run, "name long, step int, packed binary")
 
 
 def _links(members: DataFrame, k: int, percent: int) -> DataFrame:
-    """Links (a, b) between the sets of each candidate group; ``members`` has root, size, name and packed."""
-    blocks = F.ceil(F.col("size") / BLOCK_SETS)
-    own = F.pmod(F.xxhash64("name"), blocks)
-    pairs = F.transform(F.sequence(F.lit(0), blocks - 1), lambda x: F.struct(F.least(x, own).alias("low"), F.greatest(x, own).alias("high")))
-    dealt = members.withColumn("block", own).withColumn("pair", F.explode(pairs)).select("root", "pair.low", "pair.high", "block", "name", "packed")
-    dealt = dealt.repartition("root", "low", "high").sortWithinPartitions("root", "low", "high", "name")
+    """Links (a, b) between the sets of each candidate group; ``members`` has root, blocks (a map by step), step, name and packed."""
+    step, own = F.col("step"), F.pmod(F.xxhash64("name"), F.col("blocks")[F.col("step")])
+
+    def met(other: Column, pair) -> Column:
+        """What ``pair`` makes of each block of a step, if the group has that step."""
+        return F.transform(F.sequence(F.lit(1).cast("long"), F.coalesce(F.col("blocks")[other], F.lit(0).cast("long"))), lambda x: F.when(F.col("blocks")[other].isNotNull(), pair(x - 1)))
+
+    def two(low_step: Column, low: Column, high_step: Column, high: Column, at: Column) -> Column:
+        return F.struct(low_step.alias("low_step"), low.alias("low"), high_step.alias("high_step"), high.alias("high"), at.alias("at"))
+
+    first, second = F.lit(0), F.lit(1)
+    pairs = F.concat(
+        met(step, lambda x: two(step, F.least(x, own), step, F.greatest(x, own), F.when(own > x, second).otherwise(first))),
+        met(step + 1, lambda x: two(step, own, step + 1, x, first)),
+        met(step - 1, lambda x: two(step - 1, x, step, own, second)),
+    )
+    unit = ["root", "low_step", "low", "high_step", "high"]
+    dealt = members.withColumn("pair", F.explode(pairs)).where("pair is not null").select("root", "pair.*", "name", "packed")
+    dealt = dealt.repartition(*unit).sortWithinPartitions(*unit, "name")
 
     def run(rows: Iterator[tuple]) -> Iterator[tuple]:
         import zstandard
@@ -275,18 +300,18 @@ def _links(members: DataFrame, k: int, percent: int) -> DataFrame:
 
         def solve() -> Iterator[tuple]:
             if len(sets) > 1:
-                yield from join(sets, where, key[1:], percent)
+                yield from join(sets, where, (0, int(key[1:3] != key[3:])), percent)
 
-        for root, low, high, block, name, packed in rows:
-            if (root, low, high) != key:
+        for *now, at, name, packed in rows:
+            if now != key:
                 yield from solve()
-                key, sets, where = (root, low, high), [], []
+                key, sets, where = now, [], []
             if not sets or sets[-1][0] != name:
                 sets.append((name, _grams(hashes, open_up.decompress(packed).decode(), k)))
-                where.append(block)
+                where.append(at)
         yield from solve()
 
-    return map_rows(dealt, ["root", "low", "high", "block", "name", "packed"], run, "a long, b long")
+    return map_rows(dealt, [*unit, "at", "name", "packed"], run, "a long, b long")
 
 
 def linked_components(docs: DataFrame, k: int = GRAM_WORDS, percent: int = PERCENT) -> DataFrame:
@@ -297,10 +322,15 @@ def linked_components(docs: DataFrame, k: int = GRAM_WORDS, percent: int = PERCE
     least = F.min("name").over(Window.partitionBy("signature"))
     edges = read.select("name", F.explode("signatures").alias("signature")).select(F.col("name").alias("a"), least.alias("b")).unionByName(read.select(F.col("name").alias("a"), F.explode("others").alias("b")))
     groups = components(edges)
-    sizes = groups.groupBy("root").agg(F.count(F.lit(1)).alias("size"))
+    # a small group is one unit, as its sets all have step 0
+    steps = read.where("name is not null").select("name", "step").distinct().join(groups.hint("merge"), F.col("name") == F.col("node")).groupBy("root", "step").agg(F.count(F.lit(1)).alias("size"))
+    sizes = steps.groupBy("root").agg(F.sum("size").alias("size"), F.map_from_entries(F.collect_list(F.struct("step", F.ceil(F.col("size") / BLOCK_SETS).alias("blocks")))).alias("blocks"))
+    small = F.col("size") <= BLOCK_SETS
+    sizes = sizes.select(F.col("root").alias("of"), small.alias("small"), F.when(small, F.create_map(F.lit(0), F.lit(1).cast("long"))).otherwise(F.col("blocks")).alias("blocks"))
     # sorted on both sides at every size: the groups have no size bound that would let them be broadcast
-    packed = _packed(rows, k).join(groups.hint("merge"), F.col("name") == F.col("node")).groupBy("name", "root").agg(F.min("packed").alias("packed"))
-    linked = components(_links(packed.join(sizes, "root"), k, percent))
+    packed = _packed(rows, k, percent).join(groups.hint("merge"), F.col("name") == F.col("node")).groupBy("name", "root").agg(F.min("step").alias("step"), F.min("packed").alias("packed"))
+    members = packed.join(sizes, F.col("root") == F.col("of")).select("root", "blocks", F.when(F.col("small"), 0).otherwise(F.col("step")).alias("step"), "name", "packed")
+    linked = components(_links(members, k, percent))
     classes = sets.where("name is not null").groupBy("name").agg(F.min("doc_id").alias("first"))
     joined = classes.join(linked, F.col("name") == F.col("node"), "left").select("name", "first", F.coalesce("root", "name").alias("root"))
     least = joined.groupBy("root").agg(F.min("first").alias("component_id"))
