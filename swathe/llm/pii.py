@@ -38,7 +38,7 @@ FOUND = re.compile(
     r"|(?P<ip>(?<![\w.])\d{1,3}(?:\.\d{1,3}){3}(?![\w]|\.\d))"
     r"|(?P<phone>(?<![\w+])(?:\+?1[ .-]?)?(?:\(\d{3}\) ?|\d{3}[ .-])\d{3}[ .-]\d{4}(?!\w))"
     r"|(?P<ssn>(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-]))"
-    r"|(?P<card>(?<!\w)\d(?:[ -]?\d){12,40}(?!\w))"
+    r"|(?P<card>(?<!\w)\d(?:[ -]?\d){12,}(?!\w))"
 )
 #: A text without any of these holds nothing to look for.
 HINT = re.compile(r"\d|@|passw|secret|token|key", re.I)
@@ -158,7 +158,7 @@ class Pseudonyms:
         groups = re.findall(r"\d+|[ -]", value)
         k = 0
         while k < len(groups):
-            for j in range(len(groups), k, -1):
+            for j in range(min(len(groups), k + 37), k, -1):  # 19 digits are at most 19 groups and the marks between
                 run = "".join(groups[k:j])
                 digits = re.sub(r"\D", "", run)
                 if groups[k].isdigit() and groups[j - 1].isdigit() and 13 <= len(digits) <= 19 and luhn(digits) and digits[0] != "0":
@@ -172,13 +172,24 @@ class Pseudonyms:
             return text, []
         kinds: list[str] = []
 
-        def sub(m: re.Match) -> str:
-            kind = next(k for k, v in m.groupdict().items() if v is not None and k != "mark")
-            if (got := self.replace(kind, m[0])) != m[0]:
+        out, done, at = [], 0, 0
+        while m := FOUND.search(text, at):
+            kind, at = next(k for k, v in m.groupdict().items() if v is not None and k != "mark"), m.end()
+            value = m[0]
+            if kind == "iban":
+                value = _iban_in(value)
+                at = m.start() + len(value or m[0].partition(" ")[0])
+            if value and (got := self.replace(kind, value)) != value:
                 kinds.append(kind)
-            return got
+                out += text[done : m.start()], got
+                done = m.start() + len(value)
+        return "".join(out) + text[done:], kinds
 
-        return FOUND.sub(sub, text), kinds
+
+def _iban_in(value: str) -> str:
+    """The longest part from the start that ends where a run ends and holds, all of it or 15 characters at least; an empty one if none does."""
+    ends = [m.start() for m in re.finditer(r" |$", value)]
+    return next((value[:e] for e in reversed(ends) if (e == len(value) or len(value[:e].replace(" ", "")) >= 15) and iban_holds(value[:e])), "")
 
 
 def _running_digits(text: str) -> Iterator[int]:

@@ -5,7 +5,7 @@ import re
 
 import pytest
 
-from swathe.llm import jaccard
+from swathe.llm import jaccard, pii
 
 
 def shingles(text, k=5):
@@ -55,3 +55,18 @@ def test_linked_sets_are_of_neighbouring_steps():
         steps = jaccard.size_steps(percent).tolist()
         place = lambda n: sum(s <= n for s in steps)
         assert all(place(100 * n // percent) - place(n) <= 1 for n in range(1, 2000))
+
+
+def test_pseudonyms_of_values_in_a_row():
+    own, card = pii.Pseudonyms(b"k"), "4041894974608795"
+    mapped = own.text(card)[0]
+    for n in (3, 4, 9):
+        for mark in (" ", "-"):
+            assert own.text(mark.join([card] * n)) == (mark.join([mapped] * n), ["card"])
+    iban = "BE68 5390 0754 7034"
+    as_one = own.text(iban)[0]
+    assert as_one != iban and pii.iban_holds(as_one)
+    for after in (" IS", " 2021", " PAID 2021", " AB", f" {card}", f" {iban} IS"):
+        got, kinds = own.text(f"to {iban}{after}.")
+        assert got == f"to {as_one}{after.replace(iban, as_one).replace(card, mapped)}." and kinds[0] == "iban"
+    assert own.text(f"AB12 {card[:4]} {card[4:8]} {card[8:12]} {card[12:]}")[1] == ["card"]
