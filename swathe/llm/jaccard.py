@@ -159,8 +159,11 @@ class PrefixTree:
                     stack.append((child, depth, overlap))
 
 
-def join(sets: list[tuple[int, np.ndarray]], blocks: list[int], pair: tuple[int, int], percent: int) -> list[tuple[int, int]]:
-    """A forest of links among sets (name, n-grams): of one block (pair of equal numbers), or between two blocks."""
+def join(sets: list[tuple[int, np.ndarray]], blocks: list[int], pair: tuple[int, int], percent: int, rows: list[int] | None = None) -> list[tuple]:
+    """A forest of links among sets (name, n-grams): of one block (pair of equal numbers), or between two blocks.
+
+    With ``rows``, how many rows each set has, every link is found, and (name, None, rows it is linked to) tells of all sets.
+    """
     everything, counts = np.unique(np.concatenate([g for _, g in sets]), return_counts=True)
     # frequent n-grams first, so that sets with much in common share long paths
     place = np.empty(len(everything), np.int64)
@@ -173,18 +176,21 @@ def join(sets: list[tuple[int, np.ndarray]], blocks: list[int], pair: tuple[int,
             x = parent[x]
         return x
 
-    out = []
+    out, met = [], [0] * len(sets)
     trees = {b: PrefixTree(percent) for b in pair}
     for k in sorted(range(len(sets)), key=lambda k: len(sets[k][1])):
         grams = tuple(np.sort(place[np.searchsorted(everything, sets[k][1])]).tolist())
         other = pair[0] if blocks[k] == pair[1] else pair[1]
-        for found in trees[other].linked(frozenset(grams), lambda x, k=k: find(x) == find(k)):
+        for found in trees[other].linked(frozenset(grams), lambda x, k=k: rows is None and find(x) == find(k)):
+            if rows is not None:
+                met[k] += rows[found]
+                met[found] += rows[k]
             a, b = find(found), find(k)
             if a != b:
                 parent[a] = b
-                out.append((sets[k][0], sets[found][0]))
+                out.append((sets[k][0], sets[found][0], None))
         trees[blocks[k]].add(grams, k)
-    return out
+    return out + [(name, None, n) for (name, _), n in zip(sets, met, strict=True) if n]
 
 
 # --- components ------------------------------------------------------------------------------------------------------
@@ -271,8 +277,11 @@ def _packed(rows: DataFrame, k: int, percent: int) -> DataFrame:
     return map_rows(rows, ["text"], run, "name long, step int, packed binary")
 
 
-def _links(members: DataFrame, k: int, percent: int) -> DataFrame:
-    """Links (a, b) between the sets of each candidate group; ``members`` has root, blocks (a map by step), step, name and packed."""
+def _links(members: DataFrame, k: int, percent: int, every: bool) -> DataFrame:
+    """Links (a, b) between the sets of each candidate group; ``members`` has root, blocks (a map by step), step, name, rows and packed.
+
+    ``every`` adds (a, null, n): rows of other sets that a unit links to the set a, so no table has a row for each pair.
+    """
     step, own = F.col("step"), F.pmod(F.xxhash64("name"), F.col("blocks")[F.col("step")])
 
     def met(other: Column, pair) -> Column:
@@ -289,33 +298,34 @@ def _links(members: DataFrame, k: int, percent: int) -> DataFrame:
         met(step - 1, lambda x: two(step - 1, x, step, own, second)),
     )
     unit = ["root", "low_step", "low", "high_step", "high"]
-    dealt = members.withColumn("pair", F.explode(pairs)).where("pair is not null").select("root", "pair.*", "name", "packed")
+    dealt = members.withColumn("pair", F.explode(pairs)).where("pair is not null").select("root", "pair.*", "name", "rows", "packed")
     dealt = dealt.repartition(*unit).sortWithinPartitions(*unit, "name")
 
     def run(rows: Iterator[tuple]) -> Iterator[tuple]:
         import zstandard
 
         hashes, open_up = WordHashes(), zstandard.ZstdDecompressor()
-        key, sets, where = None, [], []
+        key, sets, where, counts = None, [], [], []
 
         def solve() -> Iterator[tuple]:
             if len(sets) > 1:
-                yield from join(sets, where, (0, int(key[1:3] != key[3:])), percent)
+                yield from join(sets, where, (0, int(key[1:3] != key[3:])), percent, counts if every else None)
 
-        for *now, at, name, packed in rows:
+        for *now, at, name, n, packed in rows:
             if now != key:
                 yield from solve()
-                key, sets, where = now, [], []
+                key, sets, where, counts = now, [], [], []
             if not sets or sets[-1][0] != name:
                 sets.append((name, _grams(hashes, open_up.decompress(packed).decode(), k)))
                 where.append(at)
+                counts.append(n)
         yield from solve()
 
-    return map_rows(dealt, [*unit, "at", "name", "packed"], run, "a long, b long")
+    return map_rows(dealt, [*unit, "at", "name", "rows", "packed"], run, "a long, b long, n long")
 
 
-def linked_components(docs: DataFrame, k: int = GRAM_WORDS, percent: int = PERCENT) -> DataFrame:
-    """``doc_id``, ``n_shingles`` and ``component_id`` of every row."""
+def linked_components(docs: DataFrame, k: int = GRAM_WORDS, percent: int = PERCENT, links: bool = False) -> DataFrame:
+    """``doc_id``, ``n_shingles`` and ``component_id`` of every row; ``links`` adds ``n_links``, to how many other rows it is linked."""
     rows = id_and_text(docs)
     read = materialize(_read(rows, k, percent), "sets")
     sets = read.select("doc_id", "n_shingles", "name")
@@ -328,14 +338,22 @@ def linked_components(docs: DataFrame, k: int = GRAM_WORDS, percent: int = PERCE
     small = F.col("size") <= BLOCK_SETS
     sizes = sizes.select(F.col("root").alias("of"), small.alias("small"), F.when(small, F.create_map(F.lit(0), F.lit(1).cast("long"))).otherwise(F.col("blocks")).alias("blocks"))
     # sorted on both sides at every size: the groups have no size bound that would let them be broadcast
-    packed = _packed(rows, k, percent).join(groups.hint("merge"), F.col("name") == F.col("node")).groupBy("name", "root").agg(F.min("step").alias("step"), F.min("packed").alias("packed"))
-    members = packed.join(sizes, F.col("root") == F.col("of")).select("root", "blocks", F.when(F.col("small"), 0).otherwise(F.col("step")).alias("step"), "name", "packed")
-    linked = components(_links(members, k, percent))
-    classes = sets.where("name is not null").groupBy("name").agg(F.min("doc_id").alias("first"))
+    packed = _packed(rows, k, percent).join(groups.hint("merge"), F.col("name") == F.col("node")).groupBy("name", "root").agg(F.min("step").alias("step"), F.count(F.lit(1)).alias("rows"), F.min("packed").alias("packed"))
+    members = packed.join(sizes, F.col("root") == F.col("of")).select("root", "blocks", F.when(F.col("small"), 0).otherwise(F.col("step")).alias("step"), "name", "rows", "packed")
+    found = _links(members, k, percent, links)
+    found = materialize(found, "links") if links else found
+    linked = components(found.select("a", "b"))
+    classes = sets.where("name is not null").groupBy("name").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("rows"))
     joined = classes.join(linked, F.col("name") == F.col("node"), "left").select("name", "first", F.coalesce("root", "name").alias("root"))
     least = joined.groupBy("root").agg(F.min("first").alias("component_id"))
     ids = joined.select("name", "root").join(least, "root").select("name", "component_id")
-    return sets.join(ids, "name", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    columns = ["doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id")]
+    if links:
+        other = found.where("b is null").groupBy(F.col("a").alias("name")).agg(F.sum("n").alias("n"))
+        own = classes.join(other, "name", "left").select("name", (F.col("rows") - 1 + F.coalesce("n", F.lit(0))).alias("n_links"))
+        ids = ids.join(own, "name")
+        columns.append(F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"))
+    return sets.join(ids, "name", "left").select(*columns)
 
 
 def one_of_each(docs: DataFrame, k: int = GRAM_WORDS, percent: int = PERCENT) -> DataFrame:

@@ -63,7 +63,7 @@ def op8_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard.linked_components(documents(spark, sf_dir))
+    return jaccard.linked_components(documents(spark, sf_dir), links=True)
 
 
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -70,3 +70,20 @@ def test_pseudonyms_of_values_in_a_row():
         got, kinds = own.text(f"to {iban}{after}.")
         assert got == f"to {as_one}{after.replace(iban, as_one).replace(card, mapped)}." and kinds[0] == "iban"
     assert own.text(f"AB12 {card[:4]} {card[4:8]} {card[8:12]} {card[12:]}")[1] == ["card"]
+
+
+@pytest.mark.parametrize("block", [1500, 6])
+def test_number_of_links_by_brute_force(spark, monkeypatch, block):
+    """Groups of many linked texts, equal rows and rows without words."""
+    monkeypatch.setattr(jaccard, "BLOCK_SETS", block)
+    rng, texts = random.Random(7), ["", " "]
+    for _ in range(4):
+        base = [f"w{rng.randrange(500)}" for _ in range(80)]
+        for _ in range(10):
+            copy = base + [f"v{rng.randrange(500)}" for _ in range(rng.randint(0, 12))]
+            texts += [" ".join(copy)] * rng.choice([1, 1, 2])
+    sets = [shingles(t, 3) if t.strip() else set() for t in texts]
+    linked = lambda i, j: i != j and sets[i] and sets[j] and 100 * len(sets[i] & sets[j]) >= 90 * len(sets[i] | sets[j])
+    want = {i: sum(bool(linked(i, j)) for j in range(len(sets))) for i in range(len(sets))}
+    got = jaccard.linked_components(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), links=True).collect()
+    assert {r["doc_id"]: r["n_links"] for r in got} == want and len(got) == len(texts) and max(want.values()) >= 3
