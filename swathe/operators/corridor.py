@@ -5,14 +5,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import ranks
+from ..sources.files import written
+
 COMPARISON = "500-1000"
 MIN_PIXELS = 20
 
 
-def one_image_per_pass(obs: DataFrame, unit: str, count: str = "n", keys: tuple[str, ...] = ("pass_date", "orbit")) -> DataFrame:
+def one_image_per_pass(obs: DataFrame, *unit: str, count: str = "n", keys: tuple[str, ...] = ("pass_date", "orbit")) -> DataFrame:
     """Rows of the image with the most counted pixels of a unit's pass; of equals the first image."""
-    pixels = F.sum(count).over(Window.partitionBy(unit, *keys, "image"))
-    best = Window.partitionBy(unit, *keys).orderBy(F.desc("_px"), "image")
+    pixels = F.sum(count).over(Window.partitionBy(*unit, *keys, "image"))
+    best = Window.partitionBy(*unit, *keys).orderBy(F.desc("_px"), "image")
     return obs.withColumn("_px", pixels).withColumn("_best", F.first("image").over(best)).where("image = _best").drop("_px", "_best")
 
 
@@ -23,8 +26,9 @@ def one_row_per_class_pass(obs: DataFrame, keys: tuple[str, ...] = ("segment_id"
 
 
 def pooled(rows: DataFrame, keys: list[str], mean: str = "m", count: str = "n") -> DataFrame:
-    """A1: means weighted by their counts, and the counts' sum."""
-    return rows.groupBy(*keys).agg((F.sum(F.col(mean) * F.col(count)) / F.sum(count)).alias("v"), F.sum(count).alias("n"))
+    """A1: means weighted by their counts, the counts' sum and, if there is one, the first day; what has no count is left out."""
+    day = [F.min("doy").alias("doy")] if "doy" in rows.columns else []
+    return rows.where(F.col(count) > 0).groupBy(*keys).agg((F.sum(F.col(mean) * F.col(count)) / F.sum(count)).alias("v"), F.sum(count).alias("n"), *day)
 
 
 def pool_rings(rows: DataFrame, groups: dict[str, list[str]]) -> DataFrame:
@@ -39,14 +43,14 @@ def against_comparison(values: DataFrame, min_pixels: int = MIN_PIXELS) -> DataF
     The comparison value reaches its pass's other rings through a window, so the table is shuffled once and joined with nothing.
     """
     own = F.max(F.when((F.col("ring") == COMPARISON) & (F.col("n") >= min_pixels), F.col("v"))).over(Window.partitionBy("segment_id", "year", "pass_date", "orbit"))
-    return values.withColumn("_c", own).where((F.col("ring") != COMPARISON) & (F.col("n") >= min_pixels) & F.col("_c").isNotNull()).select("segment_id", "year", "pass_date", "orbit", "ring", (F.col("v") - F.col("_c")).alias("diff_all"))
+    return values.withColumn("_c", own).where((F.col("ring") != COMPARISON) & (F.col("n") >= min_pixels) & F.col("_c").isNotNull()).select("segment_id", "year", "pass_date", "orbit", "ring", (F.col("v") - F.col("_c")).alias("diff_all"), *(["doy"] if "doy" in values.columns else []))
 
 
 def like_for_like(rows: DataFrame) -> DataFrame:
     """Differences within a land cover class, weighted by the smaller count; null when no class is shared."""
     w = Window.partitionBy("segment_id", "year", "pass_date", "orbit", "landcover")
     at = lambda c: F.max(F.when(F.col("ring") == COMPARISON, F.col(c))).over(w)
-    both = rows.withColumns({"_m": at("m"), "_n": at("n")}).where((F.col("ring") != COMPARISON) & F.col("_m").isNotNull() & F.col("m").isNotNull())
+    both = rows.where("n > 0").withColumns({"_m": at("m"), "_n": at("n")}).where((F.col("ring") != COMPARISON) & F.col("_m").isNotNull() & F.col("m").isNotNull())
     least = F.least("n", "_n")
     return both.groupBy("segment_id", "year", "pass_date", "orbit", "ring").agg((F.sum((F.col("m") - F.col("_m")) * least) / F.sum(least)).alias("diff_same"))
 
@@ -56,21 +60,23 @@ def segment_springs(obs: DataFrame, min_pixels: int = MIN_PIXELS) -> DataFrame:
     one = one_row_per_class_pass(one_image_per_pass(obs, "segment_id"))
     gaps = against_comparison(pooled(one, ["segment_id", "year", "pass_date", "orbit", "ring"]), min_pixels)
     both = gaps.join(like_for_like(one), ["segment_id", "year", "pass_date", "orbit", "ring"], "left")
-    return both.groupBy("segment_id", "year", "ring").agg(F.median("diff_all").alias("diff_all"), F.median("diff_same").alias("diff_same"), F.count(F.lit(1)).alias("passes"))
+    return both.groupBy("segment_id", "year", "ring").agg(F.median("diff_all").alias("diff_all"), F.median("diff_same").alias("diff_same"), F.count(F.lit(1)).alias("passes"), *([F.median("doy").alias("doy_median")] if "doy" in both.columns else []))
 
 
-def enrich(rows: DataFrame, sample: DataFrame) -> DataFrame:
+def enrich(rows: DataFrame, sample: DataFrame, labels: tuple[str, ...] = ("ecoregion", "commodity_group")) -> DataFrame:
     """Labels and weights of the sample; a row outside it has weight 1 and a stratum that says so."""
-    joined = rows.join(sample.select("segment_id", "ecoregion", "commodity_group", "weight", F.concat_ws("|", "ecoregion", "commodity_group").alias("stratum")), "segment_id", "left")
+    joined = rows.join(sample.select("segment_id", *labels, "weight", F.concat_ws("|", "ecoregion", "commodity_group").alias("stratum")), "segment_id", "left")
     return joined.withColumns({"weight": F.coalesce("weight", F.lit(1)), "stratum": F.coalesce("stratum", F.lit("(not in sample)"))})
 
 
 def weighted_median(rows: DataFrame, by: list[str], value: str, weight: str, name: str = "wmed") -> DataFrame:
-    """The least value whose cumulative weight reaches half of the total.  Equal values are summed before the window."""
+    """The least value whose cumulative weight reaches half of the total.
+
+    Weights of equal values are summed first, and the running sum is split over tasks: a group may hold all rows.
+    """
     sums = rows.where(F.col(value).isNotNull()).groupBy(*by, F.col(value).alias("_v")).agg(F.sum(weight).alias("_w"), F.count(F.lit(1)).alias("_k"))
-    part = Window.partitionBy(*by)
-    cum = sums.withColumns({"_c": F.sum("_w").over(part.orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)), "_t": F.sum("_w").over(part)})
-    return cum.groupBy(*by).agg(F.sum("_k").alias("segments"), F.min(F.when(F.col("_c") >= F.col("_t") / 2, F.col("_v"))).alias(name))
+    cum = ranks.running(sums, by, ["_v"], {"_c": F.col("_w")})
+    return cum.groupBy(*by).agg(F.sum("_k").alias("segments"), F.min(F.when(F.col("_c") >= F.col("_c_total") / 2, F.col("_v"))).alias(name))
 
 
 def draw(seed: int, *parts: Column | str) -> Column:
@@ -86,21 +92,24 @@ def bootstrap(rows: DataFrame, by: list[str], stratum: str, order: str, value: s
     are counted per drawn row before they are joined, so the exchange has at most one row for each draw and row.
     """
     part = [*by, stratum]
-    numbered = rows.where(F.col(value).isNotNull()).withColumns({"_i": F.row_number().over(Window.partitionBy(*part).orderBy(order)) - 1, "_size": F.count(F.lit(1)).over(Window.partitionBy(*part)), "_all": F.count(F.lit(1)).over(Window.partitionBy(*by))})
-    picks = numbered.select(*part, "_i", "_size", F.explode(F.sequence(F.lit(1), F.lit(draws))).alias("draw")).withColumn("_pick", draw(seed, "draw", *part, "_i") % F.col("_size"))
+    known = rows.where(F.col(value).isNotNull()).select(*part, order, F.col(value).alias("_value"), F.col(weight).alias("_weight"))
+    numbers = written(ranks.numbered(known, part, [order], "_n").withColumn("_i", F.col("_n") - 1), "numbers")
+    picks = numbers.select(*part, "_i", "_n_total", F.explode(F.sequence(F.lit(1), F.lit(draws))).alias("draw")).withColumn("_pick", draw(seed, "draw", *part, "_i") % F.col("_n_total"))
     times = picks.groupBy(*part, "draw", "_pick").agg(F.count(F.lit(1)).alias("_times"))
-    drawn = times.join(numbered.select(*part, F.col("_i").alias("_pick"), "_all", value, weight), [*part, "_pick"]).withColumn("_w", F.col(weight) * F.col("_times"))
-    medians = weighted_median(drawn, [*by, "draw"], value, "_w", "_m")
-    counts = numbered.groupBy(*by).agg(F.count(F.lit(1)).alias("segments"))
-    return medians.groupBy(*by).agg(F.percentile("_m", 0.025).alias("_lo"), F.percentile("_m", 0.975).alias("_hi")).join(counts, by).select(*by, "segments", *(F.when(F.col("segments") >= 3, F.col(c)).alias(n) for c, n in (("_lo", "lo95"), ("_hi", "hi95"))))
+    drawn = times.join(numbers.select(*part, F.col("_i").alias("_pick"), "_value", "_weight"), [*part, "_pick"]).withColumn("_w", F.col("_weight") * F.col("_times"))
+    medians = weighted_median(drawn, [*by, "draw"], "_value", "_w", "_m")
+    counts = numbers.groupBy(*by).agg(F.count(F.lit(1)).alias("segments"))
+    # so many draws a group, whatever the data
+    points = medians.groupBy(*by).agg(F.percentile("_m", 0.025).alias("_lo"), F.percentile("_m", 0.975).alias("_hi"))
+    return points.join(counts, by).select(*by, "segments", *(F.when(F.col("segments") >= 3, F.col(c)).alias(n) for c, n in (("_lo", "lo95"), ("_hi", "hi95"))))
 
 
-def scopes(rows: DataFrame, groups: list[str], value: str, weight: str) -> DataFrame:
-    """Weighted medians over everything and over each grouping, pooled and by year; a null group is not a group."""
+def scopes(rows: DataFrame, groups: list[str], measures: dict[str, str]) -> DataFrame:
+    """Rows for the summary over everything and over each grouping, for each measure (column -> name): ``scope``, ``group``, ``measure``, ``_v``; a null group is no group."""
     pairs = F.array(F.struct(F.lit("statewide").alias("scope"), F.lit("all").alias("group")), *(F.struct(F.lit(g).alias("scope"), F.col(g).cast("string").alias("group")) for g in groups))
-    springs = F.array(F.lit("all springs"), F.col("year").cast("string"))
-    long = rows.withColumn("_p", F.explode(pairs)).withColumn("springs", F.explode(springs)).select("*", "_p.scope", "_p.group").where(F.col("group").isNotNull())
-    return weighted_median(long, ["springs", "scope", "group", "ring"], value, weight)
+    values = F.array(*(F.struct(F.lit(name).alias("measure"), F.col(c).alias("_v")) for c, name in measures.items()))
+    long = rows.withColumn("_p", F.explode(pairs)).withColumn("_q", F.explode(values))
+    return long.select("*", "_p.scope", "_p.group", "_q.measure", "_q._v").where(F.col("group").isNotNull() & F.col("_v").isNotNull()).drop("_p", "_q")
 
 
 def verdict(lo: Column, hi: Column) -> Column:

@@ -7,13 +7,29 @@ from pyspark.sql import functions as F
 
 #: Code, commodity, service, group.
 COMMODITIES = [
-    ("CRD", "Crude oil", "Crude", "Crude oil"), ("CRO", "Crude oil", "Crude", "Crude oil"), ("NGT", "Natural gas", "Transmission", "Natural gas"),
-    ("NGG", "Natural gas", "Gathering", "Natural gas"), ("PRD", "Refined products", "Product", "Refined product"), ("HVL", "Highly volatile liquid", "Liquid", "Other"),
-]
-STATUS = {"I": "In service", "B": "Abandoned", "R": "Retired"}
+    ("AA", "Anhydrous ammonia", "Transmission", "Other"),
+    ("CO2", "Carbon dioxide", "Transmission", "Other"),
+    ("CRO", "Crude oil", "Transmission", "Crude oil"),
+    ("CRL", "Crude oil", "Gathering", "Crude oil"),
+    ("CFL", "Crude full well stream", "Gathering", "Crude oil"),
+    ("CRA", "Crude oil, offshore", "Offshore gathering", "Crude oil"),
+    ("HVL", "Highly volatile liquid", "Transmission", "Highly volatile liquid"),
+    ("NGT", "Natural gas", "Transmission", "Natural gas"),
+    ("NGG", "Natural gas", "Gathering", "Natural gas"),
+    ("NFG", "Natural gas, full well stream", "Gathering", "Natural gas"),
+    ("NGZ", "Natural gas, offshore", "Offshore gathering", "Natural gas"),
+    ("PRD", "Refined liquid product", "Transmission", "Refined product"),
+    ("OGT", "Other gas", "Transmission", "Other"),
+]
+NO_COMMODITY = {"commodity": "Not in the RRC code list", "service": "Unknown", "commodity_group": "Unknown"}
+#: Labels of status and of who regulates a line.
+STATUS = {"I": "In service", "B": "Abandoned", "R": "Revoked (code not in the RRC definitions; inferred)"}
+INTERSTATE = {"Y": "Interstate", "N": "Intrastate"}
 #: Accuracy code, label, largest error in metres.
-ACCURACY = {"E": ("Excellent", 15.24), "V": ("Very good", 15.24), "G": ("Good", 91.44), "P": ("Poor", 152.4), "U": ("Unknown", None)}
-DIAMETERS = [0.0, 4.5, 8.63, 12.75, 16.0, 24.0, 36.0]
+ACCURACY = {"E": ("Within 50 ft", 15.2), "V": ("51-300 ft", 91.4), "G": ("301-500 ft", 152.4), "P": ("501-1,000 ft", 304.8), "U": ("Unknown", None)}
+#: Limits of outside diameters in inches, and the classes between them.
+DIAMETERS = [4.5, 8.63, 12.75, 16.0, 24.0, 36.0]
+DIAMETER_CLASSES = ["Under 4.5 in", "4.5-8.6 in", "8.6-12.75 in", "12.75-16 in", "16-24 in", "24-36 in", "Over 36 in"]
 
 
 def code(c: Column) -> Column:
@@ -24,21 +40,21 @@ def commodity(rows: DataFrame, column: str) -> DataFrame:
     """Labels of a code; an unknown code is kept and says so."""
     dim = rows.sparkSession.createDataFrame(COMMODITIES, "code string, commodity string, service string, commodity_group string")
     joined = rows.join(F.broadcast(dim), code(F.col(column)) == dim["code"], "left").drop("code")
-    return joined.withColumns({c: F.coalesce(c, F.lit("Not in the code list")) for c in ("commodity", "service", "commodity_group")})
+    return joined.withColumns({c: F.coalesce(c, F.lit(other)) for c, other in NO_COMMODITY.items()})
 
 
-def lookup(values: dict, c: Column, default: str = "Unknown") -> Column:
-    """Label of a code from a small dictionary."""
-    return F.coalesce(*(F.when(code(c) == k, v) for k, v in values.items()), F.lit(default))
+def lookup(values: dict, c: Column, default: str | None = "Not recorded") -> Column:
+    """Label or number of a code from a small dictionary."""
+    return F.coalesce(*(F.when(code(c) == k, F.lit(v)) for k, v in values.items() if v is not None), F.lit(default))
 
 
 def diameter_class(c: Column) -> Column:
     """Left-closed bins; what is no positive number is not recorded."""
     d = c.try_cast("double")
     out = F.when(d.isNull() | (d <= 0) | F.isnan(d), "Not recorded")
-    for low, high in zip(DIAMETERS, DIAMETERS[1:], strict=False):
-        out = out.when(d < high, f"{low:g}-{high:g} in")
-    return out.otherwise(f"{DIAMETERS[-1]:g} in and more")
+    for high, name in zip(DIAMETERS, DIAMETER_CLASSES, strict=False):
+        out = out.when(d < high, name)
+    return out.otherwise(DIAMETER_CLASSES[-1])
 
 
 def fips(c: Column) -> Column:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -10,7 +12,7 @@ from pyspark.sql import functions as F
 def robust_fit(rows: DataFrame, y: str, xs: list[str], least: int = 12) -> list[dict]:
     """Estimates, HC3 errors and 95% intervals, from cross-products in two passes; none for fewer than ``least`` rows."""
     terms = ["intercept", *xs]
-    data = rows.select(F.col(y).alias("_y"), F.lit(1.0).alias("x0"), *(F.col(x).cast("double").alias(f"x{k + 1}") for k, x in enumerate(xs))).dropna()
+    data = rows.select(F.col(y).alias("_y"), F.lit(1.0).alias("x0"), *(F.col(f"`{x}`").cast("double").alias(f"x{k + 1}") for k, x in enumerate(xs))).dropna()
     x = [F.col(f"x{k}") for k in range(len(terms))]
     pairs = [(i, j) for i in range(len(x)) for j in range(i, len(x))]
     sums = data.agg(F.count(F.lit(1)), *(F.sum(x[i] * x[j]) for i, j in pairs), *(F.sum(v * F.col("_y")) for v in x), F.sum("_y"), F.sum(F.col("_y") * F.col("_y"))).first()
@@ -29,10 +31,16 @@ def robust_fit(rows: DataFrame, y: str, xs: list[str], least: int = 12) -> list[
     out = []
     for k, term in enumerate(terms):
         se = float(np.sqrt(cov[k, k]))
-        out.append({"term": term, "estimate": float(beta[k]), "se": se, "lo95": float(beta[k]) - 1.959964 * se, "hi95": float(beta[k]) + 1.959964 * se, "n": n, "r2": 1 - second[0] / spread if spread else None})
+        out.append({"term": term, "estimate": float(beta[k]), "se": se, "lo95": float(beta[k]) - 1.959964 * se, "hi95": float(beta[k]) + 1.959964 * se, "p": math.erfc(abs(float(beta[k])) / se / math.sqrt(2)) if se else None, "n": n, "r2": 1 - second[0] / spread if spread else None})
     return out
 
 
+def dummies(rows: DataFrame, column: str, kinds: list[str]) -> tuple[DataFrame, list[str]]:
+    """A category as columns of 0 and 1, one for each kind but the first; the kinds are named, so they are few."""
+    names = [f"{column}={k}" for k in kinds[1:]]
+    return rows.withColumns({n: (F.col(column) == k).cast("double") for n, k in zip(names, kinds[1:], strict=True)}), names
+
+
 def _symmetric(pairs: list, values, k: int) -> np.ndarray:
     m = np.zeros((k, k))
     for (i, j), v in zip(pairs, values, strict=True):

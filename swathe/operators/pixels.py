@@ -13,7 +13,7 @@ def normalized(a: Column, b: Column, mask_negative: bool = True) -> Column:
 
 
 def savi(nir: Column, red: Column) -> Column:
-    return 1.5 * (nir - red) / (nir + red + 0.5)
+    return F.try_divide(1.5 * (nir - red), nir + red + 0.5)
 
 
 def bare_soil(swir: Column, red: Column, nir: Column, blue: Column) -> Column:
@@ -57,15 +57,37 @@ def zonal(pixels: DataFrame, keys: list[str], value: str) -> DataFrame:
     return pixels.groupBy(*keys).agg(F.avg(value).alias("mean"), F.count(value).alias("n")).where("n > 0")
 
 
-def mosaic(pixels: DataFrame, cell: list[str], value: str) -> DataFrame:
-    """One value a cell and pass, that of the last tile (of equals the largest), and the distinct tiles."""
-    return pixels.groupBy(*cell, "dt", "orbit").agg(F.max(F.struct("tile", value)).alias("_l"), F.array_join(F.array_sort(F.collect_set(F.col("tile").cast("string"))), ",").alias("tiles")).withColumn(value, F.col(f"_l.{value}")).drop("_l")
+#: Slope and intercept that bring each band of the older sensors to the newer one's.
+OLDER = {"blue": (0.8474, 0.0003), "green": (0.8483, 0.0088), "red": (0.9047, 0.0061), "nir": (0.8462, 0.0412), "swir1": (0.8937, 0.0254), "swir2": (0.9071, 0.0172)}
+
+
+def reflectance(raw: Column, band: str, older: Column) -> Column:
+    """P20: scaled reflectance of a band; that of an older sensor is adjusted."""
+    scaled = raw * 0.0000275 - 0.2
+    slope, intercept = OLDER[band]
+    return F.when(older, scaled * slope + intercept).otherwise(scaled)
+
+
+def mosaic(pixels: DataFrame, cell: list[str], value: str, angle: str | None = None) -> DataFrame:
+    """One value a pixel and pass, that of the last tile (of equals the largest); beside it the pass's distinct tiles and the mean angle of its images."""
+    passes = pixels.groupBy("dt", "orbit").agg(F.array_join(F.array_sort(F.collect_set(F.col("tile").cast("string"))), ",").alias("tiles"))
+    if angle:
+        images = pixels.groupBy("dt", "orbit", "tile").agg(F.avg(angle).alias("_angle"))
+        passes = passes.join(images.groupBy("dt", "orbit").agg(F.avg("_angle").alias(angle)), ["dt", "orbit"])
+    last = pixels.groupBy(*cell, "dt", "orbit").agg(F.max(F.struct("tile", value)).alias("_l"))
+    return last.withColumn(value, F.col(f"_l.{value}")).drop("_l").join(passes, ["dt", "orbit"])
 
 
 def composite(pixels: DataFrame, cell: list[str], value: str) -> DataFrame:
-    """Median, 90th percentile and count over time of each cell."""
+    """Median, 90th percentile and count over time of each pixel."""
     return pixels.groupBy(*cell).agg(F.median(value).alias("median"), F.percentile(value, 0.9).alias("p90"), F.count(value).alias("clear"))
 
 
+def zone_summary(cells: DataFrame, by: list[str], values: list[str]) -> DataFrame:
+    """Mean, median, deviation, 10th and 90th percentile and count of each value over a zone's pixels."""
+    found = [(f(v), f"{v}_{name}") for v in values for name, f in (("mean", F.avg), ("sd", F.stddev_pop), ("n", F.count), ("p10", lambda v: F.percentile(v, 0.1)), ("median", F.median), ("p90", lambda v: F.percentile(v, 0.9)))]
+    return cells.groupBy(*by).agg(*(c.alias(n) for c, n in found))
+
+
 def first_of(rows: DataFrame, keys: list[str], *order) -> DataFrame:
     return rows.withColumn("_rn", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where("_rn = 1").drop("_rn")

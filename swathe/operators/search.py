@@ -2,30 +2,54 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: A set that every row is compared with must be this small.
-MOST_PROBES = 20_000
+#: Probes that are sent along with every row at once; more go in several parts.
+PACK = 20_000
 
 
 def unit(v: Column) -> Column:
-    """A vector divided by its length."""
+    """A vector divided by its length; a vector without length has no direction, so null."""
     d = F.transform(v, lambda x: x.cast("double"))
     norm = F.sqrt(F.aggregate(d, F.lit(0.0), lambda a, x: a + x * x))
-    return F.transform(d, lambda x: x / norm)
+    return F.when(norm > 0, F.transform(d, lambda x: F.try_divide(x, norm)))
 
 
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
 
 
+def packs(probes: DataFrame, size: int | None = None) -> list[DataFrame]:
+    """The probes (probe, pvec) as unit vectors, in parts of at most about ``size``, each one row with an array; a part's size is that of a hash range."""
+    size = size or PACK
+    n = max(1, -(-probes.count() // size))
+    rows = probes.select("probe", unit(F.col("pvec")).alias("p")).where("p is not null")
+    return [rows.where(F.pmod(F.xxhash64("probe"), F.lit(n)) == k).agg(F.collect_list(F.struct("probe", "p")).alias("_probes")) for k in range(n)]
+
+
 def against(rows: DataFrame, probes: DataFrame, rows_vec: str = "vec") -> DataFrame:
-    """Every row with every probe (id, pvec) and their cosine; the probes are counted before they are sent along."""
-    if (n := probes.count()) > MOST_PROBES:
-        raise ValueError(f"{n} probes; compare in parts of at most {MOST_PROBES}")
-    sent = probes.select(F.col("probe"), unit(F.col("pvec")).alias("_p"))
-    return rows.withColumn("_v", unit(F.col(rows_vec))).crossJoin(F.broadcast(sent)).withColumn("cosine", dot(F.col("_v"), F.col("_p"))).drop("_v", "_p")
+    """Every row with every probe and their cosine, for a few probes; see ``nearest`` for many."""
+    own = rows.withColumn("_v", unit(F.col(rows_vec)))
+    parts = [own.crossJoin(F.broadcast(part)).withColumn("_p", F.explode("_probes")) for part in packs(probes)]
+    every = reduce(DataFrame.unionByName, parts)
+    return every.withColumns({"probe": F.col("_p.probe"), "cosine": dot(F.col("_v"), F.col("_p.p"))}).drop("_v", "_p", "_probes").where("cosine is not null")
+
+
+def nearest(rows: DataFrame, probes: DataFrame, key: str, rows_vec: str = "vec") -> DataFrame:
+    """Each row's best probe and their cosine, of equals the least probe; (key, cosine, nearest).
+
+    A row folds over the probes that come with it and keeps the best, so no row is made for a pair.
+    """
+    best = lambda a, x: F.when((x["cosine"] > a["cosine"]) | ((x["cosine"] == a["cosine"]) & (x["probe"] < a["probe"])) | a["probe"].isNull(), x).otherwise(a)
+    kind = dict(probes.dtypes)["probe"]
+    none = F.struct(F.lit(None).cast("double").alias("cosine"), F.lit(None).cast(kind).alias("probe"))
+    own = rows.select(key, unit(F.col(rows_vec)).alias("_v")).where("_v is not null")
+    parts = [own.crossJoin(F.broadcast(part)).select(key, F.aggregate("_probes", none, lambda a, x: best(a, F.struct(dot(F.col("_v"), x["p"]).alias("cosine"), x["probe"].alias("probe")))).alias("_b")) for part in packs(probes)]
+    found = reduce(DataFrame.unionByName, parts).select(key, F.col("_b.cosine").alias("cosine"), F.col("_b.probe").alias("nearest")).where("nearest is not null")
+    return found.groupBy(key).agg(F.max("cosine").alias("cosine"), F.min_by("nearest", F.struct(-F.col("cosine"), "nearest")).alias("nearest"))
 
 
 def words(c: Column) -> Column:
@@ -35,7 +59,7 @@ def words(c: Column) -> Column:
 
 def keyword_score(query: str, c: Column) -> Column:
     q = words(F.lit(query))
-    return F.size(F.array_intersect(q, words(c))) / F.size(q)
+    return F.try_divide(F.size(F.array_intersect(q, words(c))), F.size(q))
 
 
 def plain(c: Column) -> Column:
@@ -43,19 +67,64 @@ def plain(c: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(c), "[^a-z0-9]+", " "))
 
 
-def supported(quote: Column, text: Column) -> Column:
-    """No claim is supported; else the quote must occur in the text."""
-    return quote.isNull() | (plain(quote) == "") | plain(text).contains(plain(quote))
+#: Answers that claim nothing.
+NO_CLAIM = ["unknown", "none stated", ""]
+
+
+def supported(answer: Column, quote: Column, text: Column) -> Column:
+    """An answer that claims nothing is supported; else its quote must have words and occur in the text."""
+    q = plain(F.coalesce(quote, F.lit("")))
+    claims = answer.isNotNull() & ~answer.isin(NO_CLAIM)
+    return ~claims | ((q != "") & F.coalesce(plain(text).contains(q), F.lit(False)))
+
+
+#: Patterns of ids, whose digits are no numbers, and of numbers as they are written.
+IDS = r"\b\d{3}-\d{6}-\d{2}-\d{1,3}-\d{1,4}\b|\bS\d{3}\b"
+NUMBER = r"(?<![\w.])[-+−]?(?:\d{1,3}(?:,\d{3})+|\d+)(?:\.\d+)?(?:[eE][-+]?\d+)?%?"
 
 
 def numbers(c: Column) -> Column:
-    """Numbers as written, without the digits of identifiers."""
-    return F.regexp_extract_all(c, F.lit(r"(?<![\w.])(-?\d+(?:\.\d+)?)(?![\w])"))
+    """Numbers as written, with thousands, exponents and percent signs."""
+    return F.regexp_extract_all(F.regexp_replace(c, IDS, " "), F.lit(NUMBER), F.lit(0))
+
+
+def value_of(token: Column) -> Column:
+    return F.translate(token, "−,%", "-").cast("double")
+
+
+def is_year(token: Column) -> Column:
+    return token.rlike(r"^\d+$") & value_of(token).between(2000, 2030)
 
 
 def number_supported(token: Column, evidence: Column) -> Column:
-    """Some number of the evidence agrees at the precision the token is written with; a percentage may match a fraction."""
-    places = F.length(F.regexp_extract(token, r"\.(\d+)$", 1))
-    half = 0.5 * F.pow(F.lit(10.0), -places) + 1e-9
-    x = token.cast("double")
-    return F.exists(evidence, lambda e: (F.abs(e.cast("double") - x) <= half) | (F.abs(e.cast("double") * 100 - x) <= half))
+    """Some number of the evidence agrees, its sign aside, at the precision the token is written with; only a percentage may match a fraction."""
+    mantissa = F.regexp_extract(token, r"\.(\d+)", 1)
+    exponent = F.coalesce(F.regexp_extract(token, r"[eE]([-+]?\d+)", 1).try_cast("int"), F.lit(0))
+    half = 0.5 * F.pow(F.lit(10.0), exponent - F.length(mantissa)) + 1e-12
+    x = F.abs(value_of(token))
+    near = lambda y: F.abs(x - F.abs(y)) <= half
+    return F.exists(evidence, lambda e: near(value_of(e)) | (token.endswith("%") & near(value_of(e) * 100)))
+
+
+def number_check(answer: Column, evidence: Column) -> Column:
+    """How many numbers of an answer were checked, and those that nothing in the evidence supports; years aren't checked."""
+    found = F.filter(numbers(answer), lambda t: ~is_year(t))
+    proof = numbers(evidence)
+    return F.struct(F.size(found).alias("checked"), F.filter(found, lambda t: ~number_supported(t, proof)).alias("unsupported"))
+
+
+def pooled_embedding(rows: DataFrame, keys: list[str], vec: str = "embedding", weight: str = "pixels") -> DataFrame:
+    """Vectors of a place's parts as one, weighted by their pixels; parts without pixels or vector don't count."""
+    long = rows.where((F.col(weight) > 0) & F.col(vec).isNotNull()).select(*keys, F.col(weight).alias("_w"), F.posexplode(vec).alias("_k", "_x"))
+    dims = long.groupBy(*keys, "_k").agg((F.sum(F.col("_x").cast("double") * F.col("_w")) / F.sum("_w")).alias("_m"), F.sum("_w").alias("_px"))
+    return dims.groupBy(*keys).agg(F.transform(F.sort_array(F.collect_list(F.struct("_k", "_m"))), lambda x: x["_m"]).alias(vec), F.max("_px").alias(weight))
+
+
+def place_table(export: DataFrame, segments: DataFrame, sites: DataFrame) -> DataFrame:
+    """Segment bands and their comparison rings as they are, and sites with their rings pooled into a circle, in one long table."""
+    columns = ["place_id", "kind", "year", "spill_id", "ecoregion", "commodity", "pixels", "embedding"]
+    bands = export.where("which <> 'sites' and pixels > 0 and embedding is not null").join(segments.select(F.col("segment_id").alias("place_id"), "ecoregion", F.col("commodity_group").alias("commodity")), "place_id", "left")
+    bands = bands.withColumns({"kind": F.when(F.col("which") == "sample_row", "segment band").otherwise("segment comparison"), "spill_id": F.lit(None).cast("string"), "embedding": F.transform("embedding", lambda x: x.cast("double"))})
+    circles = pooled_embedding(export.where("which = 'sites'"), ["place_id", "year"]).join(sites.withColumnRenamed("site_id", "place_id"), "place_id", "left")
+    circles = circles.withColumns({"kind": F.when(F.col("site") == "spill", "spill site").otherwise("comparison spot"), "ecoregion": F.col("site_ecoregion"), "commodity": F.lit(None).cast("string")})
+    return bands.select(*columns).unionByName(circles.select(*columns))

@@ -7,6 +7,11 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.files import written
+from . import ranks
+from .corridor import draw
+from .sampling import hashed
+
 #: Albers conic of EPSG 6579 on GRS80.
 LAT0, LON0, PAR1, PAR2, EAST, NORTH = math.radians(18), math.radians(-100), math.radians(27.5), math.radians(35), 1_500_000.0, 6_000_000.0
 AXIS, FLAT = 6378137.0, 1 / 298.257222101
@@ -59,14 +64,14 @@ def edges(vertices: DataFrame) -> DataFrame:
 def along(lines: DataFrame, wanted: DataFrame) -> DataFrame:
     """Points at distances ``at`` along their lines."""
     joined = wanted.join(lines, "line_uid").where((F.col("at") >= F.col("start")) & ((F.col("at") < F.col("start") + F.col("len")) | ((F.col("at") == F.col("start") + F.col("len")) & (F.col("seq") == F.col("last")))))
-    t = (F.col("at") - F.col("start")) / F.col("len")
+    t = F.coalesce(F.try_divide(F.col("at") - F.col("start"), F.col("len")), F.lit(0.0))
     return joined.withColumns({"x": F.col("x1") + t * (F.col("x2") - F.col("x1")), "y": F.col("y1") + t * (F.col("y2") - F.col("y1"))})
 
 
 def foot(x: Column, y: Column) -> Column:
-    """Share of an edge at which a point's foot lies, unclamped."""
+    """Share of an edge at which a point's foot lies, unclamped; 0 on an edge of no length, as a repeated vertex makes."""
     dx, dy = F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")
-    return ((x - F.col("x1")) * dx + (y - F.col("y1")) * dy) / (dx * dx + dy * dy)
+    return F.coalesce(F.try_divide((x - F.col("x1")) * dx + (y - F.col("y1")) * dy, dx * dx + dy * dy), F.lit(0.0))
 
 
 def offset(x: Column, y: Column) -> Column:
@@ -123,11 +128,25 @@ def band(dist: Column, limits: list[float]) -> Column:
 
 
 def getis_ord(points: DataFrame, key: str, value: str, radius: float) -> DataFrame:
-    """Gi* z-scores over neighbours within ``radius``, the point included, and bins of 90, 95 and 99 percent."""
+    """Gi* z-scores over neighbours within ``radius``, the point included, and bins of 90, 95 and 99 percent; null where values or neighbours don't differ."""
     others = points.select(F.col("x").alias("x2"), F.col("y").alias("y2"), F.col(value).alias("_v"))
     sums = pairs_within(points, others, radius).groupBy(key).agg(F.sum("_v").alias("s"), F.count(F.lit(1)).alias("w"))
     whole = points.agg(F.count(F.lit(1)).alias("n"), F.avg(value).alias("mean"), F.stddev_pop(value).alias("sd"))
-    z = (F.col("s") - F.col("mean") * F.col("w")) / (F.col("sd") * F.sqrt((F.col("n") * F.col("w") - F.col("w") * F.col("w")) / (F.col("n") - 1)))
+    z = F.try_divide(F.col("s") - F.col("mean") * F.col("w"), F.col("sd") * F.sqrt(F.try_divide(F.col("n") * F.col("w") - F.col("w") * F.col("w"), F.col("n") - 1)))
     rows = sums.crossJoin(F.broadcast(whole)).withColumn("z", z)
     size = F.when(F.abs("z") >= 2.576, 3).when(F.abs("z") >= 1.96, 2).when(F.abs("z") >= 1.645, 1).otherwise(0)
     return rows.select(key, "z", (F.signum("z") * size).cast("int").alias("bin"))
+
+
+def draw_from_group(rows: DataFrame, group: list[str], key: str, most: int, seed: int) -> DataFrame:
+    """For each row up to ``most`` others of its group, (key, other, turn).
+
+    A group's members stand in one hashed order; each row takes those that follow a hashed place of its own, around the end.
+    So a row meets the few that it takes and never its whole group.
+    """
+    placed = written(ranks.numbered(rows.select(*group, key).withColumn("_h", hashed(seed, key)), group, ["_h", key], "_n"), "pool")
+    start = draw(seed, F.lit("from"), key) % F.col("_n_total")
+    turns = placed.withColumn("turn", F.explode(F.sequence(F.lit(0), F.least(F.lit(most), F.col("_n_total") - 1).cast("int")))).withColumn("_n", F.pmod(start + F.col("turn"), F.col("_n_total")) + 1)
+    found = turns.select(*group, key, "turn", "_n").join(placed.select(*group, "_n", F.col(key).alias("other")), [*group, "_n"]).where(F.col(key) != F.col("other"))
+    order = Window.partitionBy(key).orderBy("turn")
+    return found.withColumn("turn", F.row_number().over(order)).where(F.col("turn") <= most).select(key, "other", "turn")

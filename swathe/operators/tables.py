@@ -5,12 +5,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.files import written
+from . import ranks
+
 
 def profile(rows: DataFrame, key: str, value: str) -> DataFrame:
     """Rows, blanks, repeated keys, separators and the value's range in one pass after one distinct count."""
     v, k = F.col(value), F.col(key)
     return rows.agg(
-        F.count(F.lit(1)).alias("n_rows"), F.count_if(v.isNull()).alias("blanks"), F.round(100 * F.count_if(v.isNull()) / F.count(F.lit(1)), 6).alias("blank_pct"),
+        F.count(F.lit(1)).alias("n_rows"), F.count_if(v.isNull()).alias("blanks"), F.round(F.try_divide(100 * F.count_if(v.isNull()), F.count(F.lit(1))), 6).alias("blank_pct"),
         (F.count(k) - F.countDistinct(k)).alias("duplicates"), F.count_if(k.contains(" ")).alias("spaces"), F.count_if(k.contains("_")).alias("underscores"),
         F.min(v).alias("least"), F.round(F.avg(v), 6).alias("mean"), F.max(v).alias("most"), F.max(F.length(F.regexp_extract(key, r"^(\d+)", 1))).cast("long").alias("longest_number"),
     )
@@ -18,11 +21,20 @@ def profile(rows: DataFrame, key: str, value: str) -> DataFrame:
 
 def compare(old: DataFrame, new: DataFrame, key: str, a: str, b: str, tolerance: float) -> DataFrame:
     """Correlation, absolute differences and one-sided blanks of two tables joined on a key."""
-    both = old.join(new, key).withColumn("_d", F.abs(F.col(a) - F.col(b)))
-    return both.agg(
-        F.count(F.lit(1)).alias("n_rows"), F.round(F.corr(a, b), 6).alias("r"), F.round(F.median("_d"), 6).alias("median_diff"), F.round(F.percentile("_d", 0.95), 6).alias("p95_diff"), F.round(F.max("_d"), 6).alias("max_diff"),
+    both = written(old.join(new, key).withColumn("_d", F.abs(F.col(a) - F.col(b))), "compared")
+    sums = both.agg(
+        F.count(F.lit(1)).alias("n_rows"), F.round(F.corr(a, b), 6).alias("r"), F.round(F.max("_d"), 6).alias("max_diff"),
         F.round(F.avg((F.col("_d") <= tolerance).cast("double")), 6).alias("within"), F.count_if(F.col(a).isNull() & F.col(b).isNotNull()).alias("only_new"), F.count_if(F.col(a).isNotNull() & F.col(b).isNull()).alias("only_old"),
     )
+    points = ranks.quantiles(both, [], "_d", {"median_diff": 0.5, "p95_diff": 0.95})
+    return sums.crossJoin(F.broadcast(points)).withColumns({c: F.round(c, 6) for c in ("median_diff", "p95_diff")})
+
+
+def lineage(parts: DataFrame, combined: DataFrame, key: str, part: str, value: str) -> DataFrame:
+    """Of each part and of all parts: rows, how many the combined table has, how many not, and the largest difference of the value."""
+    there = combined.select(F.col(key).alias("_key"), F.col(value).alias("_value"))
+    joined = parts.join(there, F.col(key) == F.col("_key"), "left").withColumn(part, F.explode(F.array(F.col(part), F.lit("all"))))
+    return joined.groupBy(part).agg(F.count(F.lit(1)).alias("n_rows"), F.count("_key").alias("found"), F.count_if(F.col("_key").isNull()).alias("missing"), F.max(F.abs(F.col(value) - F.col("_value"))).alias("max_diff"))
 
 
 def same_rows(a: DataFrame, b: DataFrame, key: list[str], values: list[str], rtol: float = 1e-9, atol: float = 1e-12) -> DataFrame:
@@ -42,7 +54,7 @@ def same_rows(a: DataFrame, b: DataFrame, key: list[str], values: list[str], rto
 
 
 def share_of_total(rows: DataFrame, by: list[str], amount: Column) -> DataFrame:
-    """Sums with their percentage of all; the grouped table is small, so its total is one row beside it."""
+    """Sums with their percentage of all, null where all is 0; the grouped table is small, so its total is one row beside it."""
     sums = rows.groupBy(*by).agg(F.sum(amount).alias("amount"), F.count(F.lit(1)).alias("pieces"))
     total = sums.agg(F.sum("amount").alias("_a"), F.sum("pieces").alias("_p"))
-    return sums.crossJoin(F.broadcast(total)).select(*by, "pieces", "amount", (100 * F.col("pieces") / F.col("_p")).alias("pieces_pct"), (100 * F.col("amount") / F.col("_a")).alias("amount_pct"))
+    return sums.crossJoin(F.broadcast(total)).select(*by, "pieces", "amount", F.try_divide(100 * F.col("pieces"), F.col("_p")).alias("pieces_pct"), F.try_divide(100 * F.col("amount"), F.col("_a")).alias("amount_pct"))

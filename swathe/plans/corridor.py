@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import corridor as C
+from ..operators import events as E
+from ..operators import labels as L
+from ..operators import ranks
 from ..registry import query
 from .fixtures import twin, view
 
@@ -15,18 +18,18 @@ ONE = {
     "one": "select * from (select *,row_number() over (partition by segment_id,ring,landcover,pass_date,orbit order by n desc,m) rn from kept) where rn=1",
 }
 PAIRS = ONE | {
-    "pooled": "select segment_id,year,pass_date,orbit,ring,sum(m*n)/sum(n) v,sum(n) n from one group by 1,2,3,4,5",
-    "pall": "select a.segment_id,a.year,a.pass_date,a.orbit,a.ring,a.v-b.v diff_all from pooled a join pooled b on a.segment_id=b.segment_id and a.pass_date=b.pass_date and a.orbit=b.orbit and b.ring='500-1000' where a.ring<>'500-1000' and a.n>=20 and b.n>=20",
+    "pooled": "select segment_id,year,pass_date,orbit,ring,sum(m*n)/sum(n) v,sum(n) n,min(doy) doy from one where n>0 group by 1,2,3,4,5",
+    "pall": "select a.segment_id,a.year,a.pass_date,a.orbit,a.ring,a.v-b.v diff_all,a.doy from pooled a join pooled b on a.segment_id=b.segment_id and a.pass_date=b.pass_date and a.orbit=b.orbit and b.ring='500-1000' where a.ring<>'500-1000' and a.n>=20 and b.n>=20",
     "plc": "select a.segment_id,a.year,a.pass_date,a.orbit,a.ring,sum((a.m-b.m)*least(a.n,b.n))/sum(least(a.n,b.n)) diff_same from one a join one b on a.segment_id=b.segment_id and a.pass_date=b.pass_date and a.orbit=b.orbit and a.landcover=b.landcover and b.ring='500-1000' where a.ring<>'500-1000' group by 1,2,3,4,5",
 }
 SPRINGS = PAIRS | {
-    "per": "select p.segment_id,p.year,p.ring,median(diff_all) diff_all,median(diff_same) diff_same,count(*) passes from pall p left join plc q on p.segment_id=q.segment_id and p.pass_date=q.pass_date and p.orbit=q.orbit and p.ring=q.ring group by 1,2,3",
+    "per": "select p.segment_id,p.year,p.ring,median(diff_all) diff_all,median(diff_same) diff_same,count(*) passes,median(doy) doy_median from pall p left join plc q on p.segment_id=q.segment_id and p.pass_date=q.pass_date and p.orbit=q.orbit and p.ring=q.ring group by 1,2,3",
 }
 GAPS = SPRINGS | {
     "gap": "select segment_id,ring,median(diff_same) diff,count(distinct year) springs from per where diff_same is not null group by 1,2",
     "enr": "select g.*, d.ecoregion, d.commodity_group, coalesce(d.weight,1) weight, coalesce(d.ecoregion||'|'||d.commodity_group,'(not in sample)') stratum from gap g left join (select * from segment_dim where k%10<>0) d using (segment_id)",
 }
-DRAWS = 40
+DRAWS, DRAWS_UNWEIGHTED = 500, 2000
 BOOT = GAPS | {
     "num": "select *, row_number() over (partition by ring,stratum order by segment_id)-1 i, count(*) over (partition by ring,stratum) size from enr",
     "pick": f"select ring, stratum, d.draw draw, cast('0x'||substr(md5(concat_ws('|','392',cast(d.draw as string),ring,stratum,cast(i as string))),1,8) as bigint) % size p from num, (select unnest(range(1,{DRAWS + 1})) draw) d",
@@ -71,12 +74,12 @@ def _(spark, d):
     return one(spark, d).select("segment_id", "ring", "landcover", "pass_date", "orbit", "n", F.round("m", 9).alias("m"))
 
 
-@query("a1_pooled_mean", twin("select segment_id, pass_date, orbit, ring, round(v,9) as v, n from pooled", **PAIRS))
+@query("a1_pooled_mean", twin("select segment_id, pass_date, orbit, ring, round(v,9) as v, n, doy from pooled", **PAIRS))
 def _(spark, d):
     return C.pooled(one(spark, d), ["segment_id", "pass_date", "orbit", "ring"]).withColumn("v", F.round("v", 9))
 
 
-@query("a2_pooled_rings", twin("select segment_id, pass_date, orbit, case when ring in ('50-100','100-250') then '50-250' else ring end as ring, round(sum(m*n)/sum(n),9) as v, cast(sum(n) as bigint) as n from one group by 1,2,3,4", **ONE))
+@query("a2_pooled_rings", twin("select segment_id, pass_date, orbit, case when ring in ('50-100','100-250') then '50-250' else ring end as ring, round(sum(m*n)/sum(n),9) as v, cast(sum(n) as bigint) as n, min(doy) as doy from one group by 1,2,3,4", **ONE))
 def _(spark, d):
     return C.pooled(C.pool_rings(one(spark, d), {"50-250": ["50-100", "100-250"]}), ["segment_id", "pass_date", "orbit", "ring"]).withColumn("v", F.round("v", 9))
 
@@ -92,7 +95,7 @@ def _(spark, d):
     return C.like_for_like(one(spark, d)).select("segment_id", "pass_date", "orbit", "ring", F.round("diff_same", 9).alias("diff_same"))
 
 
-@query("a4_median_over_passes", twin("select segment_id, year, ring, round(diff_all,9) as diff_all, round(diff_same,9) as diff_same, passes from per", **SPRINGS))
+@query("a4_median_over_passes", twin("select segment_id, year, ring, round(diff_all,9) as diff_all, round(diff_same,9) as diff_same, passes, doy_median from per", **SPRINGS))
 def _(spark, d):
     return springs(spark, d).withColumns({c: F.round(c, 9) for c in ("diff_all", "diff_same")})
 
@@ -126,10 +129,8 @@ def _(spark, d):
 
 @query("w3_cumulative_weight", twin("select ring, segment_id, cast(c as bigint) as cum_weight from cum", **(GAPS | {"cum": CUM})))
 def _(spark, d):
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("ring").orderBy("diff", "segment_id").rowsBetween(Window.unboundedPreceding, 0)
-    return gaps(spark, d).select("ring", "segment_id", F.sum("weight").over(w).cast("long").alias("cum_weight"))
+    rows = ranks.running(gaps(spark, d).select("ring", "segment_id", "diff", "weight"), ["ring"], ["diff", "segment_id"], {"c": F.col("weight")})
+    return rows.select("ring", "segment_id", F.col("c").cast("long").alias("cum_weight"))
 
 
 @query("a12_bootstrap_interval", twin("select ring, segments, round(lo95,9) as lo95, round(hi95,9) as hi95 from ci", **BOOT))
@@ -141,14 +142,37 @@ def interval(spark, d):
     return C.bootstrap(gaps(spark, d), ["ring"], "stratum", "segment_id", "diff", "weight", DRAWS)
 
 
-@query("a13_grouping_sets", twin("select springs, scope, grp as \"group\", ring, count(*) as segments, round(min(case when c>=t/2.0 then v end),9) as wmed from (select *, sum(weight) over (partition by springs,scope,grp,ring order by v, segment_id, year rows unbounded preceding) c, sum(weight) over (partition by springs,scope,grp,ring) t from long) group by 1,2,3,4", **(SPRINGS | {
-    "lab": "select p.segment_id, p.year, p.ring, p.diff_same v, d.ecoregion, d.commodity_group, d.weight from per p join segment_dim d using (segment_id) where diff_same is not null",
-    "sc": "select *, 'statewide' as scope, 'all' as grp from lab union all select *, 'ecoregion', ecoregion from lab union all select *, 'commodity_group', commodity_group from lab",
-    "long": "select *, 'all springs' as springs from sc union all select *, cast(year as string) from sc",
-})))
+GROUPS = ["ecoregion", "commodity_group", "service", "diameter_class", "status", "location_accuracy"]
+LABELS = """select segment_id, ecoregion, commodity_group, service, status, weight,
+ case when diameter_in<=0 then 'Not recorded' when diameter_in<4.5 then 'Under 4.5 in' when diameter_in<8.63 then '4.5-8.6 in' when diameter_in<12.75 then '8.6-12.75 in'
+ when diameter_in<16 then '12.75-16 in' when diameter_in<24 then '16-24 in' when diameter_in<36 then '24-36 in' else 'Over 36 in' end diameter_class,
+ case quality_cd when 'E' then 'Within 50 ft' when 'V' then '51-300 ft' when 'G' then '301-500 ft' when 'P' then '501-1,000 ft' else 'Not recorded' end location_accuracy from segment_dim"""
+SCOPES = SPRINGS | {
+    "lb": LABELS,
+    "pooled2": "select segment_id, ring, 'all springs' as springs, median(diff_all) diff_all, median(diff_same) diff_same from per group by 1,2 union all select segment_id, ring, cast(year as string), diff_all, diff_same from per",
+    "ms": "select segment_id, ring, springs, 'all ground' as measure, diff_all v from pooled2 union all select segment_id, ring, springs, 'same land cover', diff_same from pooled2",
+    "sc": "select ms.*, weight, 'statewide' as scope, 'all' as grp from ms join lb using (segment_id)" + "".join(f" union all select ms.*, weight, '{g}', {g} from ms join lb using (segment_id)" for g in GROUPS),
+    "cs": "select *, sum(weight) over (partition by springs,scope,grp,ring,measure order by v, segment_id rows unbounded preceding) c, sum(weight) over (partition by springs,scope,grp,ring,measure) t from sc where v is not null and grp is not null",
+}
+
+
+def labelled(spark, d):
+    dim = view(spark, d, "segment_dim")
+    return dim.withColumns({"diameter_class": L.diameter_class(F.col("diameter_in").cast("string")), "location_accuracy": L.lookup({k: v for k, (v, _) in L.ACCURACY.items()}, F.col("quality_cd"))})
+
+
+def typical(per):
+    """Each segment's median across its springs, beside its single springs."""
+    pooled = per.groupBy("segment_id", "ring").agg(F.median("diff_all").alias("diff_all"), F.median("diff_same").alias("diff_same")).withColumn("springs", F.lit("all springs"))
+    return pooled.unionByName(per.select("segment_id", "ring", "diff_all", "diff_same", F.col("year").cast("string").alias("springs")))
+
+
+@query("a13_grouping_sets", twin("select springs, scope, grp as \"group\", ring, measure, count(*) as segments, case when count(*)>=3 then round(min(case when c>=t/2.0 then v end),9) end as wmed from cs group by 1,2,3,4,5", **SCOPES))
 def _(spark, d):
-    rows = springs(spark, d).join(view(spark, d, "segment_dim"), "segment_id")
-    return C.scopes(rows, ["ecoregion", "commodity_group"], "diff_same", "weight").withColumn("wmed", F.round("wmed", 9))
+    rows = typical(springs(spark, d)).join(labelled(spark, d), "segment_id")
+    long = C.scopes(rows, GROUPS, {"diff_all": "all ground", "diff_same": "same land cover"})
+    found = C.weighted_median(long, ["springs", "scope", "group", "ring", "measure"], "_v", "weight")
+    return found.withColumn("wmed", F.when(F.col("segments") >= 3, F.round("wmed", 9)))
 
 
 @query("p29_interval_verdict", twin("select ring, case when lo95 is null or hi95 is null then 'no interval' when hi95<0 then 'below' when lo95>0 then 'above' else 'no difference' end as verdict from ci", **BOOT))
@@ -172,28 +196,58 @@ def _(spark, d):
     return counts.withColumn("place", F.row_number().over(Window.orderBy(C.ring_start(F.col("ring")))))
 
 
-@query("v3_corridor_summary", twin("select (select ring from m order by wmed, ring limit 1) as most_negative, (select ring from m order by wmed desc, ring desc limit 1) as least_negative, count(*) as \"groups\" from m", **(GAPS | {"cum": CUM, "m": "select ring, min(case when c>=t/2.0 then diff end) wmed from cum group by 1 having count(*)>=10"})))
+LEAST_SEGMENTS = 100
+REGIONS = GAPS | {
+    "num": BOOT["num"].replace("partition by ring,stratum", "partition by ring,ecoregion,stratum").replace("from enr", "from enr where ecoregion is not null"),
+    "pick": BOOT["pick"].replace("select ring, stratum,", "select ring, ecoregion, stratum,").replace("ring,stratum,cast(i", "ring,ecoregion,stratum,cast(i"),
+    "cumb": BOOT["cumb"].replace("select p.ring,", "select p.ring, p.ecoregion,").replace("partition by p.ring,p.draw", "partition by p.ring,p.ecoregion,p.draw").replace("on p.ring=n.ring", "on p.ring=n.ring and p.ecoregion=n.ecoregion"),
+    "med": "select ring, ecoregion, draw, min(case when c>=t/2.0 then v end) m from cumb group by 1,2,3",
+    "cume": "select *, sum(weight) over (partition by ring,ecoregion order by diff, segment_id rows unbounded preceding) c, sum(weight) over (partition by ring,ecoregion) t from enr where ecoregion is not null",
+    "est": "select ring, ecoregion, count(*) segments, min(case when c>=t/2.0 then diff end) wmed from cume group by 1,2",
+    "grp": "select ring, ecoregion, segments, wmed, case when segments>=3 then lo end lo95, case when segments>=3 then hi end hi95 from est join (select ring, ecoregion, quantile_cont(m,0.025) lo, quantile_cont(m,0.975) hi from med group by 1,2) using (ring, ecoregion)",
+    "ends": f"select ring, count(*) k, min_by(row(ecoregion, lo95, hi95), row(wmed, ecoregion)) a, max_by(row(ecoregion, lo95, hi95), row(wmed, ecoregion)) b from grp where segments>={LEAST_SEGMENTS} and lo95 is not null group by 1 having count(*)>=2",
+}
+
+
+def with_ends(groups, least: int = LEAST_SEGMENTS):
+    """V3: beside each group, the most and the least negative group of its ring and whether their intervals overlap, among groups of at least ``least`` segments; null unless there are two."""
+    end = F.struct("ecoregion", "lo95", "hi95")
+    key = F.struct("wmed", "ecoregion")
+    ends = groups.where((F.col("segments") >= least) & F.col("lo95").isNotNull()).groupBy("ring").agg(F.count(F.lit(1)).alias("k"), F.min_by(end, key).alias("a"), F.max_by(end, key).alias("b")).where("k >= 2")
+    apart = (F.col("a.hi95") < F.col("b.lo95")) | (F.col("b.hi95") < F.col("a.lo95"))
+    return groups.join(ends.select("ring", F.col("a.ecoregion").alias("most_negative"), F.col("b.ecoregion").alias("least_negative"), (~apart).alias("overlap")), "ring", "left")
+
+
+@query("v3_corridor_summary", twin("select g.ring, g.ecoregion, segments, round(wmed,9) as wmed, round(lo95,9) as lo95, round(hi95,9) as hi95, case when lo95 is null or hi95 is null then 'no interval' when hi95<0 then 'below' when lo95>0 then 'above' else 'no difference' end as verdict, e.a[1] as most_negative, e.b[1] as least_negative, not (e.a[3]<e.b[2] or e.b[3]<e.a[2]) as overlap from grp g left join ends e using (ring)", **REGIONS))
 def _(spark, d):
-    medians = C.weighted_median(gaps(spark, d), ["ring"], "diff", "weight").where("segments >= 10")
-    key = F.struct("wmed", "ring")
-    return medians.agg(F.min_by("ring", key).alias("most_negative"), F.max_by("ring", key).alias("least_negative"), F.count(F.lit(1)).alias("groups"))
+    rows = E.written(gaps(spark, d).where("ecoregion is not null"), "gaps")
+    found = C.weighted_median(rows, ["ring", "ecoregion"], "diff", "weight").join(C.bootstrap(rows, ["ring", "ecoregion"], "stratum", "segment_id", "diff", "weight", DRAWS).drop("segments"), ["ring", "ecoregion"])
+    return with_ends(found).withColumn("verdict", C.verdict(F.col("lo95"), F.col("hi95"))).withColumns({x: F.round(x, 9) for x in ("wmed", "lo95", "hi95")})
 
 
-@query("v4_distance_profile", twin("select ring, segments, round(lo95,9) as lo95, round(hi95,9) as hi95, cast(sum(cast(hi95<0 as int)) over (order by cast(string_split(ring,'-')[1] as int) rows unbounded preceding) as bigint) as below_so_far from ci", **BOOT))
+@query("v4_distance_profile", twin("select ring, segments, round(lo95,9) as lo95, round(hi95,9) as hi95, below, in_run, below and not in_run as isolated from (select *, min(cast(below as int)) over (order by cast(string_split(ring,'-')[1] as int) rows unbounded preceding)=1 in_run from (select *, coalesce(hi95<0,false) below from ci))", **BOOT))
 def _(spark, d):
+    """Whether each band lies below zero, in the unbroken run from the pipe or on its own; there are only a few bands."""
     from pyspark.sql import Window
 
     w = Window.orderBy(C.ring_start(F.col("ring"))).rowsBetween(Window.unboundedPreceding, 0)
-    return interval(spark, d).select("ring", "segments", F.round("lo95", 9).alias("lo95"), F.round("hi95", 9).alias("hi95"), F.sum((F.col("hi95") < 0).cast("int")).over(w).alias("below_so_far"))
+    rows = interval(spark, d).withColumn("below", F.coalesce(F.col("hi95") < 0, F.lit(False))).withColumn("in_run", F.min(F.col("below").cast("int")).over(w) == 1)
+    return rows.select("ring", "segments", F.round("lo95", 9).alias("lo95"), F.round("hi95", 9).alias("hi95"), "below", "in_run", (F.col("below") & ~F.col("in_run")).alias("isolated"))
 
 
-@query("v9_recompute_check", twin("select ring, true as same from gap group by 1", **GAPS))
+@query("v9_recompute_check", twin("select 'weighted medians' as checked, count(*) as items, count(*) filter (below<total/2.0 and upto>=total/2.0) as agree from (select ring, sum(weight) total, sum(weight) filter (diff<wmed) below, sum(weight) filter (diff<=wmed) upto from cum join (select ring, min(case when c>=t/2.0 then diff end) wmed from cum group by 1) using (ring) group by 1) union all select 'medians over springs', count(*), count(*) filter (n_low=n_high or abs(n_low-n_high)<=n_same) from (select g.segment_id, g.ring, count(*) filter (p.diff_same<g.diff) n_low, count(*) filter (p.diff_same>g.diff) n_high, count(*) filter (p.diff_same=g.diff) n_same from gap g join per p using (segment_id, ring) where p.diff_same is not null group by 1,2)", **(GAPS | {"cum": CUM})))
 def _(spark, d):
-    """The weighted median again by another plan: the rows repeated by their weight, and the lower median of those."""
-    rows = gaps(spark, d)
-    first = C.weighted_median(rows, ["ring"], "diff", "weight")
-    second = rows.groupBy("ring").agg(F.sort_array(F.flatten(F.collect_list(F.array_repeat("diff", F.col("weight").cast("int"))))).alias("all")).select("ring", F.element_at("all", F.ceil(F.size("all") / 2).cast("int")).alias("again"))
-    return first.join(second, "ring").select("ring", (F.abs(F.col("wmed") - F.col("again")) <= 1e-12).alias("same"))
+    """Each answer again by its definition: half of the weight lies at or below a weighted median and less than half below it, and as many springs below a segment's gap as above."""
+    per = E.written(springs(spark, d).where("diff_same is not null"), "springs")
+    rows = C.enrich(per.groupBy("segment_id", "ring").agg(F.median("diff_same").alias("diff")), view(spark, d, "segment_dim").where("k % 10 <> 0"))
+    first = C.weighted_median(rows, ["ring"], "diff", "weight").select("ring", "wmed")
+    w, v, m = F.col("weight"), F.col("diff"), F.col("wmed")
+    sums = rows.join(first, "ring").groupBy("ring").agg(F.sum(w).alias("total"), F.coalesce(F.sum(F.when(v < m, w)), F.lit(0)).alias("below"), F.sum(F.when(v <= m, w)).alias("upto"))
+    one = sums.agg(F.lit("weighted medians").alias("checked"), F.count(F.lit(1)).alias("items"), F.count_if((F.col("below") < F.col("total") / 2) & (F.col("upto") >= F.col("total") / 2)).alias("agree"))
+    p = F.col("diff_same")
+    sides = per.join(rows.select("segment_id", "ring", "diff"), ["segment_id", "ring"]).groupBy("segment_id", "ring").agg(F.count_if(p < v).alias("low"), F.count_if(p > v).alias("high"), F.count_if(p == v).alias("same"))
+    two = sides.agg(F.lit("medians over springs").alias("checked"), F.count(F.lit(1)).alias("items"), F.count_if((F.col("low") == F.col("high")) | (F.abs(F.col("low") - F.col("high")) <= F.col("same"))).alias("agree"))
+    return one.unionByName(two)
 
 
 @query("v13_chart_data", twin("select ring, (cast(string_split(ring,'-')[1] as double)+cast(string_split(ring,'-')[2] as double))/2 as middle_m, segments, round(wmed-0.0,9) as wmed from (select ring, count(*) as segments, min(case when c>=t/2.0 then diff end) as wmed from cum group by 1)", **(GAPS | {"cum": CUM})))
@@ -202,10 +256,10 @@ def _(spark, d):
     return C.weighted_median(gaps(spark, d), ["ring"], "diff", "weight").select("ring", ((ends[0].cast("double") + ends[1].cast("double")) / 2).alias("middle_m"), "segments", F.round("wmed", 9).alias("wmed"))
 
 
-@query("a30_bootstrap_unweighted", twin("select ring, segments, round(lo95,9) as lo95, round(hi95,9) as hi95 from ci", **(BOOT | {"enr": "select segment_id, ring, diff, 1 weight, 'all' stratum from gap"})))
+@query("a30_bootstrap_unweighted", twin("select ring, segments, round(lo95,9) as lo95, round(hi95,9) as hi95 from ci", **(BOOT | {"enr": "select segment_id, ring, diff, 1 weight, 'all' stratum from gap", "pick": BOOT["pick"].replace(f"range(1,{DRAWS + 1})", f"range(1,{DRAWS_UNWEIGHTED + 1})")})))
 def _(spark, d):
     rows = gaps(spark, d).withColumns({"weight": F.lit(1), "stratum": F.lit("all")})
-    return C.bootstrap(rows, ["ring"], "stratum", "segment_id", "diff", "weight", DRAWS).withColumns({c: F.round(c, 9) for c in ("lo95", "hi95")})
+    return C.bootstrap(rows, ["ring"], "stratum", "segment_id", "diff", "weight", DRAWS_UNWEIGHTED).withColumns({c: F.round(c, 9) for c in ("lo95", "hi95")})
 
 
 @query("j5_multi_join", twin("select d.segment_id, d.ecoregion, round(g.diff,9) as gap, round(a.gap_all,9) as gap_all, coalesce(s.springs,0) as springs from segment_dim d left join (select segment_id, diff from gap where ring='0-50') g using (segment_id) left join (select segment_id, median(diff_all) gap_all from per where ring='0-50' group by 1) a using (segment_id) left join (select segment_id, count(distinct year) springs from per group by 1) s using (segment_id)", **GAPS))
@@ -216,8 +270,11 @@ def _(spark, d):
     return view(spark, d, "segment_dim").join(near, "segment_id", "left").join(seen, "segment_id", "left").select("segment_id", "ecoregion", F.round("g", 9).alias("gap"), F.round("a", 9).alias("gap_all"), F.coalesce("s", F.lit(0)).alias("springs"))
 
 
-@query("v5_segment_record", twin("select d.segment_id, d.ecoregion, d.commodity_group, p.year, round(max(case when ring='0-50' then diff_same end),9) as gap_0_50, round(max(case when ring='50-100' then diff_same end),9) as gap_50_100 from segment_dim d join per p using (segment_id) where d.segment_id='0007' group by 1,2,3,4", **SPRINGS))
+@query("v5_segment_record", twin("select d.segment_id, d.ecoregion, d.commodity_group, lb.diameter_class, lb.location_accuracy, d.status, p.year, round(max(case when ring='0-50' then diff_same end),9) as gap_0_50, round(max(case when ring='50-100' then diff_same end),9) as gap_50_100, round(max(case when ring='100-250' then diff_same end),9) as gap_100_250, round(max(case when ring='250-500' then diff_same end),9) as gap_250_500, round(any_value(dr.pdsi),9) as pdsi from segment_dim d join lb using (segment_id) join per p using (segment_id) left join (select segment_id, year, avg(pdsi) pdsi from drought group by 1,2) dr on dr.segment_id=d.segment_id and dr.year=p.year group by 1,2,3,4,5,6,7", **(SPRINGS | {"lb": LABELS})))
 def _(spark, d):
-    obs = view(spark, d, "zone_obs").where("segment_id = '0007'")
-    wide = C.segment_springs(obs).groupBy("segment_id", "year").pivot("ring", ["0-50", "50-100"]).agg(F.max("diff_same"))
-    return wide.join(view(spark, d, "segment_dim"), "segment_id").select("segment_id", "ecoregion", "commodity_group", "year", F.round("`0-50`", 9).alias("gap_0_50"), F.round("`50-100`", 9).alias("gap_50_100"))
+    """Every segment's labels, gaps by ring and spring, and the spring's drought."""
+    rings = ["0-50", "50-100", "100-250", "250-500"]
+    wide = springs(spark, d).groupBy("segment_id", "year").pivot("ring", rings).agg(F.max("diff_same"))
+    dry = view(spark, d, "drought").groupBy("segment_id", "year").agg(F.round(F.avg("pdsi"), 9).alias("pdsi"))
+    rows = wide.join(labelled(spark, d), "segment_id").join(dry, ["segment_id", "year"], "left")
+    return rows.select("segment_id", "ecoregion", "commodity_group", "diameter_class", "location_accuracy", "status", "year", *(F.round(F.col(f"`{r}`"), 9).alias("gap_" + r.replace("-", "_")) for r in rings), "pdsi")

@@ -6,26 +6,43 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import labels as L
+from ..operators import ranks
 from ..operators import sampling as X
 from ..registry import query
 from .fixtures import table, twin, view
 
-CODES = "case s_suppkey%4 when 0 then ' crd' when 1 then 'NGT ' when 2 then 'prd' else 'zzz' end"
+#: Codes as they come: in either case, with blanks, some of them unknown; one for each supplier in turn.
+RAW = ["aa", " CO2", "cro ", "CRL", "cfl", "CRA", "hvl", " ngt ", "NGG", "NFG", "ngz", "PRD", "ogt", "zzz", "CRD"]
+CODES = "case s_suppkey%15 " + " ".join(f"when {k} then '{x}'" for k, x in enumerate(RAW)) + " end"
+#: The code list as the study's definitions give it, one line a group of codes.
+LABELLED = """case upper(trim({0})) when 'AA' then 'Anhydrous ammonia|Transmission|Other' when 'CO2' then 'Carbon dioxide|Transmission|Other'
+ when 'CRO' then 'Crude oil|Transmission|Crude oil' when 'CRL' then 'Crude oil|Gathering|Crude oil' when 'CFL' then 'Crude full well stream|Gathering|Crude oil'
+ when 'CRA' then 'Crude oil, offshore|Offshore gathering|Crude oil' when 'HVL' then 'Highly volatile liquid|Transmission|Highly volatile liquid'
+ when 'NGT' then 'Natural gas|Transmission|Natural gas' when 'NGG' then 'Natural gas|Gathering|Natural gas' when 'NFG' then 'Natural gas, full well stream|Gathering|Natural gas'
+ when 'NGZ' then 'Natural gas, offshore|Offshore gathering|Natural gas' when 'PRD' then 'Refined liquid product|Transmission|Refined product'
+ when 'OGT' then 'Other gas|Transmission|Other' else 'Not in the RRC code list|Unknown|Unknown' end"""
 
 
-@query("p1_code_labels", f"select s_suppkey, case trim({CODES}) when 'crd' then 'Crude oil' when 'NGT' then 'Natural gas' when 'prd' then 'Refined products' else 'Not in the code list' end as commodity, case trim({CODES}) when 'crd' then 'Crude oil' when 'NGT' then 'Natural gas' when 'prd' then 'Refined product' else 'Not in the code list' end as commodity_group from supplier")
+@query("p1_code_labels", f"select s_suppkey, string_split(x,'|')[1] as commodity, string_split(x,'|')[2] as service, string_split(x,'|')[3] as commodity_group from (select s_suppkey, {LABELLED.format(CODES)} x from supplier)")
 def _(spark, d):
     rows = table(spark, d, "supplier").select("s_suppkey", F.expr(CODES).alias("c"))
-    return L.commodity(rows, "c").select("s_suppkey", "commodity", "commodity_group")
+    return L.commodity(rows, "c").select("s_suppkey", "commodity", "service", "commodity_group")
 
 
-@query("p2_accuracy_labels", twin("select segment_id, case quality_cd when 'E' then 'Excellent' when 'V' then 'Very good' when 'G' then 'Good' when 'P' then 'Poor' else 'Unknown' end as accuracy, case quality_cd when 'E' then 15.24::double when 'V' then 15.24 when 'G' then 91.44 when 'P' then 152.4 end as max_error_m from segment_dim"))
+STATE = "case s_suppkey%4 when 0 then 'i' when 1 then ' B' when 2 then 'R' else 'q' end"
+SIDE = "case s_suppkey%3 when 0 then 'y' when 1 then 'N ' end"
+
+
+@query("p2_accuracy_labels", twin(f"select segment_id, case quality_cd when 'E' then 'Within 50 ft' when 'V' then '51-300 ft' when 'G' then '301-500 ft' when 'P' then '501-1,000 ft' when 'U' then 'Unknown' else 'Not recorded' end as accuracy, case quality_cd when 'E' then 15.2::double when 'V' then 91.4 when 'G' then 152.4 when 'P' then 304.8 end as max_error_m, case upper(trim({STATE})) when 'I' then 'In service' when 'B' then 'Abandoned' when 'R' then 'Revoked (code not in the RRC definitions; inferred)' else 'Not recorded' end as status, case upper(trim({SIDE})) when 'Y' then 'Interstate' when 'N' then 'Intrastate' else 'Not recorded' end as interstate_type from segment_dim".replace("s_suppkey", "k")))
 def _(spark, d):
-    c = F.col("quality_cd")
-    return view(spark, d, "segment_dim").select("segment_id", L.lookup({k: v for k, (v, _) in L.ACCURACY.items()}, c).alias("accuracy"), F.coalesce(*(F.when(L.code(c) == k, F.lit(m).cast("double")) for k, (_, m) in L.ACCURACY.items())).alias("max_error_m"))
+    q, status, side = F.col("quality_cd"), F.expr(STATE.replace("s_suppkey", "k")), F.expr(SIDE.replace("s_suppkey", "k"))
+    return view(spark, d, "segment_dim").select(
+        "segment_id", L.lookup({k: v for k, (v, _) in L.ACCURACY.items()}, q).alias("accuracy"), L.lookup({k: m for k, (_, m) in L.ACCURACY.items()}, q, None).cast("double").alias("max_error_m"),
+        L.lookup(L.STATUS, status).alias("status"), L.lookup(L.INTERSTATE, side).alias("interstate_type"),
+    )
 
 
-@query("p3_diameter_class", twin("select segment_id, case when diameter_in<=0 then 'Not recorded' when diameter_in<4.5 then '0-4.5 in' when diameter_in<8.63 then '4.5-8.63 in' when diameter_in<12.75 then '8.63-12.75 in' when diameter_in<16 then '12.75-16 in' when diameter_in<24 then '16-24 in' when diameter_in<36 then '24-36 in' else '36 in and more' end as diameter_class from segment_dim"))
+@query("p3_diameter_class", twin("select segment_id, case when diameter_in<=0 then 'Not recorded' when diameter_in<4.5 then 'Under 4.5 in' when diameter_in<8.63 then '4.5-8.6 in' when diameter_in<12.75 then '8.6-12.75 in' when diameter_in<16 then '12.75-16 in' when diameter_in<24 then '16-24 in' when diameter_in<36 then '24-36 in' else 'Over 36 in' end as diameter_class from segment_dim"))
 def _(spark, d):
     return view(spark, d, "segment_dim").select("segment_id", L.diameter_class(F.col("diameter_in").cast("string")).alias("diameter_class"))
 
@@ -42,8 +59,9 @@ def _(spark, d):
 
 @query("p6_ordinal_key", "select c_custkey, c_mktsegment||'-'||lpad(cast(row_number() over (partition by c_mktsegment order by c_custkey)-1 as varchar),6,'0') as line_uid from customer")
 def _(spark, d):
-    w = Window.partitionBy("c_mktsegment").orderBy("c_custkey")
-    return table(spark, d, "customer").select("c_custkey", F.concat("c_mktsegment", F.lit("-"), F.lpad((F.row_number().over(w) - 1).cast("string"), 6, "0")).alias("line_uid"))
+    """Numbers of a whole segment, however large: counted by ranges of keys."""
+    rows = ranks.numbered(table(spark, d, "customer").select("c_custkey", "c_mktsegment"), ["c_mktsegment"], ["c_custkey"], "n")
+    return rows.select("c_custkey", F.concat("c_mktsegment", F.lit("-"), F.lpad((F.col("n") - 1).cast("string"), 6, "0")).alias("line_uid"))
 
 
 @query("p7_zone_key_split", twin("select unit, ring, count(*) as n_rows from (select regexp_extract(z,'^(.*)_r(.*)$',1) unit, regexp_extract(z,'^(.*)_r(.*)$',2) ring from (select segment_id||'_r1_r'||ring z from zone_obs)) group by 1,2"))
@@ -152,15 +170,22 @@ def _(spark, d):
     return strata(spark, d).withColumn("boosted", (F.col("n_e") * 2 + F.col("n_o")).cast("double"))
 
 
-@query("x2_allocation")
+POINTS = {
+    "sz": "select stratum, cast(n_e+n_o as bigint) n, least(2, cast(n_e+n_o as bigint)) least_n from strata",
+    "pt": "select stratum, (k+0.5::double)/n at_scale from (select stratum, n, unnest(range(least_n, n)) k from sz)",
+    "sc": "select coalesce(max(at_scale), 0) scale from (select at_scale, row_number() over (order by at_scale, stratum) rn from pt) where rn<=40-(select sum(least_n) from sz)",
+}
+
+
+@query("x2_allocation", twin("select stratum, cast(least_n+(select count(*) from pt where pt.stratum=sz.stratum and at_scale<=scale) as bigint) as given from sz, sc", strata=STRATA, **POINTS))
 def _(spark, d):
     s = strata(spark, d).withColumn("size", F.col("n_e") + F.col("n_o"))
     return X.allocation(s, "stratum", "size", 40, 2)
 
 
-@query("x3_group_split", twin("select stratum, cast(greatest(least(cast(round_even(g*(n_e*2.0::double)/(n_e*2.0::double+n_o),0) as bigint), least(n_e, g-(case when n_o>0 then 1 else 0 end))), greatest(case when n_e>0 then 1 else 0 end, g-n_o)) as bigint) as given_e from (select *, least(3, n_e+n_o) g from strata)", strata=STRATA))
+@query("x3_group_split", twin("select stratum, cast(case when n_e=0 then 0 when n_o=0 then least(g,n_e) else least(g-least(g-i,n_o),n_e) end as bigint) as given_e from (select *, least(greatest(round_even(g*n_e*2.0::double/(n_e*2.0::double+n_o),0),1),n_e,greatest(g-1,0)) i from (select *, least(1+length(stratum)%4, n_e+n_o) g from strata))", strata=STRATA))
 def _(spark, d):
-    g = F.least(F.lit(3), F.col("n_e") + F.col("n_o"))
+    g = F.least(1 + F.length("stratum") % 4, F.col("n_e") + F.col("n_o"))
     return strata(spark, d).select("stratum", X.split_given(g, F.col("n_e"), F.col("n_o"), 2.0).alias("given_e"))
 
 
@@ -169,22 +194,16 @@ PICK = "select *, row_number() over (partition by ecoregion order by md5('392|'|
 
 @query("x4_sample_in_groups", twin("select segment_id, ecoregion, group_size, least(5,group_size) as group_drawn, round(cast(group_size as double)/least(5,group_size),9) as weight from picked where rn<=5", picked=PICK))
 def _(spark, d):
-    return X.draw_in_groups(view(spark, d, "segment_dim").drop("weight"), "ecoregion", "segment_id", 392, F.lit(5)).select("segment_id", "ecoregion", "group_size", F.col("group_drawn").cast("long").alias("group_drawn"), F.round("weight", 9).alias("weight"))
+    return X.draw_in_groups(view(spark, d, "segment_dim").drop("weight"), "ecoregion", "segment_id", 392, 5).select("segment_id", "ecoregion", "group_size", F.col("group_drawn").cast("long").alias("group_drawn"), F.round("weight", 9).alias("weight"))
 
 
 @query("x5_sample_summary", twin("select ecoregion, commodity_group, count(*) as segments, round(sum(cast(group_size as double)/least(5,group_size)),6) as weight from picked where rn<=5 group by grouping sets ((ecoregion),(commodity_group),())", picked=PICK))
 def _(spark, d):
-    rows = X.draw_in_groups(view(spark, d, "segment_dim").drop("weight"), "ecoregion", "segment_id", 392, F.lit(5))
+    rows = X.draw_in_groups(view(spark, d, "segment_dim").drop("weight"), "ecoregion", "segment_id", 392, 5)
     return rows.groupingSets([["ecoregion"], ["commodity_group"], []], "ecoregion", "commodity_group").agg(F.count(F.lit(1)).alias("segments"), F.round(F.sum("weight"), 6).alias("weight"))
 
 
 @query("x6_n_per_class", twin("select landcover, segment_id from (select *, row_number() over (partition by landcover order by md5('7|'||segment_id), segment_id) rn from (select distinct landcover, segment_id from zone_obs)) where rn<=3"))
 def _(spark, d):
     rows = view(spark, d, "zone_obs").select("landcover", "segment_id").distinct()
-    return X.draw_in_groups(rows, "landcover", "segment_id", 7, F.lit(3)).select("landcover", "segment_id")
-
-
-@query("x7_regional_head", twin("select event_no, site_k from (select *, row_number() over (partition by event_no order by md5('392|'||cast(event_no as string)||'|'||cast(site_k as string)), site_k) rn from (select distinct event_no, site_k from site_obs where site='regional')) where rn<=2"))
-def _(spark, d):
-    rows = view(spark, d, "site_obs").where("site = 'regional'").select("event_no", "site_k").distinct()
-    return rows.withColumn("rn", F.row_number().over(Window.partitionBy("event_no").orderBy(X.hashed(392, "event_no", "site_k"), "site_k"))).where("rn <= 2").drop("rn")
+    return X.draw_in_groups(rows, "landcover", "segment_id", 7, 3).select("landcover", "segment_id")

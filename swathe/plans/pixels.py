@@ -52,10 +52,16 @@ def _(spark, d):
     return px(spark, d).where(~wet).groupBy("zone").agg(N().alias("n"))
 
 
-@query("p17_static_water", twin("select count(*) as cells from cells a where not exists (select 1 from water w where w.px between a.px-2 and a.px+2 and w.py between a.py-2 and a.py+2 and (w.px-a.px)*(w.px-a.px)+(w.py-a.py)*(w.py-a.py)<=4)", cells="select distinct px, py from pixels where landcover<>11", water="select distinct px, py from pixels where landcover=11 and zone=0"))
+WET = "landcover=11 or (px+py)%50=0"
+
+
+@query("p17_static_water", twin(f"select count(*) as cells from (select distinct px, py from pixels where not ({WET})) a anti join (select distinct px+i px, py+j py from (select distinct px, py from pixels where {WET}), (select unnest(range(-2,3)) i), (select unnest(range(-2,3)) j) where i*i+j*j<=4) using (px, py)"))
 def _(spark, d):
+    """Water is what is open water by class or wet in more than 5 percent of the time, and two cells around it."""
+    occurrence = F.when((c("px") + c("py")) % 50 == 0, 20).otherwise(0)
+    wet = (c("landcover") == 11) | (occurrence > 5)
     p = px(spark, d)
-    return P.near(p.where("landcover <> 11").select("px", "py").distinct(), p.where("landcover = 11 and zone = 0"), 2).agg(N().alias("cells"))
+    return P.near(p.where(~wet).select("px", "py").distinct(), p.where(wet), 2).agg(N().alias("cells"))
 
 
 @query("p18_bit_mask", twin("select zone, count(*) as n from pixels where ((px*7+py) & 191)=0 or (px & 3)=0 group by 1"))
@@ -68,10 +74,14 @@ def _(spark, d):
     return px(spark, d).where(c("py") * 0.01 <= 3.5).groupBy("zone").agg(F.round(F.avg(P.kelvin_to_celsius(c("px") * 40 + 20000)), 6).alias("lst"), N().alias("n"))
 
 
-@query("p20_harmonization", twin("select zone, round(avg(case when tile=0 then b4*2.75e-5-0.2 else (b4*2.75e-5-0.2)*0.9785::double-0.0095::double end),9) as red from pixels group by 1"))
+RAW = {"blue": "b2", "green": "b11", "red": "b4", "nir": "b8", "swir1": "b11", "swir2": "b2"}
+ROY = [("blue", "b2", 0.8474, 0.0003), ("green", "b11", 0.8483, 0.0088), ("red", "b4", 0.9047, 0.0061), ("nir", "b8", 0.8462, 0.0412), ("swir1", "b11", 0.8937, 0.0254), ("swir2", "b2", 0.9071, 0.0172)]
+
+
+@query("p20_harmonization", twin("select zone, " + ", ".join(f"round(avg(case when tile=0 then {x}*30000*0.0000275::double-0.2::double else ({x}*30000*0.0000275::double-0.2::double)*{m}::double+{k}::double end),9) as {n}" for n, x, m, k in ROY) + " from pixels group by 1"))
 def _(spark, d):
-    scaled = c("b4") * 2.75e-5 - 0.2
-    return px(spark, d).groupBy("zone").agg(F.round(F.avg(F.when(c("tile") == 0, scaled).otherwise(scaled * 0.9785 - 0.0095)), 9).alias("red"))
+    """Six bands; tile 1 stands for the older sensors."""
+    return px(spark, d).groupBy("zone").agg(*(F.round(F.avg(P.reflectance(c(x) * 30000, band, c("tile") == 1)), 9).alias(band) for band, x in RAW.items()))
 
 
 @query("p21_season_window", twin("select year(dt) as year, count(*) as n from pixels where month(dt) in (3,4) and cs_cdf*100<60 group by 1"))
@@ -96,28 +106,46 @@ def _(spark, d):
     return P.zonal(ndvi(spark, d), ["zone", "landcover", "dt", "orbit"], "ndvi").withColumn("mean", F.round("mean", 9))
 
 
-@query("g20_pass_mosaic", NDVI + "select zone, dt, orbit, tiles, round(v,9) as ndvi from (select zone, dt, orbit, string_agg(distinct cast(tile as varchar), ',' order by cast(tile as varchar)) tiles, max(row(tile, ndvi))[2] v from p group by 1,2,3)")
+MOSAIC = {
+    "p": "select *, (b8-b4)/(b8+b4) ndvi from pixels",
+    "lst": "select zone, landcover, px, py, dt, orbit, max(row(tile, ndvi))[2] v from p group by 1,2,3,4,5,6",
+    "tl": "select dt, orbit, string_agg(distinct cast(tile as varchar), ',' order by cast(tile as varchar)) tiles from p group by 1,2",
+    "ag": "select dt, orbit, avg(a) sun from (select dt, orbit, tile, avg(sun_zenith) a from p group by 1,2,3) group by 1,2",
+}
+
+
+@query("g20_pass_mosaic", twin("select zone, landcover, l.dt, l.orbit, tiles, round(sun,9) as sun_zenith, round(avg(v),9) as mean, count(v) as n from lst l join tl on l.dt=tl.dt and l.orbit=tl.orbit join ag on l.dt=ag.dt and l.orbit=ag.orbit group by 1,2,3,4,5,6", **MOSAIC))
 def _(spark, d):
-    return P.mosaic(ndvi(spark, d), ["zone"], "ndvi").select("zone", "dt", "orbit", "tiles", F.round("ndvi", 9).alias("ndvi"))
+    """One value a pixel and pass, then each zone's mean and count by class."""
+    one = P.mosaic(ndvi(spark, d), ["zone", "landcover", "px", "py"], "ndvi", "sun_zenith")
+    return one.groupBy("zone", "landcover", "dt", "orbit", "tiles", F.round("sun_zenith", 9).alias("sun_zenith")).agg(F.round(F.avg("ndvi"), 9).alias("mean"), F.count("ndvi").alias("n"))
 
 
-@query("g21_temporal_composite", NDVI + "select zone, round(avg(med),9) as mean, round(median(med),9) as median, round(stddev_pop(med),9) as sd, round(quantile_cont(p90,0.9),9) as p90, cast(sum(clear) as bigint) as clear from (select zone, px, median(ndvi) med, quantile_cont(ndvi,0.9) p90, count(ndvi) clear from p group by 1,2) group by 1")
+SUMMED = ", ".join(f"round(avg({v}),9) as {v}_mean, round(stddev_pop({v}),9) as {v}_sd, count({v}) as {v}_n, round(quantile_cont({v},0.1),9) as {v}_p10, round(median({v}),9) as {v}_median, round(quantile_cont({v},0.9),9) as {v}_p90" for v in ("med", "top", "clear"))
+
+
+@query("g21_temporal_composite", NDVI + f"select zone, landcover, {SUMMED} from (select zone, landcover, px, py, median(ndvi) med, quantile_cont(ndvi,0.9) top, count(ndvi) clear from p group by 1,2,3,4) group by 1,2")
 def _(spark, d):
-    cells = P.composite(ndvi(spark, d), ["zone", "px"], "ndvi")
-    return cells.groupBy("zone").agg(F.round(F.avg("median"), 9).alias("mean"), F.round(F.stddev_pop("median"), 9).alias("sd"), F.round(F.percentile("p90", 0.9), 9).alias("p90"), F.sum("clear").alias("clear"), F.round(F.median("median"), 9).alias("median"))
+    cells = P.composite(ndvi(spark, d), ["zone", "landcover", "px", "py"], "ndvi").withColumnsRenamed({"median": "med", "p90": "top"})
+    found = P.zone_summary(cells, ["zone", "landcover"], ["med", "top", "clear"])
+    return found.withColumns({x: F.round(x, 9) for x, kind in found.dtypes if kind == "double"})
 
 
-@query("g22_mean_composite", NDVI + "select zone, round(avg(m),9) as mean, count(*) as pixels, round(avg(k),9) as clear_images from (select zone, px, avg(ndvi) m, count(ndvi) k from p group by 1,2) group by 1")
+@query("g22_mean_composite", NDVI + "select zone, round(avg(m),9) as mean, round(avg(med),9) as median, count(*) as pixels, round(avg(k),9) as clear_images from (select zone, px, py, avg(ndvi) m, median(ndvi) med, count(ndvi) k from p group by 1,2,3) group by 1")
 def _(spark, d):
-    cells = ndvi(spark, d).groupBy("zone", "px").agg(F.avg("ndvi").alias("m"), F.count("ndvi").alias("k"))
-    return cells.groupBy("zone").agg(F.round(F.avg("m"), 9).alias("mean"), N().alias("pixels"), F.round(F.avg("k"), 9).alias("clear_images"))
+    cells = ndvi(spark, d).groupBy("zone", "px", "py").agg(F.avg("ndvi").alias("m"), F.median("ndvi").alias("med"), F.count("ndvi").alias("k"))
+    return cells.groupBy("zone").agg(F.round(F.avg("m"), 9).alias("mean"), F.round(F.avg("med"), 9).alias("median"), N().alias("pixels"), F.round(F.avg("k"), 9).alias("clear_images"))
+
 
+LAYERS = {"elevation_m": "px", "slope_deg": "py/20.0::double", "hand_m": "(px+py)/100.0::double", "twi": "ln(greatest(py*1e6/90,1))-ln(greatest(tan(radians(px/20.0::double)),0.001))", "water_share": "case when landcover=11 then 1.0::double else 0 end"}
 
-@query("g23_fixed_values", twin("select zone, elevation, soil from (select zone, round(avg(px),9) elevation from pixels group by 1) join (select zone, scl as soil from (select zone, scl, row_number() over (partition by zone order by count(*) desc, scl) rn from pixels group by 1,2) where rn=1) using (zone)"))
+
+@query("g23_fixed_values", twin("select zone, " + ", ".join(f"round(avg({x}),6) as {n}" for n, x in LAYERS.items()) + ", any_value(soil) as soil from pixels join (select zone, scl as soil from (select zone, scl, row_number() over (partition by zone order by count(*) desc, scl) rn from pixels group by 1,2) where rn=1) using (zone) group by 1"))
 def _(spark, d):
-    """The mode is taken with ties to the lower class, from counts."""
-    counts = px(spark, d).groupBy("zone", "scl").agg(N().alias("n"), F.sum("px").alias("s"))
-    return counts.groupBy("zone").agg(F.round(F.sum("s") / F.sum("n"), 9).alias("elevation"), F.max_by("scl", F.struct("n", -c("scl"))).alias("soil"))
+    """Means of five layers and the most frequent soil class, of equals the lower; sums and counts by class come first."""
+    layers = {"elevation_m": c("px"), "slope_deg": c("py") / 20, "hand_m": (c("px") + c("py")) / 100, "twi": P.wetness(c("py"), c("px") / 20), "water_share": (c("landcover") == 11).cast("double")}
+    counts = px(spark, d).groupBy("zone", "scl").agg(N().alias("n"), *(F.sum(v).alias(k) for k, v in layers.items()))
+    return counts.groupBy("zone").agg(*(F.round(F.sum(k) / F.sum("n"), 6).alias(k) for k in layers), F.max_by("scl", F.struct("n", -c("scl"))).alias("soil"))
 
 
 @query("g24_season_grid_mean", twin("select zone, year, round(avg(v),9) as pdsi from (select distinct zone, px//100 gx from pixels) z join (select px//100 gx, year(dt) as year, avg(b11) v from pixels where month(dt) in (3,4) group by 1,2) g using (gx) group by 1,2"))
@@ -127,22 +155,71 @@ def _(spark, d):
     return px(spark, d).select("zone", cell).distinct().join(grid, "gx").groupBy("zone", "year").agg(F.round(F.avg("v"), 9).alias("pdsi"))
 
 
-@query("v10_spot_history", NDVI + "select year(dt) as year, round(median(v),9) as median_ndvi, count(*) as clear_images from (select dt, orbit, avg(ndvi) v from p where (px-500)*(px-500)+(py-500)*(py-500)<=90000 group by 1,2) group by 1")
+SPOT = {
+    "p": "select *, (b8-b4)/(b8+b4) ndvi from pixels where (px-500)*(px-500)+(py-500)*(py-500)<=90000",
+    "im": "select dt, orbit, avg(ndvi) v from p group by 1,2",
+    "cp": "select year, avg(m) composite from (select year(dt) as year, px, py, median(ndvi) m from p group by 1,2,3) group by 1",
+    "again": "select year, avg(v) again from (select year(dt) as year, v, row_number() over (partition by year(dt) order by v, dt, orbit) rn, count(*) over (partition by year(dt)) n from im) where rn in ((n+1)//2, n//2+1) group by 1",
+}
+
+
+@query("v10_spot_history", twin("select year, round(median(v),9) as median_ndvi, count(*) as clear_images, abs(median(v)-any_value(again))<=1e-9 as same, round(median(v)-any_value(composite),9) as less_composite from (select year(dt) as year, v from im) join cp using (year) join again using (year) group by 1", **SPOT))
 def _(spark, d):
-    spot = ndvi(spark, d).where((c("px") - 500) * (c("px") - 500) + (c("py") - 500) * (c("py") - 500) <= 90000)
-    return spot.groupBy("dt", "orbit").agg(F.avg("ndvi").alias("v")).groupBy(F.year("dt").alias("year")).agg(F.round(F.median("v"), 9).alias("median_ndvi"), N().alias("clear_images"))
+    """A circle's mean in each image and the spring's median; the same median from ranks, and what a composite of pixel medians gives instead."""
+    from ..operators import ranks
+
+    spot = ndvi(spark, d).where((c("px") - 500) * (c("px") - 500) + (c("py") - 500) * (c("py") - 500) <= 90000).withColumn("year", F.year("dt"))
+    images = spot.groupBy("year", "dt", "orbit").agg(F.avg("ndvi").alias("v"))
+    again = ranks.quantiles(images, ["year"], "v", {"again": 0.5})
+    pixels = spot.groupBy("year", "px", "py").agg(F.median("ndvi").alias("m")).groupBy("year").agg(F.avg("m").alias("composite"))
+    rows = images.groupBy("year").agg(F.median("v").alias("m"), N().alias("clear_images")).join(again, "year").join(pixels, "year")
+    return rows.select("year", F.round("m", 9).alias("median_ndvi"), "clear_images", (F.abs(c("m") - c("again")) <= 1e-9).alias("same"), F.round(c("m") - c("composite"), 9).alias("less_composite"))
+
+
+RINGS = ["0-50", "50-100", "100-250", "250-500", "500-1000"]
+#: Cells of a ring by a piece's own length: shares that stay after cleaning are those of cells that are not water.
+BANDS = {"b": "select zone, case px//200 when 0 then '0-50' when 1 then '50-100' when 2 then '100-250' when 3 then '250-500' else '500-1000' end ring, count(*)*100.0::double full_area, count(*) filter (landcover<>11)*100.0::double area from pixels group by 1,2"}
+LEAST_AREA = 8000.0
+
 
+def bands(spark, d):
+    """Area of each zone's rings before and after cleaning, in square metres of cells of 100."""
+    name = F.element_at(F.array(*map(F.lit, RINGS)), F.expr("px div 200").cast("int") + 1)
+    rows = px(spark, d).groupBy("zone", name.alias("ring")).agg((N() * 100.0).alias("full_area"), (F.count_if(c("landcover") != 11) * 100.0).alias("area"))
+    return rows.withColumn("kept_share", F.try_divide("area", "full_area"))
 
-@query("g10_g11_band_area", twin("select zone, kept, kept_share, kept>=200 as has_zone from (select zone, count(*) filter (landcover<>11) kept, round(count(*) filter (landcover<>11)/count(*)::double,9) kept_share from pixels group by 1)"))
+
+@query("g10_g11_band_area", twin(f"select zone, max(area) filter (area>={LEAST_AREA}) is not null as has_zones, coalesce(bool_or(ring='500-1000' and area>={LEAST_AREA}),false) as has_comparison, round(max(area/full_area) filter (ring='500-1000' and area>={LEAST_AREA}),9) as comparison_kept_share, count(*) filter (area>={LEAST_AREA}) as rings, round(sum(area) filter (area>={LEAST_AREA}),6) as kept_area from b group by 1", **BANDS))
 def _(spark, d):
-    ok = F.count_if(c("landcover") != 11)
-    return px(spark, d).groupBy("zone").agg(ok.alias("kept"), F.round(ok / N(), 9).alias("kept_share"), (ok >= 200).alias("has_zone"))
+    """Rings under the least area are dropped; a zone's flags and its comparison ring's kept share."""
+    usable, outer = c("area") >= LEAST_AREA, c("ring") == "500-1000"
+    return bands(spark, d).groupBy("zone").agg(
+        F.coalesce(F.max(usable), F.lit(False)).alias("has_zones"), F.coalesce(F.max(usable & outer), F.lit(False)).alias("has_comparison"),
+        F.round(F.max(F.when(usable & outer, c("kept_share"))), 9).alias("comparison_kept_share"), F.count_if(usable).alias("rings"), F.round(F.sum(F.when(usable, c("area"))), 6).alias("kept_area"),
+    )
 
 
-@query("g12_coverage_ledger", twin("select coalesce(reason,'kept') as reason, ecoregion, quality_cd, count(*) as pieces, cast(sum(weight) as bigint) as km from (select *, case when k%9=0 then 'outside the regions' when quality_cd='X' then 'unknown accuracy' end reason from segment_dim) group by 1,2,3"))
+@query("g10_ring_summary", twin(f"select ring, count(*) as rings, count(*) filter (area>={LEAST_AREA}) as kept, round(avg(area/full_area),9) as mean_kept_share from b group by 1", **BANDS))
 def _(spark, d):
-    from ..operators.labels import first_reason
+    return bands(spark, d).groupBy("ring").agg(N().alias("rings"), F.count_if(c("area") >= LEAST_AREA).alias("kept"), F.round(F.avg("kept_share"), 9).alias("mean_kept_share"))
+
+
+LABELS = "commodity_group, status, quality_cd"
+LEDGER = {
+    "ln": "select segment_id, ecoregion, commodity_group, status, quality_cd, k, weight*1.0::double line_km, case when k%9=0 then 0.0::double when k%4=0 then weight*0.5::double else weight*1.0::double end covered, k%10=7 as repeated from segment_dim",
+    "pc": "select ecoregion, 'measured' as reason, true as kept, commodity_group, status, quality_cd, 1 as pieces, covered as km from ln where not repeated and covered>0 and k%5<>1 union all select ecoregion, 'piece shorter than 50 m', false, commodity_group, status, quality_cd, 1, covered from ln where not repeated and covered>0 and k%5=1 union all select '(none)', 'outside the regions', false, commodity_group, status, quality_cd, 0, greatest(line_km-covered,0) from ln where not repeated and line_km-covered>0.001 union all select '(any)', 'exact duplicate of another line', false, commodity_group, status, quality_cd, 0, line_km from ln where repeated",
+}
 
-    r = first_reason((c("k") % 9 == 0, "outside the regions"), (c("quality_cd") == "X", "unknown accuracy"))
-    rows = view(spark, d, "segment_dim").withColumn("reason", F.when(r == "", "kept").otherwise(r))
-    return rows.groupBy("reason", "ecoregion", "quality_cd").agg(N().alias("pieces"), F.sum("weight").cast("long").alias("km"))
+
+@query("g12_coverage_ledger", twin(f"select ecoregion, reason, kept, {LABELS}, cast(sum(pieces) as bigint) as pieces, count(*) as lines, round(sum(km),9) as km from pc group by 1,2,3,4,5,6", **LEDGER))
+def _(spark, d):
+    """Every line's length once: measured or too short inside the regions, what no region covers, and lines that repeat another; null labels count too."""
+    line = view(spark, d, "segment_dim").withColumns({"line_km": c("weight") * 1.0, "covered": F.when(c("k") % 9 == 0, 0.0).when(c("k") % 4 == 0, c("weight") * 0.5).otherwise(c("weight") * 1.0), "repeated": c("k") % 10 == 7})
+    own = line.where(~c("repeated"))
+    part = lambda rows, region, reason, kept, n, km: rows.select(region.alias("ecoregion"), reason.alias("reason"), kept.alias("kept"), "commodity_group", "status", "quality_cd", F.lit(n).alias("pieces"), km.alias("km"))
+    short = c("k") % 5 == 1
+    inside = part(own.where("covered > 0"), c("ecoregion"), F.when(short, "piece shorter than 50 m").otherwise("measured"), ~short, 1, c("covered"))
+    outside = part(own.where(c("line_km") - c("covered") > 0.001), F.lit("(none)"), F.lit("outside the regions"), F.lit(False), 0, F.greatest(c("line_km") - c("covered"), F.lit(0.0)))
+    twice = part(line.where("repeated"), F.lit("(any)"), F.lit("exact duplicate of another line"), F.lit(False), 0, c("line_km"))
+    rows = inside.unionByName(outside).unionByName(twice)
+    return rows.groupBy("ecoregion", "reason", "kept", "commodity_group", "status", "quality_cd").agg(F.sum("pieces").cast("long").alias("pieces"), N().alias("lines"), F.round(F.sum("km"), 9).alias("km"))

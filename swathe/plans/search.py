@@ -41,9 +41,8 @@ def _(spark, d):
 @query("e3_j11_places_like_spills", twin("select place_id, round(max(cs),6) as cosine, min_by(probe, (-cs, probe)) as nearest from (select a.place_id, b.place_id probe, list_cosine_similarity(a.vec::double[], b.vec::double[]) cs from places a, places b where a.kind='segment band' and a.year=2018 and b.kind='spill site' and b.year=2018) group by 1 order by max(cs) desc, place_id limit 25"))
 def _(spark, d):
     p = places(spark, d).where("year = 2018")
-    rows = S.against(p.where("kind = 'segment band'").select("place_id", "vec"), p.where("kind = 'spill site'").select(c("place_id").alias("probe"), c("vec").alias("pvec")))
-    best = rows.groupBy("place_id").agg(F.max("cosine").alias("m"), F.max_by("probe", F.struct("cosine", -c("probe"))).alias("nearest"))
-    return best.orderBy(F.desc("m"), "place_id").limit(25).select("place_id", F.round("m", 6).alias("cosine"), "nearest")
+    best = S.nearest(p.where("kind = 'segment band'"), p.where("kind = 'spill site'").select(c("place_id").alias("probe"), c("vec").alias("pvec")), "place_id")
+    return best.orderBy(F.desc("cosine"), "place_id").limit(25).select("place_id", F.round("cosine", 6).alias("cosine"), "nearest")
 
 
 @query("a27_pixel_weighted_embedding", twin("select label, k as dim, round(sum(x*w)/sum(w),6) as val from (select label, 1+place_id%7 w, unnest(vec::double[]) x, generate_subscripts(vec,1)-1 k from places) group by 1,2"))
@@ -52,10 +51,11 @@ def _(spark, d):
     return rows.groupBy("label", "dim").agg(F.round(F.sum(c("x").cast("double") * c("w")) / F.sum("w"), 6).alias("val"))
 
 
-@query("g25_embedding_zonal_mean", twin("select label, year, count(*) as pixels, round(avg((vec::double[])[1]),6) as a00, round(avg((vec::double[])[64]),6) as a63 from places group by 1,2"))
+@query("g25_embedding_zonal_mean", twin("select label, year, k as band, count(*) as pixels, round(avg(x),6) as mean from (select label, year, unnest(vec::double[]) x, generate_subscripts(vec,1)-1 k from places) group by 1,2,3"))
 def _(spark, d):
-    long = places(spark, d).select("label", "year", "place_id", F.posexplode("vec").alias("k", "x")).groupBy("label", "year", "k").agg(F.avg(c("x").cast("double")).alias("m"), N().alias("pixels"))
-    return long.groupBy("label", "year").agg(F.max("pixels").alias("pixels"), F.round(F.max(F.when(c("k") == 0, c("m"))), 6).alias("a00"), F.round(F.max(F.when(c("k") == 63, c("m"))), 6).alias("a63"))
+    """Mean and pixel count of all 64 bands of each zone and year."""
+    long = places(spark, d).select("label", "year", F.posexplode("vec").alias("band", "x"))
+    return long.groupBy("label", "year", "band").agg(F.round(F.avg(c("x").cast("double")), 6).alias("mean"), N().alias("pixels"))
 
 
 @query("e4_keyword_score", twin(f"select report_no, round({SCORE},6) as score from reports"))
@@ -78,33 +78,41 @@ def _(spark, d):
     return hybrid(spark, d).orderBy(F.desc("score"), "report_no").limit(10).select("report_no", F.round("score", 6).alias("score"))
 
 
-@query("e6_filtered_search", twin(f"select report_no, (select count(*) from reports where soil_removed='yes') as matching from reports where soil_removed='yes' order by {SCORE} desc, report_no limit 8"))
+FILTERS = "how_found='patrol' and contains(coalesce(cleanup,''),'soil') and soil_removed='yes' and reached_water='no' and year>=2012"
+
+
+@query("e6_filtered_search", twin(f"select report_no, (select count(*) from reports where {FILTERS}) as matching, (select count(*) from reports) as searched from reports where {FILTERS} order by {SCORE} desc, report_no limit 8"))
 def _(spark, d):
-    rows = view(spark, d, "reports").where("soil_removed = 'yes'")
+    every = view(spark, d, "reports")
+    rows = every.where((c("how_found") == "patrol") & F.coalesce(c("cleanup"), F.lit("")).contains("soil") & (c("soil_removed") == "yes") & (c("reached_water") == "no") & (c("year") >= 2012))
     top = rows.withColumn("s", S.keyword_score(ASKED, c("narrative"))).orderBy(F.desc("s"), "report_no").limit(8).select("report_no")
-    return top.crossJoin(F.broadcast(rows.agg(N().alias("matching"))))
+    return top.crossJoin(F.broadcast(rows.agg(N().alias("matching")))).crossJoin(F.broadcast(every.agg(N().alias("searched"))))
+
+
+CLAIMED = f"soil_removed='unknown' or ({PLAIN.format('quote')}<>'' and contains({PLAIN.format('narrative')},{PLAIN.format('quote')}))"
 
 
-@query("e7_v12_quote_support", twin(f"select report_no, soil_removed, {PLAIN.format('quote')}='' or contains({PLAIN.format('narrative')},{PLAIN.format('quote')}) as supported from reports"))
+@query("e7_v12_quote_support", twin(f"select report_no, soil_removed, how_found, year, coalesce({CLAIMED},false) as supported from reports"))
 def _(spark, d):
-    return view(spark, d, "reports").select("report_no", "soil_removed", S.supported(c("quote"), c("narrative")).alias("supported"))
+    """A report's facts and whether the answer's quote is really in it."""
+    return view(spark, d, "reports").select("report_no", "soil_removed", "how_found", "year", S.supported(c("soil_removed"), c("quote"), c("narrative")).alias("supported"))
 
 
-@query("e8_number_support", "select o_orderkey, case when o_orderkey%5=0 then 1 else 2 end as supported, 2 as n_numbers from orders")
+@query("e8_number_support", "select o_orderkey, 4 as checked, case when o_orderkey%5=0 then 1 else 0 end + case when o_orderkey%3=0 then 1 else 0 end as unsupported from orders")
 def _(spark, d):
-    """Answers built from a table: the amount at one decimal place, altered for every fifth order, and a percentage of a fraction."""
-    p = F.round("o_totalprice", 2)
-    said = F.concat(F.lit("It came to "), F.format_string("%.1f", F.when(c("o_orderkey") % 5 == 0, p + 7).otherwise(p)), F.lit(" or 25 percent of A12."))
-    proof = F.concat(F.lit("amount "), F.format_string("%.2f", p), F.lit(" share 0.25"))
-    rows = table(spark, d, "orders").select("o_orderkey", S.numbers(said).alias("said"), S.numbers(proof).alias("proof"))
-    return rows.select("o_orderkey", F.size(F.filter("said", lambda t: S.number_supported(t, c("proof")))).alias("supported"), F.size("said").alias("n_numbers"))
+    """Answers built from a table: an amount with thousands, altered for every fifth order, a percentage of a fraction, a fraction that nothing supports
+    in every third, a power of ten, and a year and ids that aren't checked."""
+    p, k = F.round("o_totalprice", 1), c("o_orderkey")
+    said = F.concat(F.lit("In 2024 S123 came to "), F.format_number(F.when(k % 5 == 0, p + 7).otherwise(p), 1), F.lit(" or 25% of A12, that is "), F.when(k % 3 == 0, "25.0").otherwise("0.25"), F.lit(" at 3.9e-04."))
+    proof = F.concat(F.lit("amount "), F.format_string("%.1f", p), F.lit(" share 0.25 rate -0.00039"))
+    return table(spark, d, "orders").select("o_orderkey", S.number_check(said, proof).alias("x")).select("o_orderkey", "x.checked", F.size("x.unsupported").alias("unsupported"))
 
 
 @query("e9_answer_scoring", "select o_orderpriority, round(avg(case when o_orderkey%5=0 then 0.0::double else 1 end),9) as score from orders group by 1")
 def _(spark, d):
     p = F.round("o_totalprice", 2)
     answer = F.concat(F.lit("total "), F.format_string("%.2f", F.when(c("o_orderkey") % 5 == 0, p + 7).otherwise(p)))
-    hit = F.exists(S.numbers(answer), lambda t: F.abs(t.cast("double") - p) <= 0.005 + 1e-9)
+    hit = F.exists(S.numbers(answer), lambda t: F.abs(S.value_of(t) - p) <= 0.005 + 1e-9)
     return table(spark, d, "orders").groupBy("o_orderpriority").agg(F.round(F.avg(hit.cast("double")), 9).alias("score"))
 
 
@@ -114,10 +122,20 @@ def _(spark, d):
     return words.intersect(hybrid(spark, d).orderBy(F.desc("score"), "report_no").limit(50).select("report_no")).agg(N().alias("shared"))
 
 
-@query("e11_place_table", twin("select kind, year, count(*) as n_places from (select kind, year from places union all select 'comparison ring', year from places where kind='segment band') group by 1,2"))
+PLACES = {
+    "xb": "select place_id, case which when 'sample_row' then 'segment band' else 'segment comparison' end kind, x.year as year, null::varchar spill_id, ecoregion, commodity_group commodity, pixels, embedding::double[] e from embedding_export x left join segment_dim on place_id=segment_id where which<>'sites' and pixels>0",
+    "xl": "select place_id, year, pixels, unnest(embedding::double[]) x, generate_subscripts(embedding,1) k from embedding_export where which='sites' and pixels>0",
+    "xd": "select place_id, year, k, sum(x*pixels)/sum(pixels) m, sum(pixels) px from xl group by 1,2,3",
+    "xs": "select place_id, year, list(m order by k) e, max(px) pixels from xd group by 1,2",
+    "xt": "select * from xb union all select place_id, case site when 'spill' then 'spill site' else 'comparison spot' end, xs.year, spill_id, site_ecoregion, null, pixels, e from xs left join place_sites on place_id=site_id",
+}
+
+
+@query("e11_place_table", twin("select place_id, kind, year, spill_id, ecoregion, commodity, cast(pixels as bigint) as pixels, len(e) as bands, round(e[1],6) as first_band, round(e[64],6) as last_band, round(list_dot_product(e,e),6) as squared from xt", **PLACES))
 def _(spark, d):
-    p = places(spark, d).select("kind", "year")
-    return p.unionByName(p.where("kind = 'segment band'").withColumn("kind", F.lit("comparison ring"))).groupBy("kind", "year").agg(N().alias("n_places"))
+    t = S.place_table(view(spark, d, "embedding_export"), view(spark, d, "segment_dim"), view(spark, d, "place_sites"))
+    e = c("embedding")
+    return t.select("place_id", "kind", "year", "spill_id", "ecoregion", "commodity", c("pixels").cast("long").alias("pixels"), F.size(e).alias("bands"), F.round(e[0], 6).alias("first_band"), F.round(e[63], 6).alias("last_band"), F.round(S.dot(e, e), 6).alias("squared"))
 
 
 @query("e12_entity_lookup", twin("select spill_id as place, x, y from spill_points where spill_id in ('S000003','S000017') union all select '12.5, -7.25', 12.5, -7.25"))

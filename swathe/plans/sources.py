@@ -10,6 +10,7 @@ from ..sources import files
 from ..streaming import springs
 from . import corridor
 from .fixtures import table, twin, view
+from .tables import TABLES
 
 
 def N():
@@ -21,8 +22,8 @@ def _(spark, d):
     path = files.scratch(spark, "springs")
     rows = table(spark, d, "lineitem").select("l_orderkey", "l_quantity", F.concat(F.lit("spring_"), F.year("l_shipdate").cast("string")).alias("spring"))
     rows.write.partitionBy("spring").csv(path)
-    read = spark.read.schema("l_orderkey long, l_quantity double, spring string").csv(path)
-    return read.groupBy(files.year_of(F.col("spring")).alias("year")).agg(N().alias("n"))
+    read = files.scan(spark, path, "l_orderkey long, l_quantity double", recursiveFileLookup="true")
+    return read.groupBy(files.year_of(F.col("source_path")).alias("year")).agg(N().alias("n"))
 
 
 @query("s3_wide_text", "select c_mktsegment, count(*) as n, round(sum(c_acctbal),2) as balance from customer group by 1")
@@ -51,7 +52,7 @@ def _(spark, d):
     return files.write_missing(rows, path, "ecoregion", done=first).groupBy("ecoregion").agg(N().alias("segments"))
 
 
-@query("s8_wkt_export")
+@query("s8_wkt_export", twin("select line_uid as zone_id, 'LINESTRING ('||string_agg(printf('%.6f %.6f', x, y), ', ' order by seq)||')' as wkt from line_vertices group by 1"))
 def _(spark, d):
     path = files.scratch(spark, "wkt")
     lists = view(spark, d, "line_vertices").groupBy("line_uid").agg(F.array_sort(F.collect_list(F.struct("seq", "x", "y"))).alias("p"))
@@ -62,18 +63,14 @@ def _(spark, d):
 
 @query("s11_manifest")
 def _(spark, d):
-    return files.manifest(spark, f"{d}/customer.parquet").select("name", "bytes", "sha256")
+    """Every file of every table."""
+    return files.manifest(spark, d).select("name", "bytes", "sha256")
 
 
-@query("s12_catalog")
+@query("s12_catalog", "select name, case when regexp_matches(name,'^(line|supp|part)') then 'measurement table' when regexp_matches(name,'^(cust|nation|region)') then 'place table' when regexp_matches(name,'^(doc|page|bench|label|conv)') then 'text table' when regexp_matches(name,'^(embed)') then 'discovery table' else 'other table' end as kind, n_rows, n_columns, true as has_files from (" + " union all ".join(f"select '{t}' as name, count(*) as n_rows, {n} as n_columns from {t}" for t, (n, _) in TABLES.items()) + ")")
 def _(spark, d):
-    kind = F.when(F.col("name").rlike("^(line|seg)"), "lines").when(F.col("name").rlike("cust|supp"), "places").otherwise("other")
-    found = None
-    for t in ("region", "nation", "customer", "supplier"):
-        df = table(spark, d, t)
-        row = df.agg(F.lit(t).alias("name"), N().alias("n_rows"), F.lit(len(df.columns)).alias("n_columns"))
-        found = row if found is None else found.unionByName(row)
-    return found.withColumn("kind", kind)
+    found = files.catalog(spark, d, list(TABLES))
+    return found.select("name", "kind", "n_rows", F.size(F.split("columns", ", ")).alias("n_columns"), ((F.col("files") > 0) & (F.col("bytes") > 0) & F.col("updated").isNotNull()).alias("has_files"))
 
 
 @query("s13_sinks", twin("select year, count(*) as n_rows from per group by 1", **corridor.SPRINGS))
@@ -95,9 +92,17 @@ def _(spark, d):
     return spark.read.parquet(f"{base}/out").groupBy("year", "ring").agg(N().alias("segments"), F.round(F.sum("diff_all"), 6).alias("total"))
 
 
-@query("a18_robust_regression", "select round(regr_slope(l_quantity, l_linenumber),6) as slope, round(regr_intercept(l_quantity, l_linenumber),6) as intercept, count(*) as n from lineitem")
+HC3 = {
+    "xy": "select cast(l_linenumber as double) x, l_quantity y from lineitem",
+    "mm": "select count(*) n, avg(x) mx, avg(y) my, regr_slope(y,x) b, regr_intercept(y,x) a, regr_r2(y,x) r2, regr_sxx(y,x) sxx from xy",
+    "rs": "select x-mx dx, (y-a-b*x)/(1-(1.0::double/n+(x-mx)*(x-mx)/sxx)) e, n, mx, sxx from xy, mm",
+    "se": "select sqrt(sum(dx*dx*e*e))/any_value(sxx) sb, sqrt(sum((1.0::double/n-mx*dx/sxx)*(1.0::double/n-mx*dx/sxx)*e*e)) sa from rs",
+    "bt": "select 'line' as term, b as estimate, sb as s, n, r2 from mm, se union all select 'intercept', a, sa, n, r2 from mm, se",
+}
+
+
+@query("a18_robust_regression", twin("select term, round(estimate,6) as estimate, round(s,6) as se, round(estimate-1.959964*s,6) as lo95, round(estimate+1.959964*s,6) as hi95, n, round(r2,6) as r2 from bt", **HC3))
 def _(spark, d):
     rows = table(spark, d, "lineitem").select(F.col("l_linenumber").cast("double").alias("line"), "l_quantity")
     fit = linear.robust_fit(rows, "l_quantity", ["line"])
-    by = {r["term"]: r for r in fit}
-    return spark.createDataFrame([(round(by["line"]["estimate"], 6), round(by["intercept"]["estimate"], 6), by["line"]["n"])], "slope double, intercept double, n long")
+    return spark.createDataFrame([(r["term"], *(round(r[k], 6) for k in ("estimate", "se", "lo95", "hi95")), r["n"], round(r["r2"], 6)) for r in fit], "term string, estimate double, se double, lo95 double, hi95 double, n long, r2 double")

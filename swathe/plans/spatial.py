@@ -152,31 +152,47 @@ def _(spark, d):
     return p.join(near, "spill_id", "left").select("spill_id", F.coalesce("near", F.lit(False)).alias("other_within"))
 
 
-@query("g16_comparison_spots", twin("select spill_id, line_uid, o as offset_m, round(at_m+o,6) as at_m from best join ll using (line_uid), (select unnest([-1500,-1000,-500,500,1000,1500]) o) where at_m+o>=0 and at_m+o<=total", **NEAR))
+@query("g16_comparison_spots", twin("select spill_id, line_uid, o as offset_m, round(at_m+o,6) as at_m from best join ll using (line_uid), (select unnest([-3000,-2500,-2000,-1500,-1000,-500,500,1000,1500,2000,2500,3000]) o) where at_m+o>=0 and at_m+o<=total", **NEAR))
 def _(spark, d):
     total = lines(spark, d).groupBy("line_uid").agg(F.sum("len").alias("total"))
     near = S.nearest_line(points(spark, d), lines(spark, d), "spill_id", 2000.0).join(total, "line_uid")
-    rows = near.withColumn("offset_m", F.explode(F.array(*(F.lit(k * 500) for k in (-3, -2, -1, 1, 2, 3))))).withColumn("at_m", c("at") + c("offset_m"))
+    rows = near.withColumn("offset_m", F.explode(F.array(*(F.lit(k * 500) for k in range(-6, 7) if k)))).withColumn("at_m", c("at") + c("offset_m"))
     return rows.where("at_m >= 0 and at_m <= total").select("spill_id", "line_uid", "offset_m", F.round("at_m", 6).alias("at_m"))
 
 
-POOL = "select s.segment_id, o.segment_id as other, row_number() over (partition by s.segment_id order by md5('5|'||s.segment_id||'|'||o.segment_id), o.segment_id) rn from segment_dim s join segment_dim o on s.ecoregion=o.ecoregion and s.commodity_group=o.commodity_group and s.segment_id<>o.segment_id where s.k%10=0"
+MD5 = "cast('0x'||substr(md5({0}),1,8) as bigint)"
+POOL = EDGES | {
+    "pos": "select segment_id, ecoregion, commodity_group, row_number() over (partition by ecoregion, commodity_group order by md5('5|'||segment_id), segment_id)-1 n, count(*) over (partition by ecoregion, commodity_group) m from segment_dim",
+    "trn": f"select p.segment_id, ecoregion, commodity_group, m, j, ({MD5.format('concat_ws(chr(124), chr(53), chr(102)||chr(114)||chr(111)||chr(109), p.segment_id)')}%m+j)%m as at_n from pos p, (select unnest(range(0,51)) j) where j<m",
+    "pck": "select t.segment_id, o.segment_id as other, row_number() over (partition by t.segment_id order by j) rn from trn t join pos o on t.ecoregion=o.ecoregion and t.commodity_group=o.commodity_group and t.at_n=o.n where o.segment_id<>t.segment_id",
+    "pnt": f"select segment_id, other, rn, {MD5.format('concat_ws(chr(124), chr(57), segment_id, other)')}/4294967296.0::double*total at_m from pck join ll on line_uid=other where rn<=50",
+}
 
 
-@query("g17_regional_pool", twin("select segment_id, other from pool where rn<=3", pool=POOL))
+@query("g17_regional_pool", twin("select segment_id, other, round(at_m,6) as at_m, round(e.x1+(at_m-e.start)/e.len*(e.x2-e.x1),6) as x, round(e.y1+(at_m-e.start)/e.len*(e.y2-e.y1),6) as y from pnt join el e on e.line_uid=other and at_m>=e.start and at_m<e.start+e.len", **POOL))
 def _(spark, d):
-    from ..operators.sampling import hashed
+    """Up to 50 other lines of a segment's region and group, and a hashed point on each."""
+    picks = S.draw_from_group(view(spark, d, "segment_dim"), ["ecoregion", "commodity_group"], "segment_id", 50, 5)
+    edge = lines(spark, d)
+    total = edge.groupBy("line_uid").agg(F.sum("len").alias("total"), F.max("seq").alias("last"))
+    at = picks.join(total, c("other") == c("line_uid")).withColumn("at", S.draw(9, "segment_id", "other") / 4294967296.0 * c("total"))
+    return S.along(edge, at).select("segment_id", "other", F.round("at", 6).alias("at_m"), F.round("x", 6).alias("x"), F.round("y", 6).alias("y"))
+
 
-    s = view(spark, d, "segment_dim")
-    pairs = s.where("k % 10 = 0").select("segment_id", "ecoregion", "commodity_group").join(s.select(c("segment_id").alias("other"), "ecoregion", "commodity_group"), ["ecoregion", "commodity_group"]).where("segment_id <> other")
-    return pairs.withColumn("rn", F.row_number().over(Window.partitionBy("segment_id").orderBy(hashed(5, "segment_id", "other"), "other"))).where("rn <= 3").select("segment_id", "other")
+#: Rings and circles around a site, in units of 20 metres here, where points lie far apart.
+RINGS, CIRCLES, UNIT = [(0, 25), (25, 50), (50, 100), (100, 200)], [50, 100], 20
+ZONES = [("ring", a, b, f"_r{a}-{b}") for a, b in RINGS] + [("circle", 0, r, f"_c{r}") for r in CIRCLES]
 
 
-@query("g18_point_rings", twin("select a.spill_id, count(*) filter (d<25000) as within_0_250, count(*) filter (d>=25000 and d<50000) as within_250_500 from (select a.spill_id, 100*sqrt((a.x-b.x)*(a.x-b.x)+(a.y-b.y)*(a.y-b.y)) d from spill_points a, spill_points b where a.spill_id<>b.spill_id) a where d<=50000 group by 1"))
+@query("g18_point_rings", twin(f"select a.spill_id||z.tag as zone_id, z.kind as zone_type, count(b.spill_id) as points from spill_points a cross join (values {', '.join(str(z) for z in ZONES)}) as z(kind, low, high, tag) left join spill_points b on a.spill_id<>b.spill_id and sqrt((a.x-b.x)*(a.x-b.x)+(a.y-b.y)*(a.y-b.y))/{UNIT}<z.high and sqrt((a.x-b.x)*(a.x-b.x)+(a.y-b.y)*(a.y-b.y))/{UNIT}>=z.low group by 1,2"))
 def _(spark, d):
+    """Every site's four rings and two circles with the points in them; a circle is the union of its rings."""
     p = points(spark, d)
-    near = S.pairs_within(p, p.select(c("spill_id").alias("other"), c("x").alias("x2"), c("y").alias("y2")), 500.0).where("spill_id <> other").withColumn("ring", S.band(F.hypot(c("x") - c("x2"), c("y") - c("y2")), [0, 250, 500]))
-    return near.groupBy("spill_id").agg(F.count_if(c("ring") == "0-250").alias("within_0_250"), F.count_if(c("ring") == "250-500").alias("within_250_500"))
+    near = S.pairs_within(p, p.select(c("spill_id").alias("other"), c("x").alias("x2"), c("y").alias("y2")), 200.0 * UNIT).where("spill_id <> other").withColumn("dist", F.hypot(c("x") - c("x2"), c("y") - c("y2")) / UNIT)
+    counts = near.groupBy("spill_id").agg(*(F.count_if((c("dist") >= a) & (c("dist") < b)).alias(tag) for _, a, b, tag in ZONES))
+    every = p.select("spill_id").join(counts, "spill_id", "left")
+    zones = F.array(*(F.struct(F.concat("spill_id", F.lit(tag)).alias("zone_id"), F.lit(kind).alias("zone_type"), F.coalesce(c(f"`{tag}`"), F.lit(0)).alias("points")) for kind, _, _, tag in ZONES))
+    return every.select(F.explode(zones).alias("z")).select("z.*")
 
 
 @query("g31_hot_spots", twin("select spill_id, round(z,6) as z, cast(sign(z)*(case when abs(z)>=2.576 then 3 when abs(z)>=1.96 then 2 when abs(z)>=1.645 then 1 else 0 end) as int) as bin from (select spill_id, (s-mean*w)/(sd*sqrt((n*w-w*w)/(n-1.0::double))) z from (select a.spill_id, sum(b.barrels) s, count(*) w from spill_points a, spill_points b where (a.x-b.x)*(a.x-b.x)+(a.y-b.y)*(a.y-b.y)<=9000000 group by 1), (select count(*) n, avg(barrels) mean, stddev_pop(barrels) sd from spill_points))"))
@@ -227,7 +243,16 @@ def split_by_regions(edge, regions):
     return parts.withColumns({"part_m": (c("b") - c("a")) * c("len"), "x": c("x1") + middle * (c("x2") - c("x1")), "y": c("y1") + middle * (c("y2") - c("y1")), "pid": F.concat_ws("|", "line_uid", "seq", "k")})
 
 
-@query("g4_split_by_region")
+CUTS = EDGES | {
+    "ct": "select e.line_uid, e.seq, ((r.x1-e.x1)*(r.y2-r.y1)-(r.y1-e.y1)*(r.x2-r.x1))/nullif((e.x2-e.x1)*(r.y2-r.y1)-(e.y2-e.y1)*(r.x2-r.x1),0) t, ((r.x1-e.x1)*(e.y2-e.y1)-(r.y1-e.y1)*(e.x2-e.x1))/nullif((e.x2-e.x1)*(r.y2-r.y1)-(e.y2-e.y1)*(r.x2-r.x1),0) u from el e, region_edges r",
+    "bd": "select line_uid, seq, round(t,12) t from ct where t>0 and t<1 and u>=0 and u<=1 union select line_uid, seq, 0.0 from el union select line_uid, seq, 1.0 from el",
+    "pt": "select line_uid, seq, t a, lead(t) over (partition by line_uid, seq order by t) b from bd",
+    "md": "select p.line_uid, p.seq, a, b, (b-a)*len part_m, x1+(a+b)/2*(x2-x1) x, y1+(a+b)/2*(y2-y1) y from pt p join el using (line_uid, seq) where b is not null",
+    "rg": "select line_uid, seq, a, region from (select m.line_uid, m.seq, m.a, r.region, count(*) n from md m, region_edges r where r.y1<>r.y2 and ((r.y1>m.y)<>(r.y2>m.y)) and m.x<(r.x2-r.x1)*(m.y-r.y1)/(r.y2-r.y1)+r.x1 group by 1,2,3,4) where n%2=1",
+}
+
+
+@query("g4_split_by_region", twin("select m.line_uid, g.region, round(sum(part_m),6) as metres, count(*) as parts from md m left join rg g on m.line_uid=g.line_uid and m.seq=g.seq and m.a=g.a group by 1,2", **CUTS))
 def _(spark, d):
     regions = view(spark, d, "region_edges")
     parts = split_by_regions(lines(spark, d), regions)
@@ -235,25 +260,57 @@ def _(spark, d):
     return parts.join(found, "pid", "left").groupBy("line_uid", "region").agg(F.round(F.sum("part_m"), 6).alias("metres"), N().alias("parts"))
 
 
-@query("g5_join_parts")
+def merge_parts(pdf):
+    """Edges of one line, in any order and direction, chained at ends that two of them share: (part, points in order from the lesser end)."""
+    at = {}
+    for k, (x1, y1, x2, y2) in enumerate(pdf):
+        at.setdefault((x1, y1), []).append(k)
+        at.setdefault((x2, y2), []).append(k)
+    left, out = set(range(len(pdf))), []
+    while left:
+        k = left.pop()
+        chain = [pdf[k][:2], pdf[k][2:]]
+        for end in (-1, 0):
+            while len(at[chain[end]]) == 2 and (nxt := next((j for j in at[chain[end]] if j in left), None)) is not None:
+                left.discard(nxt)
+                a, b = pdf[nxt][:2], pdf[nxt][2:]
+                chain.insert(len(chain) if end else 0, b if a == chain[end] else a)
+        out.append(chain if chain[0] <= chain[-1] else chain[::-1])
+    return sorted(out)
+
+
+def away(point, chain) -> float:
+    """Distance of a point from a chain of points."""
+    best = float("inf")
+    for (x1, y1), (x2, y2) in zip(chain, chain[1:], strict=False):
+        dx, dy = x2 - x1, y2 - y1
+        t = min(max(((point[0] - x1) * dx + (point[1] - y1) * dy) / (dx * dx + dy * dy), 0), 1) if dx or dy else 0
+        best = min(best, ((point[0] - x1 - t * dx) ** 2 + (point[1] - y1 - t * dy) ** 2) ** 0.5)
+    return best
+
+
+G5 = EDGES | {
+    "kept": "select *, cast(line_uid as int)%3=0 and seq>=3 as after_gap from el where not (cast(line_uid as int)%3=0 and seq=2)",
+    "rn": "select line_uid, after_gap, count(*)+1 points, sum(len) metres, least(min(row(x1,y1)), min(row(x2,y2))) first from kept group by 1,2",
+}
+
+
+@query("g5_join_parts", twin("select line_uid, row_number() over (partition by line_uid order by first) as part, points, round(metres,6) as metres, first[1] as x, first[2] as y, after_gap or count(*) over (partition by line_uid)=1 as nearest from rn", **G5))
 def _(spark, d):
-    """Parts of a line end to end: each edge as a part, in any order and direction, chained at equal ends."""
+    """Parts of a line joined end to end, and which joined part is nearest to a spot, here the line's last vertex.
+
+    Edges come in any direction; every third line has a gap.
+    """
     import pandas as pd
 
-    def chain(pdf: pd.DataFrame) -> pd.DataFrame:
-        left = {k: ((r.x1, r.y1), (r.x2, r.y2)) for k, r in enumerate(pdf.sort_values("seq").itertuples())}
-        runs = 0
-        while left:
-            _, (a, b) = left.popitem()
-            runs += 1
-            while True:
-                nxt = next((k for k, (p, q) in left.items() if a in (p, q) or b in (p, q)), None)
-                if nxt is None:
-                    break
-                p, q = left.pop(nxt)
-                a, b = (q if p == a else p, b) if a in (p, q) else (a, q if p == b else p)
-        return pd.DataFrame({"line_uid": [pdf.line_uid.iloc[0]], "runs": [runs], "metres": [round(float(pdf.len.sum()), 6)]})
-
-    flipped = lines(spark, d).withColumn("f", c("seq") % 2 == 1)
+    def join(pdf: pd.DataFrame) -> pd.DataFrame:
+        chains = merge_parts(list(pdf[["x1", "y1", "x2", "y2"]].itertuples(index=False, name=None)))
+        spot = (pdf["sx"].iloc[0], pdf["sy"].iloc[0])
+        nearest = min(range(len(chains)), key=lambda k: away(spot, chains[k]))
+        length = lambda ch: sum(((a[0] - b[0]) ** 2 + (a[1] - b[1]) ** 2) ** 0.5 for a, b in zip(ch, ch[1:], strict=False))
+        return pd.DataFrame([(pdf["line_uid"].iloc[0], k + 1, len(ch), round(length(ch), 6), *ch[0], k == nearest) for k, ch in enumerate(chains)], columns=["line_uid", "part", "points", "metres", "x", "y", "nearest"])
+
+    edge = lines(spark, d).where(~((c("line_uid").cast("int") % 3 == 0) & (c("seq") == 2))).withColumn("f", c("seq") % 2 == 1)
     swap = {a: F.when(c("f"), c(b)).otherwise(c(a)) for a, b in (("x1", "x2"), ("x2", "x1"), ("y1", "y2"), ("y2", "y1"))}
-    return flipped.select("line_uid", "seq", "len", *(v.alias(k) for k, v in swap.items())).groupBy("line_uid").applyInPandas(chain, "line_uid string, runs int, metres double")
+    last = view(spark, d, "line_vertices").groupBy("line_uid").agg(F.max_by("x", "seq").alias("sx"), F.max_by("y", "seq").alias("sy"))
+    return edge.select("line_uid", *(v.alias(k) for k, v in swap.items())).join(last, "line_uid").groupBy("line_uid").applyInPandas(join, "line_uid string, part long, points long, metres double, x double, y double, nearest boolean")

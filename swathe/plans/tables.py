@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import corridor as C
+from ..operators import ranks
 from ..operators import tables as T
 from ..registry import query
 from .fixtures import table, twin, view
@@ -22,9 +22,10 @@ def _(spark, d):
 
 @query("a19_describe", "select o_orderpriority, count(*) as n, count(distinct o_custkey) as customers, round(quantile_cont(o_totalprice,0.25),6) as p25, round(quantile_cont(o_totalprice,0.5),6) as p50, round(quantile_cont(o_totalprice,0.75),6) as p75 from orders group by 1")
 def _(spark, d):
-    q = F.percentile("o_totalprice", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    rows = table(spark, d, "orders").groupBy("o_orderpriority").agg(N().alias("n"), F.countDistinct("o_custkey").alias("customers"), q.alias("q"))
-    return rows.select("o_orderpriority", "n", "customers", *(F.round(F.col("q")[k], 6).alias(p) for k, p in enumerate(("p25", "p50", "p75"))))
+    o = table(spark, d, "orders").select("o_orderpriority", "o_custkey", "o_totalprice")
+    counts = o.groupBy("o_orderpriority").agg(N().alias("n"), F.countDistinct("o_custkey").alias("customers"))
+    points = ranks.quantiles(o, ["o_orderpriority"], "o_totalprice", {"p25": 0.25, "p50": 0.5, "p75": 0.75})
+    return counts.join(points, "o_orderpriority").withColumns({p: F.round(p, 6) for p in ("p25", "p50", "p75")})
 
 
 @query("a20_threshold_counts", twin("select cause, count(*) as n, count(*) filter (barrels<=10) as within_10, count(*) filter (barrels<=25) as within_25, count(*) filter (barrels<=50) as within_50 from spill_points group by 1 union all select 'all', count(*), count(*) filter (barrels<=10), count(*) filter (barrels<=25), count(*) filter (barrels<=50) from spill_points"))
@@ -38,12 +39,15 @@ def _(spark, d):
     return T.profile(view(spark, d, "part_tables"), "raw_id", "val")
 
 
-@query("a22_combined_vs_parts", twin("select region, count(*) as n_rows, count(*) filter (region<>'P') as found, count(*) filter (region='P') as missing from part_tables group by 1"))
+COMBINED = "select raw_id, val + case when k%7=0 then 0.25::double else 0 end val from part_tables where region<>'P' and k%11<>0"
+
+
+@query("a22_combined_vs_parts", twin("select coalesce(region,'all') as region, count(*) as n_rows, count(c.raw_id) as found, count(*)-count(c.raw_id) as missing, round(max(abs(p.val-c.val)),6) as max_diff from part_tables p left join combined c on p.raw_id=c.raw_id group by grouping sets ((region),())", combined=COMBINED))
 def _(spark, d):
-    """The combined table leaves region P out; parts are looked up in it by key."""
-    parts = view(spark, d, "part_tables")
-    combined = parts.where("region <> 'P'").select("raw_id", F.lit(True).alias("there"))
-    return parts.join(combined, "raw_id", "left").groupBy("region").agg(N().alias("n_rows"), F.count_if(F.col("there").isNotNull()).alias("found"), F.count_if(F.col("there").isNull()).alias("missing"))
+    """The combined table leaves region P and some rows out and differs in others; parts are looked up in it by key."""
+    parts, k = view(spark, d, "part_tables"), F.col("k")
+    combined = parts.where("region <> 'P' and k % 11 <> 0").select("raw_id", (F.col("val") + F.when(k % 7 == 0, 0.25).otherwise(0.0)).alias("val"))
+    return T.lineage(parts, combined, "raw_id", "region", "val").withColumn("max_diff", F.round("max_diff", 6))
 
 
 @query("a23_share_of_total", "select o_orderstatus, count(*) as pieces, round(sum(o_totalprice),2) as amount, round(100.0::double*count(*)/sum(count(*)) over (),6) as pieces_pct, round(100*sum(o_totalprice)/sum(sum(o_totalprice)) over (),6) as amount_pct from orders group by 1")
@@ -60,8 +64,9 @@ def _(spark, d):
 @query("a25_repeat_spread", "select count(*) as keys, count(*) filter (n>1) as repeated, round(median(spread) filter (n>1),9) as median_spread, round(quantile_cont(spread,0.95) filter (n>1),9) as p95_spread from (select l_suppkey, l_partkey, cast(l_shipdate as date), count(*) n, max(l_tax)-min(l_tax) spread from lineitem group by 1,2,3)")
 def _(spark, d):
     per = table(spark, d, "lineitem").groupBy("l_suppkey", "l_partkey", F.to_date("l_shipdate").alias("dt")).agg(N().alias("n"), (F.max("l_tax") - F.min("l_tax")).alias("spread"))
-    s = F.when(F.col("n") > 1, F.col("spread"))
-    return per.agg(N().alias("keys"), F.count_if(F.col("n") > 1).alias("repeated"), F.round(F.median(s), 9).alias("median_spread"), F.round(F.percentile(s, 0.95), 9).alias("p95_spread"))
+    sums = per.agg(N().alias("keys"), F.count_if(F.col("n") > 1).alias("repeated"))
+    points = ranks.quantiles(per.where("n > 1"), [], "spread", {"median_spread": 0.5, "p95_spread": 0.95})
+    return sums.crossJoin(F.broadcast(points)).withColumns({c: F.round(c, 9) for c in ("median_spread", "p95_spread")})
 
 
 @query("a28_clear_date_coverage", twin("select median(k) as median_dates, quantile_cont(k,0.1) as p10_dates, min(k) as least_dates, count(*) filter (k<5) as under_5 from (select zone, count(distinct dt) k from pixels where cs_cdf>=0.6 group by 1)"))
@@ -80,14 +85,10 @@ def _(spark, d):
 @query("a31_two_method_agreement", "select l_returnflag, count(*) as n, count(*) filter (abs(l_quantity-l_linenumber*7)<=20) as agree, round(median(case when abs(l_quantity-l_linenumber*7)<=20 then (l_quantity+l_linenumber*7)/2 end),6) as median_value from lineitem group by 1")
 def _(spark, d):
     a, b = F.col("l_quantity"), F.col("l_linenumber") * 7
-    ok = F.abs(a - b) <= 20
-    return table(spark, d, "lineitem").groupBy("l_returnflag").agg(N().alias("n"), F.count_if(ok).alias("agree"), F.round(F.median(F.when(ok, (a + b) / 2)), 6).alias("median_value"))
-
-
-@query("a26_effect_matrix", twin("select ring, printf('%.3f', sum(case when landcover=41 then m end)/count(case when landcover=41 then 1 end)) as forest, printf('%.3f', sum(case when landcover=52 then m end)/count(case when landcover=52 then 1 end)) as shrub from zone_obs group by 1"))
-def _(spark, d):
-    wide = view(spark, d, "zone_obs").groupBy("ring").pivot("landcover", [41, 52]).agg(F.avg("m"))
-    return wide.select("ring", F.format_string("%.3f", F.col("41")).alias("forest"), F.format_string("%.3f", F.col("52")).alias("shrub"))
+    rows = table(spark, d, "lineitem").select("l_returnflag", (F.abs(a - b) <= 20).alias("ok"), ((a + b) / 2).alias("value"))
+    counts = rows.groupBy("l_returnflag").agg(N().alias("n"), F.count_if("ok").alias("agree"))
+    points = ranks.quantiles(rows.where("ok"), ["l_returnflag"], "value", {"median_value": 0.5})
+    return counts.join(points, "l_returnflag", "left").withColumn("median_value", F.round("median_value", 6))
 
 
 @query("j6_semi_anti", "select 'semi' as side, count(*) as n from customer where c_custkey in (select o_custkey from orders) union all select 'anti', count(*) from customer where c_custkey not in (select o_custkey from orders)")
@@ -197,12 +198,20 @@ def _(spark, d):
     return T.same_rows(a, b.withColumnRenamed("b", "a"), ["k"], ["a"]).select("k")
 
 
-@query("v1_table_listing")
+#: Table, columns and what it holds.
+TABLES = {
+    "region": (2, "regions"), "nation": (3, "nations"), "customer": (5, "places of events"), "supplier": (4, "segments"), "part": (6, "sites of events"), "orders": (6, "part tables"),
+    "lineitem": (11, "measurements"), "events": (6, "event stream"), "documents": (5, "reports"), "embeddings": (3, "places"), "pages": (3, "raw pages"), "benchmark": (2, "passages"),
+    "labels": (3, "labels of reports"), "conversations": (4, "turns of conversations"),
+}
+
+
+@query("v1_table_listing", " union all ".join(f"select '{t}' as name, count(*) as n_rows, {n} as n_columns, '{what}' as description from {t}" for t, (n, what) in TABLES.items()))
 def _(spark, d):
     found = None
-    for name in ("region", "nation", "supplier", "customer", "part", "orders", "lineitem"):
+    for name, (_, what) in TABLES.items():
         t = table(spark, d, name)
-        row = t.agg(F.lit(name).alias("name"), N().alias("n_rows"), F.lit(len(t.columns)).alias("n_columns"))
+        row = t.agg(F.lit(name).alias("name"), N().alias("n_rows"), F.lit(len(t.columns)).alias("n_columns"), F.lit(what).alias("description"))
         found = row if found is None else found.unionByName(row)
     return found
 
@@ -212,34 +221,45 @@ def _(spark, d):
     return spark.sql("select ecoregion, count(*) as n from {segments} group by 1", segments=view(spark, d, "segment_dim")).limit(200)
 
 
-@query("v8_left_out", "select case when o_orderkey%10=0 then 'no comparison' when o_orderkey%7=0 then 'short' else 'kept' end as reason, round(sum(o_totalprice)/1000,6) as km, round(100*sum(o_totalprice)/sum(sum(o_totalprice)) over (),6) as pct from orders group by 1")
+@query("v8_left_out", twin("select case when o_orderkey%10=0 then 'no comparison' when o_orderkey%7=0 then 'short' else 'kept' end as reason, round(sum(o_totalprice)/1000,6) as km, round(100*sum(o_totalprice)/sum(sum(o_totalprice)) over (),6) as pct, (select count(*) from segment_dim) as sample, (select cast(sum(weight) as bigint) from segment_dim) as population from orders group by 1"))
 def _(spark, d):
+    """Kilometres kept and left out by reason, beside the sample and the population that its weights add up to."""
     from ..operators.labels import first_reason
 
     k = F.col("o_orderkey")
     reason = first_reason((k % 10 == 0, "no comparison"), (k % 7 == 0, "short"))
     rows = table(spark, d, "orders").withColumn("reason", F.when(reason == "", "kept").otherwise(reason))
-    return T.share_of_total(rows, ["reason"], F.col("o_totalprice")).select("reason", F.round(F.col("amount") / 1000, 6).alias("km"), F.round("amount_pct", 6).alias("pct"))
+    sample = view(spark, d, "segment_dim").agg(N().alias("sample"), F.sum("weight").cast("long").alias("population"))
+    return T.share_of_total(rows, ["reason"], F.col("o_totalprice")).select("reason", F.round(F.col("amount") / 1000, 6).alias("km"), F.round("amount_pct", 6).alias("pct")).crossJoin(F.broadcast(sample))
 
 
-@query("v7_event_summary_verdict", twin("select cause, round(avg(barrels),6) as mean, case when avg(barrels)<40 and count(*)>=3 then 'lower' else 'no' end as verdict from spill_points group by 1"))
-def _(spark, d):
-    return view(spark, d, "spill_points").groupBy("cause").agg(F.round(F.avg("barrels"), 6).alias("mean"), F.when((F.avg("barrels") < 40) & (N() >= 3), "lower").otherwise("no").alias("verdict"))
+CHUNK = 1000
+BATCHES = {
+    "sz": f"select cast(floor((o_orderkey-1)/{CHUNK}) as bigint) chunk, row_number() over (partition by floor((o_orderkey-1)/{CHUNK}) order by o_orderkey) rn, cast(ceil(o_totalprice/1000) as bigint) size from orders",
+    "st": "select chunk, batch from (with recursive w(chunk, rn, batch, filled) as (select chunk, rn, 1::bigint, size from sz where rn=1 union all select s.chunk, s.rn, case when filled+s.size>4000 then batch+1 else batch end, case when filled+s.size>4000 then s.size else filled+s.size end from w join sz s on s.chunk=w.chunk and s.rn=w.rn+1) select * from w)",
+}
 
 
-@query("s9_size_bounded_batches")
+@query("s9_size_bounded_batches", twin("select chunk, max(batch) as batches, count(*) as n from st group by 1", **BATCHES))
 def _(spark, d):
-    """Greedy batches of at most 4,000 units, restarted when full: a fold over each customer's ordered list."""
+    """Greedy batches of at most 4,000 units over the whole table, restarted at each range of keys: a fold over a range's ordered list, which the range bounds."""
     size = F.ceil(F.col("o_totalprice") / 1000).cast("long")
-    lists = table(spark, d, "orders").groupBy("o_custkey").agg(F.sort_array(F.collect_list(F.struct("o_orderkey", size.alias("size")))).alias("all"))
+    chunk = F.floor((F.col("o_orderkey") - 1) / CHUNK)
+    lists = table(spark, d, "orders").groupBy(chunk.alias("chunk")).agg(F.sort_array(F.collect_list(F.struct("o_orderkey", size.alias("size")))).alias("all"))
     start = F.struct(F.lit(0).cast("long").alias("batches"), F.lit(4001).cast("long").alias("filled"))
     step = lambda a, x: F.when(a["filled"] + x["size"] > 4000, F.struct((a["batches"] + 1).alias("batches"), x["size"].alias("filled"))).otherwise(F.struct(a["batches"].alias("batches"), (a["filled"] + x["size"]).alias("filled")))
-    return lists.select("o_custkey", F.aggregate("all", start, step, lambda a: a["batches"]).alias("batches"))
+    return lists.select("chunk", F.aggregate("all", start, step, lambda a: a["batches"]).alias("batches"), F.size("all").cast("long").alias("n"))
 
 
-@query("s10_id_range_chunks", "select cast(floor((o_orderkey-1)/2000) as bigint) as chunk, count(*) as n from orders group by 1")
+@query("s10_id_range_chunks", "select 'ids' as kind, cast(floor((o_orderkey-lo)/2000) as bigint) as part, count(*) as n from orders, (select min(o_orderkey) lo from orders) group by 2 union all select 'width', least(cast(floor((o_totalprice-lo)/((hi-lo)/8)) as bigint), 7), count(*) from orders, (select min(o_totalprice) lo, max(o_totalprice) hi from orders) group by 2")
 def _(spark, d):
-    return table(spark, d, "orders").groupBy(F.floor((F.col("o_orderkey") - 1) / 2000).alias("chunk")).agg(N().alias("n"))
+    """Chunks of 2,000 ids, and eight parts of equal width of an amount; the largest amount is in the last part."""
+    o = table(spark, d, "orders").select("o_orderkey", "o_totalprice")
+    ends = o.agg(F.min("o_orderkey").alias("first"), F.min("o_totalprice").alias("lo"), F.max("o_totalprice").alias("hi"))
+    both = o.crossJoin(F.broadcast(ends))
+    width = F.least(F.floor(F.try_divide(F.col("o_totalprice") - F.col("lo"), (F.col("hi") - F.col("lo")) / 8)), F.lit(7))
+    parts = F.array(F.struct(F.lit("ids").alias("kind"), F.floor((F.col("o_orderkey") - F.col("first")) / 2000).alias("part")), F.struct(F.lit("width").alias("kind"), width.alias("part")))
+    return both.select(F.explode(parts).alias("p")).groupBy("p.kind", "p.part").agg(N().alias("n"))
 
 
 @query("s14_runs_union", "select 'strict' as matching, count(*) as n, null::bigint as extra from orders where o_orderstatus='F' union all select 'broader', count(*), 1 from orders")
@@ -249,11 +269,16 @@ def _(spark, d):
     return a.unionByName(o.agg(N().alias("n")).withColumns({"matching": F.lit("broader"), "extra": F.lit(1).cast("long")}), allowMissingColumns=True)
 
 
-@query("s15_load_summary", "select 'rows' as fact, '' as \"group\", cast(count(*) as double) as val from orders union all select 'empty', '', count(*) filter (o_totalprice is null) from orders union all select 'amount', o_orderstatus, round(sum(o_totalprice),2) from orders group by o_orderstatus")
+FACTS = """select 'rows' as fact, '' as "group", cast(count(*) as double) as val from part_tables union all select 'duplicates', '', count(raw_id)-count(distinct raw_id) from part_tables
+ union all select 'empty', '', count(*) filter (val is null) from part_tables union all select 'pieces', region, count(*) from part_tables group by region union all select 'km', region, round(sum(val)/1000,6) from part_tables group by region"""
+
+
+@query("s15_load_summary", twin(FACTS))
 def _(spark, d):
-    o = table(spark, d, "orders")
-    whole = o.agg(N().cast("double").alias("rows"), F.count_if(F.col("o_totalprice").isNull()).cast("double").alias("empty")).select(F.expr("stack(2, 'rows', '', rows, 'empty', '', empty) as (fact, `group`, val)"))
-    return whole.unionByName(o.groupBy(F.col("o_orderstatus").alias("group")).agg(F.round(F.sum("o_totalprice"), 2).alias("val")).withColumn("fact", F.lit("amount")))
+    rows = view(spark, d, "part_tables")
+    whole = rows.agg(N().cast("double").alias("r"), (F.count("raw_id") - F.countDistinct("raw_id")).cast("double").alias("u"), F.count_if(F.col("val").isNull()).cast("double").alias("e"))
+    by = rows.groupBy("region").agg(N().cast("double").alias("p"), F.round(F.sum("val") / 1000, 6).alias("k"))
+    return whole.select(F.expr("stack(3, 'rows', '', r, 'duplicates', '', u, 'empty', '', e) as (fact, `group`, val)")).unionByName(by.select(F.expr("stack(2, 'pieces', region, p, 'km', region, k) as (fact, `group`, val)")))
 
 
 @query("s16_allow_list", "select c_custkey, c_mktsegment from customer")

@@ -2,26 +2,61 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Paths in the shared folder that this session wrote and has not deleted.
+WRITTEN: list[str] = []
+
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the folder that all machines share."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
-    return f"{root.rstrip('/')}/swathe-{name}-{uuid.uuid4().hex}"
+    """A new path in the folder that all machines share, named by spark.checkpoint.dir; ``clear_scratch`` deletes what was put there.
+
+    Where that is unset, a temporary folder stands in for it on a single machine; on a cluster there is no such thing, so that is an error.
+    """
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
+        root = f"file://{tempfile.mkdtemp(prefix='spark-')}"
+        spark.conf.set("spark.checkpoint.dir", root)
+    path = f"{root.rstrip('/')}/swathe-{name}-{uuid.uuid4().hex}"
+    WRITTEN.append(path)
+    return path
+
+
+def drop(spark: SparkSession, path: str) -> None:
+    """Delete a path that ``scratch`` gave out; any other stays."""
+    if path in WRITTEN:
+        here = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        here.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(here, True)
+        WRITTEN.remove(path)
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written to the shared folder and read back: its rows are fixed from then on, and its lineage ends there."""
+    path = scratch(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def clear_scratch(spark: SparkSession) -> None:
+    """Delete all that this session put into the shared folder; call it when the results have been written elsewhere."""
+    for path in list(WRITTEN):
+        drop(spark, path)
 
 
 def scan(spark: SparkSession, path: str, schema: str, **options) -> DataFrame:
     """Delimited text under a declared schema, with the name of each row's file."""
-    return spark.read.options(**options).schema(schema).csv(path).withColumn("source_file", F.col("_metadata.file_name"))
+    return spark.read.options(**options).schema(schema).csv(path).withColumns({"source_file": F.col("_metadata.file_name"), "source_path": F.col("_metadata.file_path")})
 
 
 def year_of(name: Column) -> Column:
-    """The year in a file or folder name."""
-    return F.regexp_extract(name, r"_(\d{4})(?:_|\.|$)", 1).cast("int")
+    """The year in a file's path: four digits after an underscore that a name or one of its parts ends with."""
+    return F.regexp_extract(name, r"_(\d{4})(?:_|\.|/|$)", 1).cast("int")
 
 
 def merge(parts: DataFrame, srid: str = "srid") -> DataFrame:
@@ -45,7 +80,37 @@ def wkt(points: Column) -> Column:
     return F.concat(F.lit("LINESTRING ("), F.array_join(F.transform(points, lambda p: F.format_string("%.6f %.6f", p["x"], p["y"])), ", "), F.lit(")"))
 
 
-def manifest(spark: SparkSession, path: str) -> DataFrame:
-    """Name, bytes and SHA-256 of each file; contents stay on the executors."""
+#: A file is one row while it is hashed, so it must fit into one; a larger one has no hash in the manifest.
+MOST_BYTES = 1 << 30
+
+
+def listing(spark: SparkSession, path: str) -> DataFrame:
+    """Path, name, bytes and time of each file under a path; contents aren't read."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    return files.select(F.regexp_extract("path", "([^/]+)$", 1).alias("name"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"), "modificationTime")
+    return files.select("path", F.regexp_extract("path", "([^/]+)$", 1).alias("name"), F.col("length").alias("bytes"), F.col("modificationTime").alias("updated"))
+
+
+def manifest(spark: SparkSession, path: str) -> DataFrame:
+    """Name, bytes, time and SHA-256 of each file; contents stay on the executors."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).where(F.col("length") <= MOST_BYTES)
+    return listing(spark, path).join(files.select("path", F.sha2("content", 256).alias("sha256")), "path", "left").drop("path")
+
+
+#: Kind of a table by a pattern of its name; the first that matches counts.
+KINDS = [("^(line|supp|part)", "measurement table"), ("^(cust|nation|region)", "place table"), ("^(doc|page|bench|label|conv)", "text table"), ("^(embed)", "discovery table"), ("", "other table")]
+
+
+def kind_of(name: Column) -> Column:
+    return F.coalesce(*(F.when(name.rlike(pattern), kind) for pattern, kind in KINDS))
+
+
+def catalog(spark: SparkSession, folder: str, names: list[str]) -> DataFrame:
+    """Each table's kind, rows, columns, files, bytes and time of its last change."""
+    out = None
+    for name in names:
+        path = f"{folder}/{name}.parquet"
+        t = spark.read.parquet(path)
+        files = listing(spark, path).agg(F.count(F.lit(1)).alias("files"), F.sum("bytes").alias("bytes"), F.max("updated").alias("updated"))
+        row = t.agg(F.count(F.lit(1)).alias("n_rows")).crossJoin(F.broadcast(files)).select(F.lit(name).alias("name"), kind_of(F.lit(name)).alias("kind"), "n_rows", F.lit(", ".join(t.columns)).alias("columns"), "files", "bytes", "updated")
+        out = row if out is None else out.unionByName(row)
+    return out
