@@ -2,31 +2,55 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.pandas.types import to_arrow_schema, to_arrow_type
+
+from ..sources.files import scratch
 
 OUT_ROWS = 2000
 OUT_BYTES = 8 << 20
+#: Rows that are Python objects at once.
+IN_ROWS = 256
 
 
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder named by spark.checkpoint.dir; the warehouse folder stands in where that is unset."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
-    return f"{root.rstrip('/')}/swathe-{name}-{uuid.uuid4().hex}"
-
-
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet to the shared folder and read it back: lineage ends there and a lost executor costs no more than one task."""
+def written(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """``df`` written as Parquet to the shared folder and read back, and its path: lineage ends there, so a lost executor costs no more than one task."""
     spark = df.sparkSession
     path = scratch(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
+def materialize(df: DataFrame, name: str) -> DataFrame:
+    return written(df, name)[0]
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, or a longer one when the table has such a column; names are compared without case, as Spark does."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def column(name: str) -> Column:
+    """The column of exactly that name, whatever characters it has."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def give_back() -> None:
+    """Return what a task's caches held to the machine: a worker lives on for other tasks, and its allocators keep what is freed."""
+    import ctypes
+
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # the GNU library has it
+    if trim:
+        trim(0)
 
 
 def map_rows(df: DataFrame, columns: list[str], fn: Callable[[Iterator[tuple]], Iterable[tuple]], schema: str) -> DataFrame:
@@ -36,8 +60,8 @@ def map_rows(df: DataFrame, columns: list[str], fn: Callable[[Iterator[tuple]],
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows() -> Iterator[tuple]:
             for batch in batches:
-                for at in range(0, batch.num_rows, 512):
-                    part = batch.slice(at, 512)
+                for at in range(0, batch.num_rows, IN_ROWS):
+                    part = batch.slice(at, IN_ROWS)
                     yield from zip(*(c.to_pylist() for c in part.columns), strict=True)
 
         out: list[tuple] = []
@@ -50,10 +74,31 @@ def map_rows(df: DataFrame, columns: list[str], fn: Callable[[Iterator[tuple]],
                 out, held = [], 0
         if out:
             yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*out, strict=True), arrow, strict=True)], schema=arrow)
+        del out
+        give_back()
 
     return df.select(*columns).mapInArrow(run, schema)
 
 
+def map_texts(text: Column, start: Callable[[], Callable[[list], list]], returns: str) -> Column:
+    """A column made of a text column alone; the row's other columns stay where they are.
+
+    ``start`` is called once a task; what it returns turns a list of texts into a list of values, structs as dicts.
+    """
+    kind = to_arrow_type(T._parse_datatype_string(returns))
+
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        step = start()
+        for batch in batches:
+            parts = [pa.array(step(batch.slice(at, IN_ROWS).to_pylist()), kind) for at in range(0, len(batch), IN_ROWS)]
+            yield pa.concat_arrays(parts) if parts else pa.array([], kind)
+        del step
+        give_back()
+
+    # else the optimiser may evaluate it again for each use of its fields
+    return F.arrow_udf(run, returns).asNondeterministic()(text)
+
+
 def id_and_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The two columns an operator reads, under fixed names, whatever else the table carries; a null text is an empty one."""
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    return docs.select(column(id_col).cast("long").alias("doc_id"), F.coalesce(column(text_col).cast("string"), F.lit("")).alias("text"))

@@ -1,32 +1,37 @@
 """Language identification by segmentation-marginalised unigrams.
 
 Each language has probabilities for the pieces of a fixed public vocabulary.  A forward pass sums the probability of every
-segmentation of a text into pieces, so the score does not hang on one tokenisation.  No piece of the vocabulary holds a
-word mark after another character, so the sum factorises over words; each task keeps the sums of the words it has met.
+segmentation of a text into pieces, so the score does not hang on one tokenisation.  The sum factorises wherever no piece
+spans two characters: between words always, as no piece holds a word mark after another character, and inside a word of
+characters that the vocabulary lacks.  Between such places the pass keeps the sums of as many boundaries as the longest piece
+has characters and rescales them as it goes, so a stretch may have any length.  Each task keeps the sums of words it has met.
 
 Defined cases: a null text or one without a letter is ``und`` with score 0; characters outside the vocabulary have one
-small probability in every language; ties go to the first language by name; with nothing to learn from, all is ``und``.
+small probability in every language; a very long text or word is read whole; repeated rows are predicted alike; ties go to
+the first language by name; with nothing to learn from, all is ``und``; columns of a table that are named like a result
+give way to it.
 """
 
 from __future__ import annotations
 
-import itertools
+import uuid
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_rows
+from .common import column, free_name, map_rows, map_texts
 
 MARK = "▁"
-#: A word longer than this is scored in parts of this many characters, each with its own sum.
-WORD_CHARS = 32
-CACHE_WORDS = 300_000
+#: Words that a task keeps, and their characters.
+CACHE_WORDS, CACHE_CHARS = 200_000, 4_000_000
 UNKNOWN = 1e-7
 #: Odd factor of the polynomial hash of a piece's characters.
 STEP = 0x9E3779B97F4A7C15
+#: Steps of the forward pass between two looks at the scale; so many unknown characters stay within a double's range.
+RESCALE = 16
 
 
 def held_out(doc_id: str = "doc_id") -> F.Column:
@@ -34,7 +39,7 @@ def held_out(doc_id: str = "doc_id") -> F.Column:
 
 
 def train(labelled: DataFrame, model_path: str, docs_per_lang: int = 1000, smoothing: float = 0.05) -> dict:
-    """Piece log probabilities by language from columns ``text`` and ``lang``.
+    """Piece probabilities by language from columns ``text`` and ``lang``.
 
     The classifier is fitted on a bounded sample: about ``docs_per_lang`` texts of each language, chosen by a hash of the text.
     A text counts once, so copies of a chosen text don't swell the sample.
@@ -88,7 +93,8 @@ class Forward:
             order = np.argsort(h)
             self.by_length.append((h[order], np.array(own, np.int64)[order]))
         self.known: dict[str, int] = {}
-        self.scores = np.zeros((0, len(self.langs)))
+        self.chars = 0
+        self.scores = np.zeros((CACHE_WORDS, len(self.langs)))
 
     @staticmethod
     def hashes(strings: list[str]) -> np.ndarray:
@@ -100,13 +106,14 @@ class Forward:
             h[k] = x
         return h
 
-    def parts(self, parts: list[str]) -> np.ndarray:
-        """Log of the summed probability of each part: sums[:, j] gathers sums[:, i] * p(part[i:j]) over every piece that ends at j."""
-        size = np.array([len(x) for x in parts])
+    def word_logs(self, words: list[str]) -> np.ndarray:
+        """Log of the summed probability of each word."""
+        size = np.fromiter(map(len, words), np.int64, len(words))
         first = np.cumsum(size) - size
-        codes = np.frombuffer("".join(parts).encode("utf-32-le"), "<u4").astype(np.uint64)
+        codes = np.frombuffer("".join(words).encode("utf-32-le"), "<u4").astype(np.uint64)
         left = np.repeat(first + size, size) - np.arange(len(codes))
-        piece = np.full((self.longest, len(codes)), -1, np.int32)
+        piece = np.full((self.longest, len(codes)), -1, np.int32)  # by length and first character
+        spans = np.zeros(len(codes) + 1, np.int64)  # how many pieces go over each boundary, as differences
         h = np.zeros(len(codes), np.uint64)
         at = np.arange(len(codes))
         for n in range(1, self.longest + 1):
@@ -117,41 +124,70 @@ class Forward:
                 k = np.minimum(np.searchsorted(known, h[at]), len(known) - 1)
                 hit = known[k] == h[at]
                 piece[n - 1, at[hit]] = place[k[hit]]
-        sums = np.zeros((int(size.max()) + 1, len(parts), len(self.langs)))
+                if n > 1:
+                    spans += np.bincount(at[hit] + 1, minlength=len(spans)) - np.bincount(at[hit] + n, minlength=len(spans))
+        limits = np.cumsum(spans)[:-1] == 0  # no piece goes over the boundary before this character
+        limits[first] = True
+        begin = np.flatnonzero(limits)
+        length = np.diff(np.append(begin, len(codes)))
+        logs = np.zeros((len(words), len(self.langs)))
+        owner = np.searchsorted(first, begin, side="right") - 1
+        order = np.argsort(-length, kind="stable")
+        for low in range(0, len(order), 8192):
+            some = order[low : low + 8192]
+            np.add.at(logs, owner[some], self._forward(begin[some], length[some], piece))
+        return logs
+
+    def _forward(self, begin: np.ndarray, length: np.ndarray, piece: np.ndarray) -> np.ndarray:
+        """Logs for stretches in descending order of length: each boundary's sum gathers those of the boundaries a piece before it."""
+        kept = self.longest + 1
+        sums = np.zeros((kept, len(begin), len(self.langs)))  # of the last boundaries, in a ring
         sums[0] = 1.0
-        for i in range(int(size.max())):
-            rows = np.flatnonzero(size > i)
-            at = first[rows] + i
-            for n in range(1, self.longest + 1):
-                got = piece[n - 1, at]
+        scale, out = np.zeros(sums.shape[1:]), np.zeros(sums.shape[1:])
+        lengths = [n for n in range(2, self.longest + 1) if (piece[n - 1] >= 0).any()]
+        n_rows = np.searchsorted(-length, -np.arange(1, int(length[0]) + 1), side="right")
+        for j, rows in enumerate(n_rows.tolist(), 1):
+            got = piece[0, begin[:rows] + j - 1]
+            now = sums[(j - 1) % kept, :rows] * np.where(got[:, None] >= 0, self.p[got], UNKNOWN)
+            for n in lengths:
+                if n > j:
+                    break
+                got = piece[n - 1, begin[:rows] + j - n]
                 hit = np.flatnonzero(got >= 0)
                 if len(hit):
-                    sums[i + n, rows[hit]] += sums[i, rows[hit]] * self.p[got[hit]]
-                if n == 1 and len(hit) < len(rows):
-                    none = rows[got < 0]
-                    sums[i + 1, none] += sums[i, none] * UNKNOWN
-        return np.log(np.maximum(sums[size, np.arange(len(parts))], 1e-300))
+                    now[hit] += sums[(j - n) % kept, hit] * self.p[got[hit]]
+            sums[j % kept, :rows] = now
+            if j % RESCALE == 0:
+                top = np.maximum(sums[:, :rows].max(0), 1e-300)
+                sums[:, :rows] /= top
+                scale[:rows] += np.log(top)
+            ended = slice(n_rows[j] if j < len(n_rows) else 0, rows)
+            out[ended] = np.log(np.maximum(sums[j % kept, ended], 1e-300)) + scale[ended]
+        return out
 
     def learn(self, words: set[str]) -> None:
         """Score the words that are not known yet."""
-        new = sorted((w for w in words if w not in self.known), key=len)
+        new = [w for w in words if w not in self.known]
         if not new:
             return
-        if len(self.known) + len(new) > CACHE_WORDS:
-            self.known, self.scores, new = {}, self.scores[:0], sorted(words, key=len)
-        scored = np.zeros((len(new), len(self.langs)))
-        for low in range(0, len(new), 4096):
-            parts, owner = [], []
-            for k, w in enumerate(new[low : low + 4096], low):
-                marked = MARK + w
-                for i in range(0, len(marked), WORD_CHARS):
-                    parts.append(marked[i : i + WORD_CHARS])
-                    owner.append(k)
-            for at in range(0, len(parts), 8192):
-                np.add.at(scored, owner[at : at + 8192], self.parts(parts[at : at + 8192]))
-        base = len(self.scores)
-        self.scores = np.concatenate([self.scores, scored])
-        self.known.update(zip(new, range(base, base + len(new)), strict=True))
+        chars = sum(map(len, new))
+        if len(self.known) + len(new) > CACHE_WORDS or self.chars + chars > CACHE_CHARS:
+            self.known, self.chars, new = {}, 0, list(words)
+            chars = sum(map(len, new))
+            if len(new) > len(self.scores):
+                self.scores = np.zeros((len(new), len(self.langs)))
+        new.sort(key=len)
+        low = 0
+        while low < len(new):
+            high, size = low, 0
+            while high < len(new) and (high == low or size + len(new[high]) < 50_000):
+                size += len(new[high]) + 1
+                high += 1
+            base = len(self.known)
+            self.scores[base : base + high - low] = self.word_logs([MARK + w for w in new[low:high]])
+            self.known.update(zip(new[low:high], range(base, base + high - low), strict=True))
+            low = high
+        self.chars += chars
 
     def predict(self, texts: list[str | None]) -> list[tuple[str, float]]:
         split = [t.split() if t and self.langs and any(map(str.isalpha, t)) else [] for t in texts]
@@ -167,14 +203,25 @@ class Forward:
         return out
 
 
-def identify(docs: DataFrame, model: dict, columns: list[str]) -> DataFrame:
-    """``columns`` of every row with ``lang_pred`` and ``score``, from column ``text`` alone."""
-    schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in columns) + ", lang_pred string, score double"
+#: The model that this Python worker has used last.
+_held: dict[str, Forward] = {}
+
+
+def language(model: dict, text: Column) -> Column:
+    """``lang_pred`` and ``score`` of a text, as one struct."""
+    name = uuid.uuid4().hex
 
-    def run(rows: Iterator[tuple]) -> Iterator[tuple]:
-        forward = Forward(model)
-        while part := list(itertools.islice(rows, 2000)):
-            for row, found in zip(part, forward.predict([r[-1] for r in part]), strict=True):
-                yield *row[:-1], *found
+    def start() -> Callable[[list], list]:
+        if name not in _held:
+            _held.clear()
+            _held[name] = Forward(model)
+        return lambda texts: [{"lang_pred": lang, "score": score} for lang, score in _held[name].predict(texts)]
 
-    return map_rows(docs.select(*columns, F.col("text").cast("string").alias("text_read_")), [*columns, "text_read_"], run, schema)
+    return map_texts(text, start, "lang_pred string, score double")
+
+
+def identify(docs: DataFrame, model: dict, columns: list[str]) -> DataFrame:
+    """``columns`` of every row with ``lang_pred`` and ``score``, from column ``text`` alone."""
+    found = free_name(docs, "found")
+    rows = docs.withColumn(found, language(model, column("text").cast("string")))
+    return rows.select(*(column(c) for c in columns if c.lower() not in ("lang_pred", "score")), f"{found}.lang_pred", f"{found}.score")
