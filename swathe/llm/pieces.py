@@ -9,7 +9,9 @@ the backpointer paths of all of them meet in one boundary, the ids before it are
 No piece holds a word mark after another character, nor a letter beside anything but letters and marks before them, so all
 paths meet there (the constructor checks it); the ids of such a stretch are kept for its next occurrence (a bounded memory).
 
-Defined cases: a null or empty text has no ids; repeated rows give repeated rows; other columns are not read.
+Defined cases: a null or empty text has no ids; repeated rows give repeated rows; a very long text is read in parts that end
+where all paths meet, a very long stretch character by character, so beside the text and its ids only a window is held; an
+empty table gives no rows; other columns are not read.
 """
 
 from __future__ import annotations
@@ -25,13 +27,16 @@ from pyspark.sql import DataFrame
 from .common import id_and_text, map_rows
 
 MARK = "▁"
-CACHE_STRETCHES = 600_000
+#: Stretches that a worker keeps, and their characters; it forgets all when there are more.
+CACHE_STRETCHES, CACHE_CHARS = 600_000, 12_000_000
 CACHE_PAIRS = 500_000
-CACHE_CHARS = 64
+#: A text is read in parts of so many characters and up to the next place in which all paths meet.
+PART_CHARS = 1 << 16
 #: Numbers that are no digits, which a regular expression counts among the letters, as far as pieces hold them.
 NUMERIC = "²³¹"
 LETTER, OTHER = rf"[^\W\d_{NUMERIC}]", rf"[\W\d_{NUMERIC}]"
 #: A stretch of letters or of other characters, with the word marks before it; texts are read stretch by stretch.
+CUT = re.compile(f"[^{MARK}]{MARK}")
 STRETCH = re.compile(rf"\n|{MARK}*{LETTER}+|{MARK}*(?:(?![{MARK}\n]){OTHER})+|{MARK}+")
 
 
@@ -64,6 +69,7 @@ class PieceCodec:
         self.wholes: dict[str, bool] = {}
         self.pairs: dict[tuple[str, str], bool] = {}
         self.known: dict[str, bytes] = {}
+        self.known_chars = 0
 
     def merged(self, text: str) -> list[str]:
         """Pieces of a short text by merging the best-ranked neighbours, the leftmost of equals first."""
@@ -129,104 +135,90 @@ class PieceCodec:
     def stream(self, chars: Iterable[str]) -> Iterator[str]:
         """Pieces of the characters, each as soon as it is final.
 
-        ``back`` has the start of the last piece for every boundary that is not yet committed, ``tail`` the characters of
+        ``back`` has the last piece of the path to every boundary from the last committed one on, ``window`` the characters of
         the longest piece before the front.
         """
-        back: dict[int, tuple[int, str]] = {}
-        tail, last, done, front = "", "", 0, 0
-        for ch in chars:
-            tail = tail[1 - self.longest :] + ch
+        suffixes, pairs, keep = self.suffixes, self.nested, self.longest
+        back: dict[int, str] = {0: ""}
+        window, done, front, until = "", 0, 0, 2 * keep
+        for piece in chars:
+            window = window[1 - keep :] + piece
             front += 1
-            ends = [ch]
-            for n in range(2, min(len(tail), front - done) + 1):
-                piece = tail[-n:]
-                if piece not in self.suffixes:
+            at = size = len(window)
+            at -= 1
+            least = max(0, size - (front - done))
+            ends = [piece]
+            while at > least:
+                at -= 1
+                if (kind := suffixes.get(longer := window[at:])) is None:
                     break
-                if piece in self.rank:
-                    ends.append(piece)
-            for piece in reversed(ends):
-                start = front - len(piece)
-                if self.follows(back[start][1] if start > done else last, piece):
-                    back[front] = (start, piece)
+                if kind:
+                    ends.append(longer)
+            while ends:
+                piece = ends.pop()
+                left = back[front - len(piece)]
+                if (known := pairs.get(left)) is None:
+                    known = pairs[left] = {}
+                if (ok := known.get(piece)) is None:
+                    ok = known[piece] = self.follows(left, piece)
+                if ok:
                     break
             else:
                 raise AssertionError("a prefix has no path")
-            if front - done >= 2 * self.longest and (at := self._meeting(back, done, front)) > done:
-                final = self._path(back, done, at)
-                last = final[-1]
-                yield from final
-                for k in range(done + 1, at + 1):
-                    back.pop(k)
-                done = at
+            back[front] = piece
+            if front >= until:
+                if (at := self._meeting(back, done, front)) > done:
+                    yield from self._path(back, done, at)
+                    for k in range(done, at):
+                        del back[k]
+                    done = at
+                until = front + keep
         yield from self._path(back, done, front)
 
-    def _meeting(self, back: dict, done: int, front: int) -> int:
+    def _meeting(self, back: dict[int, str], done: int, front: int) -> int:
         """The boundary in which the paths from all boundaries that can still be extended meet."""
         ends = set(range(max(done, front - self.longest + 1), front + 1))
         while len(ends) > 1:
             last = max(ends)
             ends.discard(last)
-            ends.add(back[last][0] if last > done else done)
+            ends.add(last - len(back[last]) if last > done else done)
         return max(ends.pop(), done)
 
-    def _path(self, back: dict, done: int, at: int) -> list[str]:
+    @staticmethod
+    def _path(back: dict[int, str], done: int, at: int) -> list[str]:
         out = []
         while at > done:
-            at, piece = back[at]
-            out.append(piece)
-        return out[::-1]
-
-    def short(self, text: str) -> list[str]:
-        """The same pass over a stretch that is held as a whole: ``last`` has the last piece of every prefix."""
-        last = [""] * (len(text) + 1)
-        suffixes, pairs = self.suffixes, self.nested
-        for j in range(1, len(text) + 1):
-            i, piece = j - 1, text[j - 1]
-            ends = [piece]
-            while i:
-                i -= 1
-                if (kind := suffixes.get(longer := text[i:j])) is None:
-                    break
-                if kind:
-                    ends.append(longer)
-            while ends:
-                piece = ends.pop()
-                left = last[j - len(piece)]
-                known = pairs.get(left)
-                if known is None:
-                    known = pairs[left] = {}
-                if (ok := known.get(piece)) is None:
-                    ok = known[piece] = self.follows(left, piece)
-                if ok:
-                    break
-            last[j] = piece
-        out, j = [], len(text)
-        while j:
-            out.append(last[j])
-            j -= len(last[j])
+            out.append(back[at])
+            at -= len(back[at])
         return out[::-1]
 
     def stretch(self, text: str) -> bytes:
         if len(self.pairs) >= CACHE_PAIRS:
             self.nested.clear()
-        out: list[int] = []
-        for piece in self.short(text) if len(text) <= CACHE_CHARS else self.stream(text):
+        out = array.array("i")
+        for piece in self.stream(text):
             if (i := self.ids.get(piece)) is not None:
                 out.append(i)
             else:
-                out.extend(self.byte_id[b] for b in piece.encode())
-        got = array.array("i", out).tobytes()
-        if len(text) <= CACHE_CHARS:
-            if len(self.known) >= CACHE_STRETCHES:
-                self.known.clear()
-            self.known[text] = got
+                out.extend([self.byte_id[b] for b in piece.encode()])
+        got = out.tobytes()
+        if len(self.known) >= CACHE_STRETCHES or self.known_chars >= CACHE_CHARS:
+            self.known.clear()
+            self.known_chars = 0
+        self.known[text] = got
+        self.known_chars += len(text)
         return got
 
     def encode(self, text: str | None) -> np.ndarray:
         """32-bit ids of a whole text."""
-        known, stretch = self.known, self.stretch
+        known, stretch, ids, at = self.known, self.stretch, bytearray(), 0
         marked = MARK + text.replace(" ", MARK) if text else ""
-        return np.frombuffer(b"".join([known.get(x) or stretch(x) for x in STRETCH.findall(marked)]), np.int32)
+        while at < len(marked):
+            cut = CUT.search(marked, at + PART_CHARS)
+            end = cut.end() - 1 if cut else len(marked)
+            ids += b"".join([known.get(x) or stretch(x) for x in STRETCH.findall(marked, at, end)])
+            at = end
+        return np.frombuffer(ids, np.int32)
 
     def decode(self, ids: Iterable[int]) -> str:
         """The text of ids; control ids have none and bytes that are no UTF-8 become the replacement character."""
