@@ -2,44 +2,54 @@
 
 A value that passes its validation (card numbers by check digit, account numbers by remainder, dates by the calendar,
 addresses by range) is a number in the mixed radix of its format.  A keyed Feistel network permutes that range, walking on
-until the image is valid too.  The map is a bijection, so equal values stay equal, and different ones different, across documents.
+until the image is valid too.  The map is a bijection of the values of one written form (for dates: separator, digits of day
+and month, and which order they can be read in), so equal values stay equal, and different ones of a form different, across
+documents.  Values of different forms are not linked, even if they mean the same.
 
-Defined cases: a null text stays null; an empty text stays empty; digits that fail validation stay; repeated rows are
-treated alike; other columns are kept by ``pseudonymise``.
+Defined cases: a null text stays null; an empty text stays empty; digits that fail validation stay, as do dates before 1900
+or after 2099; a day and month that can be read in both orders are read as day, month; a very long text takes time in
+proportion to its length; repeated rows are treated alike; other columns are kept, and one named like ``kinds_col`` gives way to it.
 """
 
 from __future__ import annotations
 
+import bisect
+import calendar
 import datetime
 import functools
 import hashlib
+import math
+import os
 import re
 from collections.abc import Callable, Iterator
 
 from pyspark.sql import DataFrame
 
-from .common import map_rows
+from .common import column, free_name, map_texts
 
 DIGITS = "0123456789"
 LOWER = "abcdefghijklmnopqrstuvwxyz"
 UPPER = LOWER.upper()
 HEX = DIGITS + "abcdef"
-FIRST_DAY, LAST_DAY = datetime.date(1900, 1, 1).toordinal(), datetime.date(2099, 12, 31).toordinal()
+YEARS = range(1900, 2100)
+FIRST_DAY, LAST_DAY = datetime.date(YEARS[0], 1, 1).toordinal(), datetime.date(YEARS[-1], 12, 31).toordinal()
 ROUNDS = 8
 
 FOUND = re.compile(
-    r"(?P<email>[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+)"
+    r"(?P<email>(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+)"
     r"|(?P<iban>\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\b)"
     r"|(?P<key>\bAKIA[A-Z0-9]{16}\b)"
-    r"|(?P<secret>(?:password|passwd|secret|token|api_?key)\s*[=:]\s*[\"']?[A-Za-z0-9_\-+/]{6,})"
+    r"|(?P<secret>(?i:password|passwd|secret|token|api[_-]?key)\s*+[=:]\s*+[\"']?[A-Za-z0-9_\-+/]{6,})"
     r"|(?P<hex>\b[0-9a-f]{32,64}\b)"
     r"|(?P<iso>(?<![\w-])\d{4}-\d{2}-\d{2}(?![\w-]))"
     r"|(?P<dmy>(?<![\w/.])\d{1,2}(?P<mark>[/.])\d{1,2}(?P=mark)\d{4}(?![\w/]))"
     r"|(?P<ip>(?<![\w.])\d{1,3}(?:\.\d{1,3}){3}(?![\w]|\.\d))"
     r"|(?P<phone>(?<![\w+])(?:\+?1[ .-]?)?(?:\(\d{3}\) ?|\d{3}[ .-])\d{3}[ .-]\d{4}(?!\w))"
     r"|(?P<ssn>(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-]))"
-    r"|(?P<card>(?<!\w)\d(?:[ -]?\d){12,}(?!\w))"
+    r"|(?P<card>(?<!\w)\d(?:[ -]?\d){12,18})"
 )
+#: What a value that fails is passed over by, and a group of digits with the mark before it.
+WORD, GROUP = re.compile(r"\w+|.", re.S), re.compile(r"[ -]?(\d+)")
 #: A text without any of these holds nothing to look for.
 HINT = re.compile(r"\d|@|passw|secret|token|key", re.I)
 
@@ -57,9 +67,28 @@ def iban_holds(value: str) -> bool:
     return int("".join(str(int(c, 36)) for c in value[4:] + value[:4])) % 97 == 1
 
 
+def order_of(p: int, q: int) -> str:
+    """How the first two numbers of a date can be read: as day and month, as month and day, or both ways."""
+    return "either" if p <= 12 and q <= 12 else "day first" if q <= 12 else "month first"
+
+
+@functools.lru_cache(16)
+def days_of(first_digits: int, second_digits: int, order: str) -> list[tuple[int, int, int]]:
+    """(year, first, second) of every day that is written with so many digits and can be read in that order, ascending."""
+    fits = lambda n, digits: digits == 2 or n < 10
+    return [
+        (year, p, q)
+        for year in YEARS for p in range(1, 32) for q in range(1, 32)
+        if order_of(p, q) == order and fits(p, first_digits) and fits(q, second_digits)
+        and (q <= 12 and p <= calendar.monthrange(year, q)[1] if order != "month first" else p <= 12 and q <= calendar.monthrange(year, p)[1])
+    ]
+
+
 class Pseudonyms:
     def __init__(self, key: bytes):
-        self.key = key
+        if not key:
+            raise ValueError("pseudonyms need a key")
+        self.key = key if len(key) <= 64 else hashlib.blake2b(key).digest()
         self.replace = functools.lru_cache(100_000)(self._replace)
 
     def permute(self, x: int, size: int, tweak: str) -> int:
@@ -103,36 +132,38 @@ class Pseudonyms:
     def kinds(c: str) -> str | None:
         return next((a for a in (DIGITS, LOWER, UPPER) if c in a), None)
 
-    def _day(self, day: datetime.date) -> datetime.date:
-        return datetime.date.fromordinal(FIRST_DAY + self.permute(day.toordinal() - FIRST_DAY, LAST_DAY - FIRST_DAY + 1, "date"))
-
-    def _replace(self, kind: str, value: str) -> str:
+    def _replace(self, kind: str, value: str) -> str | None:
+        """The image of a value, or none if it fails its validation."""
         digit = lambda c: DIGITS if c in DIGITS else None
         if kind == "email":
             name, _, host = value.partition("@")
             label, dot, rest = host.partition(".")
             got = self.spell(f"{name}@{label}", "email", self.kinds)
             return got + dot + rest
-        if kind in ("iso", "dmy"):
+        if kind == "iso":
             try:
-                if kind == "iso":
-                    return value if not FIRST_DAY <= (d := datetime.date.fromisoformat(value)).toordinal() <= LAST_DAY else self._day(d).isoformat()
-                mark = re.search(r"[/.]", value)[0]
-                p, q, year = map(int, value.split(mark))
-                swapped = q > 12
-                d = datetime.date(year, p if swapped else q, q if swapped else p)
+                day = datetime.date.fromisoformat(value).toordinal()
             except ValueError:
-                return value
-            if not FIRST_DAY <= d.toordinal() <= LAST_DAY:
-                return value
-            d = self._day(d)
-            return mark.join((f"{d.month:02}", f"{d.day:02}") if swapped else (f"{d.day:02}", f"{d.month:02}")) + f"{mark}{d.year:04}"
+                return None
+            return None if not FIRST_DAY <= day <= LAST_DAY else datetime.date.fromordinal(FIRST_DAY + self.permute(day - FIRST_DAY, LAST_DAY - FIRST_DAY + 1, "date")).isoformat()
+        if kind == "dmy":
+            return self._written_day(value)
         if kind == "ip":
-            octets = [int(x) for x in value.split(".")]
-            if max(octets) > 255 or not 1 <= octets[0] <= 223:
-                return value
-            x = self.permute(((octets[0] - 1) * 256 + octets[1]) * 65536 + octets[2] * 256 + octets[3], 223 << 24, "ip")
-            return f"{(x >> 24) + 1}.{x >> 16 & 255}.{x >> 8 & 255}.{x & 255}"
+            octets = value.split(".")
+            if max(map(int, octets)) > 255 or not 1 <= int(octets[0]) <= 223:
+                return None
+            # of each octet, what is written with as many digits
+            ranges = [range(10 ** (len(x) - 1) if x[0] != "0" else 0, min(10 ** len(x) if x[0] != "0" else 10 ** (len(x) - 1), 256)) if len(x) > 1 else range(10) for x in octets]
+            ranges[0] = range(max(ranges[0].start, 1), min(ranges[0].stop, 224))
+            x = 0
+            for own, r in zip(octets, ranges, strict=True):
+                x = x * len(r) + int(own) - r.start
+            x = self.permute(x, math.prod(map(len, ranges)), f"ip{[*map(len, octets)]}")
+            out = []
+            for own, r in reversed([*zip(octets, ranges, strict=True)]):
+                x, k = divmod(x, len(r))
+                out.append(f"{r.start + k:0{len(own)}}")
+            return ".".join(reversed(out))
         if kind == "phone":
             cut = len(value) - next(k for k, n in zip(range(1, len(value) + 1), _running_digits(value[::-1]), strict=True) if n == 10)
             ok = lambda s: (d := re.sub(r"\D", "", s))[0] in "23456789" and d[3] in "23456789"
@@ -141,51 +172,60 @@ class Pseudonyms:
             return value[:cut] + self.spell(value[cut:], "phone", digit, ok)
         if kind == "ssn":
             ok = lambda s: s[:3] not in ("000", "666") and s[0] != "9" and s[4:6] != "00" and s[7:] != "0000"
-            return self.spell(value, "ssn", digit, ok) if ok(value) else value
+            return self.spell(value, "ssn", digit, ok) if ok(value) else None
         if kind == "iban":
-            return value[:2] + self.spell(value[2:], "iban" + value[:2], self.kinds, lambda s: iban_holds(value[:2] + s)) if iban_holds(value) else value
+            return value[:2] + self.spell(value[2:], "iban" + value[:2], self.kinds, lambda s: iban_holds(value[:2] + s)) if iban_holds(value) else None
         if kind == "card":
-            return self._cards(value)
+            return value[0] + self.spell(value[1:], f"card{value[0]}", digit, lambda s: luhn(re.sub(r"\D", "", value[0] + s)))
         if kind == "key":
             return value[:4] + self.spell(value[4:], "key", self.kinds)
         if kind == "secret":
-            name = re.match(r"\w+\s*[=:]\s*[\"']?", value)[0]
+            name = re.match(r"[\w-]+\s*[=:]\s*[\"']?", value)[0]
             return name + self.spell(value[len(name) :], "secret", self.kinds)
         return self.spell(value, "hex", lambda c: HEX)
 
-    def _cards(self, value: str) -> str:
-        """Runs of whole digit groups with 13 to 19 digits and a right check digit, the longest first; the rest stays."""
-        groups = re.findall(r"\d+|[ -]", value)
-        k = 0
-        while k < len(groups):
-            for j in range(min(len(groups), k + 37), k, -1):  # 19 digits are at most 19 groups and the marks between
-                run = "".join(groups[k:j])
-                digits = re.sub(r"\D", "", run)
-                if groups[k].isdigit() and groups[j - 1].isdigit() and 13 <= len(digits) <= 19 and luhn(digits) and digits[0] != "0":
-                    groups[k:j] = [run[:1] + self.spell(run[1:], f"card{run[0]}", lambda c: DIGITS if c in DIGITS else None, lambda s, first=run[0]: luhn(first + re.sub(r"\D", "", s)))]
-                    break
-            k += 1
-        return "".join(groups)
+    def _written_day(self, value: str) -> str:
+        mark = re.search(r"[/.]", value)[0]
+        p, q, year = value.split(mark)
+        form = (len(p), len(q), order_of(int(p), int(q)))
+        days = days_of(*form)
+        at = bisect.bisect_left(days, own := (int(year), int(p), int(q)))
+        if at == len(days) or days[at] != own:
+            return None
+        year, a, b = days[self.permute(at, len(days), f"date{mark}{form}")]
+        return f"{a:0{form[0]}}{mark}{b:0{form[1]}}{mark}{year}"
 
     def text(self, text: str | None) -> tuple[str | None, list[str]]:
         if not text or not HINT.search(text):
             return text, []
         kinds: list[str] = []
-
         out, done, at = [], 0, 0
         while m := FOUND.search(text, at):
-            kind, at = next(k for k, v in m.groupdict().items() if v is not None and k != "mark"), m.end()
-            value = m[0]
-            if kind == "iban":
-                value = _iban_in(value)
-                at = m.start() + len(value or m[0].partition(" ")[0])
-            if value and (got := self.replace(kind, value)) != value:
+            kind = next(k for k, v in m.groupdict().items() if v is not None and k != "mark")
+            value = _card_at(text, m.start()) if kind == "card" else _iban_in(m[0]) if kind == "iban" else m[0]
+            if value and (got := self.replace(kind, value)) is not None:
                 kinds.append(kind)
                 out += text[done : m.start()], got
-                done = m.start() + len(value)
+                done = at = m.start() + len(value)
+            else:  # only the word at its start is done with: what follows may begin another value
+                at = WORD.match(text, m.start()).end()
         return "".join(out) + text[done:], kinds
 
 
+def _card_at(text: str, start: int) -> str:
+    """The longest run of whole digit groups from ``start`` with 13 to 19 digits and a right check digit; an empty text if there is none."""
+    digits, found = "", ""
+    for m in GROUP.finditer(text, start):
+        if m.start() > (end if digits else start) or m[1] == "0" * len(m[1]) and not digits:
+            break
+        digits, end = digits + m[1], m.end()
+        if len(digits) > 19 or digits[0] == "0":
+            break
+        if len(digits) >= 13 and not text[end : end + 1].isalnum() and text[end : end + 1] != "_" and luhn(digits):
+            found = text[start:end]
+    return found
+
+
 def _iban_in(value: str) -> str:
     """The longest part from the start that ends where a run ends and holds, all of it or 15 characters at least; an empty one if none does."""
     ends = [m.start() for m in re.finditer(r" |$", value)]
@@ -199,15 +239,22 @@ def _running_digits(text: str) -> Iterator[int]:
         yield n
 
 
+def key_from_environment(name: str = "SWATHE_PSEUDONYM_KEY") -> bytes:
+    """The deployment's key; there is no default, as a known key undoes every pseudonym."""
+    if not (key := os.environ.get(name)):
+        raise ValueError(f"{name} must hold the key of the pseudonyms")
+    return key.encode()
+
+
 def pseudonymise(docs: DataFrame, key: bytes, text_col: str = "text", kinds_col: str | None = None) -> DataFrame:
     """All rows and columns with ``text_col`` rewritten; ``kinds_col`` adds the kinds of what was replaced, in order."""
-    at = docs.columns.index(text_col)
-    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema] + ([f"`{kinds_col}` array<string>"] if kinds_col else [])
+    Pseudonyms(key)
 
-    def run(rows: Iterator[tuple]) -> Iterator[tuple]:
+    def start() -> Callable[[list], list]:
         own = Pseudonyms(key)
-        for row in rows:
-            text, kinds = own.text(row[at])
-            yield row[:at] + (text,) + row[at + 1 :] + ((kinds,) if kinds_col else ())
+        return lambda texts: [{"text": text, "kinds": kinds} for text, kinds in map(own.text, texts)]
 
-    return map_rows(docs, [f"`{c}`" for c in docs.columns], run, ", ".join(fields))
+    found = free_name(docs, "found")
+    rows = docs.withColumn(found, map_texts(column(text_col).cast("string"), start, "text string, kinds array<string>"))
+    kept = [column(f"{found}").getField("text").alias(c) if c == text_col else column(c) for c in docs.columns if not kinds_col or c.lower() != kinds_col.lower()]
+    return rows.select(*kept, *([column(found).getField("kinds").alias(kinds_col)] if kinds_col else []))
