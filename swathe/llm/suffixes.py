@@ -12,10 +12,15 @@ order, and each extends the prefix of the suffixes that its members' previous-sm
 then emits every group's order, with no renaming and no recursion.
 
 A group of very many parts (a passage at whose edge every copy differs) isn't put into one task: its windows are
-hashed and counted, which splits over machines and gives the same answer.
+hashed and counted, which splits over machines and gives the same answer: where a part is one window, its core is the window
+and counting is all that an array of it could tell.
+
+What counts as equal without a look at the bytes has two 64-bit hashes the same, that of the k-gram and that of the span or of
+the window with its group; parts of a suffix array are compared byte by byte.
 
 Defined cases: a null text is empty; texts shorter than ``length`` keep all; equal rows are copies of one another, so a
-repeated row of ``length`` bytes or more loses all; an empty table gives no rows; other columns are not read.
+repeated row of ``length`` bytes or more loses all; a very long text is hashed in overlapping chunks; an empty table gives no
+rows; other columns are not read, and ``rewrite`` keeps them, whatever their names.
 """
 
 from __future__ import annotations
@@ -360,7 +365,9 @@ def repeated_ranges(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) ->
     """
     spans = materialize(_spans(docs, length, gram), "spans")
     shared = spans.groupBy("anchor").agg(F.count(F.lit(1)).alias("n"), F.min("span").alias("least"), F.max("span").alias("most")).where("n > 1")
-    known = materialize(spans.join(shared.select("anchor", (F.col("least") == F.col("most")).alias("same")), "anchor"), "shared")
+    # written first: a join of two tables, and not of a table and its own sums, can split the partition of a hot k-gram
+    shared = materialize(shared.select("anchor", (F.col("least") == F.col("most")).alias("same")), "anchors")
+    known = materialize(spans.join(shared.hint("merge"), "anchor"), "shared")
     covered = lambda df: df.select("doc", "own", F.col("start").alias("begin"), (F.col("start") + F.col("count") + length - 1).alias("end"))
     mixed = known.where("not same")
     kinds = materialize(mixed.groupBy("anchor", "span").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc", "own", "start", "count", "place")).alias("at")).select("anchor", "span", "n", "at.*"), "kinds")
