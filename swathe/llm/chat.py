@@ -1,16 +1,17 @@
 """Chat formatting in budgeted windows.
 
-Prefix sums of turn tokens deal the turns of a conversation to windows, each made of whole turns.  A window repeats the
-conversation's first system turn and a limited number of tokens of the turns before it; what is repeated is never a
-target.  The loss mask holds the text of each assistant turn once.  Long conversations are cut into blocks of turn numbers
-first, and the turns at a block's end go along to the next block as history, so no task needs a whole conversation.
+Prefix sums of turn tokens choose the windows: each takes whole turns from where the last one ended for as long as the sum stays
+within the room that the system turn and the history leave.  A window repeats the conversation's first system turn and a
+limited number of tokens of the turns before it; what is repeated is never a target.  The loss mask holds the text of each
+assistant turn once.  Turns are numbered over ranges of rows and cut into blocks of so many turns, the last ones of a block going
+along to the next as history, so no task needs a whole conversation; a window ends where its block does.
 
 A turn is written ``### role:``, line feed, text, line feed, ``</turn>``, line feed.  In roles and texts, a backslash is written as
 ``\\s``, ``#`` as ``\\h``, ``<`` as ``\\l`` and a role's line feed as ``\\n``, so neither marker can occur in them.
 
 Defined cases: a null text or role is empty; null turn numbers come first; rows of one turn number go by role, then text;
-a repeated row is a turn of its own; a turn longer than the budget has a window to itself; a conversation without an
-assistant has an empty mask; an empty table gives no windows.
+a null ``conv_id`` is one conversation; a repeated row is a turn of its own; a turn longer than the room has a window to itself,
+however long; a conversation without an assistant has an empty mask; an empty table gives no windows; other columns are not read.
 """
 
 from __future__ import annotations
@@ -18,12 +19,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..operators import ranks
+from .common import materialize
+
 BUDGET = 1024
 HISTORY = 192
 BLOCK_TURNS = 256
 #: Tokens that a turn's markers take.
 MARKERS = 6
-NO_TURN = -(1 << 62)
 END = "\n</turn>\n"
 
 
@@ -49,52 +52,42 @@ def _parts(turns: Column) -> Column:
     return F.transform(turns, lambda t: F.struct(t["role"].alias("role"), F.char_length(head(t)).alias("head"), F.concat(head(t), escape(t["text"]), F.lit(END)).alias("part")))
 
 
-def windows(conversations: DataFrame, budget: int = BUDGET, history: int = HISTORY) -> DataFrame:
+def windows(conversations: DataFrame, budget: int = BUDGET, history: int = HISTORY, block_turns: int = BLOCK_TURNS) -> DataFrame:
     """``conv_id``, the window's place, ``formatted``, ``n_repeated`` leading turns and ``loss_spans`` (start from 0, length) in code points."""
-    turns = conversations.select("conv_id", F.col("turn").cast("long").alias("turn"), F.coalesce(F.col("role").cast("string"), F.lit("")).alias("role"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    system = turns.where(F.col("role") == "system").groupBy(F.col("conv_id").alias("of")).agg(F.min(F.struct("turn", "role", "text")).alias("system"))
-    rows = (
-        turns.join(system, F.col("conv_id").eqNullSafe(F.col("of")), "left")
-        .withColumn("is_system", F.coalesce(F.struct("turn", "role", "text") == F.col("system"), F.lit(False)))
-        .withColumn("room", F.greatest(F.lit(budget // 4), F.lit(budget - history) - F.coalesce(tokens(F.col("system.text")), F.lit(0))))
-        .withColumn("size", tokens(F.col("text")))
-        .withColumn("turn", F.coalesce("turn", F.lit(NO_TURN)))
-        .withColumn("block", F.floor(F.col("turn") / BLOCK_TURNS))
-        .drop("of")
-    )
-    order = ("turn", "role", "text")
-    after = F.sum("size").over(Window.partitionBy("conv_id", "block").orderBy(*map(F.desc, order)).rowsBetween(Window.unboundedPreceding, 0))
-    both = (
-        rows.withColumn("after", after)
-        .withColumn("at", F.explode(F.when(F.col("after") <= history, F.array(F.struct(F.col("block"), F.lit(False).alias("context")), F.struct((F.col("block") + 1).alias("block"), F.lit(True).alias("context")))).otherwise(F.array(F.struct(F.col("block"), F.lit(False).alias("context"))))))
-        .withColumns({"block": F.col("at.block"), "context": F.col("at.context")})
-    )
-    run = Window.partitionBy("conv_id", "block").orderBy(F.desc("context"), *order).rowsBetween(Window.unboundedPreceding, 0)
-    turn = F.struct("role", "text", "is_system")
-    placed = (
-        both.withColumn("until", F.sum("size").over(run))
-        .withColumn("own_until", F.sum(F.when(~F.col("context"), F.col("size")).otherwise(0)).over(run))
-        .withColumns({"start": F.col("until") - F.col("size"), "own_start": F.col("own_until") - F.col("size")})
-        .withColumn("before", F.collect_list(turn).over(Window.partitionBy("conv_id", "block").orderBy("start").rangeBetween(-history, -1)))
-        .where(~F.col("context"))
-        .withColumn("span", F.floor(F.col("own_start") / F.col("room")))
-        .withColumn("straddles", F.floor((F.col("own_until") - 1) / F.col("room")) != F.col("span"))
-    )
-    gathered = placed.groupBy("conv_id", "block", "span", "straddles").agg(
-        F.sort_array(F.collect_list(F.struct("start", "role", "text", "is_system"))).alias("targets"), F.min_by("before", "start").alias("history"), F.first("system").alias("system")
-    )
-    has_system = F.exists("targets", lambda t: t["is_system"]) | F.exists("history", lambda t: t["is_system"])
-    lead = F.when(F.col("system").isNotNull() & ~has_system, F.array(F.struct(F.col("system.role").alias("role"), F.col("system.text").alias("text")))).otherwise(F.array().cast("array<struct<role:string,text:string>>"))
+    said = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
+    turns = conversations.select("conv_id", F.col("turn").cast("long").alias("turn"), said("role").alias("role"), said("text").alias("text")).withColumn("size", tokens(F.col("text")).cast("long"))
+    # number and prefix sum of each turn in its conversation; nulls sort first
+    placed = ranks.running(turns, ["conv_id"], ["turn", "role", "text"], {"n": F.lit(1).cast("long"), "until": F.col("size")})
+    placed = materialize(placed.select("conv_id", "n", "until", "size", "role", "text", F.floor((F.col("n") - 1) / block_turns).alias("block")), "turns")
+    system = materialize(placed.where("role = 'system'").groupBy(F.col("conv_id").alias("of")).agg(F.min(F.struct("n", "size", "role", "text")).alias("system")), "system")
+    # the last turns of a block are history to the next one
+    end = F.max("until").over(Window.partitionBy("conv_id", "block"))
+    left = placed.withColumn("left", end - F.col("until") + F.col("size"))
+    dealt = left.withColumn("at", F.explode(F.when(F.col("left") <= history, F.array("block", F.col("block") + 1)).otherwise(F.array("block")))).withColumn("own", F.col("at") == F.col("block"))
+    turn = F.struct("n", "until", "size", "role", "text", "own")
+    blocks = dealt.groupBy("conv_id", F.col("at").alias("block")).agg(F.sort_array(F.collect_list(turn)).alias("turns")).withColumn("mine", F.filter("turns", lambda t: t["own"])).where(F.size("mine") > 0)
+    blocks = blocks.join(system.hint("merge"), F.col("conv_id").eqNullSafe(F.col("of")), "left").drop("of")
+    room = F.greatest(F.lit(budget // 4), F.lit(budget - history) - F.coalesce(F.col("system.size"), F.lit(0)))
+    first = F.get("mine", F.lit(0))
+    # a new window where the sum since the last one's start is more than the room, unless the turn is its first
+    step = lambda a, t: F.when((t["until"] - a["base"] > a["room"]) & (t["until"] - t["size"] > a["base"]), F.struct(F.concat(a["starts"], F.array(t["n"])).alias("starts"), (t["until"] - t["size"]).alias("base"), a["room"].alias("room"))).otherwise(a)
+    starts = F.aggregate("mine", F.struct(F.array(first["n"]).alias("starts"), (first["until"] - first["size"]).alias("base"), room.cast("long").alias("room")), step, lambda a: a["starts"])
+    cut = blocks.withColumn("starts", starts).select("*", F.posexplode("starts").alias("span", "start")).withColumn("stop", F.coalesce(F.get("starts", F.col("span") + 1), F.lit((1 << 62))))
+    chosen = cut.withColumn("targets", F.filter("mine", lambda t: (t["n"] >= F.col("start")) & (t["n"] < F.col("stop"))))
+    begin = F.get("targets", F.lit(0))
+    chosen = chosen.withColumn("base", begin["until"] - begin["size"]).withColumn("before", F.filter("turns", lambda t: (t["n"] < F.col("start")) & (F.col("base") - (t["until"] - t["size"]) <= history)))
     plain = lambda turns: F.transform(turns, lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text")))
+    shown = F.exists(F.concat("before", "targets"), lambda t: t["n"] == F.col("system.n"))
+    lead = F.when(F.col("system").isNotNull() & ~shown, F.array(F.struct(F.col("system.role").alias("role"), F.col("system.text").alias("text")))).otherwise(F.array().cast("array<struct<role:string,text:string>>"))
     built = (
-        gathered.withColumn("repeated", F.concat(lead, plain(F.col("history"))))
+        chosen.withColumn("repeated", F.concat(lead, plain(F.col("before"))))
         .withColumn("n_repeated", F.size("repeated"))
         .withColumn("parts", _parts(F.concat("repeated", plain(F.col("targets")))))
         .withColumn("lengths", F.transform("parts", lambda p: F.char_length(p["part"])))
     )
     span = lambda p, i: F.struct((F.aggregate(F.slice("lengths", F.lit(1), i), F.lit(0), lambda a, b: a + b) + p["head"]).alias("start"), (F.char_length(p["part"]) - p["head"] - len(END)).alias("length"), ((i >= F.col("n_repeated")) & (p["role"] == "assistant")).alias("target"))
     return built.select(
-        "conv_id", "block", "span", "straddles",
+        "conv_id", "block", "span",
         F.array_join(F.transform("parts", lambda p: p["part"]), "").alias("formatted"),
         "n_repeated",
         F.transform(F.filter(F.transform("parts", span), lambda s: s["target"]), lambda s: F.struct(s["start"].alias("start"), s["length"].alias("length"))).alias("loss_spans"),
@@ -114,7 +107,7 @@ def read_back(formatted: DataFrame) -> DataFrame:
 
 def digests(formatted: DataFrame) -> DataFrame:
     """A row for each conversation.  A digest of a whole conversation needs its text in one place; nothing else here does."""
-    place = F.struct("block", "span", "straddles", F.array_join("turns", "").alias("text"), F.col("loss_text").alias("loss"))
+    place = F.struct("block", "span", F.array_join("turns", "").alias("text"), F.col("loss_text").alias("loss"))
     rows = read_back(formatted).groupBy("conv_id").agg(F.sum(F.size("turns")).cast("long").alias("n_turns"), F.sort_array(F.collect_list(place)).alias("all"), F.sum(F.char_length("formatted")).cast("long").alias("formatted_chars"))
     joined = lambda name: F.array_join(F.transform("all", lambda w: w[name]), "")
     return rows.select(
