@@ -23,7 +23,7 @@ from .common import id_and_text, map_rows
 
 SHINGLE_WORDS = 5
 FRACTION = 0.25
-CACHE_WORDS = 500_000
+CACHE_WORDS = 200_000
 #: Runs of neighbouring ids; a run is sorted on disk and streamed, so its rows need no bound.
 MAX_RUNS = 2000
 

@@ -1,17 +1,20 @@
 """Documents linked by the Jaccard likeness of their word n-grams, and the components of those links.
 
-Equal sets are one set from the start.  Sets that differ are dealt out by signatures: for a size class, at most d n-grams
-can differ between two linked sets, so of more than d parts of the n-grams at least one is the same in both.  A task keeps
-one row for each signature it has met and turns the others into edges at once, so a hot group reaches the exchange as one
-row a task.  What signatures connect is only a candidate group; inside, a prefix tree decides.  It holds the sets in one
-global order of n-grams, so sets that begin alike share a path.  A set is looked up by walking the tree with the overlap so
-far, and a subtree is left as soon as the n-grams that remain on either side can't reach the overlap that a link needs.
+Equal sets are one set from the start.  All n-grams stand in one global order, rare ones first: a sketch of fixed size counts
+them over all texts, and the hash orders those that it counts alike.  Two linked sets share an n-gram among the first few of
+both (all but the overlap that a link needs, and one), and their sizes are of one step or of neighbours; so each of those
+n-grams with a size step is a signature.  A task keeps one row for each signature it has met and turns the others into edges
+at once, so a hot group reaches the exchange as one row a task.  What signatures connect is only a candidate group; inside, a
+prefix tree decides.  It holds the sets in the global order from its other end, frequent n-grams first, so sets with much in
+common share a path.  A set is looked up by walking the tree with the overlap so far, and a subtree is left as soon as the
+n-grams that remain on either side can't reach the overlap that a link needs.
 
 A large candidate group is cut by size into steps so wide that linked sets are of one step or of neighbours, and a step into
 blocks; every two blocks that can be linked are joined in a task of their own.
 
 Defined cases: a null or empty text, or one without words, has the empty set and is linked with nothing; a text with fewer
-words than an n-gram is one n-gram; equal rows are linked if they have an n-gram; an empty table gives no rows.
+words than an n-gram is one n-gram; equal rows are linked if they have an n-gram; a very long text is read whole by one task;
+an empty table gives no rows; other columns are not read, and ``one_of_each`` keeps them, whatever their names.
 """
 
 from __future__ import annotations
@@ -22,33 +25,88 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import id_and_text, map_rows, materialize
+from ..sources.files import drop
+from .common import column, free_name, id_and_text, map_rows, materialize, written
 from .fingerprints import WordHashes, mix, shingle_hashes
 
 GRAM_WORDS = 3
 #: A link needs 100 * intersection >= PERCENT * union.
 PERCENT = 90
-#: Size classes grow by this factor.
-GROWTH = 1.4
-SPARE_PARTS = 3
-#: Sets in a block of a large candidate group.
-BLOCK_SETS = 1500
-#: Signatures a task remembers.
-SEEN = 1_000_000
+#: Counters of the sketch: about so many a document, within limits, as the sketch goes to every task.
+COUNTERS_PER_DOC, LEAST_BITS, MOST_BITS = 16, 16, 24
+#: Counters that one row of the sketch has.
+CHUNK_BITS = 14
+#: Sets, and n-grams of all of them, in a block of a large candidate group.
+BLOCK_SETS, BLOCK_GRAMS = 1500, 750_000
+#: Signatures, and pairs of sets, that a task remembers; it forgets all when there are more and begins anew.
+SEEN, TOLD = 200_000, 100_000
 
 
-# --- signatures ------------------------------------------------------------------------------------------------------
+# --- the global order ------------------------------------------------------------------------------------------------
 
 
-def size_classes(largest: int) -> list[int]:
-    """Least size of each class."""
-    out = [1]
-    while out[-1] <= largest:
-        out.append(max(out[-1] + 1, int(out[-1] * GROWTH)))
-    return out
+class Order:
+    """N-grams by level, a logarithm of how often the sketch has counted what shares their counter, then by hash."""
+
+    def __init__(self, levels: np.ndarray):
+        self.levels, self.shift = levels, np.uint64(65 - len(levels).bit_length())
+
+    def sorted(self, grams: np.ndarray) -> np.ndarray:
+        """The n-grams, rare ones first."""
+        return grams[np.lexsort((grams, self.levels[(grams >> self.shift).astype(np.int64)]))]
+
+
+def learn_order(rows: DataFrame, k: int) -> Order:
+    """Counts of all n-grams of all texts in a sketch: each task sums its own, then the tasks' sketches are summed chunk by chunk."""
+    bits = min(max(LEAST_BITS, (COUNTERS_PER_DOC * rows.count()).bit_length()), MOST_BITS)
+    chunk = 1 << min(bits, CHUNK_BITS)
+
+    def count(parts: Iterator[tuple]) -> Iterator[tuple]:
+        import zstandard
 
+        hashes, squeeze, counts, held, size = WordHashes(), zstandard.ZstdCompressor(level=1), np.zeros(1 << bits, np.uint32), [], 0
 
-CLASSES = size_classes(1 << 40)
+        def add() -> None:
+            if held:
+                np.add.at(counts, (np.concatenate(held) >> np.uint64(64 - bits)).astype(np.int64), np.uint32(1))
+
+        for (text,) in parts:
+            held.append(shingle_hashes(hashes(text), k))
+            size += len(held[-1])
+            if size >= 1 << 19:
+                add()
+                held, size = [], 0
+        add()
+        if counts.any():
+            for at in range(0, 1 << bits, chunk):
+                # what is counted more often in one task is frequent, however much
+                yield at // chunk, squeeze.compress(np.minimum(counts[at : at + chunk], 65535).astype("<u2").tobytes())
+
+    def total(parts: Iterator[tuple]) -> Iterator[tuple]:
+        import zstandard
+
+        open_up, now, counts = zstandard.ZstdDecompressor(), None, None
+        for at, packed in parts:
+            if at != now:
+                if now is not None:
+                    yield now, _levels(counts)
+                now, counts = at, np.zeros(chunk, np.int64)
+            counts += np.frombuffer(open_up.decompress(packed), "<u2")
+        if now is not None:
+            yield now, _levels(counts)
+
+    found = map_rows(rows, ["text"], count, "chunk int, counts binary").repartition("chunk").sortWithinPartitions("chunk")
+    levels = np.zeros(1 << bits, np.uint8)
+    for at, own in map_rows(found, ["chunk", "counts"], total, "chunk int, levels binary").collect():
+        levels[at * chunk : (at + 1) * chunk] = np.frombuffer(own, np.uint8)
+    return Order(levels)
+
+
+def _levels(counts: np.ndarray) -> bytes:
+    return np.minimum(6 * np.log2(1 + counts), 255).astype(np.uint8).tobytes()
+
+
+# --- signatures ------------------------------------------------------------------------------------------------------
 
 
 def size_steps(percent: int) -> np.ndarray:
@@ -59,34 +117,19 @@ def size_steps(percent: int) -> np.ndarray:
     return np.array(out)
 
 
-def most_different(smaller: int, percent: int) -> int:
-    """The largest symmetric difference of two linked sets of which the smaller has at most ``smaller`` members.
+def signatures(ordered: np.ndarray, percent: int, steps: np.ndarray) -> np.ndarray:
+    """Hashes of the first n-grams in the global order with the set's size step, and with the step before it if a linked set can be of that.
 
-    With i shared and u in all, 100 i >= percent * u leaves (100 - percent) / 100 of u to differ, and 2 u = a + b + difference.
+    A linked set shares at least percent / 100 of the n-grams.  Of two linked sets, take the shared n-gram that comes first
+    in the order: fewer than (100 - percent) / 100 of either set's n-grams are before it, as those aren't shared.
     """
-    larger = 100 * smaller // percent
-    return (100 - percent) * (smaller + larger) // (100 + percent)
-
-
-def signatures(grams: np.ndarray, percent: int = PERCENT) -> np.ndarray:
-    """Hashes of the parts of a set, for its own size class and for a lower one that may hold a smaller linked set."""
-    n, out = len(grams), []
-    own = int(np.searchsorted(CLASSES, n, side="right")) - 1
-    for c in range(own, -1, -1):
-        most = CLASSES[c + 1] - 1
-        if 100 * most < percent * n:
-            break
-        differ = most_different(most, percent)
-        parts = differ + 1 + SPARE_PARTS
-        part = (mix(grams ^ np.uint64(c + 1)) % np.uint64(parts)).astype(np.int64)
-        order = np.argsort(part, kind="stable")
-        cuts = np.flatnonzero(np.diff(part[order], prepend=-1))
-        sums = np.add.reduceat(mix(grams[order] + np.uint64(0x5851F42D4C957F2D)), cuts)
-        index = part[order][cuts]
-        if parts - len(index) >= parts - differ:  # so many parts are empty that only those may agree
-            empty = np.setdiff1d(np.arange(parts), index)
-            index, sums = np.concatenate([index, empty]), np.concatenate([sums, np.zeros(len(empty), np.uint64)])
-        out.append(mix(sums + mix(index.astype(np.uint64) * np.uint64(1 << 20) + np.uint64(c))))
+    n = len(ordered)
+    least = -(-percent * n // 100)
+    first = ordered[: n - least + 1]
+    step = int(np.searchsorted(steps, n, side="right"))
+    out = [mix(first + np.uint64(step))]
+    if least < steps[step - 1]:
+        out.append(mix(first + np.uint64(step - 1)))
     return np.concatenate(out)
 
 
@@ -94,26 +137,31 @@ def signatures(grams: np.ndarray, percent: int = PERCENT) -> np.ndarray:
 
 
 class Node:
-    __slots__ = ("children", "edge", "ends", "longest", "shortest")
+    __slots__ = ("children", "edge", "ends", "longest", "mixed", "one", "shortest")
 
     def __init__(self, edge: tuple):
         self.edge: tuple = edge
         self.children: dict[int, Node] = {}
         self.ends: list[tuple[int, int]] = []  # (size, set) of the sets that end here
         self.shortest, self.longest = 1 << 60, 0
+        self.one, self.mixed = -1, False  # a set below, and whether they may be of several components
 
 
 class PrefixTree:
     """Sets in one global order, with path compression; ``linked`` finds the stored sets a new one is linked to."""
 
-    def __init__(self, percent: int):
-        self.percent = percent
+    def __init__(self, percent: int, find):
+        self.percent, self.find = percent, find
         self.root = Node(())
 
     def add(self, grams: tuple, name: int) -> None:
         node, at, size = self.root, 0, len(grams)
         while True:
             node.shortest, node.longest = min(node.shortest, size), max(node.longest, size)
+            if node.one < 0:
+                node.one = name
+            elif not node.mixed and self.find(node.one) != self.find(name):
+                node.mixed = True
             if at == size:
                 node.ends.append((size, name))
                 return
@@ -121,6 +169,7 @@ class PrefixTree:
             if child is None:
                 child = node.children[grams[at]] = Node(grams[at:])
                 child.shortest = child.longest = size
+                child.one = name
                 child.ends.append((size, name))
                 return
             edge = child.edge
@@ -129,7 +178,7 @@ class PrefixTree:
                 same += 1
             if same < len(edge):  # the edge splits
                 upper = Node(edge[:same])
-                upper.shortest, upper.longest = child.shortest, child.longest
+                upper.shortest, upper.longest, upper.one, upper.mixed = child.shortest, child.longest, child.one, child.mixed
                 child.edge = edge[same:]
                 upper.children[child.edge[0]] = child
                 node.children[grams[at]] = upper
@@ -140,17 +189,19 @@ class PrefixTree:
         """The least overlap of linked sets of sizes a and b."""
         return -(-self.percent * (a + b) // (100 + self.percent))
 
-    def linked(self, grams: frozenset, skip) -> Iterator[int]:
-        """Names of linked sets; ``skip(name)`` says which need no answer any more."""
-        n, percent = len(grams), self.percent
+    def linked(self, grams: frozenset, known: int | None = None) -> Iterator[int]:
+        """Names of linked sets; with ``known``, sets that are already of that one's component need no answer, nor do subtrees of such sets."""
+        n, percent, find = len(grams), self.percent, self.find
         stack = [(self.root, 0, 0)]  # node, depth before its edge, overlap before its edge
         while stack:
             node, depth, overlap = stack.pop()
+            if known is not None and not node.mixed and node.one >= 0 and find(node.one) == find(known):
+                continue
             depth += len(node.edge)
             if node.edge:
                 overlap += len(grams.intersection(node.edge)) if len(node.edge) > 1 else node.edge[0] in grams
             for size, name in node.ends:
-                if not skip(name) and 100 * overlap >= percent * (n + size - overlap):
+                if 100 * overlap >= percent * (n + size - overlap) and (known is None or find(name) != find(known)):
                     yield name
             for child in node.children.values():
                 # the overlap can grow by what is left of the set or of the longest path, and the shortest path needs the least
@@ -159,15 +210,16 @@ class PrefixTree:
                     stack.append((child, depth, overlap))
 
 
-def join(sets: list[tuple[int, np.ndarray]], blocks: list[int], pair: tuple[int, int], percent: int, rows: list[int] | None = None) -> list[tuple]:
+def join(sets: list[tuple[int, np.ndarray]], blocks: list[int], pair: tuple[int, int], percent: int, order: Order, rows: list[int] | None = None) -> list[tuple]:
     """A forest of links among sets (name, n-grams): of one block (pair of equal numbers), or between two blocks.
 
     With ``rows``, how many rows each set has, every link is found, and (name, None, rows it is linked to) tells of all sets.
     """
-    everything, counts = np.unique(np.concatenate([g for _, g in sets]), return_counts=True)
-    # frequent n-grams first, so that sets with much in common share long paths
+    everything = np.unique(np.concatenate([g for _, g in sets]))
+    # places in the global order, frequent ones first, so that sets with much in common share long paths
     place = np.empty(len(everything), np.int64)
-    place[np.lexsort((everything, -counts))] = np.arange(len(everything))
+    place[np.searchsorted(everything, order.sorted(everything)[::-1])] = np.arange(len(everything))
+    places = list(range(len(everything)))  # one object for each, however many sets have it
     parent = list(range(len(sets)))
 
     def find(x: int) -> int:
@@ -177,11 +229,11 @@ def join(sets: list[tuple[int, np.ndarray]], blocks: list[int], pair: tuple[int,
         return x
 
     out, met = [], [0] * len(sets)
-    trees = {b: PrefixTree(percent) for b in pair}
+    trees = {b: PrefixTree(percent, find) for b in pair}
     for k in sorted(range(len(sets)), key=lambda k: len(sets[k][1])):
-        grams = tuple(np.sort(place[np.searchsorted(everything, sets[k][1])]).tolist())
+        grams = tuple(map(places.__getitem__, np.sort(place[np.searchsorted(everything, sets[k][1])]).tolist()))
         other = pair[0] if blocks[k] == pair[1] else pair[1]
-        for found in trees[other].linked(frozenset(grams), lambda x, k=k: rows is None and find(x) == find(k)):
+        for found in trees[other].linked(frozenset(grams), k if rows is None else None):
             if rows is not None:
                 met[k] += rows[found]
                 met[found] += rows[k]
@@ -196,27 +248,25 @@ def join(sets: list[tuple[int, np.ndarray]], blocks: list[int], pair: tuple[int,
 # --- components ------------------------------------------------------------------------------------------------------
 
 
-def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """(node, root): the least node that each node of the edges (a, b) is connected to.
 
     Rounds of two steps until nothing changes: every node tells its larger neighbours, then its smaller ones, of the least.
+    Their number grows with the logarithm of the longest path; a round's table goes when the next one is written.
     """
-    edges = materialize(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
-    before = None
-    for _ in range(rounds):
+    edges, path = written(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
+    before, now = None, ()
+    while now != before:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = F.least("a", F.min("b").over(Window.partitionBy("a")))
         large = both.withColumn("m", least).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         least = F.min("b").over(Window.partitionBy("a"))
         step = large.withColumn("m", least)
         small = step.select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.*").where("a <> b").distinct()
-        edges = materialize(small, "edges")
+        edges, own = written(small, "edges")
+        drop(edges.sparkSession, path)
+        path, before = own, now
         now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first()
-        if now == before:
-            break
-        before = now
-    else:
-        raise RuntimeError(f"components did not settle in {rounds} rounds")
     return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(edges.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
 
 
@@ -233,19 +283,21 @@ def _name(grams: np.ndarray) -> int:
     return xxh3_64_intdigest(grams.tobytes()) - (1 << 63)
 
 
-def _read(rows: DataFrame, k: int, percent: int) -> DataFrame:
-    """Size, name and step of each document's set, its signatures that are new in the task, and the sets that had another of them first."""
+def _read(rows: DataFrame, k: int, percent: int, order: Order) -> DataFrame:
+    """Size, name and step of each document's set, its signatures that are new in the task, the sets that had another of them first, and its text, packed."""
     steps = size_steps(percent)
 
     def run(parts: Iterator[tuple]) -> Iterator[tuple]:
-        hashes, seen, told = WordHashes(), {}, set()
+        import zstandard
+
+        hashes, seen, told, squeeze = WordHashes(), {}, set(), zstandard.ZstdCompressor(level=1)
         for doc_id, text in parts:
             grams = _grams(hashes, text, k)
             if not len(grams):
-                yield doc_id, 0, None, None, [], []
+                yield doc_id, 0, None, None, [], [], None
                 continue
             name, new, others = _name(grams), [], []
-            for s in signatures(grams, percent).view(np.int64).tolist():
+            for s in signatures(order.sorted(grams), percent, steps).view(np.int64).tolist():
                 first = seen.get(s)
                 if first is None:
                     if len(seen) >= SEEN:
@@ -253,31 +305,16 @@ def _read(rows: DataFrame, k: int, percent: int) -> DataFrame:
                     seen[s] = name
                     new.append(s)
                 elif first != name and (first, name) not in told:
-                    if len(told) >= SEEN:
+                    if len(told) >= TOLD:
                         told.clear()
                     told.add((first, name))
                     others.append(first)
-            yield doc_id, len(grams), name, int(np.searchsorted(steps, len(grams), side="right")), new, others
-
-    return map_rows(rows, ["doc_id", "text"], run, "doc_id long, n_shingles long, name long, step int, signatures array<long>, others array<long>")
-
-
-def _packed(rows: DataFrame, k: int, percent: int) -> DataFrame:
-    steps = size_steps(percent)
-
-    def run(parts: Iterator[tuple]) -> Iterator[tuple]:
-        import zstandard
-
-        hashes, squeeze = WordHashes(), zstandard.ZstdCompressor(level=1)
-        for (text,) in parts:
-            grams = _grams(hashes, text, k)
-            if len(grams):
-                yield _name(grams), int(np.searchsorted(steps, len(grams), side="right")), squeeze.compress(text.encode())
+            yield doc_id, len(grams), name, int(np.searchsorted(steps, len(grams), side="right")), new, others, squeeze.compress(text.encode())
 
-    return map_rows(rows, ["text"], run, "name long, step int, packed binary")
+    return map_rows(rows, ["doc_id", "text"], run, "doc_id long, n_shingles long, name long, step int, signatures array<long>, others array<long>, packed binary")
 
 
-def _links(members: DataFrame, k: int, percent: int, every: bool) -> DataFrame:
+def _links(members: DataFrame, k: int, percent: int, order: Order, every: bool) -> DataFrame:
     """Links (a, b) between the sets of each candidate group; ``members`` has root, blocks (a map by step), step, name, rows and packed.
 
     ``every`` adds (a, null, n): rows of other sets that a unit links to the set a, so no table has a row for each pair.
@@ -309,7 +346,7 @@ def _links(members: DataFrame, k: int, percent: int, every: bool) -> DataFrame:
 
         def solve() -> Iterator[tuple]:
             if len(sets) > 1:
-                yield from join(sets, where, (0, int(key[1:3] != key[3:])), percent, counts if every else None)
+                yield from join(sets, where, (0, int(key[1:3] != key[3:])), percent, order, counts if every else None)
 
         for *now, at, name, n, packed in rows:
             if now != key:
@@ -327,20 +364,22 @@ def _links(members: DataFrame, k: int, percent: int, every: bool) -> DataFrame:
 def linked_components(docs: DataFrame, k: int = GRAM_WORDS, percent: int = PERCENT, links: bool = False) -> DataFrame:
     """``doc_id``, ``n_shingles`` and ``component_id`` of every row; ``links`` adds ``n_links``, to how many other rows it is linked."""
     rows = id_and_text(docs)
-    read = materialize(_read(rows, k, percent), "sets")
+    order = learn_order(rows, k)
+    read = materialize(_read(rows, k, percent, order), "sets")
     sets = read.select("doc_id", "n_shingles", "name")
     least = F.min("name").over(Window.partitionBy("signature"))
     edges = read.select("name", F.explode("signatures").alias("signature")).select(F.col("name").alias("a"), least.alias("b")).unionByName(read.select(F.col("name").alias("a"), F.explode("others").alias("b")))
     groups = components(edges)
     # a small group is one unit, as its sets all have step 0
-    steps = read.where("name is not null").select("name", "step").distinct().join(groups.hint("merge"), F.col("name") == F.col("node")).groupBy("root", "step").agg(F.count(F.lit(1)).alias("size"))
-    sizes = steps.groupBy("root").agg(F.sum("size").alias("size"), F.map_from_entries(F.collect_list(F.struct("step", F.ceil(F.col("size") / BLOCK_SETS).alias("blocks")))).alias("blocks"))
-    small = F.col("size") <= BLOCK_SETS
+    steps = read.where("name is not null").select("name", "step", "n_shingles").distinct().join(groups.hint("merge"), F.col("name") == F.col("node")).groupBy("root", "step").agg(F.count(F.lit(1)).alias("size"), F.sum("n_shingles").alias("grams"))
+    blocks = F.ceil(F.greatest(F.col("size") / BLOCK_SETS, F.col("grams") / BLOCK_GRAMS))
+    sizes = steps.groupBy("root").agg(F.sum("size").alias("size"), F.sum("grams").alias("grams"), F.map_from_entries(F.collect_list(F.struct("step", blocks.alias("blocks")))).alias("blocks"))
+    small = (F.col("size") <= BLOCK_SETS) & (F.col("grams") <= BLOCK_GRAMS)
     sizes = sizes.select(F.col("root").alias("of"), small.alias("small"), F.when(small, F.create_map(F.lit(0), F.lit(1).cast("long"))).otherwise(F.col("blocks")).alias("blocks"))
     # sorted on both sides at every size: the groups have no size bound that would let them be broadcast
-    packed = _packed(rows, k, percent).join(groups.hint("merge"), F.col("name") == F.col("node")).groupBy("name", "root").agg(F.min("step").alias("step"), F.count(F.lit(1)).alias("rows"), F.min("packed").alias("packed"))
+    packed = read.where("name is not null").select("name", "step", "packed").join(groups.hint("merge"), F.col("name") == F.col("node")).groupBy("name", "root").agg(F.min("step").alias("step"), F.count(F.lit(1)).alias("rows"), F.min("packed").alias("packed"))
     members = packed.join(sizes, F.col("root") == F.col("of")).select("root", "blocks", F.when(F.col("small"), 0).otherwise(F.col("step")).alias("step"), "name", "rows", "packed")
-    found = _links(members, k, percent, links)
+    found = _links(members, k, percent, order, links)
     found = materialize(found, "links") if links else found
     linked = components(found.select("a", "b"))
     classes = sets.where("name is not null").groupBy("name").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("rows"))
@@ -358,5 +397,6 @@ def linked_components(docs: DataFrame, k: int = GRAM_WORDS, percent: int = PERCE
 
 def one_of_each(docs: DataFrame, k: int = GRAM_WORDS, percent: int = PERCENT) -> DataFrame:
     """The rows whose id is its component's; where rows share an id, all of them stay if one does."""
-    parts = linked_components(docs, k, percent).where("component_id is null or doc_id = component_id").select(F.col("doc_id").alias("_kept")).distinct()
-    return docs.join(parts, F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi")
+    kept = free_name(docs, "kept")
+    parts = linked_components(docs, k, percent).where("component_id is null or doc_id = component_id").select(F.col("doc_id").alias(kept)).distinct()
+    return docs.join(parts, column("doc_id").cast("long").eqNullSafe(column(kept)), "left_semi")

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from .common import id_and_text, map_rows, materialize
 
-CACHE_WORDS = 400_000
+CACHE_WORDS = 250_000
 #: Texts whose words are looked up at once hold so many characters, or are one text.
 BLOCK_CHARS = 8_000_000
 #: Words of printable ASCII and of letters that Latin-1 adds: they are their own normal form, and lower case is as plain.
