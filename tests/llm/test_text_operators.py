@@ -4,6 +4,7 @@ import random
 import re
 import zlib
 from collections import Counter
+from fractions import Fraction
 
 import numpy as np
 import pytest
@@ -35,7 +36,19 @@ def test_pieces_equal_the_library(spark, docs, none):
         assert codec.encode(text).tolist() == sp.encode(text), text
         assert codec.decode(codec.encode(text).tolist()) == text.replace("▁", " ")
     long = "".join(rng.choice(["th", "er", "ing", "on"]) for _ in range(500))
-    assert list(codec.stream(long)) == codec.short(long) == sp.encode(long, out_type=str)[1:] or codec.encode(long).tolist() == sp.encode(long)
+    for text in ("long", "a" * 5000, long, long * 40, f"{long} {long} x" * 30):
+        assert codec.encode(text).tolist() == sp.encode(text)
+    fed, got = 0, []
+
+    def chars():
+        nonlocal fed
+        for ch in long * 4:
+            fed += 1
+            yield ch
+
+    for piece in codec.stream(chars()):  # ids come out while characters go in
+        got.append((fed, piece))
+    assert "".join(p for _, p in got) == long * 4 and got[len(got) // 2][0] < fed * 0.6
     rows = pieces.round_trip(docs, MODEL).collect()
     assert len(rows) == len(ROWS) and all(r["round_trip"] for r in rows) and pieces.round_trip(none, MODEL).count() == 0
     assert pieces.decode(pieces.encode(docs, MODEL), MODEL).count() == len(ROWS)
@@ -107,8 +120,33 @@ def test_forward_sums_all_segmentations():
     def brute(word, k):
         return 1.0 if not word else sum(p[k] * brute(word[len(s) :], k) for s, p in model["pieces"].items() if word.startswith(s))
 
-    got = langid.Forward(model).parts(["▁xy", "▁xyxy", "x"])
-    assert np.allclose(np.exp(got), [[brute(w, k) for k in (0, 1)] for w in ("▁xy", "▁xyxy", "x")])
+    words = ["▁xy", "▁xyxy", "x", "▁" + "xyx" * 5, "xzy?xy"]
+    model["pieces"] |= {"z": (langid.UNKNOWN,) * 2, "?": (langid.UNKNOWN,) * 2}
+    want = np.log([[brute(w, k) for k in (0, 1)] for w in words])
+    del model["pieces"]["z"], model["pieces"]["?"]
+    assert np.allclose(langid.Forward(model).word_logs(words), want)
+
+    def exact(word, k):
+        """Logs by fractions, for words whose probability no double holds."""
+        sums = [Fraction(1)]
+        for j in range(1, len(word) + 1):
+            sums.append(sum(sums[j - len(s)] * Fraction(p[k]) for s, p in model["pieces"].items() if word.endswith(s, 0, j)))
+        top, bottom = sums[-1].as_integer_ratio()
+        return (top.bit_length() - bottom.bit_length()) * np.log(2) + np.log(float(Fraction(top, 1 << top.bit_length()) / Fraction(bottom, 1 << bottom.bit_length())))
+
+    long = "▁" + "xyyxxy" * 120
+    assert np.allclose(langid.Forward(model).word_logs(["x", long]).tolist()[1], [exact(long, k) for k in (0, 1)], rtol=1e-9)
+
+
+def test_language_of_long_words_and_clashing_names(spark):
+    from pyspark.sql import functions as F
+
+    model = {"langs": ["a", "b"], "pieces": {"▁": (0.1, 0.2), "x": (0.5, 0.1), "y": (0.1, 0.5)}}
+    rows = [(1, "x" * 50_000 + "y" * 49_000), (2, "漢字" * 20_000), (3, None), (4, "1 2"), (1, "y")]
+    df = spark.createDataFrame([(*r, 7, "z") for r in rows], "doc_id long, text string, score int, found string").withColumn("lang_pred", F.lit("mine"))
+    got = langid.identify(df, model, df.columns)
+    assert sorted(got.columns) == sorted(df.columns)
+    assert sorted((r["doc_id"], r["lang_pred"]) for r in got.collect()) == [(1, "a"), (1, "b"), (2, "b"), (3, "und"), (4, "und")]
 
 
 def test_language_id(spark, docs, none):
@@ -135,6 +173,77 @@ def test_pseudonyms():
     assert len({own.permute(x, 1000, "t") for x in range(1000)}) == 1000
 
 
+def test_days_have_images_of_their_own_form():
+    """Every day in every written form: images are different, of the same form, and real days."""
+    import datetime
+
+    own = pii.Pseudonyms(b"k" * 100)
+    days = [datetime.date.fromordinal(k) for k in range(pii.FIRST_DAY, pii.LAST_DAY + 1)]
+    forms = {"iso": lambda d: d.isoformat(), "02/02": lambda d: f"{d.day:02}/{d.month:02}/{d.year}", "us": lambda d: f"{d.month:02}/{d.day:02}/{d.year}", "1.1": lambda d: f"{d.day}.{d.month}.{d.year}"}
+    for name, write in forms.items():
+        said = {write(d) for d in days}
+        images = {own._replace("iso" if name == "iso" else "dmy", x) for x in said}
+        shape = lambda xs: Counter(tuple(map(len, re.split("[-/.]", x))) for x in xs)
+        assert len(images) == len(said) and shape(images) == shape(said), name
+        assert name == "1.1" or images == said, name  # a permutation of what can be written so
+    for x in ("1/2/2024", "1/12/2024", "13/1/2024", "12/31/1999"):
+        got = own.text(x)[0]
+        assert [len(p) for p in got.split("/")] == [len(p) for p in x.split("/")] and own.text(f"on {x}.")[0] == f"on {got}."
+    for x in ("31/2/2024", "00/01/2020", "13/13/2013", "1899-12-31", "2024-02-30"):
+        assert own.text(x) == (x, [])
+
+
+def test_secrets_and_long_texts_of_personal_data(spark):
+    import time
+
+    own = pii.Pseudonyms(b"k")
+    for said in ("PASSWORD=abcdef12", "Password: abcdef12", "API_KEY=abcdef12", "api-key = 'abcdef12"):
+        got, kinds = own.text(said)
+        assert kinds == ["secret"] and len(got) == len(said) and "abcdef12" not in got
+    for text in ("1" + "a" * 1_000_000, "a.b-" * 250_000 + "7", "1 2 3 4 " * 30_000, "ab@" * 300_000, "1/1/" * 200_000):
+        began = time.process_time()
+        own.text(text)
+        assert time.process_time() - began < 20, text[:9]
+    for bad in (b"", None):
+        with pytest.raises(ValueError, match="key"):
+            pii.Pseudonyms(bad)
+    df = spark.createDataFrame([(1, "a@b.example", ["x"], 1)], "id int, text string, kinds array<string>, found int")
+    got = pii.pseudonymise(df, b"k", kinds_col="kinds")
+    assert sorted(got.columns) == sorted(df.columns) and got.first()["kinds"] == ["email"] and got.first()["found"] == 1
+
+
+def brute_mask(text):
+    """What is left of a text when every value is found by trying each place for each kind, and masked."""
+    kinds = [
+        (r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", lambda m: True),
+        (r"(?<!\w)\d{16}(?!\w)", lambda m: m[0][0] != "0" and sum(sum(divmod(int(d) * (1 + k % 2), 10)) for k, d in enumerate(m[0][::-1])) % 10 == 0),
+        (r"(?<![\w-])\d{4}-\d\d-\d\d(?![\w-])", lambda m: "1900" <= m[0][:4] < "2100" and m[0][5:] in {f"{a:02}-{b:02}" for a in range(1, 13) for b in range(1, 29)}),
+        (r"(?<![\w.])\d+\.\d+\.\d+\.\d+(?![\w]|\.\d)", lambda m: all(len(x) < 4 and int(x) < 256 for x in m[0].split(".")) and 1 <= int(m[0].split(".")[0]) <= 223),
+    ]
+    at, out = 0, ""
+    while at < len(text):
+        hit = next((m for p, ok in kinds if (m := re.compile(p).match(text, at)) and ok(m)), None)
+        out += "*" * len(hit[0]) if hit else text[at]
+        at += len(hit[0]) if hit else 1
+    return out
+
+
+def test_pseudonyms_by_brute_force():
+    """Values of four kinds among near misses: what changes is what a slow search finds, and what is left stays as it was."""
+    rng, own = random.Random(11), pii.Pseudonyms(b"k")
+    valid = ["4041894974608795", "2024-02-11", "70.123.182.155", "bo.s@mail8.example.com"]
+    near = ["4041894974608796", "2024-13-11", "300.1.1.1", "70.1.2", "a@b", "x@", "12", "word", "1899-01-01", "2024-02-1"]
+    seen = {}
+    for _ in range(400):
+        text = ", ".join(rng.choice(valid + near) for _ in range(rng.randint(1, 8)))
+        got = own.text(text)[0]
+        assert len(got) == len(text)
+        for a, b, m in zip(text.split(", "), got.split(", "), brute_mask(text).split(", "), strict=True):
+            assert (a == m) == (a == b), (a, b, m)
+            assert seen.setdefault(a, b) == b and (a == b or brute_mask(b) == "*" * len(b))
+    assert own.text("4041894974608796 2024-02-11")[0] == "4041894974608796 " + own.text("2024-02-11")[0]  # what fails doesn't hide what follows
+
+
 def test_pseudonymise_rows(spark, docs, none):
     got = pii.pseudonymise(docs, b"k", kinds_col="kinds")
     assert got.count() == len(ROWS) and got.columns == [*docs.columns, "kinds"] and pii.pseudonymise(none, b"k").count() == 0
@@ -159,16 +268,90 @@ def test_chat_windows_read_back(spark):
     assert chat.windows(df.where("false")).count() == 0
 
 
+@pytest.mark.parametrize("block", [256, 4, 1])
+def test_chat_windows_by_brute_force(spark, block):
+    """Windows as a plain loop chooses them: turns of all sizes, one turn number for all, null turns, long texts and clashing columns."""
+    rng = random.Random(block)
+    rows = [(1, k, rng.choice(["user", "assistant", "system"]), "w " * rng.choice([0, 1, 3, 9, 40])) for k in range(60)]
+    rows += [(2, 7, "user", f"t{k} " * 5) for k in range(30)] + [(3, None, "assistant", "x " * 30_000), (3, None, "user", "y"), (3, 1, "assistant", "z " * 20)] + [(4, k, "user", "a a") for k in range(40)]
+    df = spark.createDataFrame([(*r, 1, 2) for r in rows], "conv_id long, turn long, role string, text string, n long, own int")
+    budget, history = 60, 20
+    cost = lambda t: len(re.findall(r"\w+|[^\w\s]", t)) + chat.MARKERS
+    want = []
+    for conv in (1, 2, 3, 4):
+        turns = sorted(((r[1] is not None, r[1] or 0, r[2], r[3]) for r in rows if r[0] == conv))
+        sizes = [cost(t[3]) for t in turns]
+        system = next((k for k, t in enumerate(turns) if t[2] == "system"), None)
+        room = max(budget // 4, budget - history - (sizes[system] if system is not None else 0))
+        at = 0
+        while at < len(turns):
+            end = at + 1
+            while end < len(turns) and end % block and sum(sizes[at : end + 1]) <= room:
+                end += 1
+            low = at
+            while low and sum(sizes[low - 1 : at]) <= history and low - 1 >= (at // block - 1) * block:
+                low -= 1
+            shown = [*([system] if system is not None and not low <= system < end else []), *range(low, at)]
+            want.append((conv, len(shown), "".join(f"### {turns[k][2]}:\n{turns[k][3]}\n</turn>\n" for k in [*shown, *range(at, end)]), sum(turns[k][2] == "assistant" for k in range(at, end))))
+            at = end
+    got = [(r["conv_id"], r["n_repeated"], r["formatted"], len(r["loss_spans"])) for r in chat.windows(df, budget, history, block).collect()]
+    assert sorted(got) == sorted(want)
+
+
 def test_quality(spark, docs, none):
     rows = {(r["doc_id"], r["n_words"]): r for r in quality.judge(docs).collect()}
     assert rows[(2, 0)]["base_failed"] and not rows[(2, 0)]["kept"] and rows[(1, 18)]["n_repeat_words"] == 18
-    assert quality.judge(none).count() == 0
+    assert quality.judge(none).count() == 0 and quality.keep(none).columns == docs.columns
+
+
+def test_quality_cascade_keeps_what_the_report_keeps(spark):
+    """Texts that each rule rejects, and some that pass all, with repeated rows and clashing columns."""
+    rng = random.Random(8)
+    good = lambda n: " ".join("".join(rng.choices("abcdefgh", k=5)) for _ in range(n))
+    texts = [good(40), good(60), good(9), "# # # # # $ $ $ $ $ $ $ a b c d e f", f"{good(6)}\n" * 2 + "x y\n" * 9, "a " + " ".join("b" * 50 for _ in range(12)), "1 2 3 4 5 6 7 8 9 10 11 12 x", None, "", good(40), good(40)]
+    df = spark.createDataFrame([(k % 10, t, k, "z", 0) for k, t in enumerate(texts)], "doc_id long, text string, n_words int, statistics_ string, _text int")
+    judged = sorted(r["n_words_"] for r in quality.judge(df.withColumnRenamed("n_words", "n_words_").drop("_text"), ("doc_id", "n_words_")).where("kept").collect())
+    kept = quality.keep(df)
+    assert kept.columns == df.columns and sorted(r["n_words"] for r in kept.collect()) == judged and 0 < len(judged) < len(texts)
+    names = [n for n, _, _ in quality.ordered(df, quality.rules())]
+    assert sorted(names) == sorted(quality.rules())
+
+
+def brute_licences(text, templates, threshold):
+    """Every window that begins with a template's bigram."""
+    ws, out = licences.words_of(text or ""), {}
+    pairs = [f"{a} {b}" for a, b in zip(ws, ws[1:], strict=False)]
+    for name, said in templates.items():
+        tw = licences.words_of(said)
+        tc = Counter(f"{a} {b}" for a, b in zip(tw, tw[1:], strict=False))
+        scores = [2 * (Counter(w) & tc).total() / (len(w) + tc.total()) for i, p in enumerate(pairs) if p in tc for w in [pairs[i : i + len(tw) - 1]]]
+        if scores and max(scores) >= threshold:
+            out[name] = max(scores)
+    return out
 
 
-def test_licences(spark, none):
-    df = spark.createDataFrame([(1, "x\nLicensed under the Apache license, version 2.0\ny"), (2, None), (3, "licensed"), (4, "All rights reserved.\nAll rights reserved.")], "doc_id long, text string")
-    got = {r["doc_id"]: (r["licences"], r["n_lines"], r["best_licence"]) for r in licences.scan(df).collect()}
-    assert got == {1: ("apache-2.0", 1, "apache-2.0"), 2: ("", 0, None), 3: ("", 0, None), 4: ("all-rights-reserved", 2, "all-rights-reserved")}
+@pytest.mark.parametrize("segment", [2048, 7])
+def test_licences_by_brute_force(spark, none, segment):
+    """Notices on one line, wrapped, inside other text, shortened and altered; nulls, repeated rows, a long text and clashing columns."""
+    import textwrap
+
+    rng, rows = random.Random(segment), []
+    junk = lambda n: " ".join(rng.choice(["vel", "software", "the", "of this", "amet", "license"]) for _ in range(n))
+    for said in licences.TEMPLATES.values():
+        rows += [said, "# " + "\n# ".join(textwrap.wrap(said, 60)), f"{junk(30)} {said.upper()} {junk(30)}"]
+        words = said.split()
+        rows.append(" ".join(w for w in words if rng.random() > 0.15))
+        rows.append(" ".join(w if rng.random() > 0.1 else "other" for w in words))
+    rows += [None, "", "licence", "software", junk(6000) + " " + licences.TEMPLATES["isc"], rows[0], junk(500)]
+    df = spark.createDataFrame([(k, t, 0, "x", 1) for k, t in enumerate(rows)], "doc_id long, text string, row int, name string, words int")
+    got = {r["doc_id"]: r for r in licences.scan(df, segment_words=segment).collect()}
+    for k, text in enumerate(rows):
+        want = brute_licences(text, licences.TEMPLATES, licences.THRESHOLD)
+        assert got[k]["licences"] == ",".join(sorted(want)), text
+        assert got[k]["best_dice"] == (round(max(want.values()), 6) if want else None) and got[k]["n_licences"] == len(want)
+    at = {name: 5 * k for k, name in enumerate(licences.TEMPLATES)}
+    for name in ("mit-text", "bsd-3-clause", "gpl-3.0-notice", "apache-2.0-notice", "zlib"):
+        assert all(name in got[at[name] + k]["licences"].split(",") for k in range(3)), name
     assert licences.scan(none).count() == 0
 
 
@@ -222,30 +405,37 @@ def test_packing(spark, docs, none):
 
 
 def test_best_fit_by_brute_force():
+    """The plan for runs of equal lengths is what putting the pieces one by one gives: gapless sequences that leave the same rooms."""
     rng = random.Random(4)
-    for _ in range(50):
-        sizes = [rng.randint(1, 20) for _ in range(rng.randint(0, 60))]
-        room, want = [], {}
-        for i in sorted(range(len(sizes)), key=lambda i: -sizes[i]):
-            fits = [(r, k) for k, r in enumerate(room) if r >= sizes[i]]
+    for _ in range(500):
+        limit = rng.choice([20, 50])
+        sizes = [rng.randint(1, limit) for _ in range(rng.randint(0, 60))]
+        rooms = []
+        for size in sorted(sizes, reverse=True):
+            fits = [(r, k) for k, r in enumerate(rooms) if r >= size]
             if not fits:
-                room.append(20)
-                fits = [(20, len(room) - 1)]
-            room[min(fits)[1]] -= sizes[i]
-            want[i] = None
-        assert len({b for b, _ in packing.best_fit_decreasing(sizes, 20)}) == len(room)
-
-
-def test_pipeline(spark):
-    import corpus_pipeline
-
-    docs = corpus_pipeline.documents(spark, "/root/testdata/sf0.001")
-    before = docs
-    for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
-        before, docs = docs, corpus_pipeline.materialize(stage(spark, docs, "/root/testdata/sf0.001"), f"test{k}")
-        if k < len(corpus_pipeline.STAGES) - 1:
-            assert docs.columns == before.columns and 0 < docs.count() <= before.count()
-    texts = before.collect()
-    assert docs.select("doc_id").distinct().count() == len(texts)
-    flat = [r["text"].encode() for r in texts]
-    assert all(n == 0 for _, n, _ in brute_removed(flat, 400))
+                rooms.append(limit)
+                fits = [(limit, len(rooms) - 1)]
+            rooms[min(fits)[1]] -= size
+        counts, placed = Counter(sizes), {}
+        plan = packing.best_fit_decreasing(counts, limit)
+        for length, rank, each, first, offset in plan:
+            until = min((r for n, r, *_ in plan if n == length and r > rank), default=counts[length])
+            for k in range(until - rank):
+                placed.setdefault(first + k // each, []).append((offset + k % each * length, length))
+        for slots in placed.values():
+            assert all(a + n == b for (a, n), (b, _) in zip(sorted(slots), sorted(slots)[1:], strict=False)) and min(slots)[0] == 0
+        assert sorted(limit - sum(n for _, n in slots) for slots in placed.values()) == sorted(rooms)
+
+
+def test_packing_needs_the_least_sequences_in_many_tasks(spark):
+    """As many sequences as one task makes, whatever the number of tasks; words that bend the tokeniser's rules have its ids."""
+    from tokenizers import Tokenizer
+
+    rng, tk, cache = random.Random(9), Tokenizer.from_file(WORDS), packing.WordCache(WORDS)
+    letters = "abcXYZ'sdtlmrev019.,!-_<|>é\u0300 \t\nßÀÿŸœ×÷µªà"
+    texts = ["".join(rng.choice(letters) for _ in range(rng.randint(0, 25))) for _ in range(3000)] + ["Don't 's 'tis", "İ ΣΑΣ ς ½ ³", "<|endoftext|> A<|b", "\x1c\x7f\x85 \xa0"]
+    assert [x.tolist() for x in cache.ids(texts)] == [e.ids for e in tk.encode_batch(texts, add_special_tokens=False)]
+    df = spark.createDataFrame([(k, "word " * rng.randint(0, 150)) for k in range(400)], "doc_id long, text string")
+    counts = {n: packing.pack(df.repartition(n), WORDS, limit=128).select("sequence_id").distinct().count() for n in (1, 7)}
+    assert counts[1] == counts[7]

@@ -62,7 +62,7 @@ def test_pseudonyms_of_values_in_a_row():
     mapped = own.text(card)[0]
     for n in (3, 4, 9):
         for mark in (" ", "-"):
-            assert own.text(mark.join([card] * n)) == (mark.join([mapped] * n), ["card"])
+            assert own.text(mark.join([card] * n)) == (mark.join([mapped] * n), ["card"] * n)
     iban = "BE68 5390 0754 7034"
     as_one = own.text(iban)[0]
     assert as_one != iban and pii.iban_holds(as_one)
@@ -87,3 +87,20 @@ def test_number_of_links_by_brute_force(spark, monkeypatch, block):
     want = {i: sum(bool(linked(i, j)) for j in range(len(sets))) for i in range(len(sets))}
     got = jaccard.linked_components(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), links=True).collect()
     assert {r["doc_id"]: r["n_links"] for r in got} == want and len(got) == len(texts) and max(want.values()) >= 3
+
+
+@pytest.mark.parametrize("percent", [60, 80, 90, 100])
+def test_linked_sets_share_a_signature(percent):
+    """Random sets that are linked, in an order of random levels: some signature is the same, whatever the sizes."""
+    import numpy as np
+
+    rng, steps = np.random.default_rng(percent), jaccard.size_steps(percent)
+    order, met = jaccard.Order(rng.integers(0, 5, 1 << 16).astype(np.uint8)), 0
+    for _ in range(3000):
+        both = rng.integers(0, 1 << 63, rng.integers(1, 60)).astype(np.uint64) * np.uint64(2)
+        spare = int(len(both) * (100 - percent) / percent)
+        a, b = (np.unique(np.concatenate([both, rng.integers(0, 1 << 63, rng.integers(0, spare // 2 + 1)).astype(np.uint64)])) for _ in range(2))
+        if 100 * len(np.intersect1d(a, b)) >= percent * len(np.union1d(a, b)):
+            met += 1
+            assert len(np.intersect1d(*(jaccard.signatures(order.sorted(x), percent, steps) for x in (a, b))))
+    assert met > 500
