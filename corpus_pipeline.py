@@ -2,6 +2,12 @@
 
 Each stage takes (spark, docs, sf_dir), works on all that the stage before it kept and returns a table, which is written
 as Parquet and read again for the next.  All but the last return the columns of ``documents``.
+
+Defined cases: a null or empty text, or one without a letter, has no language and goes in the first stage, as does one that no
+language is likelier than all others together for; a null ``lang`` is filled with the prediction, one that is there stays; a
+null ``source`` or ``n_chars`` stays; of near copies the least id stays, with every row of that id; rows that repeat one
+another are repeated passages in the third stage and lose their text, and a document that loses all of it goes; a very long
+text is treated whole; an empty table gives no rows; other columns, whatever their names, go along to the last stage but one.
 """
 
 from __future__ import annotations
@@ -10,8 +16,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from swathe.llm import jaccard, langid, packing, pii, suffixes
-from swathe.llm.common import materialize
-from swathe.llm.queries import PSEUDONYM_KEY, documents, vocabulary
+from swathe.llm.common import column, free_name, materialize
+from swathe.llm.queries import TEST_KEY, documents, vocabulary
 
 #: A document whose likeliest language has less than this share of the probability is rejected.
 LEAST_SCORE = 0.5
@@ -23,8 +29,10 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep documents in a language that was learned; one without a language gets the prediction."""
     learned = docs.where(~F.coalesce(langid.held_out(), F.lit(False)))
     model = langid.train(learned, vocabulary("piece_bpe_32k.model"))
-    found = langid.identify(docs, model, docs.columns).where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE))
-    return found.withColumn("lang", F.coalesce("lang", "lang_pred")).select(*docs.columns)
+    name = free_name(docs, "found")
+    found = column(name)
+    rows = docs.withColumn(name, langid.language(model, F.col("text"))).where((found["lang_pred"] != "und") & (found["score"] >= LEAST_SCORE))
+    return rows.withColumn("lang", F.coalesce("lang", found["lang_pred"])).select(*map(column, docs.columns))
 
 
 def ngram_jaccard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -39,7 +47,10 @@ def suffix_array(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def pseudonyms(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Replace personal data and secrets."""
-    return pii.pseudonymise(docs, PSEUDONYM_KEY).withColumn("n_chars", F.char_length("text").cast("long")).select(*docs.columns)
+    rows = pii.pseudonymise(docs, TEST_KEY)
+    if "n_chars" in docs.columns:
+        rows = rows.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
+    return rows.select(*map(column, docs.columns))
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -55,7 +66,7 @@ STAGES = [
     ("best-fit packing", best_fit_packing),
 ]
 
-#: No stage of these can be said in SQL; tests hold the pipeline against a brute-force version.
+#: No stage of these can be said in SQL; tests hold each stage against a brute-force version of it.
 ORACLE_SQL = None
 
 
