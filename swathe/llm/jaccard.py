@@ -33,9 +33,9 @@ GRAM_WORDS = 3
 #: A link needs 100 * intersection >= PERCENT * union.
 PERCENT = 90
 #: Counters of the sketch: about so many a document, within limits, as the sketch goes to every task.
-COUNTERS_PER_DOC, LEAST_BITS, MOST_BITS = 16, 16, 24
+COUNTERS_PER_DOC, LEAST_BITS, MOST_BITS = 64, 16, 24
 #: Counters that one row of the sketch has.
-CHUNK_BITS = 14
+CHUNK_BITS = 16
 #: Sets, and n-grams of all of them, in a block of a large candidate group.
 BLOCK_SETS, BLOCK_GRAMS = 1500, 750_000
 #: Signatures, and pairs of sets, that a task remembers; it forgets all when there are more and begins anew.
@@ -80,7 +80,7 @@ def learn_order(rows: DataFrame, k: int) -> Order:
         if counts.any():
             for at in range(0, 1 << bits, chunk):
                 # what is counted more often in one task is frequent, however much
-                yield at // chunk, squeeze.compress(np.minimum(counts[at : at + chunk], 65535).astype("<u2").tobytes())
+                yield at // chunk, squeeze.compress(np.minimum(counts[at : at + chunk], 255).astype(np.uint8).tobytes())
 
     def total(parts: Iterator[tuple]) -> Iterator[tuple]:
         import zstandard
@@ -91,7 +91,7 @@ def learn_order(rows: DataFrame, k: int) -> Order:
                 if now is not None:
                     yield now, _levels(counts)
                 now, counts = at, np.zeros(chunk, np.int64)
-            counts += np.frombuffer(open_up.decompress(packed), "<u2")
+            counts += np.frombuffer(open_up.decompress(packed), np.uint8)
         if now is not None:
             yield now, _levels(counts)
 
@@ -377,7 +377,9 @@ def linked_components(docs: DataFrame, k: int = GRAM_WORDS, percent: int = PERCE
     small = (F.col("size") <= BLOCK_SETS) & (F.col("grams") <= BLOCK_GRAMS)
     sizes = sizes.select(F.col("root").alias("of"), small.alias("small"), F.when(small, F.create_map(F.lit(0), F.lit(1).cast("long"))).otherwise(F.col("blocks")).alias("blocks"))
     # sorted on both sides at every size: the groups have no size bound that would let them be broadcast
-    packed = read.where("name is not null").select("name", "step", "packed").join(groups.hint("merge"), F.col("name") == F.col("node")).groupBy("name", "root").agg(F.min("step").alias("step"), F.count(F.lit(1)).alias("rows"), F.min("packed").alias("packed"))
+    # a row a task for each set before anything is exchanged, however many copies it has
+    named = read.where("name is not null").groupBy("name").agg(F.min("step").alias("step"), F.count(F.lit(1)).alias("rows"), F.min("packed").alias("packed"))
+    packed = named.join(groups.hint("merge"), F.col("name") == F.col("node"))
     members = packed.join(sizes, F.col("root") == F.col("of")).select("root", "blocks", F.when(F.col("small"), 0).otherwise(F.col("step")).alias("step"), "name", "rows", "packed")
     found = _links(members, k, percent, order, links)
     found = materialize(found, "links") if links else found

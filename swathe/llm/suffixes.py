@@ -376,7 +376,7 @@ def repeated_ranges(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) ->
     groups = parts.groupBy("core").agg(F.count(F.lit(1)).alias("size"), F.min("n").alias("least")).where("size > 1 and least = 1")
     cut = materialize(_cut(parts.join(groups.select("core", (F.col("size") > WIDE).alias("wide")), "core"), docs, length), "cut")
     singles = _by_suffix_array(cut.where("not wide"), length, reach_of(length, gram)).unionByName(_by_counting(cut.where("wide"), length))
-    return covered(known.where("same")).unionByName(covered(mixed.join(often, ["anchor", "span"], "left_semi"))).unionByName(singles)
+    return covered(known.where("same")).unionByName(covered(mixed.join(often.hint("merge"), ["anchor", "span"], "left_semi"))).unionByName(singles)
 
 
 def kept_bytes(data: bytes, ranges: list) -> tuple[bytes, int, int]:
