@@ -235,6 +235,32 @@ def _(spark, d):
     return rows.select("ring", "segments", F.round("lo95", 9).alias("lo95"), F.round("hi95", 9).alias("hi95"), "below", "in_run", (F.col("below") & ~F.col("in_run")).alias("isolated"))
 
 
+MATRIX = SPRINGS | {
+    "gp": "select segment_id, ring, median(diff_all) a, median(diff_same) b from per group by 1,2",
+    "me": "select segment_id, ring, 'all ground' as measure, a diff from gp where a is not null union all select segment_id, ring, 'same land cover', b from gp where b is not null",
+    "enr": "select g.*, coalesce(d.weight,1) weight, coalesce(d.ecoregion||'|'||d.commodity_group,'(not in sample)') stratum from me g left join (select * from segment_dim where k%10<>0) d using (segment_id)",
+    "num": BOOT["num"].replace("partition by ring,stratum", "partition by ring,measure,stratum"),
+    "pick": BOOT["pick"].replace("select ring, stratum,", "select ring, measure, stratum,").replace("ring,stratum,cast(i", "ring,measure,stratum,cast(i"),
+    "cumb": BOOT["cumb"].replace("select p.ring,", "select p.ring, p.measure,").replace("partition by p.ring,p.draw", "partition by p.ring,p.measure,p.draw").replace("on p.ring=n.ring", "on p.ring=n.ring and p.measure=n.measure"),
+    "med": "select ring, measure, draw, min(case when c>=t/2.0 then v end) m from cumb group by 1,2,3",
+    "qs": "select ring, measure, quantile_cont(m,0.025) lo, quantile_cont(m,0.975) hi from med group by 1,2",
+    "es": "select ring, measure, count(*) n, min(case when c>=t/2.0 then diff end) w from (select *, sum(weight) over (partition by ring,measure order by diff, segment_id rows unbounded preceding) c, sum(weight) over (partition by ring,measure) t from enr) group by 1,2",
+    "tx": "select ring, measure, printf('%+.4f [%+.4f, %+.4f] n=%d', w, lo, hi, n) x from es join qs using (ring, measure) where n>=3",
+}
+
+
+@query("a26_effect_matrix", twin("select ring, max(case when measure='all ground' then x end) as all_ground, max(case when measure='same land cover' then x end) as same_land_cover from tx group by 1", **MATRIX))
+def _(spark, d):
+    """Weighted median, interval and number of segments of each ring, one column a measure."""
+    per = springs(spark, d).groupBy("segment_id", "ring").agg(F.median("diff_all").alias("diff_all"), F.median("diff_same").alias("diff_same"))
+    long = per.unpivot(["segment_id", "ring"], ["diff_all", "diff_same"], "column", "diff").where("diff is not null").withColumn("measure", F.when(F.col("column") == "diff_all", "all ground").otherwise("same land cover"))
+    rows = E.written(C.enrich(long, view(spark, d, "segment_dim").where("k % 10 <> 0")), "measures")
+    found = C.weighted_median(rows, ["ring", "measure"], "diff", "weight").join(C.bootstrap(rows, ["ring", "measure"], "stratum", "segment_id", "diff", "weight", DRAWS).drop("segments"), ["ring", "measure"]).where("segments >= 3")
+    text = F.format_string("%+.4f [%+.4f, %+.4f] n=%d", "wmed", "lo95", "hi95", "segments")
+    wide = found.withColumn("x", text).groupBy("ring").pivot("measure", ["all ground", "same land cover"]).agg(F.first("x"))
+    return wide.withColumnsRenamed({"all ground": "all_ground", "same land cover": "same_land_cover"})
+
+
 @query("v9_recompute_check", twin("select 'weighted medians' as checked, count(*) as items, count(*) filter (below<total/2.0 and upto>=total/2.0) as agree from (select ring, sum(weight) total, sum(weight) filter (diff<wmed) below, sum(weight) filter (diff<=wmed) upto from cum join (select ring, min(case when c>=t/2.0 then diff end) wmed from cum group by 1) using (ring) group by 1) union all select 'medians over springs', count(*), count(*) filter (n_low=n_high or abs(n_low-n_high)<=n_same) from (select g.segment_id, g.ring, count(*) filter (p.diff_same<g.diff) n_low, count(*) filter (p.diff_same>g.diff) n_high, count(*) filter (p.diff_same=g.diff) n_same from gap g join per p using (segment_id, ring) where p.diff_same is not null group by 1,2)", **(GAPS | {"cum": CUM})))
 def _(spark, d):
     """Each answer again by its definition: half of the weight lies at or below a weighted median and less than half below it, and as many springs below a segment's gap as above."""
