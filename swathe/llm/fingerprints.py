@@ -5,14 +5,17 @@ all documents makes sketches mergeable (a union of sets) and makes the share of
 estimate of containment, however unequal the documents.  The least hash is always kept, so that only a text without a word
 has an empty fingerprint.
 
-Defined cases: words are runs of non-white-space, ASCII letters lower-cased; a text with fewer words than a shingle is one
-shingle; a text without words has the empty fingerprint, alike (1.0) to itself and unlike (0.0) all others.
+Defined cases: a null text is empty; words are runs of non-white-space, ASCII letters lower-cased; a text with fewer words than a
+shingle is one shingle; a text without words has the empty fingerprint, alike (1.0) to itself and unlike (0.0) all others; a null
+id comes after all others, rows of one id go by text; a very long text is read whole by the task that has it; an empty table
+gives no rows; other columns are not read.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,8 +27,8 @@ from .common import id_and_text, map_rows
 SHINGLE_WORDS = 5
 FRACTION = 0.25
 CACHE_WORDS = 200_000
-#: Runs of neighbouring ids; a run is sorted on disk and streamed, so its rows need no bound.
-MAX_RUNS = 2000
+#: Runs of neighbouring ids, as their limits go to every task; a run is sorted on disk and streamed, so its rows need no bound.
+MAX_RUNS = 100_000
 
 
 class WordHashes:
@@ -115,20 +118,23 @@ def fingerprint(docs: DataFrame, k: int = SHINGLE_WORDS, fraction: float = FRACT
 def with_next(docs: DataFrame, rows_per_run: int = 2000) -> DataFrame:
     """Rows in runs of neighbouring ids, descending; each run ends with a copy (``tail``) of the row that begins the next.
 
-    Run limits are ids that occur, from a percentile sketch, so a run's first row is known without looking at other runs:
-    no task sees more than its run.  The last run ends with the very first row.
+    Run limits are ids that occur, the largest of each range of ids, so a run's first row is known without looking at other
+    runs: no task sees more than its run.  The last run ends with the very first row.
     """
     rows = id_and_text(docs).select(F.coalesce("doc_id", F.lit(-(1 << 63))).alias("key"), "doc_id", "text")
-    n, top = rows.agg(F.count(F.lit(1)), F.max("key")).first()
+    n = rows.count()
     if not n:
         return rows.select(F.lit(0).alias("run"), "key", "doc_id", "text", F.lit(False).alias("tail"))
-    runs = max(1, min(MAX_RUNS, n // rows_per_run))
-    cuts = rows.agg(F.percentile_approx("key", [i / runs for i in range(1, runs)], 10 * runs + 1000)).first()[0] if runs > 1 else []
-    limits = sorted({top, *(cuts or [])}, reverse=True)
-    dealt = rows.withColumn("run", F.size(F.filter(F.lit(limits), lambda x: x >= F.col("key"))) - 1)
-    first = F.array_contains(F.lit(limits), F.col("key"))
-    before = F.pmod(F.col("run") - 1, F.lit(len(limits)))
-    ends = F.when(first, F.array(F.struct(F.col("run"), F.lit(False).alias("tail")), F.struct(before.alias("run"), F.lit(True).alias("tail")))).otherwise(F.array(F.struct(F.col("run"), F.lit(False).alias("tail"))))
+    ranges = rows.select("key").repartitionByRange(max(1, min(MAX_RUNS, n // rows_per_run)), "key").groupBy(F.spark_partition_id().alias("range")).agg(F.max("key").alias("limit"))
+    limits = sorted((r["limit"] for r in ranges.collect()), reverse=True)
+    # a row's run is how many limits are at least its id, less one; found among every so many limits first, then among those between
+    width = math.isqrt(len(limits) - 1) + 1
+    at_least = lambda xs: F.size(F.filter(xs, lambda x: x >= F.col("key")))
+    dealt = rows.withColumn("block", at_least(F.lit(limits[::width])) - 1).withColumn("within", F.get(F.array(*(F.lit(limits[k : k + width]) for k in range(0, len(limits), width))), F.col("block")))
+    dealt = dealt.withColumn("place", at_least(F.col("within")) - 1).withColumn("run", F.col("block") * width + F.col("place"))
+    own = F.struct(F.col("run"), F.lit(False).alias("tail"))
+    before = F.struct(F.pmod(F.col("run") - 1, F.lit(len(limits))).alias("run"), F.lit(True).alias("tail"))
+    ends = F.when(F.get("within", F.col("place")) == F.col("key"), F.array(own, before)).otherwise(F.array(own))
     return dealt.withColumn("at", F.explode(ends)).select("at.run", "key", "doc_id", "text", "at.tail")
 
 

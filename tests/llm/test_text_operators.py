@@ -103,15 +103,44 @@ def test_fingerprints(spark, docs, none):
     assert np.array_equal(fingerprints.merge(x, y), x) and np.array_equal(fingerprints.read(fingerprints.spelled(x)), x)
 
 
-def test_edited_texts_follow_descending_ids(spark):
+def test_edited_texts_by_brute_force(spark, monkeypatch):
+    """Whole results in runs of a few rows: repeated and null ids, empty and null texts; sketches by hashing each shingle."""
     import hashlib
 
-    df = spark.createDataFrame([(k, f"t{k} " * k) for k in range(9)], "doc_id long, text string")
-    got = {r["doc_id"]: r["edited_sha256"] for r in fingerprints.fingerprint_edited(df).collect()}
-    for k in range(9):
-        text, following = f"t{k} " * k, f"t{(k - 1) % 9} " * ((k - 1) % 9)
+    from xxhash import xxh3_64_intdigest
+
+    rng, with_next = random.Random(6), fingerprints.with_next
+    monkeypatch.setattr(fingerprints, "with_next", lambda docs: with_next(docs, 3))
+    rows = [(k * 7, " ".join(rng.choices("abcdefgh", k=rng.choice([0, 1, 3, 8, 30, 200])))) for k in range(40)] + [(14, "B c D"), (None, "ö a"), (-5, None), (300, "x"), (21, "a b c d e f g")]
+    df = spark.createDataFrame([(*r, 1, "z") for r in rows], "doc_id long, text string, run int, tail string")
+
+    def kept(text):
+        hashes = [xxh3_64_intdigest(w) for w in text.encode().lower().split()]
+        k = min(5, len(hashes))
+        out = set()
+        for i in range(len(hashes) - k + 1 if k else 0):
+            h = k
+            for w in hashes[i : i + k]:
+                h = (h * 0x9E3779B97F4A7C15 + w) % 2**64
+                for factor in (0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53):
+                    h = (h ^ h >> 33) * factor % 2**64
+                h ^= h >> 33
+            out.add(h)
+        return {h for h in out if h < 2**62} or set(sorted(out)[:1])
+
+    def held(a, b):
+        return len(a & b) / min(len(a), len(b)) if a and b else float(len(a) == len(b))
+
+    ordered = sorted(((d, t or "") for d, t in rows), key=lambda r: (r[0] is None, -(r[0] or 0), r[1].encode()))
+    want = Counter()
+    for (doc_id, text), (_, following) in zip(ordered, ordered[1:] + ordered[:1], strict=True):
         half = len(text) // 2
-        assert got[k] == hashlib.sha256((text[: len(text) - half] + following[:half]).encode()).hexdigest()
+        edited = text[: len(text) - half] + following[:half]
+        a, b, c = kept(text), kept(edited), kept(following)
+        want[doc_id, len(text), hashlib.sha256(edited.encode()).hexdigest(), frozenset(a), frozenset(b), held(a, b), held(a, c)] += 1
+    read = lambda x: frozenset(fingerprints.read(x).tolist())
+    got = fingerprints.fingerprint_edited(df).collect()
+    assert Counter((r["doc_id"], r["n_chars"], r["edited_sha256"], read(r["fingerprint"]), read(r["edited_fingerprint"]), r["near_edited"], r["near_next"]) for r in got) == want
 
 
 def test_forward_sums_all_segmentations():
