@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import tempfile
 import uuid
 
@@ -12,6 +13,11 @@ from pyspark.sql import functions as F
 WRITTEN: list[str] = []
 
 
+@functools.cache
+def _stand_in() -> str:
+    return f"file://{tempfile.mkdtemp(prefix='spark-')}"
+
+
 def scratch(spark: SparkSession, name: str) -> str:
     """A new path in the folder that all machines share, named by spark.checkpoint.dir; ``clear_scratch`` deletes what was put there.
 
@@ -21,8 +27,7 @@ def scratch(spark: SparkSession, name: str) -> str:
     if not root:
         if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
             raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
-        root = f"file://{tempfile.mkdtemp(prefix='spark-')}"
-        spark.conf.set("spark.checkpoint.dir", root)
+        root = _stand_in()
     path = f"{root.rstrip('/')}/swathe-{name}-{uuid.uuid4().hex}"
     WRITTEN.append(path)
     return path

@@ -226,6 +226,8 @@ def test_scratch_needs_a_shared_folder(spark):
 
     with pytest.raises(ValueError, match="checkpoint"):
         files.scratch(Cluster(), "x")
+    Cluster.sparkContext.master = "local[2]"
+    assert files.scratch(Cluster(), "x").startswith("file:///")  # one machine has its own folder
     df = files.written(spark.range(3), "gone")
     path = files.WRITTEN[-1]
     files.drop(spark, path)
