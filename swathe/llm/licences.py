@@ -146,8 +146,10 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, threshold: fl
     spark = docs.sparkSession
     said = {k: words_of(v) for k, v in sorted((templates or TEMPLATES).items())}
     counted = {k: Counter(f"{a} {b}" for a, b in zip(w, w[1:], strict=False)) for k, w in said.items()}
-    # a row for each bigram of each template, numbered within it; their number is fixed
-    grams = spark.createDataFrame([(g, k, len(said[k]), least_shared(len(said[k]) - 1, threshold), i) for k, c in counted.items() for i, g in enumerate(c)], "gram string, name string, m int, least int, gid int")
+    # a row for each bigram of each template, numbered within it; their number is fixed, and one text holds them all
+    table = "\n".join(f"{g}\t{k}\t{len(said[k])}\t{least_shared(len(said[k]) - 1, threshold)}\t{i}" for k, c in counted.items() for i, g in enumerate(c))
+    field = F.split("line", "\t")
+    grams = spark.range(1).select(F.explode(F.split(F.lit(table), "\n")).alias("line")).select(field[0].alias("gram"), field[1].alias("name"), *(field[k].cast("int").alias(n) for k, n in ((2, "m"), (3, "least"), (4, "gid"))))
     often = F.create_map(*(x for k, c in counted.items() for x in (F.lit(k), F.array(*map(F.lit, c.values())))))
     longest = max(map(len, said.values()))
     rows = docs.select(column("doc_id").alias("doc_id"), words(F.coalesce(column(text_col).cast("string"), F.lit(""))).alias("words"))
