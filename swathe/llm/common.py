@@ -14,8 +14,9 @@ from ..sources.files import scratch
 
 OUT_ROWS = 2000
 OUT_BYTES = 8 << 20
-#: Rows that are Python objects at once.
-IN_ROWS = 256
+#: Rows that are Python objects at once, and bytes that go to Python at once.
+IN_ROWS, IN_BYTES = 256, 8 << 20
+BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def written(df: DataFrame, name: str) -> tuple[DataFrame, str]:
@@ -56,6 +57,7 @@ def give_back() -> None:
 def map_rows(df: DataFrame, columns: list[str], fn: Callable[[Iterator[tuple]], Iterable[tuple]], schema: str) -> DataFrame:
     """Stream the named columns of each partition through ``fn`` as tuples, a bounded number of rows at a time."""
     arrow = to_arrow_schema(T.StructType.fromDDL(schema))
+    df.sparkSession.conf.set(BATCH, str(IN_BYTES))  # the JVM and Python both hold a batch, and its buffers grow by doubling
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows() -> Iterator[tuple]:

@@ -26,7 +26,7 @@ from .common import id_and_text, map_rows
 
 SHINGLE_WORDS = 5
 FRACTION = 0.25
-CACHE_WORDS = 200_000
+CACHE_WORDS = 60_000
 #: Runs of neighbouring ids, as their limits go to every task; a run is sorted on disk and streamed, so its rows need no bound.
 MAX_RUNS = 100_000
 

@@ -39,7 +39,7 @@ CHUNK_BITS = 16
 #: Sets, and n-grams of all of them, in a block of a large candidate group.
 BLOCK_SETS, BLOCK_GRAMS = 1500, 750_000
 #: Signatures, and pairs of sets, that a task remembers; it forgets all when there are more and begins anew.
-SEEN, TOLD = 200_000, 100_000
+SEEN, TOLD = 120_000, 60_000
 
 
 # --- the global order ------------------------------------------------------------------------------------------------
@@ -284,13 +284,13 @@ def _name(grams: np.ndarray) -> int:
 
 
 def _read(rows: DataFrame, k: int, percent: int, order: Order) -> DataFrame:
-    """Size, name and step of each document's set, its signatures that are new in the task, the sets that had another of them first, and its text, packed."""
+    """Size, name and step of each document's set, its signatures that are new in the task, the sets that had another of them first, and the text, packed, if the task has not given that set's yet."""
     steps = size_steps(percent)
 
     def run(parts: Iterator[tuple]) -> Iterator[tuple]:
         import zstandard
 
-        hashes, seen, told, squeeze = WordHashes(), {}, set(), zstandard.ZstdCompressor(level=1)
+        hashes, seen, told, sent, squeeze = WordHashes(), {}, set(), set(), zstandard.ZstdCompressor(level=1)
         for doc_id, text in parts:
             grams = _grams(hashes, text, k)
             if not len(grams):
@@ -309,7 +309,10 @@ def _read(rows: DataFrame, k: int, percent: int, order: Order) -> DataFrame:
                         told.clear()
                     told.add((first, name))
                     others.append(first)
-            yield doc_id, len(grams), name, int(np.searchsorted(steps, len(grams), side="right")), new, others, squeeze.compress(text.encode())
+            yield doc_id, len(grams), name, int(np.searchsorted(steps, len(grams), side="right")), new, others, None if name in sent else squeeze.compress(text.encode())
+            if len(sent) >= SEEN:
+                sent.clear()
+            sent.add(name)
 
     return map_rows(rows, ["doc_id", "text"], run, "doc_id long, n_shingles long, name long, step int, signatures array<long>, others array<long>, packed binary")
 
@@ -377,9 +380,9 @@ def linked_components(docs: DataFrame, k: int = GRAM_WORDS, percent: int = PERCE
     small = (F.col("size") <= BLOCK_SETS) & (F.col("grams") <= BLOCK_GRAMS)
     sizes = sizes.select(F.col("root").alias("of"), small.alias("small"), F.when(small, F.create_map(F.lit(0), F.lit(1).cast("long"))).otherwise(F.col("blocks")).alias("blocks"))
     # sorted on both sides at every size: the groups have no size bound that would let them be broadcast
-    # a row a task for each set before anything is exchanged, however many copies it has
-    named = read.where("name is not null").groupBy("name").agg(F.min("step").alias("step"), F.count(F.lit(1)).alias("rows"), F.min("packed").alias("packed"))
-    packed = named.join(groups.hint("merge"), F.col("name") == F.col("node"))
+    # each task gives a set's text once, so copies are counted apart and their texts stay where they are
+    given = read.where("packed is not null").select("name", "step", "packed").join(groups.hint("merge"), F.col("name") == F.col("node")).groupBy("name", "root").agg(F.min("step").alias("step"), F.min("packed").alias("packed"))
+    packed = given.join(read.where("name is not null").groupBy("name").agg(F.count(F.lit(1)).alias("rows")).hint("merge"), "name")
     members = packed.join(sizes, F.col("root") == F.col("of")).select("root", "blocks", F.when(F.col("small"), 0).otherwise(F.col("step")).alias("step"), "name", "rows", "packed")
     found = _links(members, k, percent, order, links)
     found = materialize(found, "links") if links else found
