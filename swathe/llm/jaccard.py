@@ -33,7 +33,7 @@ GRAM_WORDS = 3
 #: A link needs 100 * intersection >= PERCENT * union.
 PERCENT = 90
 #: Counters of the sketch: about so many a document, within limits, as the sketch goes to every task.
-COUNTERS_PER_DOC, LEAST_BITS, MOST_BITS = 64, 16, 24
+COUNTERS_PER_DOC, LEAST_BITS, MOST_BITS = 32, 16, 24
 #: Counters that one row of the sketch has.
 CHUNK_BITS = 16
 #: Sets, and n-grams of all of them, in a block of a large candidate group.
@@ -109,11 +109,15 @@ def _levels(counts: np.ndarray) -> bytes:
 # --- signatures ------------------------------------------------------------------------------------------------------
 
 
-def size_steps(percent: int) -> np.ndarray:
+#: Growth of the size steps of signatures: the wider, the fewer sets have signatures for two.
+WIDE = 1.6
+
+
+def size_steps(percent: int, growth: float = 1.1) -> np.ndarray:
     """Least size of each step: a set is at least ``percent`` of a linked larger one, which so reaches no further than the next step."""
     out = [1]
     while out[-1] < 1 << 40:
-        out.append(max(out[-1] + 1, 100 * (out[-1] - 1) // percent + 1, int(out[-1] * 1.1)))
+        out.append(max(out[-1] + 1, 100 * (out[-1] - 1) // percent + 1, int(out[-1] * growth)))
     return np.array(out)
 
 
@@ -285,7 +289,7 @@ def _name(grams: np.ndarray) -> int:
 
 def _read(rows: DataFrame, k: int, percent: int, order: Order) -> DataFrame:
     """Size, name and step of each document's set, its signatures that are new in the task, the sets that had another of them first, and the text, packed, if the task has not given that set's yet."""
-    steps = size_steps(percent)
+    steps, wide = size_steps(percent), size_steps(percent, WIDE)
 
     def run(parts: Iterator[tuple]) -> Iterator[tuple]:
         import zstandard
@@ -297,7 +301,7 @@ def _read(rows: DataFrame, k: int, percent: int, order: Order) -> DataFrame:
                 yield doc_id, 0, None, None, [], [], None
                 continue
             name, new, others = _name(grams), [], []
-            for s in signatures(order.sorted(grams), percent, steps).view(np.int64).tolist():
+            for s in signatures(order.sorted(grams), percent, wide).view(np.int64).tolist():
                 first = seen.get(s)
                 if first is None:
                     if len(seen) >= SEEN:

@@ -94,7 +94,7 @@ def test_linked_sets_share_a_signature(percent):
     """Random sets that are linked, in an order of random levels: some signature is the same, whatever the sizes."""
     import numpy as np
 
-    rng, steps = np.random.default_rng(percent), jaccard.size_steps(percent)
+    rng, steps = np.random.default_rng(percent), jaccard.size_steps(percent, jaccard.WIDE)
     order, met = jaccard.Order(rng.integers(0, 5, 1 << 16).astype(np.uint8)), 0
     for _ in range(3000):
         both = rng.integers(0, 1 << 63, rng.integers(1, 60)).astype(np.uint64) * np.uint64(2)
