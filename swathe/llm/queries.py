@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, fingerprints, jaccard, langid, licences, packing, pieces, pii, quality, suffixes
+from . import bytepairs, chat, fingerprints, jaccard, langid, licences, packing, pieces, pii, quality, repair, runs, suffixes
 
 #: The registered queries run on made-up people, with a key that anybody may know; a deployment's is ``pii.key_from_environment()``.
 TEST_KEY = b"public test key"
@@ -69,7 +69,20 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir), vocabulary("word_bpe_49k.json"))
 
 
+def op11_byte_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bytepairs.digest(bytepairs.round_trip(documents(spark, sf_dir), vocabulary("byte_bpe_50k.json")))
+
+
+def op12_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return runs.digest(runs.find_runs(runs.with_repetition(documents(spark, sf_dir))))
+
+
+def op13_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    return repair.report(repair.damaged(rows), rows)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_sentencepiece, op2_suffix_array, op3_fingerprints, op4_language_id, op5_pii, op6_chat, op7_quality, op8_licences, op9_ngram_jaccard, op10_packing)
+    f.__name__: f for f in (op1_sentencepiece, op2_suffix_array, op3_fingerprints, op4_language_id, op5_pii, op6_chat, op7_quality, op8_licences, op9_ngram_jaccard, op10_packing, op11_byte_pairs, op12_runs, op13_repair)
 }
-SQL = {"op7_quality": quality.OP7_SQL, "op8_licences": licences.scan_sql()}
+SQL = {"op7_quality": quality.OP7_SQL, "op8_licences": licences.scan_sql(), "op12_runs": runs.DIGEST_SQL, "op13_repair": repair.REPORT_SQL}

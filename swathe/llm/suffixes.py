@@ -52,9 +52,15 @@ WIDE = 1000
 
 def suffix_array(text: bytes | list[int]) -> list[int]:
     """Start positions of all suffixes in order, by linear grouping."""
+    return _emit(len(text), *lyndon_groups(text)) if text else []
+
+
+def lyndon_groups(text: bytes | list[int]) -> tuple[list[list[int]], list[int], list[int], list[int]]:
+    """Suffixes grouped by their Lyndon prefix: the groups, the length of each one's prefix, each suffix's group, and the groups in descending order.
+
+    A suffix's Lyndon prefix is the longest Lyndon word that starts there, so ``width[of[i]]`` is the Lyndon array.
+    """
     n = len(text)
-    if not n:
-        return []
     members: dict[int, list[int]] = {}
     for i, c in enumerate(text):
         members.setdefault(c, []).append(i)
@@ -106,7 +112,7 @@ def suffix_array(text: bytes | list[int]) -> list[int]:
             final.append(g)
         groups[g] = ms
         g = below[g]
-    return _emit(n, groups, width, of, final)
+    return groups, width, of, final
 
 
 def _emit(n: int, groups: list[list[int]], width: list[int], of: list[int], final: list[int]) -> list[int]:
