@@ -4,7 +4,10 @@ A value that passes its validation (card numbers by check digit, account numbers
 addresses by range) is a number in the mixed radix of its format.  A keyed Feistel network permutes that range, walking on
 until the image is valid too.  The map is a bijection of the values of one written form (for dates: separator, digits of day
 and month, and which order they can be read in), so equal values stay equal, and different ones of a form different, across
-documents.  Values of different forms are not linked, even if they mean the same.
+documents.  Values of different forms are not linked, even if they mean the same.  Long names and secrets go in blocks, each tied
+to those before it, so no character stays as it was but by chance.
+
+Not covered: dates with written months, numbers abroad without a country code, and digits of other scripts, which stay.
 
 Defined cases: a null text stays null; an empty text stays empty; digits that fail validation stay, as do dates before 1900
 or after 2099; a day and month that can be read in both orders are read as day, month; a very long text takes time in
@@ -35,23 +38,28 @@ YEARS = range(1900, 2100)
 FIRST_DAY, LAST_DAY = datetime.date(YEARS[0], 1, 1).toordinal(), datetime.date(YEARS[-1], 12, 31).toordinal()
 ROUNDS = 8
 
+#: Characters of a value that are permuted as one number; a longer value is cut into blocks, each tied to those before it.
+BLOCK = 64
+
 FOUND = re.compile(
     r"(?P<email>(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+)"
-    r"|(?P<iban>\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\b)"
+    r"|(?P<iban>\b[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\b)"
     r"|(?P<key>\bAKIA[A-Z0-9]{16}\b)"
     r"|(?P<secret>(?i:password|passwd|secret|token|api[_-]?key)\s*+[=:]\s*+[\"']?[A-Za-z0-9_\-+/]{6,})"
     r"|(?P<hex>\b[0-9a-f]{32,64}\b)"
-    r"|(?P<iso>(?<![\w-])\d{4}-\d{2}-\d{2}(?![\w-]))"
-    r"|(?P<dmy>(?<![\w/.])\d{1,2}(?P<mark>[/.])\d{1,2}(?P=mark)\d{4}(?![\w/]))"
-    r"|(?P<ip>(?<![\w.])\d{1,3}(?:\.\d{1,3}){3}(?![\w]|\.\d))"
-    r"|(?P<phone>(?<![\w+])(?:\+?1[ .-]?)?(?:\(\d{3}\) ?|\d{3}[ .-])\d{3}[ .-]\d{4}(?!\w))"
-    r"|(?P<ssn>(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-]))"
-    r"|(?P<card>(?<!\w)\d(?:[ -]?\d){12,18})"
+    r"|(?P<iso>(?<![\w/-])[0-9]{4}(?P<dash>[-/])[0-9]{2}(?P=dash)[0-9]{2}(?:(?=T[0-9]{2}:[0-9]{2})|(?![\w/-])))"
+    r"|(?P<dmy>(?<![\w/.])[0-9]{1,2}(?P<mark>[/.])[0-9]{1,2}(?P=mark)[0-9]{4}(?![\w/]))"
+    r"|(?P<ip>(?<![\w.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![\w]|\.[0-9]))"
+    r"|(?P<phone>(?<![\w+])(?:\+?1[ .-]?)?(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?!\w))"
+    r"|(?P<abroad>(?<![\w+])\+[2-9][0-9]{0,2}(?:[ .-]?(?:\([0-9]{1,4}\)|[0-9]{1,12})){1,6}(?!\w))"
+    r"|(?P<ssn>(?<![\w-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\w-]))"
 )
-#: What a value that fails is passed over by, and a group of digits with the mark before it.
-WORD, GROUP = re.compile(r"\w+|.", re.S), re.compile(r"[ -]?(\d+)")
+#: Digits that may hold card numbers, a group of them with the mark before it, and what a value that fails is passed over by.
+RUN, GROUP, WORD = re.compile(r"[0-9](?<!\w[0-9])(?:[ -]?[0-9]){12,}+"), re.compile(r"[ -]?([0-9]+)"), re.compile(r"\w+|.", re.S)
 #: A text without any of these holds nothing to look for.
-HINT = re.compile(r"\d|@|passw|secret|token|key", re.I)
+HINT = re.compile(r"[0-9]|@|passw|secret|token|key", re.I)
+#: Digits of a number with a country code.
+ABROAD = range(10, 16)
 
 
 def luhn(digits: str) -> bool:
@@ -67,6 +75,12 @@ def iban_holds(value: str) -> bool:
     return int("".join(str(int(c, 36)) for c in value[4:] + value[:4])) % 97 == 1
 
 
+def telephone_holds(value: str) -> bool:
+    """Whether area and exchange of ten digits begin with 2 to 9."""
+    digits = [c for c in value if c in DIGITS]
+    return digits[0] > "1" and digits[3] > "1"
+
+
 def order_of(p: int, q: int) -> str:
     """How the first two numbers of a date can be read: as day and month, as month and day, or both ways."""
     return "either" if p <= 12 and q <= 12 else "day first" if q <= 12 else "month first"
@@ -109,24 +123,33 @@ class Pseudonyms:
     def _mix(self, what: str) -> int:
         return int.from_bytes(hashlib.blake2b(what.encode(), key=self.key, digest_size=32).digest(), "big")
 
-    def spell(self, text: str, tweak: str, alphabet: Callable[[str], str | None], valid: Callable[[str], bool] = lambda _: True) -> str:
-        """Permute the characters that have an alphabet, as one number; the others keep their places."""
+    def spell(self, text: str, tweak: str, alphabet: Callable[[str], str | None], valid: Callable[[str], bool] | None = None) -> str:
+        """Permute the characters that have an alphabet, as one number; the others keep their places.
+
+        With more than ``BLOCK`` of them and no validity to keep, they go in blocks of even size.  A block's tweak has its number,
+        how many there are, and a digest of what stands before it.
+        """
         places = [(k, a) for k, c in enumerate(text) if (a := alphabet(c))]
-        size = x = 0
-        size = 1
-        for k, a in places:
-            x = x * len(a) + a.index(text[k])
-            size *= len(a)
-        if size == 1:
-            return text
-        while True:
-            x = y = self.permute(x, size, tweak)
-            out = list(text)
-            for k, a in reversed(places):
-                y, d = divmod(y, len(a))
-                out[k] = a[d]
-            if valid(got := "".join(out)):
-                return got
+        blocks = 1 if valid else max(1, -(-len(places) // BLOCK))
+        out, before = list(text), hashlib.blake2b(key=self.key, digest_size=16)
+        for number in range(blocks):
+            own = places[len(places) * number // blocks : len(places) * (number + 1) // blocks]
+            size, x = 1, 0
+            for k, a in own:
+                x = x * len(a) + a.index(text[k])
+                size *= len(a)
+            if size == 1:
+                continue
+            tied = f"{tweak}|{number}|{blocks}|{before.hexdigest()}" if blocks > 1 else tweak
+            while True:
+                x = y = self.permute(x, size, tied)
+                for k, a in reversed(own):
+                    y, d = divmod(y, len(a))
+                    out[k] = a[d]
+                if not valid or valid("".join(out)):
+                    break
+            before.update("".join(text[k] for k, _ in own).encode())
+        return "".join(out)
 
     @staticmethod
     def kinds(c: str) -> str | None:
@@ -141,11 +164,14 @@ class Pseudonyms:
             got = self.spell(f"{name}@{label}", "email", self.kinds)
             return got + dot + rest
         if kind == "iso":
+            mark = value[4]
             try:
-                day = datetime.date.fromisoformat(value).toordinal()
+                day = datetime.date.fromisoformat(value.replace(mark, "-")).toordinal()
             except ValueError:
                 return None
-            return None if not FIRST_DAY <= day <= LAST_DAY else datetime.date.fromordinal(FIRST_DAY + self.permute(day - FIRST_DAY, LAST_DAY - FIRST_DAY + 1, "date")).isoformat()
+            if not FIRST_DAY <= day <= LAST_DAY:
+                return None
+            return datetime.date.fromordinal(FIRST_DAY + self.permute(day - FIRST_DAY, LAST_DAY - FIRST_DAY + 1, "date" if mark == "-" else f"date{mark}")).isoformat().replace("-", mark)
         if kind == "dmy":
             return self._written_day(value)
         if kind == "ip":
@@ -165,18 +191,22 @@ class Pseudonyms:
                 out.append(f"{r.start + k:0{len(own)}}")
             return ".".join(reversed(out))
         if kind == "phone":
-            cut = len(value) - next(k for k, n in zip(range(1, len(value) + 1), _running_digits(value[::-1]), strict=True) if n == 10)
-            ok = lambda s: (d := re.sub(r"\D", "", s))[0] in "23456789" and d[3] in "23456789"
-            if not ok(value[cut:]):
-                ok = lambda s: True
-            return value[:cut] + self.spell(value[cut:], "phone", digit, ok)
+            at = [k for k, c in enumerate(value) if c in DIGITS][-10]
+            # a bijection of the valid ones, and one of the others
+            own = telephone_holds(value[at:])
+            return value[:at] + self.spell(value[at:], "phone", digit, lambda s: telephone_holds(s) == own)
+        if kind == "abroad":
+            if sum(c in DIGITS for c in value) not in ABROAD:
+                return None
+            country = re.match(r"\+[0-9]{1,3}(?![0-9])|\+[0-9]{2}", value)[0]
+            return country + self.spell(value[len(country) :], f"abroad{country}", digit)
         if kind == "ssn":
             ok = lambda s: s[:3] not in ("000", "666") and s[0] != "9" and s[4:6] != "00" and s[7:] != "0000"
             return self.spell(value, "ssn", digit, ok) if ok(value) else None
         if kind == "iban":
             return value[:2] + self.spell(value[2:], "iban" + value[:2], self.kinds, lambda s: iban_holds(value[:2] + s)) if iban_holds(value) else None
         if kind == "card":
-            return value[0] + self.spell(value[1:], f"card{value[0]}", digit, lambda s: luhn(re.sub(r"\D", "", value[0] + s)))
+            return value[0] + self.spell(value[1:], f"card{value[0]}", digit, lambda s: luhn(re.sub("[^0-9]", "", value[0] + s)))
         if kind == "key":
             return value[:4] + self.spell(value[4:], "key", self.kinds)
         if kind == "secret":
@@ -199,44 +229,77 @@ class Pseudonyms:
         if not text or not HINT.search(text):
             return text, []
         kinds: list[str] = []
-        out, done, at = [], 0, 0
-        while m := FOUND.search(text, at):
-            kind = next(k for k, v in m.groupdict().items() if v is not None and k != "mark")
-            value = _card_at(text, m.start()) if kind == "card" else _iban_in(m[0]) if kind == "iban" else m[0]
-            if value and (got := self.replace(kind, value)) is not None:
-                kinds.append(kind)
-                out += text[done : m.start()], got
-                done = at = m.start() + len(value)
-            else:  # only the word at its start is done with: what follows may begin another value
-                at = WORD.match(text, m.start()).end()
+        out, done = [], 0
+        cards = _cards(text)
+        card = next(cards, None)
+        m = FOUND.search(text)
+        while m or card:
+            if card and card[0] < done:  # begins in what was replaced
+                card = next(cards, None)
+                continue
+            if m and m.start() < done:
+                m = FOUND.search(text, done)
+                continue
+            if m and (not card or m.start() <= card[0]):
+                kind, start = m.lastgroup, m.start()
+                value = _iban_in(m[0]) if kind == "iban" else m[0]
+                got = self.replace(kind, value) if value else None
+                if got is None:  # only the word at its start is done with: what follows may begin another value
+                    m = FOUND.search(text, WORD.match(text, start).end())
+                    continue
+            else:
+                kind, start, value = "card", card[0], text[card[0] : card[1]]
+                got = self.replace(kind, value)
+            kinds.append("phone" if kind == "abroad" else kind)
+            out += text[done:start], got
+            done = start + len(value)
         return "".join(out) + text[done:], kinds
 
 
-def _card_at(text: str, start: int) -> str:
-    """The longest run of whole digit groups from ``start`` with 13 to 19 digits and a right check digit; an empty text if there is none."""
-    digits, found = "", ""
-    for m in GROUP.finditer(text, start):
-        if m.start() > (end if digits else start) or m[1] == "0" * len(m[1]) and not digits:
-            break
-        digits, end = digits + m[1], m.end()
-        if len(digits) > 19 or digits[0] == "0":
-            break
-        if len(digits) >= 13 and not text[end : end + 1].isalnum() and text[end : end + 1] != "_" and luhn(digits):
-            found = text[start:end]
-    return found
+def _cards(text: str) -> Iterator[tuple[int, int]]:
+    """(start, end) of card numbers: from every group of digits on, the longest run of whole groups with 13 to 19 digits and a right check digit.
+
+    Running sums of a run's digits, with those at even or those at odd places doubled, give every check at once.
+    """
+    for m in RUN.finditer(text):
+        starts, ends, counts, sums = [], [], [0], ([0], [0])
+        for g in GROUP.finditer(text, m.start(), m.end()):
+            starts.append(g.start(1))
+            ends.append(g.end())
+            for k, d in enumerate(map(int, g[1]), counts[-1]):
+                twice = 2 * d - 9 * (d > 4)
+                sums[k % 2].append(sums[k % 2][-1] + twice)
+                sums[1 - k % 2].append(sums[1 - k % 2][-1] + d)
+            counts.append(counts[-1] + len(g[1]))
+        after = text[m.end() : m.end() + 1]
+        whole = len(counts) - (after.isalnum() or after == "_")  # a group that goes on as a word ends no number
+        for k, start in enumerate(starts):
+            first = counts[k]
+            if text[start] != "0":
+                j = bisect.bisect_left(counts, first + 13)
+                found = 0
+                while j < whole and counts[j] <= first + 19:
+                    own = sums[counts[j] % 2]
+                    if (own[counts[j]] - own[first]) % 10 == 0:
+                        found = j
+                    j += 1
+                if found:
+                    yield start, ends[found - 1]
 
 
 def _iban_in(value: str) -> str:
     """The longest part from the start that ends where a run ends and holds, all of it or 15 characters at least; an empty one if none does."""
-    ends = [m.start() for m in re.finditer(r" |$", value)]
-    return next((value[:e] for e in reversed(ends) if (e == len(value) or len(value[:e].replace(" ", "")) >= 15) and iban_holds(value[:e])), "")
-
-
-def _running_digits(text: str) -> Iterator[int]:
-    n = 0
-    for c in text:
-        n += c.isdigit()
-        yield n
+    head = int("".join(str(int(c, 36)) for c in value[:4]))
+    found, rest, n, size = "", 0, 4, len(value)
+    for k in range(4, size):
+        c = value[k]
+        if c != " ":
+            d = int(c, 36)
+            rest, n = (rest * (100 if d > 9 else 10) + d) % 97, n + 1
+        if k + 1 == size or value[k + 1] == " ":
+            if (n >= 15 or k + 1 == size) and (rest * 10**6 + head) % 97 == 1:
+                found = value[: k + 1]
+    return found
 
 
 def key_from_environment(name: str = "SWATHE_PSEUDONYM_KEY") -> bytes:
