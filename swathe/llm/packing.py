@@ -33,6 +33,8 @@ CACHE_WORDS = 250_000
 BLOCK_CHARS = 8_000_000
 #: Words of printable ASCII and of letters that Latin-1 adds: they are their own normal form, and lower case is as plain.
 PLAIN = re.compile("[!-~À-ÖØ-öø-ÿ]+")
+#: The first byte of a character from U+0300 on.
+MARKED = re.compile(b"[\xcc-\xff]")
 #: What the vocabulary's pre-tokeniser makes of such a word in lower case.
 PARTS = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9]+")
 #: The characters that stand for bytes in a byte-level vocabulary: itself where a byte is a visible character of Latin-1, else the next from 256.
@@ -54,8 +56,9 @@ class WordCache:
         """Little-endian unsigned 32-bit ids of each text."""
         if not texts:
             return []
-        # the vocabulary is lower case, so words that differ in case are one; the special tokens' strings are not lowered
-        split = pc.ascii_split_whitespace(pa.array([data if b"<|" in data else data.lower() for data in map(str.encode, texts)], pa.string()))
+        # the vocabulary is lower case, so words that differ in case are one; the special tokens' strings are not lowered, nor is a text
+        # with letters from U+0300 on: the tokeniser composes before it lowers, and a mark may compose with the lower letter alone
+        split = pc.ascii_split_whitespace(pa.array([data if b"<|" in data or MARKED.search(data) else data.lower() for data in map(str.encode, texts)], pa.string()))
         words = split.flatten().dictionary_encode()
         spelled = words.dictionary.cast(pa.binary()).to_pylist()
         missing = [w for w in spelled if w not in self.known]
