@@ -54,9 +54,12 @@ def give_back() -> None:
         trim(0)
 
 
-def map_rows(df: DataFrame, columns: list[str], fn: Callable[[Iterator[tuple]], Iterable[tuple]], schema: str) -> DataFrame:
-    """Stream the named columns of each partition through ``fn`` as tuples, a bounded number of rows at a time."""
-    arrow = to_arrow_schema(T.StructType.fromDDL(schema))
+def map_rows(df: DataFrame, columns: list[str], fn: Callable[[Iterator[tuple]], Iterable[tuple]], schema: str | T.StructType) -> DataFrame:
+    """Stream the named columns of each partition through ``fn`` as tuples, a bounded number of rows at a time.
+
+    The size of a batch is a setting of the session, read when the table is computed; it stays set.
+    """
+    arrow = to_arrow_schema(T.StructType.fromDDL(schema) if isinstance(schema, str) else schema)
     df.sparkSession.conf.set(BATCH, str(IN_BYTES))  # the JVM and Python both hold a batch, and its buffers grow by doubling
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -31,8 +31,9 @@ from collections.abc import Iterator
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import id_and_text, map_rows, materialize
+from .common import column, id_and_text, map_rows, materialize
 
 LENGTH = 200
 GRAM = 32
@@ -261,11 +262,12 @@ def _packed(docs: DataFrame, others: tuple[str, ...] = ()) -> DataFrame:
             data = text.encode()
             yield doc_id, xxh32_intdigest(data) - (1 << 31), squeeze.compress(data), *kept
 
-    return map_rows(docs, ["doc_id", "text", *others], run, "doc long, own int, packed binary" + _ddl(docs, others))
+    return map_rows(docs, ["doc_id", "text", *others], run, _and("doc long, own int, packed binary", docs, others))
 
 
-def _ddl(df: DataFrame, names: tuple[str, ...]) -> str:
-    return "".join(f", {x} {df.schema[x].dataType.simpleString()}" for x in names)
+def _and(ddl: str, df: DataFrame, names: tuple[str, ...]) -> T.StructType:
+    """A schema with columns of ``df`` behind it, whatever their kinds."""
+    return T.StructType(T.StructType.fromDDL(ddl).fields + [T.StructField(x, df.schema[x].dataType) for x in names])
 
 
 def _with_text(wanted: DataFrame, docs: DataFrame, columns: list[str]) -> DataFrame:
@@ -407,7 +409,7 @@ def kept_bytes(data: bytes, ranges: list) -> tuple[bytes, int, int]:
 def remove_repeated(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, columns: tuple[str, ...] = ()) -> DataFrame:
     """``doc_id``, ``n_bytes``, ``n_removed``, ``n_spans``, the bytes ``kept`` and the named ``columns`` of every row."""
     others = tuple(f"_{k}" for k in range(len(columns)))
-    named = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), *(F.col(c).alias(o) for c, o in zip(columns, others, strict=True)))
+    named = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), *(column(c).alias(o) for c, o in zip(columns, others, strict=True)))
     ranges = repeated_ranges(named.select("doc_id", "text"), length, gram).groupBy("doc", "own").agg(F.collect_list(F.struct("begin", "end")).alias("ranges"))
     joined = _packed(named, others).join(ranges, ["doc", "own"], "left")
 
@@ -420,7 +422,7 @@ def remove_repeated(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, col
             kept, removed, runs = kept_bytes(data, ranges or [])
             yield None if doc == NO_ID else doc, len(data), removed, runs, kept, *others
 
-    schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary" + _ddl(named, others)
+    schema = _and("doc_id long, n_bytes long, n_removed long, n_spans long, kept binary", named, others)
     return map_rows(joined, ["doc", "packed", "ranges", *others], run, schema)
 
 
