@@ -16,8 +16,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from swathe.llm import jaccard, langid, packing, pii, suffixes
-from swathe.llm.common import column, free_name, materialize
+from swathe.llm.common import column, free_name, written
 from swathe.llm.queries import TEST_KEY, documents, vocabulary
+from swathe.sources.files import WRITTEN, drop
 
 #: A document whose likeliest language has less than this share of the probability is rejected.
 LEAST_SCORE = 0.5
@@ -45,9 +46,9 @@ def suffix_array(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     return suffixes.rewrite(docs)
 
 
-def pseudonyms(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Replace personal data and secrets."""
-    rows = pii.pseudonymise(docs, TEST_KEY)
+def pseudonyms(spark: SparkSession, docs: DataFrame, sf_dir: str, key: bytes = TEST_KEY) -> DataFrame:
+    """Replace personal data and secrets; only the registered query leaves the key out."""
+    rows = pii.pseudonymise(docs, key)
     if "n_chars" in docs.columns:
         rows = rows.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
     return rows.select(*map(column, docs.columns))
@@ -66,14 +67,28 @@ STAGES = [
     ("best-fit packing", best_fit_packing),
 ]
 
-#: No stage of these can be said in SQL; tests hold each stage against a brute-force version of it.
+#: No stage of these can be said in SQL; tests hold each stage against a version of it that is written plainly.
 ORACLE_SQL = None
 
 
-def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = documents(spark, sf_dir)
+def apply(spark: SparkSession, docs: DataFrame, sf_dir: str, key: bytes) -> DataFrame:
+    """All stages over a table of documents, with pseudonyms under a deployment's key, such as ``pii.key_from_environment()``.
+
+    What a stage wrote for itself, and what it read, is deleted once its result is written.
+    """
+    before: list[str] = []
     for k, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k < len(STAGES) - 1:
-            docs = materialize(docs, f"stage{k}")
+        own = len(WRITTEN)
+        docs = stage(spark, docs, sf_dir, key) if stage is pseudonyms else stage(spark, docs, sf_dir)
+        if k == len(STAGES) - 1:
+            return docs
+        inner = WRITTEN[own:]
+        docs, path = written(docs, f"stage{k}")
+        for done in (*inner, *before):
+            drop(spark, done)
+        before = [path]
     return docs
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return apply(spark, documents(spark, sf_dir), sf_dir, TEST_KEY)
