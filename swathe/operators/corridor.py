@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from . import ranks
+from . import ranks, resample
 from ..sources.files import written
 
 COMPARISON = "500-1000"
@@ -16,7 +16,9 @@ def one_image_per_pass(obs: DataFrame, *unit: str, count: str = "n", keys: tuple
     """Rows of the image with the most counted pixels of a unit's pass; of equals the first image."""
     pixels = F.sum(count).over(Window.partitionBy(*unit, *keys, "image"))
     best = Window.partitionBy(*unit, *keys).orderBy(F.desc("_px"), "image")
-    return obs.withColumn("_px", pixels).withColumn("_best", F.first("image").over(best)).where("image = _best").drop("_px", "_best")
+    # dealt by unit and pass once, which serves both windows and those that follow on a unit's pass
+    dealt = obs.repartition(*unit, *keys)
+    return dealt.withColumn("_px", pixels).withColumn("_best", F.first("image").over(best)).where("image = _best").drop("_px", "_best")
 
 
 def one_row_per_class_pass(obs: DataFrame, keys: tuple[str, ...] = ("segment_id", "ring", "landcover", "pass_date", "orbit"), order: tuple = ("-n", "m")) -> DataFrame:
@@ -79,28 +81,13 @@ def weighted_median(rows: DataFrame, by: list[str], value: str, weight: str, nam
     return cum.groupBy(*by).agg(F.sum("_k").alias("segments"), F.min(F.when(F.col("_c") >= F.col("_c_total") / 2, F.col("_v"))).alias(name))
 
 
-def draw(seed: int, *parts: Column | str) -> Column:
-    """A deterministic whole number from the md5 of the parts."""
-    text = F.concat_ws("|", F.lit(seed).cast("string"), *(F.col(p).cast("string") if isinstance(p, str) else p.cast("string") for p in parts))
-    return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("bigint")
-
-
 def bootstrap(rows: DataFrame, by: list[str], stratum: str, order: str, value: str, weight: str, draws: int, seed: int = 392) -> DataFrame:
-    """The 2.5 and 97.5 percent points of weighted medians over resamples within strata; null for fewer than three rows.
-
-    Each row is numbered in its stratum; draw d takes for place i the row numbered by a hash of (d, stratum, i).  The picks
-    are counted per drawn row before they are joined, so the exchange has at most one row for each draw and row.
-    """
-    part = [*by, stratum]
-    known = rows.where(F.col(value).isNotNull()).select(*part, order, F.col(value).alias("_value"), F.col(weight).alias("_weight"))
-    numbers = written(ranks.numbered(known, part, [order], "_n").withColumn("_i", F.col("_n") - 1), "numbers")
-    picks = numbers.select(*part, "_i", "_n_total", F.explode(F.sequence(F.lit(1), F.lit(draws))).alias("draw")).withColumn("_pick", draw(seed, "draw", *part, "_i") % F.col("_n_total"))
-    times = picks.groupBy(*part, "draw", "_pick").agg(F.count(F.lit(1)).alias("_times"))
-    drawn = times.join(numbers.select(*part, F.col("_i").alias("_pick"), "_value", "_weight"), [*part, "_pick"]).withColumn("_w", F.col("_weight") * F.col("_times"))
-    medians = weighted_median(drawn, [*by, "draw"], "_value", "_w", "_m")
-    counts = numbers.groupBy(*by).agg(F.count(F.lit(1)).alias("segments"))
+    """The 2.5 and 97.5 percent points of weighted medians over resamples within strata; null for fewer than three rows."""
+    known = written(rows.where(F.col(value).isNotNull()).select(*by, stratum, order, value, weight), "values")
+    medians = resample.weighted_medians(known, by, stratum, order, value, weight, draws, seed)
+    counts = known.groupBy(*by).agg(F.count(F.lit(1)).alias("segments"))
     # so many draws a group, whatever the data
-    points = medians.groupBy(*by).agg(F.percentile("_m", 0.025).alias("_lo"), F.percentile("_m", 0.975).alias("_hi"))
+    points = medians.groupBy(*by).agg(F.percentile("median", 0.025).alias("_lo"), F.percentile("median", 0.975).alias("_hi"))
     return points.join(counts, by).select(*by, "segments", *(F.when(F.col("segments") >= 3, F.col(c)).alias(n) for c, n in (("_lo", "lo95"), ("_hi", "hi95"))))
 
 

@@ -6,8 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.files import written
-from . import ranks
-from .corridor import draw, one_image_per_pass, one_row_per_class_pass, pooled
+from . import ranks, resample
+from .corridor import one_image_per_pass, one_row_per_class_pass, pooled
 from .labels import first_reason, spring_status
 from .sampling import hashed
 
@@ -18,16 +18,19 @@ PASS = ["year", "qtr", "orbit"]
 # --- sites -----------------------------------------------------------------------------------------------------------
 
 
-def site_passes(obs: DataFrame, min_pixels: int = 20) -> DataFrame:
-    """A5: a site's circle in a pass: one image, its rings and classes pooled by pixels; circles with too few pixels are dropped."""
-    one = one_row_per_class_pass(one_image_per_pass(obs, *SITE, keys=tuple(PASS)), (*SITE, "ring", "landcover", *PASS), ("-n", "image", "m"))
-    return pooled(one, [*SITE, "site", *PASS]).where(F.col("n") >= min_pixels)
+def chosen(obs: DataFrame) -> DataFrame:
+    """Of each pass of a site one image, and of each of its rings and classes one row.  A study reads these rows twice, so it writes them first."""
+    return one_row_per_class_pass(one_image_per_pass(obs, *SITE, keys=tuple(PASS)), (*SITE, "ring", "landcover", *PASS), ("-n", "image", "m"))
 
 
-def main_class(obs: DataFrame) -> DataFrame:
-    """A10: a site's class with the most pixels, of equals the lower code; counted over the rows that the passes are made of."""
-    one = one_row_per_class_pass(one_image_per_pass(obs, *SITE, keys=tuple(PASS)), (*SITE, "ring", "landcover", *PASS), ("-n", "image", "m"))
-    sums = one.groupBy(*SITE, "landcover").agg(F.sum("n").alias("px"))
+def site_passes(rows: DataFrame, min_pixels: int = 20) -> DataFrame:
+    """A5: a site's circle in a pass: rings and classes of the chosen rows pooled by pixels; circles with too few pixels are dropped."""
+    return pooled(rows, [*SITE, "site", *PASS]).where(F.col("n") >= min_pixels)
+
+
+def main_class(rows: DataFrame) -> DataFrame:
+    """A10: a site's class with the most pixels of the chosen rows, of equals the lower code."""
+    sums = rows.groupBy(*SITE, "landcover").agg(F.sum("n").alias("px"))
     return sums.groupBy(*SITE).agg(F.max_by("landcover", F.struct("px", -F.col("landcover"))).alias("landcover"))
 
 
@@ -37,12 +40,12 @@ def area_mean(rings: DataFrame, *values: str) -> DataFrame:
     return rings.groupBy(*SITE).agg(*((F.sum(F.col(v) * area) / F.sum(F.when(F.col(v).isNotNull(), area))).alias(v) for v in values))
 
 
-def traits(obs: DataFrame, fixed: DataFrame) -> DataFrame:
+def traits(rows: DataFrame, fixed: DataFrame) -> DataFrame:
     """B1: terrain of the circle, soil class of its outer ring (the most frequent, of equals the lower) and main land cover class."""
     rings = fixed.groupBy(*SITE, "ring").agg(F.avg("hand_m").alias("hand_m"), F.avg("slope_deg").alias("slope_deg"))
     counts = fixed.where("ring = '25-50'").groupBy(*SITE, "soil").agg(F.count(F.lit(1)).alias("_n"))
     soil = counts.groupBy(*SITE).agg(F.max_by("soil", F.struct("_n", -F.col("soil"))).alias("soil"))
-    return area_mean(rings, "hand_m", "slope_deg").join(soil, SITE, "left").join(main_class(obs), SITE, "left")
+    return area_mean(rings, "hand_m", "slope_deg").join(soil, SITE, "left").join(main_class(rows), SITE, "left")
 
 
 # --- matching --------------------------------------------------------------------------------------------------------
@@ -98,8 +101,8 @@ def same_pass(passes: DataFrame, matched: DataFrame) -> DataFrame:
 
     Each pass's spots meet their event by conditional aggregation: one shuffle.
     """
-    spots = passes.join(matched.where("kind = 'same line'").select(*SITE), SITE, "left_semi").withColumn("_spot", F.lit(True))
-    rows = passes.where("site = 'spill'").withColumn("_spot", F.lit(False)).unionByName(spots)
+    spots = matched.where("kind = 'same line'").select(*SITE, F.lit(True).alias("_same"))
+    rows = passes.join(spots, SITE, "left").where("site = 'spill' or _same").withColumn("_spot", F.col("_same").isNotNull())
     both = rows.groupBy("event_no", *PASS).agg(F.avg(F.when(~F.col("_spot"), F.col("v"))).alias("own"), F.avg(F.when(F.col("_spot"), F.col("v"))).alias("others"))
     return both.where("own is not null and others is not null").withColumn("d", F.col("own") - F.col("others"))
 
@@ -158,19 +161,9 @@ def fakes_regional(passes: DataFrame, matched: DataFrame, events: DataFrame) ->
 # --- tests -----------------------------------------------------------------------------------------------------------
 
 
-def draw_means(values: DataFrame, group: list[str], key: str, value: str, draws: int, seed: int) -> DataFrame:
-    """Means of resamples of each group's values, one row a draw; picks are counted before the join."""
-    rows = values.where(F.col(value).isNotNull()).select(*group, key, F.col(value).alias("_v"))
-    numbers = written(ranks.numbered(rows, group, [key], "_n").withColumn("_i", F.col("_n") - 1), "numbers")
-    picks = numbers.select(*group, "_i", "_n_total").withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(draws)))).withColumn("_pick", draw(seed, "draw", *group, "_i") % F.col("_n_total"))
-    times = picks.groupBy(*group, "draw", "_pick").agg(F.count(F.lit(1)).alias("_k"))
-    joined = times.join(numbers.select(*group, F.col("_i").alias("_pick"), "_v"), [*group, "_pick"])
-    return joined.groupBy(*group, "draw").agg((F.sum(F.col("_v") * F.col("_k")) / F.sum("_k")).alias("mean"))
-
-
 def bootstrap_mean(values: DataFrame, group: list[str], key: str, value: str, draws: int = 2000, seed: int = 392) -> DataFrame:
     """The 2.5 and 97.5 percent points of the resampled means of each group."""
-    means = draw_means(values, group, key, value, draws, seed)
+    means = resample.means(values, group, key, value, draws, seed)
     return means.groupBy(*group).agg(F.percentile("mean", 0.025).alias("lo95"), F.percentile("mean", 0.975).alias("hi95"), F.count(F.lit(1)).alias("draws"))
 
 
@@ -179,12 +172,13 @@ def permutation_p(real: DataFrame, group: list[str], fakes: DataFrame, draws: in
 
     ``real`` has the group, ``event_no`` and ``e1``; ``fakes`` ``event_no``, ``site_k`` and ``e1``.
     """
-    lists = fakes.where("e1 is not null").groupBy("event_no").agg(F.sort_array(F.collect_list(F.struct("site_k", "e1"))).alias("fakes"))  # a few spots an event
+    lists = fakes.where("e1 is not null").groupBy("event_no").agg(F.transform(F.sort_array(F.collect_list(F.struct("site_k", "e1"))), lambda f: f["e1"]).alias("fakes"))  # a few spots an event
     both = written(real.where("e1 is not null").select(*group, "event_no", "e1").join(lists, "event_no"), "fakes")
     means = both.groupBy(*group).agg(F.avg("e1").alias("real"), F.count(F.lit(1)).alias("n"))
-    drawn = both.withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(draws)))).withColumn("_k", draw(seed, "draw", "event_no") % F.size("fakes"))
-    sims = drawn.groupBy(*group, "draw").agg(F.avg(F.get("fakes", F.col("_k").cast("int"))["e1"]).alias("m"))
-    joined = sims.join(means, group) if group else sims.crossJoin(F.broadcast(means))
+    drawn = both.select(*group, "fakes", resample.seed_of(seed, ["event_no"]).alias("_seed"), F.explode(F.sequence(F.lit(1), F.lit(draws))).alias("draw"))
+    fake = F.get("fakes", (resample.mixed(F.col("_seed") + F.col("draw") * resample.OF_DRAW) % F.size("fakes")).cast("int"))
+    sims = drawn.groupBy(*group, "draw").agg(F.avg(fake).alias("m"))  # summed where they are made: a group has so many sums
+    joined = resample.alike(sims, means, group) if group else sims.crossJoin(F.broadcast(means))
     return joined.groupBy(*group).agg(F.max("n").alias("n"), F.when(F.max("n") >= 3, (F.count_if(F.col("m") <= F.col("real")) + 1) / (F.count(F.lit(1)) + 1)).alias("p"))
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..sources.files import written
 from . import ranks
-from .corridor import draw
+from .resample import draw
 from .sampling import hashed
 
 #: Albers conic of EPSG 6579 on GRS80.

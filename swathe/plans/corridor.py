@@ -8,6 +8,7 @@ from ..operators import corridor as C
 from ..operators import events as E
 from ..operators import labels as L
 from ..operators import ranks
+from ..operators import resample as R
 from ..registry import query
 from .fixtures import twin, view
 
@@ -30,13 +31,18 @@ GAPS = SPRINGS | {
     "enr": "select g.*, d.ecoregion, d.commodity_group, coalesce(d.weight,1) weight, coalesce(d.ecoregion||'|'||d.commodity_group,'(not in sample)') stratum from gap g left join (select * from segment_dim where k%10<>0) d using (segment_id)",
 }
 DRAWS, DRAWS_UNWEIGHTED = 500, 2000
-BOOT = GAPS | {
-    "num": "select *, row_number() over (partition by ring,stratum order by segment_id)-1 i, count(*) over (partition by ring,stratum) size from enr",
-    "pick": f"select ring, stratum, d.draw draw, cast('0x'||substr(md5(concat_ws('|','392',cast(d.draw as string),ring,stratum,cast(i as string))),1,8) as bigint) % size p from num, (select unnest(range(1,{DRAWS + 1})) draw) d",
-    "cumb": "select p.ring, p.draw, n.diff v, sum(n.weight) over (partition by p.ring,p.draw order by n.diff, n.segment_id rows unbounded preceding) c, sum(n.weight) over (partition by p.ring,p.draw) t from pick p join num n on p.ring=n.ring and p.stratum=n.stratum and p.p=n.i",
-    "med": "select ring, draw, min(case when c>=t/2.0 then v end) m from cumb group by 1,2",
-    "ci": "select ring, segments, case when segments>=3 then lo end lo95, case when segments>=3 then hi end hi95 from (select ring, quantile_cont(m,0.025) lo, quantile_cont(m,0.975) hi from med group by 1) join (select ring, count(*) segments from enr group by 1) using (ring)",
-}
+
+
+def interval_sql(source: str, by: list[str], value: str, draws: int = DRAWS, name: str = "") -> dict[str, str]:
+    """Steps that end in ``<name>ci``: rows, and the interval of the weighted median, of each group of ``source``."""
+    keys = ", ".join(by)
+    return R.picks_sql(source, by, ["stratum"], "segment_id", draws, 392, name) | R.medians_sql(by, value, "weight", name) | {
+        f"{name}qs": f"select {keys}, quantile_cont(m,0.025) lo, quantile_cont(m,0.975) hi from {name}med group by all",
+        f"{name}ci": f"select {keys}, segments, case when segments>=3 then lo end lo95, case when segments>=3 then hi end hi95 from {name}qs join (select {keys}, count(*) segments from {source} group by all) using ({keys})",
+    }
+
+
+BOOT = GAPS | interval_sql("enr", ["ring"], "diff")
 CUM = "select *, sum(weight) over (partition by ring order by diff, segment_id rows unbounded preceding) c, sum(weight) over (partition by ring) t from enr"
 
 
@@ -151,9 +157,11 @@ SCOPES = SPRINGS | {
     "lb": LABELS,
     "pooled2": "select segment_id, ring, 'all springs' as springs, median(diff_all) diff_all, median(diff_same) diff_same from per group by 1,2 union all select segment_id, ring, cast(year as string), diff_all, diff_same from per",
     "ms": "select segment_id, ring, springs, 'all ground' as measure, diff_all v from pooled2 union all select segment_id, ring, springs, 'same land cover', diff_same from pooled2",
-    "sc": "select ms.*, weight, 'statewide' as scope, 'all' as grp from ms join lb using (segment_id)" + "".join(f" union all select ms.*, weight, '{g}', {g} from ms join lb using (segment_id)" for g in GROUPS),
+    "sc": "select ms.*, weight, ecoregion||'|'||commodity_group as stratum, 'statewide' as scope, 'all' as grp from ms join lb using (segment_id)" + "".join(f" union all select ms.*, weight, ecoregion||'|'||commodity_group, '{g}', {g} from ms join lb using (segment_id)" for g in GROUPS),
     "cs": "select *, sum(weight) over (partition by springs,scope,grp,ring,measure order by v, segment_id rows unbounded preceding) c, sum(weight) over (partition by springs,scope,grp,ring,measure) t from sc where v is not null and grp is not null",
-}
+    "wm": "select springs, scope, grp, ring, measure, count(*) n, min(case when c>=t/2.0 then v end) wmed from cs group by all",
+    "drawn": "select * from cs where scope='statewide' or springs='all springs'",
+} | interval_sql("drawn", ["springs", "scope", "grp", "ring", "measure"], "v")
 
 
 def labelled(spark, d):
@@ -167,12 +175,15 @@ def typical(per):
     return pooled.unionByName(per.select("segment_id", "ring", "diff_all", "diff_same", F.col("year").cast("string").alias("springs")))
 
 
-@query("a13_grouping_sets", twin("select springs, scope, grp as \"group\", ring, measure, count(*) as segments, case when count(*)>=3 then round(min(case when c>=t/2.0 then v end),9) end as wmed from cs group by 1,2,3,4,5", **SCOPES))
+@query("a13_grouping_sets", twin("select springs, scope, grp as \"group\", ring, measure, n as segments, case when n>=3 then round(wmed,9) end as wmed, round(lo95,9) as lo95, round(hi95,9) as hi95 from wm left join ci using (springs, scope, grp, ring, measure)", **SCOPES))
 def _(spark, d):
-    rows = typical(springs(spark, d)).join(labelled(spark, d), "segment_id")
-    long = C.scopes(rows, GROUPS, {"diff_all": "all ground", "diff_same": "same land cover"})
-    found = C.weighted_median(long, ["springs", "scope", "group", "ring", "measure"], "_v", "weight")
-    return found.withColumn("wmed", F.when(F.col("segments") >= 3, F.round("wmed", 9)))
+    """Weighted medians of every grouping, with intervals for all springs together and for the whole state in each spring."""
+    rows = typical(springs(spark, d)).join(labelled(spark, d), "segment_id").withColumn("stratum", F.concat_ws("|", "ecoregion", "commodity_group"))
+    keys = ["springs", "scope", "group", "ring", "measure"]
+    long = E.written(C.scopes(rows, GROUPS, {"diff_all": "all ground", "diff_same": "same land cover"}).select(*keys, "segment_id", "stratum", "_v", "weight"), "scopes")
+    found = C.weighted_median(long, keys, "_v", "weight")
+    ci = C.bootstrap(long.where("scope = 'statewide' or springs = 'all springs'"), keys, "stratum", "segment_id", "_v", "weight", DRAWS).drop("segments")
+    return found.join(ci, keys, "left").withColumns({"wmed": F.when(F.col("segments") >= 3, F.round("wmed", 9)), "lo95": F.round("lo95", 9), "hi95": F.round("hi95", 9)})
 
 
 @query("p29_interval_verdict", twin("select ring, case when lo95 is null or hi95 is null then 'no interval' when hi95<0 then 'below' when lo95>0 then 'above' else 'no difference' end as verdict from ci", **BOOT))
@@ -197,14 +208,10 @@ def _(spark, d):
 
 
 LEAST_SEGMENTS = 100
-REGIONS = GAPS | {
-    "num": BOOT["num"].replace("partition by ring,stratum", "partition by ring,ecoregion,stratum").replace("from enr", "from enr where ecoregion is not null"),
-    "pick": BOOT["pick"].replace("select ring, stratum,", "select ring, ecoregion, stratum,").replace("ring,stratum,cast(i", "ring,ecoregion,stratum,cast(i"),
-    "cumb": BOOT["cumb"].replace("select p.ring,", "select p.ring, p.ecoregion,").replace("partition by p.ring,p.draw", "partition by p.ring,p.ecoregion,p.draw").replace("on p.ring=n.ring", "on p.ring=n.ring and p.ecoregion=n.ecoregion"),
-    "med": "select ring, ecoregion, draw, min(case when c>=t/2.0 then v end) m from cumb group by 1,2,3",
-    "cume": "select *, sum(weight) over (partition by ring,ecoregion order by diff, segment_id rows unbounded preceding) c, sum(weight) over (partition by ring,ecoregion) t from enr where ecoregion is not null",
-    "est": "select ring, ecoregion, count(*) segments, min(case when c>=t/2.0 then diff end) wmed from cume group by 1,2",
-    "grp": "select ring, ecoregion, segments, wmed, case when segments>=3 then lo end lo95, case when segments>=3 then hi end hi95 from est join (select ring, ecoregion, quantile_cont(m,0.025) lo, quantile_cont(m,0.975) hi from med group by 1,2) using (ring, ecoregion)",
+REGIONS = GAPS | {"known": "select * from enr where ecoregion is not null"} | interval_sql("known", ["ring", "ecoregion"], "diff") | {
+    "cume": "select *, sum(weight) over (partition by ring,ecoregion order by diff, segment_id rows unbounded preceding) c, sum(weight) over (partition by ring,ecoregion) t from known",
+    "est": "select ring, ecoregion, min(case when c>=t/2.0 then diff end) wmed from cume group by 1,2",
+    "grp": "select * from est join ci using (ring, ecoregion)",
     "ends": f"select ring, count(*) k, min_by(row(ecoregion, lo95, hi95), row(wmed, ecoregion)) a, max_by(row(ecoregion, lo95, hi95), row(wmed, ecoregion)) b from grp where segments>={LEAST_SEGMENTS} and lo95 is not null group by 1 having count(*)>=2",
 }
 
@@ -239,14 +246,10 @@ MATRIX = SPRINGS | {
     "gp": "select segment_id, ring, median(diff_all) a, median(diff_same) b from per group by 1,2",
     "me": "select segment_id, ring, 'all ground' as measure, a diff from gp where a is not null union all select segment_id, ring, 'same land cover', b from gp where b is not null",
     "enr": "select g.*, coalesce(d.weight,1) weight, coalesce(d.ecoregion||'|'||d.commodity_group,'(not in sample)') stratum from me g left join (select * from segment_dim where k%10<>0) d using (segment_id)",
-    "num": BOOT["num"].replace("partition by ring,stratum", "partition by ring,measure,stratum"),
-    "pick": BOOT["pick"].replace("select ring, stratum,", "select ring, measure, stratum,").replace("ring,stratum,cast(i", "ring,measure,stratum,cast(i"),
-    "cumb": BOOT["cumb"].replace("select p.ring,", "select p.ring, p.measure,").replace("partition by p.ring,p.draw", "partition by p.ring,p.measure,p.draw").replace("on p.ring=n.ring", "on p.ring=n.ring and p.measure=n.measure"),
-    "med": "select ring, measure, draw, min(case when c>=t/2.0 then v end) m from cumb group by 1,2,3",
-    "qs": "select ring, measure, quantile_cont(m,0.025) lo, quantile_cont(m,0.975) hi from med group by 1,2",
-    "es": "select ring, measure, count(*) n, min(case when c>=t/2.0 then diff end) w from (select *, sum(weight) over (partition by ring,measure order by diff, segment_id rows unbounded preceding) c, sum(weight) over (partition by ring,measure) t from enr) group by 1,2",
-    "tx": "select ring, measure, printf('%+.4f [%+.4f, %+.4f] n=%d', w, lo, hi, n) x from es join qs using (ring, measure) where n>=3",
-}
+} | interval_sql("enr", ["ring", "measure"], "diff") | {
+    "es": "select ring, measure, min(case when c>=t/2.0 then diff end) w from (select *, sum(weight) over (partition by ring,measure order by diff, segment_id rows unbounded preceding) c, sum(weight) over (partition by ring,measure) t from enr) group by 1,2",
+    "tx": "select ring, measure, printf('%+.4f [%+.4f, %+.4f] n=%d', w, lo95, hi95, segments) x from es join ci using (ring, measure) where segments>=3",
+}
 
 
 @query("a26_effect_matrix", twin("select ring, max(case when measure='all ground' then x end) as all_ground, max(case when measure='same land cover' then x end) as same_land_cover from tx group by 1", **MATRIX))
@@ -282,7 +285,7 @@ def _(spark, d):
     return C.weighted_median(gaps(spark, d), ["ring"], "diff", "weight").select("ring", ((ends[0].cast("double") + ends[1].cast("double")) / 2).alias("middle_m"), "segments", F.round("wmed", 9).alias("wmed"))
 
 
-@query("a30_bootstrap_unweighted", twin("select ring, segments, round(lo95,9) as lo95, round(hi95,9) as hi95 from ci", **(BOOT | {"enr": "select segment_id, ring, diff, 1 weight, 'all' stratum from gap", "pick": BOOT["pick"].replace(f"range(1,{DRAWS + 1})", f"range(1,{DRAWS_UNWEIGHTED + 1})")})))
+@query("a30_bootstrap_unweighted", twin("select ring, segments, round(lo95,9) as lo95, round(hi95,9) as hi95 from ci", **(GAPS | {"flat": "select segment_id, ring, diff, 1 weight, 'all' stratum from gap"} | interval_sql("flat", ["ring"], "diff", DRAWS_UNWEIGHTED))))
 def _(spark, d):
     rows = gaps(spark, d).withColumns({"weight": F.lit(1), "stratum": F.lit("all")})
     return C.bootstrap(rows, ["ring"], "stratum", "segment_id", "diff", "weight", DRAWS_UNWEIGHTED).withColumns({c: F.round(c, 9) for c in ("lo95", "hi95")})

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import events as E
+from ..operators import resample as R
 from ..registry import query
 from .fixtures import twin, view
 
@@ -76,25 +80,28 @@ REGIONAL = MATCH | {
 } | effects_sql("r0", "event_no, site_k", "rg")
 
 
-def passes(spark, d):
-    return E.site_passes(view(spark, d, "site_obs"))
+def chosen(spark, d):
+    return E.chosen(view(spark, d, "site_obs"))
 
 
-def verdicts(spark, d, **how):
-    return E.reasons(view(spark, d, "sites"), E.traits(view(spark, d, "site_obs"), view(spark, d, "site_fixed")), **how)
+def verdicts(spark, d, rows=None, **how):
+    rows = chosen(spark, d) if rows is None else rows
+    return E.reasons(view(spark, d, "sites"), E.traits(rows, view(spark, d, "site_fixed")), **how)
 
 
-def pairs(spark, d, **how):
-    return E.matches(verdicts(spark, d, **how))
+def study(spark, d, **how):
+    """Passes and matched spots of one study, from one choice of rows."""
+    rows = E.written(chosen(spark, d), "chosen")
+    return E.site_passes(rows), E.written(E.matches(verdicts(spark, d, rows, **how)), "matches")
 
 
-def springs(spark, d, **how):
-    return E.event_springs(E.same_pass(passes(spark, d), pairs(spark, d, **how)), view(spark, d, "event_dim"))
+def springs(spark, d, given=None, **how):
+    return E.event_springs(E.same_pass(*(given or study(spark, d, **how))), view(spark, d, "event_dim"))
 
 
 @query("a5_circle_from_rings", twin("select event_no, site_k, year, qtr, orbit, round(v,9) as v, n from ps", **PASSES))
 def _(spark, d):
-    return passes(spark, d).select("event_no", "site_k", "year", "qtr", "orbit", F.round("v", 9).alias("v"), "n")
+    return E.site_passes(chosen(spark, d)).select("event_no", "site_k", "year", "qtr", "orbit", F.round("v", 9).alias("v"), "n")
 
 
 @query("a9_area_weighted_ring_mean", twin("select event_no, site_k, round(hand_m,9) as hand_m, round(slope_deg,9) as slope_deg from terrain", **TRAITS))
@@ -105,12 +112,12 @@ def _(spark, d):
 
 @query("a10_main_class", twin("select event_no, site_k, landcover from main", **MAIN))
 def _(spark, d):
-    return E.main_class(view(spark, d, "site_obs"))
+    return E.main_class(chosen(spark, d))
 
 
 @query("b1_site_traits", twin("select event_no, site_k, landcover, soil, round(hand_m,9) as hand_m, round(slope_deg,9) as slope_deg from traits", **TRAITS))
 def _(spark, d):
-    return E.traits(view(spark, d, "site_obs"), view(spark, d, "site_fixed")).withColumns({x: F.round(x, 9) for x in ("hand_m", "slope_deg")})
+    return E.traits(chosen(spark, d), view(spark, d, "site_fixed")).withColumns({x: F.round(x, 9) for x in ("hand_m", "slope_deg")})
 
 
 @query("b2_rule_matching", twin("select event_no, site_k, reason from judged", **MATCH))
@@ -120,12 +127,12 @@ def _(spark, d):
 
 @query("w6_nearest_on_each_side", twin("select event_no, site_k, offset_m from mt where kind='same line'", **MATCH))
 def _(spark, d):
-    return pairs(spark, d).where("kind = 'same line'").select("event_no", "site_k", "offset_m")
+    return E.matches(verdicts(spark, d)).where("kind = 'same line'").select("event_no", "site_k", "offset_m")
 
 
 @query("x7_regional_head", twin("select event_no, site_k from mt where kind='regional'", **MATCH))
 def _(spark, d):
-    return pairs(spark, d).where("kind = 'regional'").select("event_no", "site_k")
+    return E.matches(verdicts(spark, d)).where("kind = 'regional'").select("event_no", "site_k")
 
 
 @query("b3_reason_tally", twin("select reason, count(*) as n from judged where reason<>'' group by 1", **MATCH))
@@ -139,13 +146,14 @@ WIDE = MATCH | {"jw": judged(BROAD), "mw": matched("jw")}
 @query("b9_broader_rerun", twin("select 'strict' as matching, event_no, site_k, kind from mt union all select 'broader', event_no, site_k, kind from mw", **WIDE))
 def _(spark, d):
     """S14 too: two runs of one table, with the run's name."""
-    runs = [pairs(spark, d, **how).select(F.lit(name).alias("matching"), "event_no", "site_k", "kind") for name, how in (("strict", {}), ("broader", {"broad": True, "soil": False}))]
+    rows = E.written(chosen(spark, d), "chosen")
+    runs = [E.matches(verdicts(spark, d, rows, **how)).select(F.lit(name).alias("matching"), "event_no", "site_k", "kind") for name, how in (("strict", {}), ("broader", {"broad": True, "soil": False}))]
     return runs[0].unionByName(runs[1], allowMissingColumns=True)
 
 
 @query("j9_same_pass_difference", twin("select event_no, year, qtr, orbit, round(d,9) as d from df", **SAME))
 def _(spark, d):
-    return E.same_pass(passes(spark, d), pairs(spark, d)).select("event_no", "year", "qtr", "orbit", F.round("d", 9).alias("d"))
+    return E.same_pass(*study(spark, d)).select("event_no", "year", "qtr", "orbit", F.round("d", 9).alias("d"))
 
 
 @query("b4_event_springs", twin("select event_no, year, round(d,9) as d, passes, status, yfe as years_from_event from own_lb", **FULL))
@@ -173,16 +181,16 @@ def _(spark, d):
 
 @query("b5_placebo_leave_one_out", twin(f"select event_no, site_k, {EFFECT} from ln_ef", **LINE))
 def _(spark, d):
-    return shown(E.fakes_same_line(passes(spark, d), pairs(spark, d), view(spark, d, "event_dim")), "event_no", "site_k")
+    return shown(E.fakes_same_line(*study(spark, d), view(spark, d, "event_dim")), "event_no", "site_k")
 
 
 @query("b6_placebo_regional", twin(f"select event_no, site_k, {EFFECT} from rg_ef", **REGIONAL))
 def _(spark, d):
-    return shown(E.fakes_regional(passes(spark, d), pairs(spark, d), view(spark, d, "event_dim")), "event_no", "site_k")
+    return shown(E.fakes_regional(*study(spark, d), view(spark, d, "event_dim")), "event_no", "site_k")
 
 
 def shifted(spark, d):
-    return E.effects(E.event_springs(E.same_pass(passes(spark, d), pairs(spark, d)), E.earlier(view(spark, d, "event_dim"))))
+    return E.effects(E.event_springs(E.same_pass(*study(spark, d)), E.earlier(view(spark, d, "event_dim"))))
 
 
 @query("b7_placebo_in_time", twin(f"select event_no, {EFFECT} from sh_ef", **SHIFT))
@@ -192,9 +200,8 @@ def _(spark, d):
 
 MEANS = FULL | {
     "sub": "select 'all' as subset, event_no, e1 from own_ef where e1 is not null union all select '50 barrels or more', event_no, e1 from own_ef join event_dim using (event_no) where e1 is not null and barrels>=50",
-    "nm": "select *, row_number() over (partition by subset order by event_no)-1 i, count(*) over (partition by subset) size from sub",
-    "pk": f"select subset, d.draw draw, cast('0x'||substr(md5(concat_ws('|','392',cast(d.draw as string),subset,cast(i as string))),1,8) as bigint) % size p from nm, (select unnest(range(1,{BOOT + 1})) draw) d",
-    "mn": "select pk.subset, draw, avg(e1) m from pk join nm on p=i and pk.subset=nm.subset group by 1,2",
+} | R.picks_sql("sub", ["subset"], [], "event_no", BOOT, 392) | {
+    "mn": "select subset, draw, avg(e1) m from pick group by 1,2",
     "bt": "select subset, quantile_cont(m,0.025) lo95, quantile_cont(m,0.975) hi95, count(*) draws from mn group by 1",
 }
 
@@ -205,8 +212,8 @@ def subsets(effects, events):
     return effects.join(events.select("event_no", "barrels"), "event_no").withColumn("subset", F.explode(names))
 
 
-def real(spark, d):
-    return subsets(E.effects(springs(spark, d)).where("e1 is not null"), view(spark, d, "event_dim"))
+def real(spark, d, given=None):
+    return subsets(E.effects(springs(spark, d, given)).where("e1 is not null"), view(spark, d, "event_dim"))
 
 
 @query("a15_bootstrap_mean", twin("select subset, round(lo95,9) as lo95, round(hi95,9) as hi95, draws from bt", **MEANS))
@@ -246,7 +253,9 @@ def _(spark, d):
 def perm_sql(fakes: str, name: str) -> dict[str, str]:
     return {
         f"{name}_f": f"select event_no, e1 fake, row_number() over (partition by event_no order by site_k)-1 k, count(*) over (partition by event_no) n from {fakes} where e1 is not null",
-        f"{name}_m": f"select subset, draw, avg(fake) m from (select subset, event_no, draw, cast('0x'||substr(md5(concat_ws('|','11',cast(draw as string),cast(event_no as string))),1,8) as bigint)%n j from sub join (select distinct event_no, n from {name}_f) using (event_no), (select unnest(range(1,{DRAWS + 1})) draw)) a join {name}_f f on a.event_no=f.event_no and a.j=f.k group by 1,2",
+        f"{name}_s": f"select subset, event_no, n, cast('0x'||substr(md5(concat_ws('|','11',cast(event_no as string))),1,7) as bigint) seed from sub join (select distinct event_no, n from {name}_f) using (event_no)",
+        f"{name}_d": f"select subset, event_no, draw, ({R.mixed_sql(f'seed+draw*{R.OF_DRAW}')}) % n j from {name}_s, (select unnest(range(1,{DRAWS + 1})) draw)",
+        f"{name}_m": f"select subset, draw, avg(fake) m from {name}_d a join {name}_f f on a.event_no=f.event_no and a.j=f.k group by 1,2",
         f"{name}_r": f"select subset, avg(e1) r, count(*) n from sub where event_no in (select event_no from {name}_f) group by 1",
         f"{name}_p": f"select subset, any_value(r.n) n, case when any_value(r.n)>=3 then (count(*) filter (m<=r.r)+1)/(count(*)+1)::double end p from {name}_m join {name}_r r using (subset) group by 1",
     }
@@ -258,8 +267,9 @@ PERM = MEANS | {k: v for k, v in LINE.items() if k not in MEANS} | {k: v for k,
 @query("a17_permutation_p", twin("select subset, n, round(p,9) as p from pl_p", **PERM))
 def _(spark, d):
     """One fake a draw for each event that has some; p counts draws whose mean is at most the real mean of those events."""
-    fakes = E.fakes_same_line(passes(spark, d), pairs(spark, d), view(spark, d, "event_dim"))
-    return E.permutation_p(real(spark, d), ["subset"], fakes, DRAWS).select("subset", "n", F.round("p", 9).alias("p"))
+    given = study(spark, d)
+    fakes = E.fakes_same_line(*given, view(spark, d, "event_dim"))
+    return E.permutation_p(real(spark, d, given), ["subset"], fakes, DRAWS).select("subset", "n", F.round("p", 9).alias("p"))
 
 
 SUMMARY = PERM | {k: v for k, v in SHIFT.items() if k not in PERM} | {
@@ -273,16 +283,17 @@ NUMBERS = ["mean_e1", "median_e1", "lo95", "hi95", "wilcoxon_p", "perm_p_same_li
 ROUNDED = ", ".join(f"round({x},{6 if x == 'wilcoxon_p' else 9}) as {x}" for x in NUMBERS)
 
 
-def summary(spark, d):
+def summary(spark, d, names=("all", "50 barrels or more")):
     """Each subset's mean and median effect, interval, signed-rank p, two permutation p and the effect two years earlier."""
-    sites, matched_ = E.written(passes(spark, d), "passes"), E.written(pairs(spark, d), "matches")
+    sites, matched_ = study(spark, d)
+    sites = E.written(sites, "passes")
     events = view(spark, d, "event_dim")
     diffs = E.same_pass(sites, matched_)
-    own = E.written(subsets(E.effects(E.event_springs(diffs, events)).where("e1 is not null"), events), "effects")
+    own = E.written(subsets(E.effects(E.event_springs(diffs, events)).where("e1 is not null"), events).where(c("subset").isin(*names)), "effects")
     out = own.groupBy("subset").agg(F.count(F.lit(1)).alias("n"), F.avg("e1").alias("mean_e1"), F.median("e1").alias("median_e1")).where("n >= 3")
     out = out.join(E.bootstrap_mean(own, ["subset"], "event_no", "e1", BOOT).drop("draws"), "subset")
-    tests = [E.signed_rank(own.where(c("subset") == name), "e1").select(F.lit(name).alias("subset"), c("p").alias("wilcoxon_p")) for name in ("all", "50 barrels or more")]
-    out = out.join(tests[0].unionByName(tests[1]), "subset", "left")
+    tests = [E.signed_rank(own.where(c("subset") == name), "e1").select(F.lit(name).alias("subset"), c("p").alias("wilcoxon_p")) for name in names]
+    out = out.join(reduce(DataFrame.unionByName, tests), "subset", "left")
     for name, fakes in (("perm_p_same_line", E.fakes_same_line(sites, matched_, events)), ("perm_p_regional", E.fakes_regional(sites, matched_, events))):
         out = out.join(E.permutation_p(own, ["subset"], fakes, DRAWS).select("subset", c("p").alias(name)), "subset", "left")
     shift = E.effects(E.event_springs(diffs, E.earlier(events))).select("event_no", c("e1").alias("s"))
@@ -303,4 +314,4 @@ def _(spark, d):
 def _(spark, d):
     """Clear: the whole interval lies below zero and fakes rarely look as bad; no permutation p counts as 1."""
     clear = (c("hi95") < 0) & (F.coalesce("perm_p_same_line", F.lit(1.0)) < 0.05)
-    return summary(spark, d).where("subset = 'all'").select("n", F.round("mean_e1", 9).alias("mean_e1"), F.round("date_shift_mean", 9).alias("date_shift_mean"), F.when(clear, "clear effect").otherwise("no clear effect").alias("verdict"))
+    return summary(spark, d, ("all",)).select("n", F.round("mean_e1", 9).alias("mean_e1"), F.round("date_shift_mean", 9).alias("date_shift_mean"), F.when(clear, "clear effect").otherwise("no clear effect").alias("verdict"))
