@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.files import written
+
 #: Probes that are sent along with every row at once; more go in several parts.
 PACK = 20_000
 
@@ -38,18 +40,65 @@ def against(rows: DataFrame, probes: DataFrame, rows_vec: str = "vec") -> DataFr
     return every.withColumns({"probe": F.col("_p.probe"), "cosine": dot(F.col("_v"), F.col("_p.p"))}).drop("_v", "_p", "_probes").where("cosine is not null")
 
 
+#: Probes whose cells divide the others, at most; probes of a cell that lie in one array; what rounding may take from an angle.
+PIVOTS, CELL_PACK, SLACK = 1024, 256, 1e-6
+
+
+def angle(a: Column, b: Column) -> Column:
+    return F.acos(F.least(F.greatest(dot(a, b), F.lit(-1.0)), F.lit(1.0)))
+
+
+def cells(probes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """An index of probes (probe, pvec) over angles, which are a metric of unit vectors: the pivots with their cells' reach, in one row, and packs of each cell's probes.
+
+    About the square root of the probes serve as pivots, ``PIVOTS`` at most, so that row is of bounded size; a probe belongs to its nearest pivot.
+    """
+    unit_probes = written(probes.select("probe", unit(F.col("pvec")).alias("p")).where("p is not null"), "probes")
+    k = max(1, min(PIVOTS, round(unit_probes.count() ** 0.5)))
+    first = unit_probes.orderBy(F.xxhash64("probe"), "probe").limit(k).agg(F.collect_list("p").alias("_pivots"))
+    angles = F.transform("_pivots", lambda c: angle(c, F.col("p")))
+    held = unit_probes.crossJoin(F.broadcast(first)).withColumn("_angles", angles).withColumn("_a", F.array_min("_angles"))
+    held = held.select("probe", "p", "_a", (F.array_position("_angles", F.col("_a")) - 1).cast("int").alias("cell"))
+    held = written(held, "cells")
+    reach = held.groupBy("cell").agg(F.min("_a").alias("near"), F.max("_a").alias("far"), F.count(F.lit(1)).alias("n"))
+    parts = F.greatest(F.lit(1), F.ceil(F.col("n") / CELL_PACK))
+    packed = held.join(F.broadcast(reach.select("cell", "n")), "cell").groupBy("cell", F.pmod(F.xxhash64("probe"), parts).alias("part")).agg(F.collect_list(F.struct("_a", "probe", "p")).alias("_probes"))
+    table = reach.agg(F.map_from_entries(F.collect_list(F.struct("cell", F.struct("near", "far")))).alias("_reach"))
+    return first.crossJoin(table), packed
+
+
 def nearest(rows: DataFrame, probes: DataFrame, key: str, rows_vec: str = "vec") -> DataFrame:
-    """Each row's best probe and their cosine, of equals the least probe; (key, cosine, nearest).
+    """Each row's best probe and their cosine, of equals the least probe; (key, cosine, nearest).  Exact: see ``looked_at``."""
+    return looked_at(rows, probes, key, rows_vec).select(key, "cosine", "nearest")
+
+
+def looked_at(rows: DataFrame, probes: DataFrame, key: str, rows_vec: str = "vec") -> DataFrame:
+    """``nearest`` with the number of probes that each row was compared with, ``pairs``.
 
-    A row folds over the probes that come with it and keeps the best, so no row is made for a pair.
+    A row first folds over the probes of its own cell.  By the triangle inequality a cell can hold a better one only if the row's
+    angle to the pivot differs from what its probes have by no more than the best angle so far; of the cells that are left, only
+    probes for which that holds are compared.  So rows meet cells by a join, and no row is made for a pair.
     """
-    best = lambda a, x: F.when((x["cosine"] > a["cosine"]) | ((x["cosine"] == a["cosine"]) & (x["probe"] < a["probe"])) | a["probe"].isNull(), x).otherwise(a)
+    index, packed = cells(probes)
+    packed = written(packed, "packs")
     kind = dict(probes.dtypes)["probe"]
     none = F.struct(F.lit(None).cast("double").alias("cosine"), F.lit(None).cast(kind).alias("probe"))
-    own = rows.select(key, unit(F.col(rows_vec)).alias("_v")).where("_v is not null")
-    parts = [own.crossJoin(F.broadcast(part)).select(key, F.aggregate("_probes", none, lambda a, x: best(a, F.struct(dot(F.col("_v"), x["p"]).alias("cosine"), x["probe"].alias("probe")))).alias("_b")) for part in packs(probes)]
-    found = reduce(DataFrame.unionByName, parts).select(key, F.col("_b.cosine").alias("cosine"), F.col("_b.probe").alias("nearest")).where("nearest is not null")
-    return found.groupBy(key).agg(F.max("cosine").alias("cosine"), F.min_by("nearest", F.struct(-F.col("cosine"), "nearest")).alias("nearest"))
+    better = lambda a, x: F.when((x["cosine"] > a["cosine"]) | ((x["cosine"] == a["cosine"]) & (x["probe"] < a["probe"])) | a["probe"].isNull(), x).otherwise(a)
+    fold = lambda found: F.aggregate(found, none, lambda a, x: better(a, F.struct(dot(F.col("_v"), x["p"]).alias("cosine"), x["probe"].alias("probe"))))
+    least = F.min_by("_b", F.struct(-F.col("_b.cosine"), F.col("_b.probe"))).alias("_b")
+    own = rows.select(key, unit(F.col(rows_vec)).alias("_v")).where("_v is not null").crossJoin(F.broadcast(index))
+    own = own.withColumn("_angles", F.transform("_pivots", lambda c: angle(c, F.col("_v")))).withColumn("cell", (F.array_position("_angles", F.array_min("_angles")) - 1).cast("int"))
+    first = own.select(key, "_v", "_angles", "cell", "_reach").join(packed, "cell")
+    first = first.select(key, "cell", "_v", "_angles", "_reach", fold(F.col("_probes")).alias("_b"), F.size("_probes").alias("_k"))
+    first = written(first.groupBy(key).agg(least, F.sum("_k").alias("_k"), *(F.first(c).alias(c) for c in ("cell", "_v", "_angles", "_reach"))), "best")
+    bound = F.acos(F.least(F.col("_b.cosine"), F.lit(1.0))) + SLACK
+    may = lambda c: (c != F.col("cell")) & (F.element_at("_angles", c + 1) - F.element_at("_reach", c)["far"] <= F.col("_bound")) & (F.element_at("_reach", c)["near"] - F.element_at("_angles", c + 1) <= F.col("_bound"))
+    others = first.withColumn("_bound", bound).withColumn("cell", F.explode(F.filter(F.map_keys("_reach"), may))).withColumn("_own", F.element_at("_angles", F.col("cell") + 1))
+    close = F.filter("_probes", lambda x: F.abs(x["_a"] - F.col("_own")) <= F.col("_bound"))
+    second = others.select(key, "_v", "_bound", "_own", "cell").join(packed, "cell").withColumn("_close", close).where(F.size("_close") > 0)
+    second = second.select(key, fold(F.col("_close")).alias("_b"), F.size("_close").cast("long").alias("_k"))
+    every = first.select(key, "_b", "_k").unionByName(second)
+    return every.groupBy(key).agg(least, F.sum("_k").alias("pairs")).select(key, F.col("_b.cosine").alias("cosine"), F.col("_b.probe").alias("nearest"), "pairs")
 
 
 def words(c: Column) -> Column:
