@@ -90,10 +90,73 @@ def edges_by_cell(lines: DataFrame, reach: float) -> DataFrame:
     return lines.withColumn("cx", F.explode(span(F.col("x1"), F.col("x2")))).withColumn("cy", F.explode(span(F.col("y1"), F.col("y2"))))
 
 
-def near_edges(points: DataFrame, lines: DataFrame, reach: float) -> DataFrame:
-    """Pairs of a point and an edge at most ``reach`` apart, with the distance."""
+#: Points of a cell beyond which it is split, and how often it is halved at most.
+FULL, HALVINGS = 20_000, 6
+
+
+def leaves(points: DataFrame, reach: float, full: int | None = None) -> DataFrame:
+    """Where points crowd: of every full cell's occupied smallest squares the leaf of a quadtree that holds them, and its parts.
+
+    A square is a leaf as soon as it holds ``full`` points or fewer; one that still holds more after ``HALVINGS`` is dealt in
+    parts by a hash, which splits points on one spot too.  (cx, cy, fx, fy) are the cell and the smallest square, (level, parts).
+    """
+    full = full or FULL
+    counts = _squares(points, reach).groupBy("cx", "cy", "fx", "fy").agg(F.count(F.lit(1)).alias("n"))
+    cell = Window.partitionBy("cx", "cy")
+    crowded = counts.withColumn("held", F.sum("n").over(cell)).where(F.col("held") > full)
+    level = F.lit(HALVINGS)
+    for k in reversed(range(1, HALVINGS)):
+        side = 1 << (HALVINGS - k)
+        held = F.sum("n").over(Window.partitionBy("cx", "cy", F.floor(F.col("fx") / side), F.floor(F.col("fy") / side)))
+        level = F.when(held <= full, k).otherwise(level)
+    return crowded.withColumn("level", level).withColumn("parts", F.when(F.col("level") == HALVINGS, F.ceil(F.col("n") / full)).otherwise(1).cast("int")).select("cx", "cy", "fx", "fy", "level", "parts")
+
+
+def _squares(points: DataFrame, reach: float) -> DataFrame:
+    """Each point's cell of width ``reach`` and its smallest square in it."""
+    side = reach / (1 << HALVINGS)
+    last = (1 << HALVINGS) - 1
+    within = lambda v, cell: F.least(F.greatest(F.floor((v - cell * reach) / side), F.lit(0)), F.lit(last)).cast("int")
     dealt = points.withColumns({"cx": F.floor(F.col("x") / reach), "cy": F.floor(F.col("y") / reach)})
-    return dealt.join(edges_by_cell(lines, reach), ["cx", "cy"]).withColumn("dist", offset(F.col("x"), F.col("y"))).where(F.col("dist") <= reach).drop("cx", "cy")
+    return dealt.withColumns({"fx": within(F.col("x"), F.col("cx")), "fy": within(F.col("y"), F.col("cy"))})
+
+
+def deal(points: DataFrame, others: DataFrame, reach: float, full: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """Points and others (which have a cell cx, cy) with a common key ``leaf`` beside the cell, such that no key has many more than ``full`` points.
+
+    An empty leaf is a cell that isn't full.  In a full one, others go to every leaf of the cell that their box ``x_low, x_high, y_low, y_high``, widened by ``reach``, meets, and to every part.
+    """
+    split = written(leaves(points, reach, full), "leaves")
+    side = F.pow(F.lit(2), HALVINGS - F.col("level")).cast("int")
+    lx, ly = F.floor(F.col("fx") / side).cast("int"), F.floor(F.col("fy") / side).cast("int")
+    split = split.withColumns({"lx": lx, "ly": ly})
+    name = lambda part: F.struct(F.col("level"), F.col("lx"), F.col("ly"), part.alias("part"))
+    marked = _squares(points, reach).join(split, ["cx", "cy", "fx", "fy"], "left")
+    own = F.when(F.col("level").isNotNull(), name(F.pmod(F.xxhash64(*points.columns), F.col("parts")).cast("int")))
+    cells_ = split.groupBy("cx", "cy", "level", "lx", "ly").agg(F.max("parts").alias("parts"))
+    width = F.lit(reach) / F.pow(F.lit(2), F.col("level"))
+    low_x, low_y = F.col("cx") * reach + F.col("lx") * width, F.col("cy") * reach + F.col("ly") * width
+    meets = (F.col("x_high") + reach >= low_x) & (F.col("x_low") - reach <= low_x + width) & (F.col("y_high") + reach >= low_y) & (F.col("y_low") - reach <= low_y + width)
+    joined = others.join(cells_, ["cx", "cy"], "left").where(F.col("level").isNull() | meets)
+    parts = F.when(F.col("level").isNotNull(), F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda k: name(k)))
+    dealt = joined.withColumn("leaf", F.explode_outer(parts)).drop("level", "lx", "ly", "parts", "x_low", "x_high", "y_low", "y_high")
+    return marked.withColumn("leaf", own).drop("fx", "fy", "level", "parts", "lx", "ly"), dealt
+
+
+def _leaf_join(left: DataFrame, right: DataFrame, close: Column, how: str = "inner") -> DataFrame:
+    """Rows of a common cell and leaf that are close; right names its keys by itself."""
+    text = lambda c: F.coalesce(c.cast("string"), F.lit(""))
+    keyed = right.withColumn("_leaf", text(F.col("leaf"))).drop("leaf").withColumnsRenamed({"cx": "_cx", "cy": "_cy"})
+    same = (F.col("cx") == F.col("_cx")) & (F.col("cy") == F.col("_cy")) & (text(F.col("leaf")) == F.col("_leaf"))
+    return left.join(keyed, same & close, how).drop("cx", "cy", "leaf", "_cx", "_cy", "_leaf")
+
+
+def near_edges(points: DataFrame, lines: DataFrame, reach: float, full: int | None = None) -> DataFrame:
+    """Pairs of a point and an edge at most ``reach`` apart, with the distance."""
+    boxed = edges_by_cell(lines, reach).withColumns({"x_low": F.least("x1", "x2"), "x_high": F.greatest("x1", "x2"), "y_low": F.least("y1", "y2"), "y_high": F.greatest("y1", "y2")})
+    left, right = deal(points, boxed, reach, full)
+    dist = offset(F.col("x"), F.col("y"))
+    return _leaf_join(left, right, dist <= reach).withColumn("dist", dist)
 
 
 def nearest_line(points: DataFrame, lines: DataFrame, key: str, cap: float) -> DataFrame:
@@ -111,11 +174,12 @@ def inside(points: DataFrame, polygon_edges: DataFrame, key: str, band: float) -
     return points.withColumn("by", F.floor(y / band)).join(dealt, "by").where(crosses).groupBy(key, "region").agg(F.count(F.lit(1)).alias("n")).where("n % 2 = 1").select(key, "region")
 
 
-def pairs_within(a: DataFrame, b: DataFrame, radius: float) -> DataFrame:
-    """Pairs of points (b's columns x, y named x2, y2) at most ``radius`` apart."""
+def pairs_within(a: DataFrame, b: DataFrame, radius: float, full: int | None = None, apart: Column | None = None, how: str = "inner") -> DataFrame:
+    """Pairs of points (b's columns x, y named x2, y2) at most ``radius`` apart for which ``apart`` holds too; ``left_semi`` asks only which of a have one."""
     around = b.select("*", F.explode(cells(F.col("x2") - radius, F.col("x2") + radius, radius)).alias("cx")).withColumn("cy", F.explode(cells(F.col("y2") - radius, F.col("y2") + radius, radius)))
-    dealt = a.withColumns({"cx": F.floor(F.col("x") / radius), "cy": F.floor(F.col("y") / radius)})
-    return dealt.join(around, ["cx", "cy"]).where(F.hypot(F.col("x") - F.col("x2"), F.col("y") - F.col("y2")) <= radius).drop("cx", "cy")
+    left, right = deal(a, around.withColumns({"x_low": F.col("x2"), "x_high": F.col("x2"), "y_low": F.col("y2"), "y_high": F.col("y2")}), radius, full)
+    close = F.hypot(F.col("x") - F.col("x2"), F.col("y") - F.col("y2")) <= radius
+    return _leaf_join(left, right, close if apart is None else close & apart, how)
 
 
 def band(dist: Column, limits: list[float]) -> Column:

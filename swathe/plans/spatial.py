@@ -148,7 +148,8 @@ def _(spark, d):
 @query("g15_within_radius", twin("select a.spill_id, exists(select 1 from spill_points b where b.spill_id<>a.spill_id and (a.x-b.x)*(a.x-b.x)+(a.y-b.y)*(a.y-b.y)<=1000000) as other_within from spill_points a"))
 def _(spark, d):
     p = points(spark, d)
-    near = S.pairs_within(p, p.select(c("spill_id").alias("other"), c("x").alias("x2"), c("y").alias("y2")), 1000.0).where("spill_id <> other").select("spill_id", F.lit(True).alias("near")).distinct()
+    others = p.select(c("spill_id").alias("other"), c("x").alias("x2"), c("y").alias("y2"))
+    near = S.pairs_within(p, others, 1000.0, apart=c("spill_id") != c("other"), how="left_semi").select("spill_id", F.lit(True).alias("near"))
     return p.join(near, "spill_id", "left").select("spill_id", F.coalesce("near", F.lit(False)).alias("other_within"))
 
 
