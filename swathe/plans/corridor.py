@@ -60,11 +60,6 @@ def gaps(spark, d):
     return C.enrich(typical, view(spark, d, "segment_dim").where("k % 10 <> 0"))
 
 
-@query("s1_measurement_scan", twin("select year, count(*) as rows_read, sum(n) as pixels from zone_obs group by 1"))
-def _(spark, d):
-    return view(spark, d, "zone_obs").groupBy("year").agg(F.count(F.lit(1)).alias("rows_read"), F.sum("n").alias("pixels"))
-
-
 @query("w1_one_image_per_pass", twin("select segment_id, pass_date, orbit, image, count(*) as rows_kept, sum(n) as pixels from kept group by 1,2,3,4", **ONE))
 def _(spark, d):
     return C.one_image_per_pass(view(spark, d, "zone_obs"), "segment_id").groupBy("segment_id", "pass_date", "orbit", "image").agg(F.count(F.lit(1)).alias("rows_kept"), F.sum("n").alias("pixels"))

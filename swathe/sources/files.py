@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+import fnmatch
 import functools
+import re
 import tempfile
 import uuid
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: A spring in a path: four digits after an underscore that a name or one of its parts ends with.
+SPRING = re.compile(r"_(\d{4})(?=_|\.|/|$)")
 #: Paths in the shared folder that this session wrote and has not deleted.
 WRITTEN: list[str] = []
 
@@ -59,6 +64,37 @@ def scan(spark: SparkSession, path: str, schema: str, **options) -> DataFrame:
     return spark.read.options(**options).schema(schema).csv(path).withColumns({"source_file": F.col("_metadata.file_name"), "source_path": F.col("_metadata.file_path")})
 
 
+def spring_files(spark: SparkSession, path: str, pattern: str = "*.csv", springs: list[int] | None = None) -> dict[int, list[str]]:
+    """The paths of files under ``path`` that match, by the spring that their path names; a file that names none is an error."""
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    root = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    found = root.getFileSystem(conf).listFiles(root, True)
+    out: dict[int, list[str]] = {}
+    while found.hasNext():
+        file = found.next().getPath()
+        if fnmatch.fnmatch(file.getName(), pattern):
+            years = SPRING.findall(file.toString())
+            if not years:
+                raise ValueError(f"{file.getName()} names no spring")
+            if springs is None or int(years[-1]) in springs:
+                out.setdefault(int(years[-1]), []).append(file.toString())
+    return out
+
+
+def scan_springs(spark: SparkSession, path: str, schema: str, columns: list[str], pattern: str = "*.csv", springs: list[int] | None = None) -> DataFrame:
+    """The wanted columns of the wanted springs' pieces with the types that are declared, the spring and each row's file.
+
+    Other springs' files are not opened, other columns are not parsed, and a piece whose header differs from what is declared is an error.
+    """
+    parts = []
+    for year, files in sorted(spring_files(spark, path, pattern, springs).items()):
+        rows = spark.read.option("header", True).option("enforceSchema", False).option("mode", "FAILFAST").schema(schema).csv(sorted(files))
+        parts.append(rows.select(*columns, F.lit(year).alias("spring"), F.col("_metadata.file_name").alias("source_file")))
+    if not parts:
+        raise ValueError(f"no files match {pattern}")
+    return reduce(DataFrame.unionByName, parts)
+
+
 def year_of(name: Column) -> Column:
     """The year in a file's path: four digits after an underscore that a name or one of its parts ends with."""
     return F.regexp_extract(name, r"_(\d{4})(?:_|\.|/|$)", 1).cast("int")
@@ -85,8 +121,8 @@ def wkt(points: Column) -> Column:
     return F.concat(F.lit("LINESTRING ("), F.array_join(F.transform(points, lambda p: F.format_string("%.6f %.6f", p["x"], p["y"])), ", "), F.lit(")"))
 
 
-#: A file is one row while it is hashed, so it must fit into one; a larger one has no hash in the manifest.
-MOST_BYTES = 1 << 30
+#: Bytes of a file that is hashed as one row; a larger one is hashed as a stream of its lines.
+MOST_BYTES = 1 << 28
 
 
 def listing(spark: SparkSession, path: str) -> DataFrame:
@@ -95,10 +131,47 @@ def listing(spark: SparkSession, path: str) -> DataFrame:
     return files.select("path", F.regexp_extract("path", "([^/]+)$", 1).alias("name"), F.col("length").alias("bytes"), F.col("modificationTime").alias("updated"))
 
 
-def manifest(spark: SparkSession, path: str) -> DataFrame:
-    """Name, bytes, time and SHA-256 of each file; contents stay on the executors."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).where(F.col("length") <= MOST_BYTES)
-    return listing(spark, path).join(files.select("path", F.sha2("content", 256).alias("sha256")), "path", "left").drop("path")
+def manifest(spark: SparkSession, path: str, most: int = MOST_BYTES) -> DataFrame:
+    """Name, bytes, time and SHA-256 of each file, of any size but none; contents stay on the executors."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    at = F.col("_metadata.file_path").alias("at")
+    whole = files.where(F.col("length") <= most).select(at, F.sha2("content", 256).alias("sha256"))
+    hashes = whole.unionByName(streamed_hashes(spark, path, most))
+    known = files.select(at, F.regexp_extract("path", "([^/]+)$", 1).alias("name"), F.col("length").alias("bytes"), F.col("modificationTime").alias("updated"))
+    return known.join(hashes, "at", "left").drop("at")
+
+
+def streamed_hashes(spark: SparkSession, path: str, most: int) -> DataFrame:
+    """SHA-256 of files of more than ``most`` bytes, in memory of a line: lines are read as bytes wherever a file is split, and stream through one task a file in order."""
+    lines = spark.read.format("text").option("recursiveFileLookup", "true").option("lineSep", "\n").load(path)
+    lines = lines.select(F.col("value").cast("binary").alias("line"), F.col("_metadata.file_path").alias("at"), F.col("_metadata.file_size").alias("bytes"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("turn"))
+    ordered = lines.where(F.col("bytes") > most).repartition("at").sortWithinPartitions("at", "start", "turn")
+
+    def run(batches):
+        import hashlib
+
+        import pyarrow as pa
+
+        def out(own: str, sha) -> pa.RecordBatch:
+            return pa.RecordBatch.from_pydict({"at": [own], "sha256": [sha.hexdigest()]})
+
+        own, sha, left = None, None, 0
+        for batch in batches:
+            for line, name, size in zip(*(batch.column(k) for k in range(3)), strict=True):
+                if name.as_py() != own:
+                    if own is not None:
+                        yield out(own, sha)
+                    own, sha, left = name.as_py(), hashlib.sha256(), size.as_py()
+                data = line.as_py() or b""
+                sha.update(data)
+                left -= len(data)
+                if left:  # else the file ends without a line feed
+                    sha.update(b"\n")
+                    left -= 1
+        if own is not None:
+            yield out(own, sha)
+
+    return ordered.select("line", "at", "bytes").mapInArrow(run, "at string, sha256 string")
 
 
 #: Kind of a table by a pattern of its name; the first that matches counts.
