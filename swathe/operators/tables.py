@@ -37,8 +37,8 @@ def lineage(parts: DataFrame, combined: DataFrame, key: str, part: str, value: s
     return joined.groupBy(part).agg(F.count(F.lit(1)).alias("n_rows"), F.count("_key").alias("found"), F.count_if(F.col("_key").isNull()).alias("missing"), F.max(F.abs(F.col(value) - F.col("_value"))).alias("max_diff"))
 
 
-def same_rows(a: DataFrame, b: DataFrame, key: list[str], values: list[str], rtol: float = 1e-9, atol: float = 1e-12) -> DataFrame:
-    """Rows of either table without an equal row of the same key in the other; none when the tables agree."""
+def aligned(a: DataFrame, b: DataFrame, key: list[str], values: list[str], rtol: float = 1e-9, atol: float = 1e-12) -> DataFrame:
+    """Rows of two tables side by side by key, ``_a`` and ``_b``, and whether they are ``_alike``; numbers are within a tolerance, and a missing row is like none."""
     left, right = a.select(*key, F.struct(*values).alias("_a")), b.select(*key, F.struct(*values).alias("_b"))
 
     def equal(c: str) -> Column:
@@ -50,7 +50,17 @@ def same_rows(a: DataFrame, b: DataFrame, key: list[str], values: list[str], rto
     alike = F.col("_a").isNotNull() & F.col("_b").isNotNull()
     for c in values:
         alike = alike & equal(c)
-    return left.join(right, key, "full").where(~alike)
+    return left.join(right, key, "full").withColumn("_alike", alike)
+
+
+def same_rows(a: DataFrame, b: DataFrame, key: list[str], values: list[str], rtol: float = 1e-9, atol: float = 1e-12) -> DataFrame:
+    """Rows of either table without an equal row of the same key in the other; none when the tables agree."""
+    return aligned(a, b, key, values, rtol, atol).where(~F.col("_alike")).drop("_alike")
+
+
+def agreement(checked: str, a: DataFrame, b: DataFrame, key: list[str], values: list[str], rtol: float = 1e-9, atol: float = 1e-9) -> DataFrame:
+    """V9: of an answer and the same by a second plan, how many items there are in either and how many agree."""
+    return aligned(a, b, key, values, rtol, atol).agg(F.lit(checked).alias("checked"), F.count(F.lit(1)).alias("items"), F.count_if("_alike").alias("agree"))
 
 
 def share_of_total(rows: DataFrame, by: list[str], amount: Column) -> DataFrame:

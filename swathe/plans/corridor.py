@@ -259,21 +259,6 @@ def _(spark, d):
     return wide.withColumnsRenamed({"all ground": "all_ground", "same land cover": "same_land_cover"})
 
 
-@query("v9_recompute_check", twin("select 'weighted medians' as checked, count(*) as items, count(*) filter (below<total/2.0 and upto>=total/2.0) as agree from (select ring, sum(weight) total, sum(weight) filter (diff<wmed) below, sum(weight) filter (diff<=wmed) upto from cum join (select ring, min(case when c>=t/2.0 then diff end) wmed from cum group by 1) using (ring) group by 1) union all select 'medians over springs', count(*), count(*) filter (n_low=n_high or abs(n_low-n_high)<=n_same) from (select g.segment_id, g.ring, count(*) filter (p.diff_same<g.diff) n_low, count(*) filter (p.diff_same>g.diff) n_high, count(*) filter (p.diff_same=g.diff) n_same from gap g join per p using (segment_id, ring) where p.diff_same is not null group by 1,2)", **(GAPS | {"cum": CUM})))
-def _(spark, d):
-    """Each answer again by its definition: half of the weight lies at or below a weighted median and less than half below it, and as many springs below a segment's gap as above."""
-    per = E.written(springs(spark, d).where("diff_same is not null"), "springs")
-    rows = C.enrich(per.groupBy("segment_id", "ring").agg(F.median("diff_same").alias("diff")), view(spark, d, "segment_dim").where("k % 10 <> 0"))
-    first = C.weighted_median(rows, ["ring"], "diff", "weight").select("ring", "wmed")
-    w, v, m = F.col("weight"), F.col("diff"), F.col("wmed")
-    sums = rows.join(first, "ring").groupBy("ring").agg(F.sum(w).alias("total"), F.coalesce(F.sum(F.when(v < m, w)), F.lit(0)).alias("below"), F.sum(F.when(v <= m, w)).alias("upto"))
-    one = sums.agg(F.lit("weighted medians").alias("checked"), F.count(F.lit(1)).alias("items"), F.count_if((F.col("below") < F.col("total") / 2) & (F.col("upto") >= F.col("total") / 2)).alias("agree"))
-    p = F.col("diff_same")
-    sides = per.join(rows.select("segment_id", "ring", "diff"), ["segment_id", "ring"]).groupBy("segment_id", "ring").agg(F.count_if(p < v).alias("low"), F.count_if(p > v).alias("high"), F.count_if(p == v).alias("same"))
-    two = sides.agg(F.lit("medians over springs").alias("checked"), F.count(F.lit(1)).alias("items"), F.count_if((F.col("low") == F.col("high")) | (F.abs(F.col("low") - F.col("high")) <= F.col("same"))).alias("agree"))
-    return one.unionByName(two)
-
-
 @query("v13_chart_data", twin("select ring, (cast(string_split(ring,'-')[1] as double)+cast(string_split(ring,'-')[2] as double))/2 as middle_m, segments, round(wmed-0.0,9) as wmed from (select ring, count(*) as segments, min(case when c>=t/2.0 then diff end) as wmed from cum group by 1)", **(GAPS | {"cum": CUM})))
 def _(spark, d):
     ends = F.split("ring", "-")

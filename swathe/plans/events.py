@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import events as E
+from ..operators import linear
 from ..operators import resample as R
 from ..registry import query
 from .fixtures import twin, view
@@ -315,3 +316,37 @@ def _(spark, d):
     """Clear: the whole interval lies below zero and fakes rarely look as bad; no permutation p counts as 1."""
     clear = (c("hi95") < 0) & (F.coalesce("perm_p_same_line", F.lit(1.0)) < 0.05)
     return summary(spark, d, ("all",)).select("n", F.round("mean_e1", 9).alias("mean_e1"), F.round("date_shift_mean", 9).alias("date_shift_mean"), F.when(clear, "clear effect").otherwise("no clear effect").alias("verdict"))
+
+
+#: The model's steps in SQL; of the kinds of cause the first is the reference.
+MODEL = FULL | {k: v for k, v in TRAITS.items() if k not in FULL} | {
+    "obs": "select event_no, e1 y, log10(greatest(barrels,1.0)) log_barrels, cause kind, (event_no%4=0)::int::double excavation, t.hand_m, t.slope_deg from own_ef join event_dim using (event_no) join (select event_no, hand_m, slope_deg from st where site='spill') t using (event_no) where e1 is not null and t.hand_m is not null and t.slope_deg is not null and barrels is not null",
+    "lv": "select kind, row_number() over (order by kind) r from (select distinct kind from obs)",
+    "tm": "select 1 i, 'intercept' as term union all select 2, 'log_barrels' union all select 1+r, 'kind='||kind from lv where r>1 union all select 2+(select max(r) from lv), 'excavation' union all select 3+(select max(r) from lv), 'hand_m' union all select 4+(select max(r) from lv), 'slope_deg'",
+    "xs": "select event_no, y, i, case when term='intercept' then 1.0::double when term='log_barrels' then log_barrels when term='excavation' then excavation when term='hand_m' then hand_m when term='slope_deg' then slope_deg else (term='kind='||kind)::int::double end x from obs, tm",
+    "xx": "select a.i, b.i j, sum(a.x*b.x) v from xs a join xs b using (event_no) group by 1,2",
+    "sz": "select max(i) k, count(distinct event_no) n from xs",
+    # Gauss and Jordan: the matrix beside the unit matrix, a pivot at a time
+    "inv0": """select list_reduce(list_concat([{'p': 0::bigint, 'm': m}], list_transform(range(1, k+1), lambda p: {'p': p, 'm': []::double[]})),
+      lambda s, e: {'p': e.p, 'm': list_transform(range(1, len(s.m)+1), lambda x: case when (x-1)//(2*k)+1 = e.p then s.m[x]/s.m[(e.p-1)*2*k+e.p]
+        else s.m[x]-s.m[((x-1)//(2*k))*2*k+e.p]*s.m[(e.p-1)*2*k+(x-1)%(2*k)+1]/s.m[(e.p-1)*2*k+e.p] end)}).m m, k from (select list(v order by i, j) m from (select i, j, v from xx union all select a.i, b.i+k, (a.i=b.i)::int::double from tm a, tm b, sz)), sz""",
+    "iv": "select i, j, m[(i-1)*2*k+k+j] v from inv0, (select a.i i, b.i j from tm a, tm b)",
+    "be": "select iv.i, sum(iv.v*xy) b from iv join (select i j, sum(x*y) xy from xs group by 1) using (j) group by 1",
+    "er": "select event_no, any_value(y)-sum(x*b) e, any_value(y) y from xs join be using (i) group by 1",
+    "hv": "select a.event_no, sum(a.x*b.x*iv.v) h from xs a join xs b using (event_no) join iv on iv.i=a.i and iv.j=b.i group by 1",
+    "me2": "select a.i, b.i j, sum(a.x*b.x*e*e/((1-h)*(1-h))) v from xs a join xs b using (event_no) join er using (event_no) join hv using (event_no) group by 1,2",
+    "cv": "select p.i, sqrt(sum(p.v*me2.v*q.v)) se from iv p join me2 on me2.i=p.j join iv q on q.i=me2.j and q.j=p.i group by 1",
+    "r2": "select 1-sum(e*e)/sum((y-my)*(y-my)) r2 from er, (select avg(y) my from er)",
+}
+
+
+@query("a18_effect_model", twin("select term, round(b,6) as estimate, round(se,6) as se, round(b-1.959964*se,6) as lo95, round(b+1.959964*se,6) as hi95, n, round(r2,6) as r2 from tm join be using (i) join cv using (i), sz, r2 where n>=12", **MODEL))
+def _(spark, d):
+    """What goes with a larger effect: size, a category, a flag and terrain, with robust errors."""
+    given = study(spark, d)
+    own = E.traits(chosen(spark, d), view(spark, d, "site_fixed")).join(view(spark, d, "sites").where("site = 'spill'").select("event_no", "site_k"), ["event_no", "site_k"]).select("event_no", "hand_m", "slope_deg")
+    rows = E.written(E.effects(springs(spark, d, given)).where("e1 is not null").join(view(spark, d, "event_dim"), "event_no").join(own, "event_no"), "model")
+    rows = rows.withColumns({"kind": c("cause"), "excavation": c("event_no") % 4 == 0})
+    table, terms = linear.design(rows, "e1", ["log_barrels", "kind", "excavation", "hand_m", "slope_deg"], {"barrels": 1.0})
+    fit = linear.robust_fit(table, "e1", terms)
+    return spark.createDataFrame([(r["term"], *(round(r[k], 6) for k in ("estimate", "se", "lo95", "hi95")), r["n"], round(r["r2"], 6)) for r in fit], "term string, estimate double, se double, lo95 double, hi95 double, n long, r2 double")

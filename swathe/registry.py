@@ -21,7 +21,7 @@ def query(name: str, sql: str | None = None):
 
 
 def load() -> None:
-    for part in ("corridor", "labels", "events", "tables", "pixels", "spatial", "search", "sources"):
+    for part in ("corridor", "labels", "events", "tables", "pixels", "spatial", "search", "sources", "checks"):
         importlib.import_module(f"swathe.plans.{part}")
 
 
