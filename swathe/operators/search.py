@@ -127,6 +127,35 @@ def supported(answer: Column, quote: Column, text: Column) -> Column:
     return ~claims | ((q != "") & F.coalesce(plain(text).contains(q), F.lit(False)))
 
 
+def evidence(rows: DataFrame, key: str, fields: dict[str, str], text: str) -> DataFrame:
+    """A row for each field of a report, with its answer, the quote given for it (field -> quote's column) and whether that is in the text."""
+    each = F.array(*(F.struct(F.lit(f).alias("field"), F.col(f).cast("string").alias("answer"), F.coalesce(F.col(q), F.lit("")).alias("quote")) for f, q in fields.items()))
+    long = rows.select(key, text, F.explode(each).alias("_f")).select(key, text, "_f.*")
+    return long.withColumn("supported", supported(F.col("answer"), F.col("quote"), F.col(text))).drop(text)
+
+
+#: Fixed value: numbers as answers are scored by.
+SAID = r"[-−]?(?:\d{1,3}(?:,\d{3})+|\d+)(?:\.\d+)?(?:[eE][-+]?\d+)?"
+
+
+def expected_in(answer: Column, expected: Column) -> Column:
+    """Whether an answer has any of the accepted alternatives, an array of (word, value, places).
+
+    A word may be written with hyphens or spaces, in any case; a number counts at its places, with either sign.
+    """
+    flat = lambda x: F.translate(F.lower(x), "-–", "  ")
+    said = F.transform(F.regexp_extract_all(answer, F.lit(SAID), F.lit(0)), lambda t: F.abs(F.translate(t, "−,", "-").cast("double")))
+    close = lambda e: F.exists(said, lambda n: F.abs(n - F.abs(e["value"])) <= 0.5 * F.pow(F.lit(10.0), -e["places"]) + 1e-9)
+    return F.coalesce(F.exists(expected, lambda e: F.when(e["word"].isNotNull(), flat(answer).contains(F.translate(F.lower(e["word"]), "-", " "))).otherwise(close(e))), F.lit(False))
+
+
+def known_ids(rows: DataFrame, key: str, text: str, pattern: str, known: DataFrame, most: int | None = None) -> DataFrame:
+    """Of each row the ids in its text that are known, sorted, the first ``most`` of them."""
+    ids = rows.select(key, F.explode(F.array_distinct(F.regexp_extract_all(text, F.lit(f"({pattern})")))).alias("id"))
+    found = ids.join(known.select("id").distinct(), "id", "left_semi").groupBy(key).agg(F.sort_array(F.collect_set("id")).alias("ids"))
+    return found.select(key, (F.slice("ids", 1, most) if most else F.col("ids")).alias("ids"))
+
+
 #: Patterns of ids, whose digits are no numbers, and of numbers as they are written.
 IDS = r"\b\d{3}-\d{6}-\d{2}-\d{1,3}-\d{1,4}\b|\bS\d{3}\b"
 NUMBER = r"(?<![\w.])[-+−]?(?:\d{1,3}(?:,\d{3})+|\d+)(?:\.\d+)?(?:[eE][-+]?\d+)?%?"

@@ -182,6 +182,20 @@ def pairs_within(a: DataFrame, b: DataFrame, radius: float, full: int | None = N
     return _leaf_join(left, right, close if apart is None else close & apart, how)
 
 
+def set_key(members: Column) -> Column:
+    """A key of a set whatever the order of its members: their number and two sums of hashes; equal sets have equal keys, and equal keys are verified."""
+    total = lambda seed: F.aggregate(members, F.lit(0).cast("long"), lambda a, m: a.bitwiseXOR(F.xxhash64(F.lit(seed), m)))
+    return F.struct(F.size(members).alias("n"), total(1).alias("a"), total(2).alias("b"))
+
+
+def match_sets(found: DataFrame, recorded: DataFrame) -> DataFrame:
+    """Sets that were found beside those on record (both a column ``members`` of distinct values), a row a set: ``found``, ``recorded``."""
+    keyed = lambda df, name: df.select(F.array_sort(F.array_distinct("members")).alias("members")).withColumn("_key", set_key(F.col("members"))).dropDuplicates(["_key", "members"]).select("_key", F.col("members").alias(name))
+    a, b = keyed(found, "_a"), keyed(recorded, "_b").withColumnRenamed("_key", "_own")
+    joined = a.join(b, (F.col("_key") == F.col("_own")) & (F.col("_a") == F.col("_b")), "full")
+    return joined.select(F.coalesce("_a", "_b").alias("members"), F.col("_a").isNotNull().alias("found"), F.col("_b").isNotNull().alias("recorded"))
+
+
 def band(dist: Column, limits: list[float]) -> Column:
     """Name of the distance band, null beyond the last limit."""
     out = None

@@ -48,7 +48,7 @@ VIEWS = {
     "place_sites": """select distinct concat('P',cast(cast(floor(vec_id/4) as bigint) as string)) site_id, concat('S',cast(cast(floor(vec_id/4) as bigint)%40 as string)) spill_id,
  case cast(floor(vec_id/4) as bigint)%3 when 0 then 'spill' else 'candidate' end site, concat('region ',cast(cast(floor(vec_id/4) as bigint)%5 as string)) site_ecoregion from {embeddings}""",
     "reports": """select doc_id report_no, text narrative, case doc_id%3 when 0 then 'yes' when 1 then 'no' else 'unknown' end soil_removed,
- case doc_id%2 when 0 then 'patrol' else 'landowner' end how_found, case when doc_id%3=0 then 'vacuum, soil removed' end cleanup, case when doc_id%5=0 then 'yes' else 'no' end reached_water, 2010+doc_id%15 as year,
+ case doc_id%2 when 0 then 'patrol' else 'landowner' end how_found, case when doc_id%3=0 then 'vacuum, soil removed' end cleanup, case when doc_id%5=0 then 'yes' else 'no' end reached_water, case doc_id%4 when 0 then 'yes' when 1 then 'no' when 2 then 'unknown' end plants, 2010+doc_id%15 as year,
  case when doc_id%7=0 then ' .' when doc_id%2=0 then substr(text,5,30) else 'QZX not in the text' end quote from {documents}""",
     "part_tables": """select concat(cast(o_orderkey as string), case when o_orderkey%2=0 then ' ' else '_' end, o_orderstatus) raw_id, o_orderstatus region,
  case when o_orderkey%10=0 then null else o_totalprice end val, o_orderkey k from {orders}""",

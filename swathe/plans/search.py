@@ -66,11 +66,12 @@ def _(spark, d):
 HYBRID = f"0.8::double*list_cosine_similarity(e.embedding::double[], s.v)+0.2::double*({SCORE})"
 
 
-def hybrid(spark, d):
+def hybrid(spark, d, rows=None):
     e = table(spark, d, "embeddings")
     probe = e.where("vec_id = 0").select(c("vec_id").alias("probe"), c("embedding").alias("pvec"))
     cos = S.against(e.select(c("vec_id").alias("report_no"), "embedding"), probe, "embedding")
-    return view(spark, d, "reports").join(cos, "report_no").withColumn("score", 0.8 * c("cosine") + 0.2 * S.keyword_score(ASKED, c("narrative")))
+    rows = view(spark, d, "reports") if rows is None else rows
+    return rows.join(cos, "report_no").withColumn("score", 0.8 * c("cosine") + 0.2 * S.keyword_score(ASKED, c("narrative")))
 
 
 @query("e5_hybrid_rank", twin(f"select report_no, round({HYBRID},6) as score from reports join embeddings e on report_no=e.vec_id, (select embedding::double[] v from embeddings where vec_id=0) s order by {HYBRID} desc, report_no limit 10"))
@@ -81,11 +82,12 @@ def _(spark, d):
 FILTERS = "how_found='patrol' and contains(coalesce(cleanup,''),'soil') and soil_removed='yes' and reached_water='no' and year>=2012"
 
 
-@query("e6_filtered_search", twin(f"select report_no, (select count(*) from reports where {FILTERS}) as matching, (select count(*) from reports) as searched from reports where {FILTERS} order by {SCORE} desc, report_no limit 8"))
+@query("e6_filtered_search", twin(f"select report_no, round({HYBRID},6) as score, (select count(*) from reports where {FILTERS}) as matching, (select count(*) from reports) as searched from (select * from reports where {FILTERS}) join embeddings e on report_no=e.vec_id, (select embedding::double[] v from embeddings where vec_id=0) s order by {HYBRID} desc, report_no limit 8"))
 def _(spark, d):
+    """The reports that pass the filters, closest first by meaning and words together, beside how many pass and how many there are."""
     every = view(spark, d, "reports")
     rows = every.where((c("how_found") == "patrol") & F.coalesce(c("cleanup"), F.lit("")).contains("soil") & (c("soil_removed") == "yes") & (c("reached_water") == "no") & (c("year") >= 2012))
-    top = rows.withColumn("s", S.keyword_score(ASKED, c("narrative"))).orderBy(F.desc("s"), "report_no").limit(8).select("report_no")
+    top = hybrid(spark, d, rows).orderBy(F.desc("score"), "report_no").limit(8).select("report_no", F.round("score", 6).alias("score"))
     return top.crossJoin(F.broadcast(rows.agg(N().alias("matching")))).crossJoin(F.broadcast(every.agg(N().alias("searched"))))
 
 
@@ -98,6 +100,19 @@ def _(spark, d):
     return view(spark, d, "reports").select("report_no", "soil_removed", "how_found", "year", S.supported(c("soil_removed"), c("quote"), c("narrative")).alias("supported"))
 
 
+#: Fields that are read from a report, and where the quote for each comes from here.
+QUOTES = {"how_found": "quote", "cleanup": "substr(narrative,1,20)", "soil_removed": "quote", "reached_water": "case when report_no%3=0 then substr(narrative,3,25) else 'QZX never said' end", "plants": "case when report_no%6=0 then '...' else substr(narrative,2,12) end"}
+HELD = f"({PLAIN.format('quote')}<>'' and contains({PLAIN.format('narrative')},{PLAIN.format('quote')}))"
+FIELDS = " union all ".join(f"select report_no, narrative, '{f}' as field, {f} as answer, coalesce({q},'') as quote from reports" for f, q in QUOTES.items())
+
+
+@query("v12_report_fields", twin(f"select report_no, field, answer, quote, coalesce(answer is null or answer in ('unknown','none stated','') or {HELD},false) as supported from fl", fl=FIELDS))
+def _(spark, d):
+    """Every field that was read from a report, with its quote and whether the report says so."""
+    rows = view(spark, d, "reports").selectExpr("*", *(f"{q} as q_{f}" for f, q in QUOTES.items()))
+    return S.evidence(rows, "report_no", {f: f"q_{f}" for f in QUOTES}, "narrative")
+
+
 @query("e8_number_support", "select o_orderkey, 4 as checked, case when o_orderkey%5=0 then 1 else 0 end + case when o_orderkey%3=0 then 1 else 0 end as unsupported from orders")
 def _(spark, d):
     """Answers built from a table: an amount with thousands, altered for every fifth order, a percentage of a fraction, a fraction that nothing supports
@@ -108,12 +123,26 @@ def _(spark, d):
     return table(spark, d, "orders").select("o_orderkey", S.number_check(said, proof).alias("x")).select("o_orderkey", "x.checked", F.size("x.unsupported").alias("unsupported"))
 
 
-@query("e9_answer_scoring", "select o_orderpriority, round(avg(case when o_orderkey%5=0 then 0.0::double else 1 end),9) as score from orders group by 1")
+#: Answers about orders: an amount that is wrong for every fifth, a word that is missing in two of three, a count.
+SCORED = {
+    "an": "select o_orderpriority, o_orderkey k, round(o_totalprice,2)::double p, 'The total is '||printf('%.2f', round(o_totalprice,2)::double + case when o_orderkey%5=0 then 7 else 0 end)||case when o_orderkey%3=0 then ', and the Order-Status is settled' else ', still open' end||case when o_orderkey%4=0 then ', -'||(o_orderkey%9)||' items' else '' end answer from orders",
+    "nm": r"select *, list_transform(regexp_extract_all(answer, '[-−]?(?:\d{1,3}(?:,\d{3})+|\d+)(?:\.\d+)?(?:[eE][-+]?\d+)?'), lambda t: abs(replace(replace(t,'−','-'),',','')::double)) said from an",
+    "hit": "select o_orderpriority, len(list_filter(said, lambda n: abs(n-p)<=0.005+1e-9))>0 a, contains(replace(lower(answer),'-',' '),'order status is settled') or len(list_filter(said, lambda n: abs(n-k%9)<=0.5+1e-9))>0 b from nm",
+}
+
+
+@query("e9_answer_scoring", twin("select o_orderpriority, round(avg((a::int+b::int)/2.0::double),9) as score, count(*) filter (a and b) as all_right from hit group by 1", **SCORED))
 def _(spark, d):
-    p = F.round("o_totalprice", 2)
-    answer = F.concat(F.lit("total "), F.format_string("%.2f", F.when(c("o_orderkey") % 5 == 0, p + 7).otherwise(p)))
-    hit = F.exists(S.numbers(answer), lambda t: F.abs(S.value_of(t) - p) <= 0.005 + 1e-9)
-    return table(spark, d, "orders").groupBy("o_orderpriority").agg(F.round(F.avg(hit.cast("double")), 9).alias("score"))
+    """Two things are expected of an answer: an amount to two places, and a word or else a whole number."""
+    k, p = c("o_orderkey"), F.round("o_totalprice", 2).cast("double")
+    answer = F.concat(
+        F.lit("The total is "), F.format_string("%.2f", p + F.when(k % 5 == 0, 7).otherwise(0)), F.when(k % 3 == 0, ", and the Order-Status is settled").otherwise(", still open"),
+        F.when(k % 4 == 0, F.concat(F.lit(", -"), (k % 9).cast("string"), F.lit(" items"))).otherwise(""),
+    )
+    one = lambda word, value, places: F.struct(F.lit(word).cast("string").alias("word"), (value if value is not None else F.lit(None)).cast("double").alias("value"), F.lit(places).alias("places"))
+    first, second = S.expected_in(answer, F.array(one(None, p, 2))), S.expected_in(answer, F.array(one("order status is settled", None, 0), one(None, k % 9, 0)))
+    rows = table(spark, d, "orders").select("o_orderpriority", first.alias("a"), second.alias("b"))
+    return rows.groupBy("o_orderpriority").agg(F.round(F.avg((c("a").cast("int") + c("b").cast("int")) / 2), 9).alias("score"), F.count_if(c("a") & c("b")).alias("all_right"))
 
 
 @query("e10_overlap_of_top_k", twin(f"select count(*) as shared from (select report_no from reports order by {SCORE} desc, report_no limit 50) join (select report_no from reports join embeddings e on report_no=e.vec_id, (select embedding::double[] v from embeddings where vec_id=0) s order by {HYBRID} desc, report_no limit 50) using (report_no)"))
@@ -147,9 +176,25 @@ def _(spark, d):
     return known.unionByName(typed)
 
 
-@query("e13_known_ids", "select o_orderkey, 'S'||lpad(cast(o_custkey as varchar),6,'0') as known_id from orders where o_custkey in (select c_custkey from customer where c_custkey%2=0)")
+#: Ids of events and of segments, and how many of a kind are shown.
+EVENT_ID, SEGMENT_ID, SHOWN = r"\bS\d{6}\b", r"\b\d{3}-\d{6}-\d{2}-\d{1,3}-\d{1,4}\b", 3
+SEGMENT_NAME = "concat(lpad(cast({0}%254 as string),3,'0'),'-',lpad(cast({0} as string),6,'0'),'-01-1-',cast({0}%10 as string))"
+SEEN = f"concat('see S',lpad(cast(o_custkey as string),6,'0'),' and S999999, pieces ',{SEGMENT_NAME.format('(o_orderkey%40)')},' or 1234-000001-01-1-1.')"
+IDS = {
+    "an": f"select o_custkey k, string_agg({SEEN}, chr(10)) said from orders group by 1",
+    "sg": f"select distinct k, id from (select k, unnest(regexp_extract_all(said,'{SEGMENT_ID}')) id from an) where id in (select {SEGMENT_NAME.format('s_suppkey')} from supplier)",
+    "ev": f"select distinct k, id from (select k, unnest(regexp_extract_all(said,'{EVENT_ID}')) id from an) where id in (select 'S'||lpad(cast(c_custkey as varchar),6,'0') from customer where c_custkey%2=0)",
+    "sl": f"select k, string_agg(id, ' ' order by id) ids from (select *, row_number() over (partition by k order by id) n from sg) where n<={SHOWN} group by 1",
+}
+
+
+@query("e13_known_ids", twin("select a.k as asked, coalesce(s.ids,'') as segments, coalesce(e.ids,'') as events from an a left join sl s using (k) left join (select k, string_agg(id,' ' order by id) ids from ev group by 1) e using (k)", **IDS))
 def _(spark, d):
-    text = F.concat(F.lit("see S"), F.lpad(c("o_custkey").cast("string"), 6, "0"), F.lit(" and S999999."))
-    ids = table(spark, d, "orders").select("o_orderkey", F.explode(F.array_distinct(F.regexp_extract_all(text, F.lit(r"\b(S\d{6})\b")))).alias("known_id"))
-    known = view(spark, d, "spill_points").where(F.substring("spill_id", 2, 6).cast("long") % 2 == 0).select(c("spill_id").alias("known_id"))
-    return ids.join(known, "known_id", "left_semi")
+    """Known segments and events that an answer and its evidence name, the first few segments only."""
+    answers = table(spark, d, "orders").selectExpr("o_custkey as asked", f"{SEEN} as line").groupBy("asked").agg(F.array_join(F.collect_list("line"), "\n").alias("said"))
+    segments = table(spark, d, "supplier").selectExpr(f"{SEGMENT_NAME.format('s_suppkey')} as id")
+    spills = view(spark, d, "spill_points").where(F.substring("spill_id", 2, 6).cast("long") % 2 == 0).select(c("spill_id").alias("id"))
+    shown = lambda ids, name: ids.select("asked", F.array_join("ids", " ").alias(name))
+    rows = answers.select("asked").join(shown(S.known_ids(answers, "asked", "said", SEGMENT_ID, segments, SHOWN), "segments"), "asked", "left")
+    rows = rows.join(shown(S.known_ids(answers, "asked", "said", EVENT_ID, spills), "events"), "asked", "left")
+    return rows.select("asked", F.coalesce("segments", F.lit("")).alias("segments"), F.coalesce("events", F.lit("")).alias("events"))

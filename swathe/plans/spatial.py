@@ -124,10 +124,23 @@ def _(spark, d):
     return per.agg(F.round(F.avg("k"), 9).alias("mean"), F.median("k").alias("median"), F.percentile("k", 0.9).alias("p90"), N().alias("covered"))
 
 
-@query("g28_overlap_patterns", twin("select count(distinct p) as patterns, count(*) as points from (select spill_id, string_agg(distinct line_uid, ',' order by line_uid) p from nr group by 1)", **NEAR))
+#: Pieces on record: what most points lie under, written in the opposite order, and some that no point lies under.
+PATTERNS = NEAR | {
+    "under": "select spill_id, list_sort(list(distinct line_uid)) members from nr group by 1",
+    "kept": "select distinct members from under where cast(substr(spill_id,2) as bigint)%3<>0 union select list_concat(members, ['none']) from under where cast(substr(spill_id,2) as bigint)%7=0",
+    "sides": "select f.members f, k.members k from (select distinct members from under) f full join kept k on f.members=k.members",
+}
+
+
+@query("g28_overlap_patterns", twin("select count(f) as patterns, count(k) as recorded, count(*) filter (f is not null and k is not null) as matched, (select count(*) from under) as points from sides", **PATTERNS))
 def _(spark, d):
-    per = S.near_edges(points(spark, d), lines(spark, d), 2000.0).groupBy("spill_id").agg(F.array_join(F.sort_array(F.collect_set("line_uid")), ",").alias("p"))
-    return per.agg(F.countDistinct("p").alias("patterns"), N().alias("points"))
+    """Sets of lines that points lie under, the pieces on record, and how many of one are the other, whatever the order of their members."""
+    under = S.written(S.near_edges(points(spark, d), lines(spark, d), 2000.0).groupBy("spill_id").agg(F.collect_set("line_uid").alias("members")), "under")
+    number = F.substring("spill_id", 2, 20).cast("long")
+    recorded = under.where(number % 3 != 0).select(F.reverse(F.array_sort("members")).alias("members"))
+    recorded = recorded.unionByName(under.where(number % 7 == 0).select(F.concat(F.array(F.lit("none")), "members").alias("members")))
+    sums = S.match_sets(under, recorded).agg(F.count_if("found").alias("patterns"), F.count_if("recorded").alias("recorded"), F.count_if(c("found") & c("recorded")).alias("matched"))
+    return sums.crossJoin(F.broadcast(under.agg(N().alias("points"))))
 
 
 @query("g29_signed_offset", twin(f"select p.spill_id, e.line_uid, e.seq, round(sign((e.x2-e.x1)*(p.y-e.y1)-(e.y2-e.y1)*(p.x-e.x1))*{DIST},6) as offset_m from spill_points p, el e where {DIST}<=500", **EDGES))

@@ -179,7 +179,9 @@ def test_regression_errors_by_hand(spark):
     rng = np.random.default_rng(3)
     x, kind = rng.normal(size=60), rng.integers(0, 3, 60)
     y = 1 + 2 * x + (kind == 1) * 3 + rng.normal(size=60) * (1 + np.abs(x))
-    df, names = linear.dummies(spark.createDataFrame([(float(a), f"k{b}", float(c)) for a, b, c in zip(x, kind, y, strict=True)], "x double, kind string, y double"), "kind", ["k0", "k1", "k2"])
+    df, terms = linear.design(spark.createDataFrame([(float(a), f"k{b}", float(c)) for a, b, c in zip(x, kind, y, strict=True)], "x double, kind string, y double"), "y", ["x", "kind"])
+    assert terms == ["x", "kind=k1", "kind=k2"]
+    names = terms[1:]
     fit = {r["term"]: r for r in linear.robust_fit(df, "y", ["x", *names])}
     m = np.column_stack([np.ones(60), x, kind == 1, kind == 2]).astype(float)
     inverse = np.linalg.inv(m.T @ m)
@@ -191,6 +193,72 @@ def test_regression_errors_by_hand(spark):
     assert abs(fit["x"]["r2"] - (1 - (e @ e) / ((y - y.mean()) ** 2).sum())) < 1e-9 and fit["x"]["p"] < 0.01
 
 
+def test_terms_of_a_model(spark):
+    """Logarithms with a floor, flags, levels of the rows that count, products; rows without a term don't count."""
+    rows = [(1.0, 0.5, "b", True, 2.0), (2.0, 100.0, "a", False, 3.0), (3.0, 1000.0, "c", True, None), (4.0, 10.0, "a", True, 5.0), (None, 10.0, "d", True, 5.0)]
+    table, terms = linear.design(spark.createDataFrame(rows, "y double, barrels double, kind string, dug boolean, hand double"), "y", ["log_barrels", "kind", "dug", "hand", "kind:dug", "dug:hand"], {"barrels": 1.0})
+    assert terms == ["log_barrels", "kind=b", "dug", "hand", "kind=b:dug", "dug:hand"]
+    assert sorted(tuple(r) for r in table.collect()) == [(1.0, 0.0, 1.0, 1.0, 2.0, 1.0, 2.0), (2.0, 2.0, 0.0, 0.0, 3.0, 0.0, 0.0), (4.0, 1.0, 0.0, 1.0, 5.0, 0.0, 5.0)]
+    many = spark.range(300).selectExpr("double(id) y", "string(id) kind")
+    with pytest.raises(ValueError, match="more than"):
+        linear.design(many, "y", ["kind"])
+    # a column that others add up to leaves the fit as it is
+    twice = spark.createDataFrame([(float(k), float(k % 7), 2.0 * (k % 7)) for k in range(30)], "y double, a double, b double")
+    assert np.isfinite([r["estimate"] for r in linear.robust_fit(twice, "y", ["a", "b"])]).all()
+
+
+def test_every_check_can_fail(spark):
+    """Each registered check agrees on the data, and no longer does when one of the answer's values is changed."""
+    from swathe.operators import tables as T
+    from swathe.plans import checks
+
+    d = "/root/testdata/sf0.001"
+    assert set(checks.CHECKS) == {"corridor summary", "distance profile", "segment record", "event effect", "event summary", "left out", "hot spots"}
+    for name, (key, values, fn) in checks.CHECKS.items():
+        first, second = fn(spark, d)
+        rows = [r.asDict() for r in first.collect()]
+        whole = T.agreement(name, spark.createDataFrame([tuple(r[c] for c in first.columns) for r in rows], first.schema), second, key, values).first()
+        assert whole.items == whole.agree == len(rows) > 0
+        k = next(k for k, r in enumerate(rows) if r[values[-1]] is not None)
+        rows[k][values[-1]] += 1
+        changed = spark.createDataFrame([tuple(r[c] for c in first.columns) for r in rows], first.schema)
+        assert T.agreement(name, changed, second, key, values).first().agree == len(rows) - 1
+        less = T.agreement(name, changed.limit(0), second, key, values).first()
+        assert (less.items, less.agree) == (len(rows), 0)
+
+
+def test_answers_with_alternatives(spark):
+    cases = [
+        ("About 1,234.56 km", [(None, 1234.56, 2)], True), ("About 1,234.57 km", [(None, 1234.56, 2)], False), ("it fell by 0.0312", [(None, -0.03124, 4)], True), ("it fell by 0.0313", [(None, -0.03124, 4)], False),
+        ("exactly half: 0.5", [(None, 1.0, 0)], True), ("−3.9e-04", [(None, 0.00039, 5)], True), ("The Right–of-Way", [("right-of-way", None, 0)], True), ("none", [("some", None, 0), (None, 3.0, 0)], False),
+        ("we saw 3", [("some", None, 0), (None, 3.0, 0)], True), (None, [("x", None, 0)], False), ("x", [], False),
+    ]
+    df = spark.createDataFrame([(k, a, e) for k, (a, e, _) in enumerate(cases)], "k int, a string, e array<struct<word:string,value:double,places:int>>")
+    assert {r["k"]: r["x"] for r in df.select("k", search.expected_in(F.col("a"), F.col("e")).alias("x")).collect()} == {k: want for k, (_, _, want) in enumerate(cases)}
+
+
+def test_known_ids_of_two_kinds(spark):
+    rows = spark.createDataFrame([(1, "S001 S002 xS001 S0011 001-000001-02-3-4 S002"), (2, "none"), (3, None)], "k int, t string")
+    known = spark.createDataFrame([("S002",), ("S001",), ("S002",), ("S003",)], "id string")
+    assert [(r.k, r.ids) for r in search.known_ids(rows, "k", "t", r"\bS\d{3}\b", known).collect()] == [(1, ["S001", "S002"])]
+    assert search.known_ids(rows, "k", "t", r"\bS\d{3}\b", known, 1).first().ids == ["S001"]
+
+
+def test_fields_with_their_quotes(spark):
+    rows = spark.createDataFrame([(1, "The farmer found OIL.", "landowner", "yes", "farmer FOUND", "river")], "n int, text string, how string, water string, q1 string, q2 string")
+    got = {r.field: (r.answer, r.quote, r.supported) for r in search.evidence(rows, "n", {"how": "q1", "water": "q2"}, "text").collect()}
+    assert got == {"how": ("landowner", "farmer FOUND", True), "water": ("yes", "river", False)}
+
+
+def test_sets_match_whatever_their_order(spark):
+    found = spark.createDataFrame([(["a", "b"],), (["b", "a"],), (["a"],), ([],)], "members array<string>")
+    recorded = spark.createDataFrame([(["b", "a", "a"],), (["c"],), ([],), ([],)], "members array<string>")
+    got = {tuple(r.members): (r.found, r.recorded) for r in spatial.match_sets(found, recorded).collect()}
+    assert got == {("a", "b"): (True, True), ("a",): (True, False), ("c",): (False, True), (): (True, True)}
+    keys = [tuple(r[0]) for r in found.select(spatial.set_key(F.col("members"))).collect()]
+    assert keys[0] == keys[1] and len(set(keys)) == 3
+
+
 def test_parts_joined_end_to_end():
     from swathe.plans.spatial import away, merge_parts
 
