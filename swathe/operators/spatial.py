@@ -216,15 +216,17 @@ def getis_ord(points: DataFrame, key: str, value: str, radius: float) -> DataFra
     return rows.select(key, "z", (F.signum("z") * size).cast("int").alias("bin"))
 
 
-def draw_from_group(rows: DataFrame, group: list[str], key: str, most: int, seed: int) -> DataFrame:
-    """For each row up to ``most`` others of its group, (key, other, turn).
+def draw_from_group(rows: DataFrame, group: list[str], key: str, most: int, seed: int, pool: DataFrame | None = None) -> DataFrame:
+    """For each row up to ``most`` others of its group, (key, other, turn), from the rows themselves or from a pool with the same columns.
 
     A group's members stand in one hashed order; each row takes those that follow a hashed place of its own, around the end.
     So a row meets the few that it takes and never its whole group.
     """
-    placed = written(ranks.numbered(rows.select(*group, key).withColumn("_h", hashed(seed, key)), group, ["_h", key], "_n"), "pool")
-    start = draw(seed, F.lit("from"), key) % F.col("_n_total")
-    turns = placed.withColumn("turn", F.explode(F.sequence(F.lit(0), F.least(F.lit(most), F.col("_n_total") - 1).cast("int")))).withColumn("_n", F.pmod(start + F.col("turn"), F.col("_n_total")) + 1)
+    members = rows if pool is None else pool
+    placed = written(ranks.numbered(members.select(*group, key).withColumn("_h", hashed(seed, key)), group, ["_h", key], "_n"), "pool")
+    asking = rows.select(*group, key).join(placed.groupBy(*group).agg(F.max("_n_total").alias("_all")), group)
+    start = draw(seed, F.lit("from"), key) % F.col("_all")
+    turns = asking.withColumn("turn", F.explode(F.sequence(F.lit(0), F.least(F.lit(most), F.col("_all") - 1).cast("int")))).withColumn("_n", F.pmod(start + F.col("turn"), F.col("_all")) + 1)
     found = turns.select(*group, key, "turn", "_n").join(placed.select(*group, "_n", F.col(key).alias("other")), [*group, "_n"]).where(F.col(key) != F.col("other"))
     order = Window.partitionBy(key).orderBy("turn")
     return found.withColumn("turn", F.row_number().over(order)).where(F.col("turn") <= most).select(key, "other", "turn")

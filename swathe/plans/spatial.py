@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import spatial as S
 from ..registry import query
+from .corridor import LABELS, labelled
 from .fixtures import twin, view
 
 c = F.col
@@ -175,24 +176,6 @@ def _(spark, d):
 
 
 MD5 = "cast('0x'||substr(md5({0}),1,8) as bigint)"
-POOL = EDGES | {
-    "pos": "select segment_id, ecoregion, commodity_group, row_number() over (partition by ecoregion, commodity_group order by md5('5|'||segment_id), segment_id)-1 n, count(*) over (partition by ecoregion, commodity_group) m from segment_dim",
-    "trn": f"select p.segment_id, ecoregion, commodity_group, m, j, ({MD5.format('concat_ws(chr(124), chr(53), chr(102)||chr(114)||chr(111)||chr(109), p.segment_id)')}%m+j)%m as at_n from pos p, (select unnest(range(0,51)) j) where j<m",
-    "pck": "select t.segment_id, o.segment_id as other, row_number() over (partition by t.segment_id order by j) rn from trn t join pos o on t.ecoregion=o.ecoregion and t.commodity_group=o.commodity_group and t.at_n=o.n where o.segment_id<>t.segment_id",
-    "pnt": f"select segment_id, other, rn, {MD5.format('concat_ws(chr(124), chr(57), segment_id, other)')}/4294967296.0::double*total at_m from pck join ll on line_uid=other where rn<=50",
-}
-
-
-@query("g17_regional_pool", twin("select segment_id, other, round(at_m,6) as at_m, round(e.x1+(at_m-e.start)/e.len*(e.x2-e.x1),6) as x, round(e.y1+(at_m-e.start)/e.len*(e.y2-e.y1),6) as y from pnt join el e on e.line_uid=other and at_m>=e.start and at_m<e.start+e.len", **POOL))
-def _(spark, d):
-    """Up to 50 other lines of a segment's region and group, and a hashed point on each."""
-    picks = S.draw_from_group(view(spark, d, "segment_dim"), ["ecoregion", "commodity_group"], "segment_id", 50, 5)
-    edge = lines(spark, d)
-    total = edge.groupBy("line_uid").agg(F.sum("len").alias("total"), F.max("seq").alias("last"))
-    at = picks.join(total, c("other") == c("line_uid")).withColumn("at", S.draw(9, "segment_id", "other") / 4294967296.0 * c("total"))
-    return S.along(edge, at).select("segment_id", "other", F.round("at", 6).alias("at_m"), F.round("x", 6).alias("x"), F.round("y", 6).alias("y"))
-
-
 #: Rings and circles around a site, in units of 20 metres here, where points lie far apart.
 RINGS, CIRCLES, UNIT = [(0, 25), (25, 50), (50, 100), (100, 200)], [50, 100], 20
 ZONES = [("ring", a, b, f"_r{a}-{b}") for a, b in RINGS] + [("circle", 0, r, f"_c{r}") for r in CIRCLES]
@@ -274,6 +257,37 @@ def _(spark, d):
     return parts.join(found, "pid", "left").groupBy("line_uid", "region").agg(F.round(F.sum("part_m"), 6).alias("metres"), N().alias("parts"))
 
 
+#: Lines that run through a region, by their length in it.
+POOL = CUTS | {
+    "lb": LABELS,
+    "iv": "select m.line_uid, region, m.seq, m.a, m.b, part_m, sum(part_m) over (partition by m.line_uid, region order by m.seq, m.a)-part_m begins from md m join rg g on m.line_uid=g.line_uid and m.seq=g.seq and m.a=g.a",
+    "tot": "select line_uid, region, sum(part_m) total from iv group by 1,2 having sum(part_m)>=1",
+    "pos": "select line_uid, region, total, commodity_group, diameter_class, row_number() over (partition by region, commodity_group, diameter_class order by md5('5|'||line_uid), line_uid)-1 n from tot join lb on segment_id=line_uid",
+    "siz": "select region, commodity_group, diameter_class, count(*) m from pos group by 1,2,3",
+    "trn": f"select segment_id, region, lb.commodity_group, lb.diameter_class, j, ({MD5.format('concat_ws(chr(124), chr(53), chr(102)||chr(114)||chr(111)||chr(109), segment_id)')}%m+j)%m as at_n from lb join siz on ecoregion=region and lb.commodity_group=siz.commodity_group and lb.diameter_class=siz.diameter_class, (select unnest(range(0,51)) j) where j<m",
+    "pck": "select t.segment_id, t.region, o.line_uid as other, total, row_number() over (partition by t.segment_id order by j) rn from trn t join pos o on t.region=o.region and t.commodity_group=o.commodity_group and t.diameter_class=o.diameter_class and t.at_n=o.n where o.line_uid<>t.segment_id",
+    "pnt": f"select segment_id, region, other, {MD5.format('concat_ws(chr(124), chr(57), segment_id, other)')}/4294967296.0::double*total at_m from pck where rn<=50",
+}
+
+
+@query("g17_regional_pool", twin("select segment_id, other, round(at_m,6) as at_m, round(e.x1+(i.a+(at_m-begins)/part_m*(i.b-i.a))*(e.x2-e.x1),6) as x, round(e.y1+(i.a+(at_m-begins)/part_m*(i.b-i.a))*(e.y2-e.y1),6) as y from pnt p join iv i on i.line_uid=other and i.region=p.region and at_m>=begins and at_m<begins+part_m join el e on e.line_uid=other and e.seq=i.seq", **POOL))
+def _(spark, d):
+    """Up to 50 other lines of a segment's group and diameter class that run through its region, and a hashed point on each one's part in there."""
+    edge, regions = lines(spark, d), view(spark, d, "region_edges")
+    parts = split_by_regions(edge, regions)
+    parts = S.written(parts.join(S.inside(parts.select("pid", "x", "y"), regions, "pid", 5000.0), "pid").select("line_uid", "region", "seq", "a", "b", "part_m", "x1", "y1", "x2", "y2"), "parts")
+    of_line = Window.partitionBy("line_uid", "region").orderBy("seq", "a").rowsBetween(Window.unboundedPreceding, 0)
+    placed = parts.withColumn("begins", F.sum("part_m").over(of_line) - c("part_m"))
+    total = parts.groupBy("line_uid", "region").agg(F.sum("part_m").alias("total")).where("total >= 1")
+    own = labelled(spark, d).select("segment_id", "ecoregion", "commodity_group", "diameter_class")
+    group = ["ecoregion", "commodity_group", "diameter_class"]
+    through = total.join(own.select(c("segment_id").alias("line_uid"), "commodity_group", "diameter_class"), "line_uid").select(c("line_uid").alias("segment_id"), c("region").alias("ecoregion"), "commodity_group", "diameter_class")
+    picks = S.draw_from_group(own, group, "segment_id", 50, 5, through).join(own.select("segment_id", "ecoregion"), "segment_id")
+    at = picks.join(total, (c("other") == c("line_uid")) & (c("ecoregion") == c("region"))).withColumn("at", S.draw(9, "segment_id", "other") / 4294967296.0 * c("total")).select("segment_id", "other", "line_uid", "region", "at")
+    spot = at.join(placed, ["line_uid", "region"]).where("at >= begins and at < begins + part_m").withColumn("t", c("a") + (c("at") - c("begins")) / c("part_m") * (c("b") - c("a")))
+    return spot.select("segment_id", "other", F.round("at", 6).alias("at_m"), F.round(c("x1") + c("t") * (c("x2") - c("x1")), 6).alias("x"), F.round(c("y1") + c("t") * (c("y2") - c("y1")), 6).alias("y"))
+
+
 def merge_parts(pdf):
     """Edges of one line, in any order and direction, chained at ends that two of them share: (part, points in order from the lesser end)."""
     at = {}
