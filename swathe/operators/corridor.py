@@ -58,11 +58,25 @@ def like_for_like(rows: DataFrame) -> DataFrame:
 
 
 def segment_springs(obs: DataFrame, min_pixels: int = MIN_PIXELS) -> DataFrame:
-    """A4 over W1, W2, A1, J2, A3: one row for each segment, year and ring."""
-    one = one_row_per_class_pass(one_image_per_pass(obs, "segment_id"))
-    gaps = against_comparison(pooled(one, ["segment_id", "year", "pass_date", "orbit", "ring"]), min_pixels)
-    both = gaps.join(like_for_like(one), ["segment_id", "year", "pass_date", "orbit", "ring"], "left")
-    return both.groupBy("segment_id", "year", "ring").agg(F.median("diff_all").alias("diff_all"), F.median("diff_same").alias("diff_same"), F.count(F.lit(1)).alias("passes"), *([F.median("doy").alias("doy_median")] if "doy" in both.columns else []))
+    """A4 over W1, W2, A1, J2, A3: one row for each segment, year and ring.
+
+    Rows are dealt by segment and pass once; the comparison ring's values reach the other rings through windows of that pass, both
+    kinds of difference come from one grouping, and only passes' differences go on to the medians.
+    """
+    one = one_row_per_class_pass(one_image_per_pass(obs, "segment_id")).where("n > 0")
+    of_pass = ["segment_id", "year", "pass_date", "orbit"]
+    own_class, whole = Window.partitionBy(*of_pass, "landcover"), Window.partitionBy(*of_pass)
+    compared = F.col("ring") == COMPARISON
+    rows = one.withColumns({c: F.max(F.when(compared, F.col(x))).over(own_class) for c, x in (("_m", "m"), ("_n", "n"))})
+    shared = F.when(~compared & F.col("_m").isNotNull() & F.col("m").isNotNull(), F.least("n", "_n"))
+    days = [F.min("doy").alias("doy")] if "doy" in obs.columns else []
+    per = rows.groupBy(*of_pass, "ring").agg(
+        (F.sum(F.col("m") * F.col("n")) / F.sum("n")).alias("v"), F.sum("n").alias("n"), (F.sum((F.col("m") - F.col("_m")) * shared) / F.sum(shared)).alias("diff_same"), *days,
+    )
+    enough = F.col("n") >= min_pixels
+    gaps = per.withColumn("_c", F.max(F.when(compared & enough, F.col("v"))).over(whole)).where(~compared & enough & F.col("_c").isNotNull())
+    middle = [F.median("doy").alias("doy_median")] if days else []
+    return gaps.groupBy("segment_id", "year", "ring").agg(F.median(F.col("v") - F.col("_c")).alias("diff_all"), F.median("diff_same").alias("diff_same"), F.count(F.lit(1)).alias("passes"), *middle)
 
 
 def enrich(rows: DataFrame, sample: DataFrame, labels: tuple[str, ...] = ("ecoregion", "commodity_group")) -> DataFrame:

@@ -34,8 +34,7 @@ def split_given(given: Column, first: Column, second: Column, boost: float) -> C
     """How many of a stratum's draws the first group gets: its boosted share, one at least for each group that has rows if there are two draws; a group that runs short leaves the rest to the other."""
     share = F.bround(given * first * boost / F.greatest(first * boost + second, F.lit(1))).cast("long")
     inner = F.least(F.greatest(share, F.lit(1)), first, F.greatest(given - 1, F.lit(0)))
-    mixed = F.least(given - F.least(given - inner, second), first)
-    return F.when(first == 0, 0).when(second == 0, F.least(given, first)).otherwise(mixed).cast("long")
+    return F.least(F.greatest(inner, given - second), first).cast("long")
 
 
 def draw_in_groups(rows: DataFrame, group: str, key: str, seed: int, k: int) -> DataFrame:

@@ -14,16 +14,32 @@ from .fixtures import table, twin, view
 #: Codes as they come: in either case, with blanks, some of them unknown; one for each supplier in turn.
 RAW = ["aa", " CO2", "cro ", "CRL", "cfl", "CRA", "hvl", " ngt ", "NGG", "NFG", "ngz", "PRD", "ogt", "zzz", "CRD"]
 CODES = "case s_suppkey%15 " + " ".join(f"when {k} then '{x}'" for k, x in enumerate(RAW)) + " end"
-#: The code list as the study's definitions give it, one line a group of codes.
-LABELLED = """case upper(trim({0})) when 'AA' then 'Anhydrous ammonia|Transmission|Other' when 'CO2' then 'Carbon dioxide|Transmission|Other'
- when 'CRO' then 'Crude oil|Transmission|Crude oil' when 'CRL' then 'Crude oil|Gathering|Crude oil' when 'CFL' then 'Crude full well stream|Gathering|Crude oil'
- when 'CRA' then 'Crude oil, offshore|Offshore gathering|Crude oil' when 'HVL' then 'Highly volatile liquid|Transmission|Highly volatile liquid'
- when 'NGT' then 'Natural gas|Transmission|Natural gas' when 'NGG' then 'Natural gas|Gathering|Natural gas' when 'NFG' then 'Natural gas, full well stream|Gathering|Natural gas'
- when 'NGZ' then 'Natural gas, offshore|Offshore gathering|Natural gas' when 'PRD' then 'Refined liquid product|Transmission|Refined product'
- when 'OGT' then 'Other gas|Transmission|Other' else 'Not in the RRC code list|Unknown|Unknown' end"""
-
-
-@query("p1_code_labels", f"select s_suppkey, string_split(x,'|')[1] as commodity, string_split(x,'|')[2] as service, string_split(x,'|')[3] as commodity_group from (select s_suppkey, {LABELLED.format(CODES)} x from supplier)")
+#: The code list as the study's definitions give it: code, commodity, service, group; the last line is for any other code.
+CODE_LIST = [
+    ("AA", "Anhydrous ammonia", "Transmission", "Other"),
+    ("CO2", "Carbon dioxide", "Transmission", "Other"),
+    ("CRO", "Crude oil", "Transmission", "Crude oil"),
+    ("CRL", "Crude oil", "Gathering", "Crude oil"),
+    ("CFL", "Crude full well stream", "Gathering", "Crude oil"),
+    ("CRA", "Crude oil, offshore", "Offshore gathering", "Crude oil"),
+    ("HVL", "Highly volatile liquid", "Transmission", "Highly volatile liquid"),
+    ("NGT", "Natural gas", "Transmission", "Natural gas"),
+    ("NGG", "Natural gas", "Gathering", "Natural gas"),
+    ("NFG", "Natural gas, full well stream", "Gathering", "Natural gas"),
+    ("NGZ", "Natural gas, offshore", "Offshore gathering", "Natural gas"),
+    ("PRD", "Refined liquid product", "Transmission", "Refined product"),
+    ("OGT", "Other gas", "Transmission", "Other"),
+    ("", "Not in the RRC code list", "Unknown", "Unknown"),
+]
+
+
+def listed(column: int) -> str:
+    """SQL of one column of the code list for a code ``x``."""
+    cases = " ".join(f"when '{row[0]}' then '{row[column]}'" for row in CODE_LIST[:-1])
+    return f"case upper(trim(x)) {cases} else '{CODE_LIST[-1][column]}' end"
+
+
+@query("p1_code_labels", f"select s_suppkey, {listed(1)} as commodity, {listed(2)} as service, {listed(3)} as commodity_group from (select s_suppkey, {CODES} x from supplier)")
 def _(spark, d):
     rows = table(spark, d, "supplier").select("s_suppkey", F.expr(CODES).alias("c"))
     return L.commodity(rows, "c").select("s_suppkey", "commodity", "service", "commodity_group")
