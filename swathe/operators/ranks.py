@@ -10,14 +10,14 @@ from pyspark.sql import functions as F
 from ..sources.files import written
 
 
-def running(rows: DataFrame, by: list[str], order: list, sums: dict[str, Column]) -> DataFrame:
+def running(rows: DataFrame, by: list[str], order: list, sums: dict[str, Column], deal: list | None = None) -> DataFrame:
     """Rows with running sums in order within their group, the own row included, and the group's sums as ``<name>_total``.
 
-    The order must be total.  Rows are dealt by ranges of group and order and written once, so a part's number says where it
+    The order must be total; ``deal`` is a coarser one that agrees with it, for ranges whose limits needn't hold long texts.  Rows are dealt by ranges of group and order and written once, so a part's number says where it
     stands in its group; what the parts before it sum up to is one small row a group and part.
     """
     names = list(sums)
-    dealt = rows.withColumns({f"_{n}": c for n, c in sums.items()}).repartitionByRange(*by, *order).withColumn("_part", F.spark_partition_id())
+    dealt = rows.withColumns({f"_{n}": c for n, c in sums.items()}).repartitionByRange(*by, *(deal or order)).withColumn("_part", F.spark_partition_id())
     held = written(dealt, "ranges")
     keys = [*by, "_part"]
     parts = held.groupBy(*keys).agg(*(F.sum(f"_{n}").alias(n) for n in names))
