@@ -25,6 +25,8 @@ from .common import materialize
 BUDGET = 1024
 HISTORY = 192
 BLOCK_TURNS = 256
+#: Characters of a role and a text that limits of ranges hold; a task orders by the whole of them.
+KEY_CHARS = 32
 #: Tokens that a turn's markers take.
 MARKERS = 6
 END = "\n</turn>\n"
@@ -57,7 +59,8 @@ def windows(conversations: DataFrame, budget: int = BUDGET, history: int = HISTO
     said = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
     turns = conversations.select("conv_id", F.col("turn").cast("long").alias("turn"), said("role").alias("role"), said("text").alias("text")).withColumn("size", tokens(F.col("text")).cast("long"))
     # number and prefix sum of each turn in its conversation; nulls sort first
-    placed = ranks.running(turns, ["conv_id"], ["turn", "role", "text"], {"n": F.lit(1).cast("long"), "until": F.col("size")})
+    first = lambda c: F.substring(c, 1, KEY_CHARS)
+    placed = ranks.running(turns, ["conv_id"], ["turn", "role", "text"], {"n": F.lit(1).cast("long"), "until": F.col("size")}, ["turn", first("role"), first("text")])
     placed = materialize(placed.select("conv_id", "n", "until", "size", "role", "text", F.floor((F.col("n") - 1) / block_turns).alias("block")), "turns")
     system = materialize(placed.where("role = 'system'").groupBy(F.col("conv_id").alias("of")).agg(F.min(F.struct("n", "size", "role", "text")).alias("system")), "system")
     # the last turns of a block are history to the next one
