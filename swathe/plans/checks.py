@@ -15,7 +15,7 @@ from ..operators import spatial as S
 from ..operators import tables as T
 from ..registry import query
 from . import corridor, events, spatial
-from .fixtures import table, twin, view
+from .fixtures import table, twin
 
 c = F.col
 #: Kind of answer -> its check: key, values and a function that gives the answer and its second plan's result.
