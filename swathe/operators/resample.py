@@ -68,15 +68,20 @@ def buckets(rows: DataFrame, part: list[str], order: str, columns: list[str], dr
     return written(alike(held, times, key, "left").withColumn("_seed", own), "buckets")
 
 
-def picks(held: DataFrame, draws: int, *keep: str) -> DataFrame:
-    """Every pick of every resample: ``draw``, ``pick`` (the row) and the kept columns.  Made where they are summed, never written."""
-    n = F.size("_rows")
-    each = held.select(*keep, "_rows", "_seed", "_all", "_times", F.explode(F.sequence(F.lit(1), F.lit(draws))).alias("draw"))
+def picks(held: DataFrame, draws: int, *keep: str, of_draw: str | None = None) -> DataFrame:
+    """Every pick of every resample: ``draw``, ``pick`` (the row) and the kept columns.  Made where they are summed, never written.
+
+    ``of_draw`` is a map by draw, of which each pick has its draw's value as ``at``; it is looked up once a draw.
+    """
+    n, maps = F.size("_rows"), [of_draw] if of_draw else []
+    each = held.select(*keep, *maps, "_rows", "_seed", "_all", "_times", F.explode(F.sequence(F.lit(1), F.lit(draws))).alias("draw"))
     k = F.when(F.col("_all") > BUCKET_ROWS, F.coalesce(F.element_at("_times", F.col("draw")), F.lit(0))).otherwise(n)
-    each = each.select(*keep, "_rows", "draw", mixed(F.col("_seed") + F.col("draw") * OF_DRAW).alias("_h"), k.alias("_k")).where("_k > 0")
-    each = each.select(*keep, "_rows", "draw", "_h", F.explode(F.sequence(F.lit(0), F.col("_k") - 1)).alias("_t"))
+    values = [F.element_at(m, F.col("draw")).alias("at") for m in maps]
+    each = each.select(*keep, *values, "_rows", "draw", mixed(F.col("_seed") + F.col("draw") * OF_DRAW).alias("_h"), k.alias("_k")).where("_k > 0")
+    own = [*keep, *(["at"] if of_draw else [])]
+    each = each.select(*own, "_rows", "draw", "_h", F.explode(F.sequence(F.lit(0), F.col("_k") - 1)).alias("_t"))
     at = mixed(F.col("_h") + F.col("_t") * OF_PICK) % n
-    return each.select(*keep, "draw", F.get("_rows", at.cast("int")).alias("pick"))
+    return each.select(*own, "draw", F.get("_rows", at.cast("int")).alias("pick"))
 
 
 def means(rows: DataFrame, by: list[str], order: str, value: str, draws: int, seed: int) -> DataFrame:
@@ -100,7 +105,7 @@ def weighted_medians(rows: DataFrame, by: list[str], stratum: str, order: str, v
     placed = sums.withColumns({"_upto": F.sum("_s").over(own.orderBy("_b")), "_total": F.sum("_s").over(own)}).where("_upto >= _total / 2")
     found = placed.groupBy(*by, "draw").agg(F.min(F.struct("_b", (F.col("_upto") - F.col("_s")).alias("before"), F.col("_total").alias("total"))).alias("at"))
     where = found.groupBy(*by).agg(F.map_from_entries(F.collect_list(F.struct("draw", "at"))).alias("_at"))
-    close = picks(alike(held, where, by), draws, *by, "_at").withColumn("at", F.element_at("_at", F.col("draw"))).where("pick._b = at._b")
+    close = picks(alike(held, where, by), draws, *by, of_draw="_at").where("pick._b = at._b")
     values = close.groupBy(*by, "draw", F.col("pick._v").alias("_v")).agg(F.sum("pick._w").alias("_s"), F.min("at").alias("at"))
     upto = F.sum("_s").over(own.orderBy("_v")) + F.col("at.before")
     return values.withColumn("_upto", upto).where("_upto >= at.total / 2").groupBy(*by, "draw").agg(F.min("_v").alias("median"))
