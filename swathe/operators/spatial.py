@@ -56,7 +56,8 @@ def lonlat(x: Column, y: Column) -> tuple[Column, Column]:
 
 def edges(vertices: DataFrame) -> DataFrame:
     """Edges of lines with their length and the distance along the line at which they begin."""
-    w = Window.partitionBy("line_uid").orderBy("seq")
+    # vertices that share a number stand in the order of their places, so that a line is the same in every run
+    w = Window.partitionBy("line_uid").orderBy("seq", "x", "y")
     rows = vertices.withColumns({"x2": F.lead("x").over(w), "y2": F.lead("y").over(w)}).where("x2 is not null").withColumn("len", F.hypot(F.col("x2") - F.col("x"), F.col("y2") - F.col("y")))
     return rows.withColumn("start", F.sum("len").over(w.rowsBetween(Window.unboundedPreceding, 0)) - F.col("len")).select("line_uid", "seq", F.col("x").alias("x1"), F.col("y").alias("y1"), "x2", "y2", "len", "start")
 
@@ -80,14 +81,33 @@ def offset(x: Column, y: Column) -> Column:
     return F.hypot(x - (F.col("x1") + t * (F.col("x2") - F.col("x1"))), y - (F.col("y1") + t * (F.col("y2") - F.col("y1"))))
 
 
+def distance(x: Column, y: Column, edge=None) -> Column:
+    """The same for an edge (columns, or a struct) that has its step ``dx``, ``dy`` and ``l2``, the step's square or 1: short enough to be compiled where pairs are many."""
+    at = lambda k: F.col(k) if edge is None else edge[k]
+    t = F.least(F.greatest(((x - at("x1")) * at("dx") + (y - at("y1")) * at("dy")) / at("l2"), F.lit(0.0)), F.lit(1.0))
+    return F.hypot(x - (at("x1") + t * at("dx")), y - (at("y1") + t * at("dy")))
+
+
 def cells(low: Column, high: Column, size: float) -> Column:
     return F.sequence(F.floor(low / size), F.floor(high / size))
 
 
 def edges_by_cell(lines: DataFrame, reach: float) -> DataFrame:
-    """Each edge in every cell of width ``reach`` that a point within that distance of it can lie in."""
+    """Each edge in every cell of width ``reach`` that a point within that distance of it can lie in.
+
+    A long edge is followed column by column and cell by cell, so its cells grow with its length and not with its box.
+    """
+    x1, y1, x2, y2 = (F.col(k) for k in ("x1", "y1", "x2", "y2"))
     span = lambda a, b: cells(F.least(a, b) - reach, F.greatest(a, b) + reach, reach)
-    return lines.withColumn("cx", F.explode(span(F.col("x1"), F.col("x2")))).withColumn("cy", F.explode(span(F.col("y1"), F.col("y2"))))
+    share = lambda at: F.least(F.greatest(F.coalesce(F.try_divide(at - x1, x2 - x1), F.lit(0.0)), F.lit(0.0)), F.lit(1.0))
+    columns = lines.withColumn("cx", F.explode(span(x1, x2)))
+    # the part of the edge within reach of the column, a little wider for rounding; all of it where it is upright
+    slack = reach * 1.000001
+    ends = [y1 + share(at) * (y2 - y1) for at in (F.col("cx") * reach - slack, (F.col("cx") + 1) * reach + slack)]
+    low, high = (F.when(x1 == x2, whole).otherwise(part) for whole, part in ((F.least(y1, y2), F.least(*ends)), (F.greatest(y1, y2), F.greatest(*ends))))
+    rows = columns.withColumn("cy", F.explode(cells(low - slack, high + slack, reach)))
+    far = offset((F.col("cx") + 0.5) * reach, (F.col("cy") + 0.5) * reach)
+    return rows.where(far <= reach * (1.000001 + math.sqrt(0.5)))
 
 
 #: Points of a cell beyond which it is split, and how often it is halved at most.
@@ -151,19 +171,61 @@ def _leaf_join(left: DataFrame, right: DataFrame, close: Column, how: str = "inn
     return left.join(keyed, same & close, how).drop("cx", "cy", "leaf", "_cx", "_cy", "_leaf")
 
 
+def _boxed(lines: DataFrame, reach: float) -> DataFrame:
+    """Edges by cell with their boxes and steps."""
+    dx, dy = F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")
+    steps = lines.withColumns({"dx": dx, "dy": dy, "l2": F.when((dx == 0) & (dy == 0), 1.0).otherwise(dx * dx + dy * dy)})
+    return edges_by_cell(steps, reach).withColumns({"x_low": F.least("x1", "x2"), "x_high": F.greatest("x1", "x2"), "y_low": F.least("y1", "y2"), "y_high": F.greatest("y1", "y2")})
+
+
 def near_edges(points: DataFrame, lines: DataFrame, reach: float, full: int | None = None) -> DataFrame:
     """Pairs of a point and an edge at most ``reach`` apart, with the distance."""
-    boxed = edges_by_cell(lines, reach).withColumns({"x_low": F.least("x1", "x2"), "x_high": F.greatest("x1", "x2"), "y_low": F.least("y1", "y2"), "y_high": F.greatest("y1", "y2")})
-    left, right = deal(points, boxed, reach, full)
-    dist = offset(F.col("x"), F.col("y"))
-    return _leaf_join(left, right, dist <= reach).withColumn("dist", dist)
+    left, right = deal(points, _boxed(lines, reach), reach, full)
+    dist = distance(F.col("x"), F.col("y"))
+    return _leaf_join(left, right, dist <= reach).withColumn("dist", dist).drop("dx", "dy", "l2")
+
+
+def places(points: DataFrame, key: str, **sums: Column) -> DataFrame:
+    """Distinct places of keys, a row a spot: ``place``, x, y, ``alone``, the number ``n`` of keys there and other sums over them.
+
+    Keys on one spot have all distances in common, so each is worked out once.  A key on several spots has the set of them as its place.
+    """
+    sets = points.groupBy(key).agg(F.array_sort(F.collect_set(F.struct("x", "y"))).alias("spots"))
+    held = written(sets.groupBy("spots").agg(F.count(F.lit(1)).alias("n"), *(v.alias(k) for k, v in sums.items())).withColumn("place", F.monotonically_increasing_id()), "places")
+    return held.select("place", "n", *sums, (F.size("spots") == 1).alias("alone"), F.explode("spots").alias("spot")).select("place", "spot.x", "spot.y", "alone", "n", *sums)
+
+
+def near_lines(spots: DataFrame, lines: DataFrame, reach: float, keep=None, full: int | None = None) -> DataFrame:
+    """Each place and line at most ``reach`` apart once, with the least distance of those edges that ``keep(x, y, edge)`` lets pass.
+
+    A cell's edges of one line meet a spot of the cell as one list, so nothing is sorted or exchanged by pairs; only places of several spots are.
+    """
+    x, y = F.col("x"), F.col("y")
+    left, right = deal(spots, _boxed(lines, reach), reach, full)
+    edge = F.struct(*(k for k in ("x1", "y1", "dx", "dy", "l2", "seq", "last") if k in right.columns))
+    listed = right.groupBy("line_uid", "cx", "cy", "leaf").agg(F.collect_list(edge).alias("_edges"))
+    own = (lambda e: distance(x, y, e)) if keep is None else (lambda e: F.when(keep(x, y, e), distance(x, y, e)))
+    pairs = lambda some: _leaf_join(left.where(some), listed, F.lit(True)).withColumn("dist", F.array_min(F.transform("_edges", own))).where(F.col("dist") <= reach)
+    kept = [k for k in spots.columns if k not in ("x", "y", "alone")]
+    sets = pairs(~F.col("alone")).groupBy(*kept, "line_uid").agg(F.min("dist").alias("dist"))
+    return pairs(F.col("alone")).select(*kept, "line_uid", "dist").unionByName(sets)
 
 
 def nearest_line(points: DataFrame, lines: DataFrame, key: str, cap: float) -> DataFrame:
-    """The nearest line within a cap, of equals the first name, and the distance along it."""
+    """The nearest line within a cap, of equals the first name, and the distance along it.
+
+    Each distinct spot is asked once: first for its least distance, which only keeps a number, then for the edges at that distance;
+    within a quarter of the cap, and those that have no line so near within all of it.
+    """
     at = F.col("start") + F.least(F.greatest(foot(F.col("x"), F.col("y")), F.lit(0.0)), F.lit(1.0)) * F.col("len")
-    best = F.min(F.struct("dist", "line_uid", "seq", at.alias("at"))).alias("b")
-    return near_edges(points, lines, cap).groupBy(key).agg(best).select(key, "b.line_uid", "b.dist", "b.at")
+    edge = written(lines, "edges").repartition("line_uid", "seq")
+    rest, best = written(points.select("x", "y").distinct(), "spots"), None
+    for reach in (cap / 4, cap):
+        least = written(near_edges(rest, edge, reach).groupBy("x", "y").agg(F.min("dist").alias("least")), "least")
+        some = near_edges(least, edge, reach).where("dist <= least").select("x", "y", F.struct("dist", "line_uid", "seq", at.alias("at")).alias("b"))
+        rest, best = rest.join(least, ["x", "y"], "left_anti"), some if best is None else best.unionByName(some)
+    found = points.select(key, "x", "y").join(best.groupBy("x", "y").agg(F.min("b").alias("b")), ["x", "y"])
+    return found.groupBy(key).agg(F.min("b").alias("b")).select(key, "b.line_uid", "b.dist", "b.at")
 
 
 def inside(points: DataFrame, polygon_edges: DataFrame, key: str, band: float) -> DataFrame:
@@ -207,8 +269,11 @@ def band(dist: Column, limits: list[float]) -> Column:
 
 def getis_ord(points: DataFrame, key: str, value: str, radius: float) -> DataFrame:
     """Gi* z-scores over neighbours within ``radius``, the point included, and bins of 90, 95 and 99 percent; null where values or neighbours don't differ."""
-    others = points.select(F.col("x").alias("x2"), F.col("y").alias("y2"), F.col(value).alias("_v"))
-    sums = pairs_within(points, others, radius).groupBy(key).agg(F.sum("_v").alias("s"), F.count(F.lit(1)).alias("w"))
+    # points on one spot have the same neighbours, so spots are paired; a key on several spots adds up theirs
+    spots = written(points.groupBy("x", "y").agg(F.sum(value).alias("_v"), F.count(F.lit(1)).alias("_k")), "spots")
+    others = spots.select(F.col("x").alias("x2"), F.col("y").alias("y2"), F.col("_v").alias("_v2"), F.col("_k").alias("_k2"))
+    around = pairs_within(spots, others, radius).groupBy("x", "y").agg(F.sum("_v2").alias("_s"), F.sum("_k2").alias("_w"))
+    sums = points.select(key, "x", "y").join(around, ["x", "y"]).groupBy(key).agg(F.sum("_s").alias("s"), F.sum("_w").alias("w"))
     whole = points.agg(F.count(F.lit(1)).alias("n"), F.avg(value).alias("mean"), F.stddev_pop(value).alias("sd"))
     z = F.try_divide(F.col("s") - F.col("mean") * F.col("w"), F.col("sd") * F.sqrt(F.try_divide(F.col("n") * F.col("w") - F.col("w") * F.col("w"), F.col("n") - 1)))
     rows = sums.crossJoin(F.broadcast(whole)).withColumn("z", z)

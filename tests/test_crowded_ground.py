@@ -73,3 +73,39 @@ def test_nearest_of_crowded_points(ground, monkeypatch):
 def test_no_points(ground):
     points, lines, _, _ = ground
     assert S.near_edges(points.limit(0), lines, REACH).count() == 0 and S.near_edges(points, lines.limit(0), REACH).count() == 0
+
+
+def test_a_long_edge_is_in_cells_along_it_and_not_in_its_box(spark):
+    lines = spark.createDataFrame([("a", 0, 10.0, 10.0, 9990.0, 9900.0), ("u", 0, 50.0, -700.0, 50.0, 900.0)], "line_uid string, seq int, x1 double, y1 double, x2 double, y2 double")
+    cells = {(r.line_uid, r.cx, r.cy) for r in S.edges_by_cell(lines, REACH).collect()}
+    assert len([k for k in cells if k[0] == "a"]) < 1000  # its box has 102 x 102
+    rng = random.Random(3)
+    for name, *edge in [("a", 10.0, 10.0, 9990.0, 9900.0), ("u", 50.0, -700.0, 50.0, 900.0)]:
+        for _ in range(3000):
+            t, side, turn = rng.random(), rng.uniform(0, REACH), rng.uniform(0, 7)
+            x, y = edge[0] + t * (edge[2] - edge[0]) + side * math.cos(turn), edge[1] + t * (edge[3] - edge[1]) + side * math.sin(turn)
+            assert (name, math.floor(x / REACH), math.floor(y / REACH)) in cells
+
+
+@pytest.mark.parametrize("full", [20, 10_000])
+def test_lines_near_places_of_one_spot_and_of_several(ground, full):
+    points, lines, spots, edges = ground
+    keyed = points.withColumn("key", F.when(F.col("id") < 400, F.col("id") % 100).otherwise(F.col("id")))  # 100 keys on 4 spots each
+    places = S.places(keyed, "key", least=F.min("key"))
+    assert places.where("least = 1000").first().n == 300 and places.where("not alone").count() == 400
+    got = {(r.least, r.line_uid): (r.n, r.dist) for r in S.near_lines(places, lines, REACH, full=full).collect()}
+    want = {}
+    for k, x, y in spots:
+        for n, _, *e in edges:
+            key = (1000 if 1000 <= k < 2000 else k % 100 if k < 400 else k, n)
+            if (d := distance(x, y, *e)) <= REACH:
+                want[key] = min(d, want.get(key, d))
+    assert got.keys() == want.keys() and all(abs(got[k][1] - want[k]) < 1e-9 for k in want)
+
+
+def test_hot_spots_of_points_that_share_spots(spark):
+    rows = [(1, 0.0, 0.0, 5.0), (2, 0.0, 0.0, None), (3, 1.0, 0.0, 2.0), (4, 9.0, 9.0, 1.0)]
+    got = {r.id: r.z for r in S.getis_ord(spark.createDataFrame(rows, "id int, x double, y double, v double"), "id", "v", 3.0).collect()}
+    mean, sd = 8 / 3, (sum((v - 8 / 3) ** 2 for v in (5, 2, 1)) / 3) ** 0.5
+    z = lambda s, w: (s - mean * w) / (sd * ((4 * w - w * w) / 3) ** 0.5)
+    assert all(abs(got[k] - v) < 1e-9 for k, v in {1: z(7, 3), 2: z(7, 3), 3: z(7, 3), 4: z(1, 1)}.items())
