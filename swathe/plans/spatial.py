@@ -94,11 +94,15 @@ def _(spark, d):
 def _(spark, d):
     """Ends are flat: a point before the first or beyond the last edge is in no band of that line."""
     edge = lines(spark, d)
-    last = edge.groupBy("line_uid").agg(F.max("seq").alias("last"))
-    near = S.near_edges(points(spark, d), edge, 2000.0).join(last, "line_uid").withColumn("raw", S.foot(c("x"), c("y")))
-    near = near.where(~((c("seq") == 0) & (c("raw") < 0)) & ~((c("seq") == c("last")) & (c("raw") > 1)))
-    rows = near.groupBy("spill_id", "line_uid").agg(F.min("dist").alias("dist")).withColumn("ring", S.band(c("dist"), [0, 250, 500, 1000, 2000]))
-    return rows.where("ring is not null").groupBy("ring").agg(N().alias("points"))
+    ends = edge.join(edge.groupBy("line_uid").agg(F.max("seq").alias("last")), "line_uid")
+
+    def keep(x, y, e):
+        raw = ((x - e["x1"]) * e["dx"] + (y - e["y1"]) * e["dy"]) / e["l2"]
+        return ~((e["seq"] == 0) & (raw < 0)) & ~((e["seq"] == e["last"]) & (raw > 1))
+
+    near = S.near_lines(S.places(points(spark, d), "spill_id"), ends, 2000.0, keep)
+    rows = near.withColumn("ring", S.band(c("dist"), [0, 250, 500, 1000, 2000]))
+    return rows.where("ring is not null").groupBy("ring").agg(F.sum("n").alias("points"))
 
 
 OWN = NEAR | {"per": "select spill_id, line_uid, min(dist) d from nr group by 1,2", "any1": "select spill_id, min(d) dmin from per group by 1"}
@@ -106,23 +110,33 @@ OWN = NEAR | {"per": "select spill_id, line_uid, min(dist) d from nr group by 1,
 
 @query("g9_clean_bands", twin("select line_uid, count(*) as kept from per join any1 using (spill_id) where d>=500 and d<1000 and dmin>=500 group by 1", **OWN))
 def _(spark, d):
-    """Ground of the outer band stays where no line is nearer than the band's inner edge: own and least distance from one join."""
-    per = S.near_edges(points(spark, d), lines(spark, d), 2000.0).groupBy("spill_id", "line_uid").agg(F.min("dist").alias("d"))
-    rows = per.withColumn("dmin", F.min("d").over(Window.partitionBy("spill_id")))
-    return rows.where("d >= 500 and d < 1000 and dmin >= 500").groupBy("line_uid").agg(N().alias("kept"))
+    """Ground of the outer band stays where no line is nearer than the band's inner edge; only places that far from every line are held against lines."""
+    return clear(spark, d)[0].groupBy("line_uid").agg(F.sum("n").alias("kept"))
+
+
+def clear(spark, d):
+    """Places and lines 500 to 1,000 apart where no line is within 500, and all places and edges."""
+    edge = S.written(lines(spark, d), "edges").repartition("line_uid")
+    spots = S.places(points(spark, d), "spill_id")
+    near = S.near_edges(spots, edge, 500.0).where("dist < 500").select("place").distinct()
+    return S.near_lines(spots.join(near, "place", "left_anti"), edge, 1000.0).where("dist >= 500 and dist < 1000"), spots, edge
 
 
 @query("g26_contamination", twin("select count(*) as points, round(avg(case when dmin<500 then 1.0::double else 0 end),9) as share from per join any1 using (spill_id) where d>=500 and d<1000", **OWN))
 def _(spark, d):
-    per = S.near_edges(points(spark, d), lines(spark, d), 2000.0).groupBy("spill_id", "line_uid").agg(F.min("dist").alias("d"))
-    rows = per.withColumn("dmin", F.min("d").over(Window.partitionBy("spill_id"))).where("d >= 500 and d < 1000")
-    return rows.agg(N().alias("points"), F.round(F.avg((c("dmin") < 500).cast("double")), 9).alias("share"))
+    """All places and lines 500 to 1,000 apart, and those of them where no line is within 500."""
+    clean, spots, edge = clear(spark, d)
+    rows = S.near_lines(spots, edge, 1000.0).where("dist >= 500 and dist < 1000")
+    counts = rows.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("points")).crossJoin(F.broadcast(clean.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("clean"))))
+    return counts.select("points", F.round(F.try_divide((c("points") - c("clean")).cast("double"), c("points")), 9).alias("share"))
 
 
 @query("g27_overlap_depth", twin("select round(avg(k),9) as mean, median(k) as median, quantile_cont(k,0.9) as p90, count(*) as covered from (select spill_id, count(distinct line_uid) k from nr group by 1)", **NEAR))
 def _(spark, d):
-    per = S.near_edges(points(spark, d), lines(spark, d), 2000.0).groupBy("spill_id").agg(F.countDistinct("line_uid").alias("k"))
-    return per.agg(F.round(F.avg("k"), 9).alias("mean"), F.median("k").alias("median"), F.percentile("k", 0.9).alias("p90"), N().alias("covered"))
+    """Places are counted by depth first, so quantiles stand on a few rows."""
+    per = S.near_lines(S.places(points(spark, d), "spill_id"), lines(spark, d), 2000.0).groupBy("place", "n").agg(N().alias("k"))
+    deep = per.groupBy("k").agg(F.sum("n").alias("n"))
+    return deep.agg(F.round(F.sum(c("k") * c("n")) / F.sum("n"), 9).alias("mean"), F.percentile("k", 0.5, c("n")).alias("median"), F.percentile("k", 0.9, c("n")).alias("p90"), F.sum("n").alias("covered"))
 
 
 #: Pieces on record: what most points lie under, written in the opposite order, and some that no point lies under.
@@ -136,12 +150,13 @@ PATTERNS = NEAR | {
 @query("g28_overlap_patterns", twin("select count(f) as patterns, count(k) as recorded, count(*) filter (f is not null and k is not null) as matched, (select count(*) from under) as points from sides", **PATTERNS))
 def _(spark, d):
     """Sets of lines that points lie under, the pieces on record, and how many of one are the other, whatever the order of their members."""
-    under = S.written(S.near_edges(points(spark, d), lines(spark, d), 2000.0).groupBy("spill_id").agg(F.collect_set("line_uid").alias("members")), "under")
     number = F.substring("spill_id", 2, 20).cast("long")
-    recorded = under.where(number % 3 != 0).select(F.reverse(F.array_sort("members")).alias("members"))
-    recorded = recorded.unionByName(under.where(number % 7 == 0).select(F.concat(F.array(F.lit("none")), "members").alias("members")))
+    spots = S.places(points(spark, d), "spill_id", most=F.bool_or(number % 3 != 0), more=F.bool_or(number % 7 == 0))
+    under = S.written(S.near_lines(spots, lines(spark, d), 2000.0).groupBy("place", "n", "most", "more").agg(F.collect_list("line_uid").alias("members")), "under")
+    recorded = under.where("most").select(F.reverse(F.array_sort("members")).alias("members"))
+    recorded = recorded.unionByName(under.where("more").select(F.concat(F.array(F.lit("none")), "members").alias("members")))
     sums = S.match_sets(under, recorded).agg(F.count_if("found").alias("patterns"), F.count_if("recorded").alias("recorded"), F.count_if(c("found") & c("recorded")).alias("matched"))
-    return sums.crossJoin(F.broadcast(under.agg(N().alias("points"))))
+    return sums.crossJoin(F.broadcast(under.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("points"))))
 
 
 @query("g29_signed_offset", twin(f"select p.spill_id, e.line_uid, e.seq, round(sign((e.x2-e.x1)*(p.y-e.y1)-(e.y2-e.y1)*(p.x-e.x1))*{DIST},6) as offset_m from spill_points p, el e where {DIST}<=500", **EDGES))
