@@ -24,6 +24,13 @@ def test_one_image_wins_ties_by_name(spark):
     assert [r["image"] for r in corridor.one_image_per_pass(df, "u").collect()] == ["a"]
 
 
+def test_rows_alike_in_pixels_and_value_stand_by_their_day(spark):
+    rows = [("u", "0-50", 41, 1, 0, 5, 0.5, day) for day in (9, 3, 7)]
+    for given in (rows, rows[::-1], rows[1:] + rows[:1]):
+        df = spark.createDataFrame(given, "segment_id string, ring string, landcover int, pass_date int, orbit int, n long, m double, doy int").coalesce(1)
+        assert [r.doy for r in corridor.one_row_per_class_pass(df).collect()] == [3]
+
+
 def test_unique_or_fail(spark):
     df = spark.createDataFrame([(1,), (1,)], "k int")
     with pytest.raises(Exception, match="twice"):
