@@ -3,10 +3,12 @@
 import random
 
 import duckdb
+import numpy as np
 import pandas as pd
 import pytest
 
 from swathe.operators import corridor, resample
+from swathe.operators import events as E
 
 DRAWS = 40
 
@@ -66,3 +68,24 @@ def test_nothing_of_rows_times_draws_is_exchanged(spark, table):
     held = resample.buckets(spark.createDataFrame(table), ["ring", "stratum"], "segment_id", ["v"], DRAWS, 7)
     plan = resample.picks(held, DRAWS, "ring").groupBy("ring", "draw").count()._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Generate explode") == 2 and plan.count("Exchange") == 1 and plan.rindex("Generate explode") > plan.index("Exchange")
+
+
+def test_statistics_make_no_row_a_pick(spark, table):
+    """Picks are summed in arrays inside a task: no plan has rows times draws, and means are those of the picks."""
+    rows = spark.createDataFrame(table)
+    found = resample.means(rows, ["ring"], "segment_id", "v", DRAWS, 7)
+    events = spark.createDataFrame([("all", 1, 0.5), ("all", 2, 0.1), ("all", 3, 0.2)], "subset string, event_no int, e1 double")
+    fakes = spark.createDataFrame([(k, s, (k - s) / 10) for k in (1, 2, 3) for s in (0, 1, 2)], "event_no int, site_k int, e1 double")
+    for df in (found, resample.weighted_medians(rows, ["ring"], "stratum", "segment_id", "v", "weight", DRAWS, 392), E.permutation_p(events, ["subset"], fakes, 50)):
+        assert "Generate explode" not in df._jdf.queryExecution().executedPlan().toString()
+    held = resample.buckets(rows.withColumn("_v", rows.v), ["ring"], "segment_id", ["_v"], DRAWS, 7)
+    want = resample.picks(held, DRAWS, "ring").selectExpr("ring", "draw", "pick._v").groupBy("ring", "draw").avg("_v").collect()
+    assert {(r.ring, r.draw): round(r["avg(_v)"], 9) for r in want} == {(r.ring, r.draw): round(r["mean"], 9) for r in found.collect()}
+
+
+def test_the_hash_of_arrays_is_that_of_columns(spark):
+    keys = [0, 1, 44488, resample.PRIME - 1, resample.PRIME, 2 * resample.PRIME, (1 << 40) - 1, *(random.Random(3).randrange(1 << 40) for _ in range(500))]
+    # numbers whose remainder is 0
+    keys += [k for k in ((m * resample.PRIME - 11) // resample.FACTOR for m in range(1, 400000)) if (k * resample.FACTOR + 11) % resample.PRIME == 0][:5]
+    want = [r[0] for r in spark.createDataFrame([(k,) for k in keys], "k long").select(resample.mixed(resample.F.col("k"))).collect()]
+    assert resample.mixed_array(np.array(keys)).tolist() == want
