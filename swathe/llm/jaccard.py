@@ -32,8 +32,9 @@ from .fingerprints import WordHashes, mix, shingle_hashes
 GRAM_WORDS = 3
 #: A link needs 100 * intersection >= PERCENT * union.
 PERCENT = 90
-#: Counters of the sketch: about so many a document, within limits, as the sketch goes to every task.
-COUNTERS_PER_DOC, LEAST_BITS, MOST_BITS = 32, 16, 24
+#: Counters of the sketch, a byte each: about so many a document, within limits, as the sketch goes to every task.  Fewer make rare n-grams look
+#: frequent, so frequent ones become signatures and connect sets that have little in common.
+COUNTERS_PER_DOC, LEAST_BITS, MOST_BITS = 128, 16, 25
 #: Counters that one row of the sketch has.
 CHUNK_BITS = 16
 #: Sets, and n-grams of all of them, in a block of a large candidate group.
@@ -64,11 +65,13 @@ def learn_order(rows: DataFrame, k: int) -> Order:
     def count(parts: Iterator[tuple]) -> Iterator[tuple]:
         import zstandard
 
-        hashes, squeeze, counts, held, size = WordHashes(), zstandard.ZstdCompressor(level=1), np.zeros(1 << bits, np.uint32), [], 0
+        hashes, squeeze, counts, held, size = WordHashes(), zstandard.ZstdCompressor(level=1), np.zeros(1 << bits, np.uint8), [], 0
 
         def add() -> None:
             if held:
-                np.add.at(counts, (np.concatenate(held) >> np.uint64(64 - bits)).astype(np.int64), np.uint32(1))
+                at, n = np.unique((np.concatenate(held) >> np.uint64(64 - bits)).astype(np.int64), return_counts=True)
+                # what is counted more often in one task is frequent, however much
+                counts[at] = np.minimum(counts[at] + n, 255)
 
         for (text,) in parts:
             held.append(shingle_hashes(hashes(text), k))
@@ -79,8 +82,7 @@ def learn_order(rows: DataFrame, k: int) -> Order:
         add()
         if counts.any():
             for at in range(0, 1 << bits, chunk):
-                # what is counted more often in one task is frequent, however much
-                yield at // chunk, squeeze.compress(np.minimum(counts[at : at + chunk], 255).astype(np.uint8).tobytes())
+                yield at // chunk, squeeze.compress(counts[at : at + chunk].tobytes())
 
     def total(parts: Iterator[tuple]) -> Iterator[tuple]:
         import zstandard

@@ -104,3 +104,16 @@ def test_linked_sets_share_a_signature(percent):
             met += 1
             assert len(np.intersect1d(*(jaccard.signatures(order.sorted(x), percent, steps) for x in (a, b))))
     assert met > 500
+
+
+def test_shared_passages_do_not_connect_documents_that_are_not_alike(spark):
+    """The sketch tells n-grams of a few texts from those of one, so passages that five texts share give no signature."""
+    rng = random.Random(5)
+    passages = [" ".join(f"p{rng.randrange(10**6)}" for _ in range(40)) for _ in range(400)]
+    texts = [(k, " ".join(f"w{rng.randrange(10**6)}" for _ in range(300)) + " " + passages[k % 400]) for k in range(2000)]
+    rows = jaccard.id_and_text(spark.createDataFrame(texts, "doc_id long, text string"))
+    order = jaccard.learn_order(rows, 3)
+    names, met = {}, 0
+    for r in jaccard._read(rows, 3, 90, order).collect():
+        met += len(r.others) + sum(names.setdefault(s, r.name) != r.name for s in r.signatures)
+    assert met == 0
