@@ -75,6 +75,14 @@ def test_digests_of_any_size(spark, tmp_path):
         spark.conf.set("spark.sql.files.maxPartitionBytes", before)
 
 
+def test_files_of_some_size_are_not_one_row(spark, tmp_path):
+    data = random.Random(2).randbytes(20 << 20)
+    (tmp_path / "large").write_bytes(data)
+    (tmp_path / "small").write_bytes(b"a")
+    found = files.streamed_hashes(spark, str(tmp_path), files.MOST_BYTES).collect()
+    assert [r.sha256 for r in found] == [hashlib.sha256(data).hexdigest()]
+
+
 # --- upserts ---------------------------------------------------------------------------------------------------------
 
 FIELDS = "segment_id string, year int, ring string, landcover int, pass_date int, orbit int, image int, m double, n long, doy int"
