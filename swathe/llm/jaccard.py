@@ -406,8 +406,31 @@ def linked_components(docs: DataFrame, k: int = GRAM_WORDS, percent: int = PERCE
     return sets.join(ids, "name", "left").select(*columns)
 
 
+#: Bits that ids which go set, by hash: a table of fixed size that every task has, in rows of ``ROW_BITS``.
+MARK_BITS, ROW_BITS = 25, 15
+
+
+def without(docs: DataFrame, id_col: str, lost: DataFrame) -> DataFrame:
+    """The rows whose id isn't in ``lost`` (one column of longs, a null among them goes too).
+
+    A row whose bit no lost id has set stays where it is, so whole texts are not exchanged; only the others meet the lost ids.
+    """
+    own, (gone,) = column(id_col).cast("long"), lost.columns
+    mark = lambda c: F.pmod(F.xxhash64(c), F.lit(1 << MARK_BITS))
+    row, bits = free_name(docs, "mark_row"), free_name(docs, "mark_bits")
+    at = mark(F.col(gone))
+    marks = lost.groupBy(F.shiftright(at, ROW_BITS).alias(row)).agg(F.bitmap_construct_agg(at % (1 << ROW_BITS)).alias(bits))
+    place = mark(own) % (1 << ROW_BITS)
+    byte = F.conv(F.hex(F.substr(F.col(bits), (F.floor(place / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    may = F.coalesce(F.getbit(byte, (place % 8).cast("int")) == 1, F.lit(False))
+    marked = docs.join(F.broadcast(marks), F.shiftright(mark(own), ROW_BITS) == F.col(row), "left")
+    named = [column(c) for c in docs.columns]
+    stay, rest = marked.where(~may).select(*named), marked.where(may).select(*named)
+    return stay.union(rest.join(lost.hint("merge"), own.eqNullSafe(F.col(gone)), "left_anti"))
+
+
 def one_of_each(docs: DataFrame, k: int = GRAM_WORDS, percent: int = PERCENT) -> DataFrame:
     """The rows whose id is its component's; where rows share an id, all of them stay if one does."""
-    kept = free_name(docs, "kept")
-    parts = linked_components(docs, k, percent).where("component_id is null or doc_id = component_id").select(F.col("doc_id").alias(kept)).distinct()
-    return docs.join(parts, column("doc_id").cast("long").eqNullSafe(column(kept)), "left_semi")
+    gone, stays = free_name(docs, "gone"), F.coalesce(F.expr("component_id is null or doc_id = component_id"), F.lit(False))
+    ids = linked_components(docs, k, percent).groupBy(F.col("doc_id").alias(gone)).agg(F.max(stays).alias("stays")).where("not stays")
+    return without(docs, "doc_id", materialize(ids.select(gone), "gone"))

@@ -117,3 +117,31 @@ def test_shared_passages_do_not_connect_documents_that_are_not_alike(spark):
     for r in jaccard._read(rows, 3, 90, order).collect():
         met += len(r.others) + sum(names.setdefault(s, r.name) != r.name for s in r.signatures)
     assert met == 0
+
+
+def exchanged_rows(df):
+    """Rows that exchanges of a table's plan wrote when it was collected."""
+
+    def walk(plan):
+        kind = plan.getClass().getSimpleName()
+        if kind == "AdaptiveSparkPlanExec":
+            return walk(plan.executedPlan())
+        if kind.endswith("QueryStageExec"):
+            return walk(plan.plan())
+        own = plan.metrics().get("shuffleRecordsWritten").get().value() if kind == "ShuffleExchangeExec" else 0
+        children = plan.children()
+        return own + sum(walk(children.apply(k)) for k in range(children.size()))
+
+    return walk(df._jdf.queryExecution().executedPlan())
+
+
+def test_documents_that_stay_are_not_exchanged(spark):
+    """One in twenty is a copy, among them a row without an id: only copies and rows that share a mark with one are exchanged with their text."""
+    words = lambda k: " ".join(f"w{k}x{i}" for i in range(30))
+    rows = [(k, words(k - 1 if k % 20 == 19 else k), "x") for k in range(2000)] + [(None, words(0), "x"), (None, words(5000), "y"), (40, words(39), "y")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, `mark_row` string")
+    out = jaccard.one_of_each(docs, 5, 80)
+    got = sorted((r.doc_id is None, r.doc_id, r.mark_row) for r in out.collect())
+    assert got == sorted((False, k, m) for k, _, m in rows if k is not None and k % 20 != 19) + [(True, None, "x"), (True, None, "y")]
+    # the hundred copies' ids twice (marks and anti-join), their rows, and the few that share a mark
+    assert exchanged_rows(out) < 500
