@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -40,31 +43,56 @@ def against(rows: DataFrame, probes: DataFrame, rows_vec: str = "vec") -> DataFr
     return every.withColumns({"probe": F.col("_p.probe"), "cosine": dot(F.col("_v"), F.col("_p.p"))}).drop("_v", "_p", "_probes").where("cosine is not null")
 
 
-#: Probes whose cells divide the others, at most; probes of a cell that lie in one array; what rounding may take from an angle.
-PIVOTS, CELL_PACK, SLACK = 1024, 256, 1e-6
+#: Probes whose cells divide the others, at most; probes of a cell and rows of a cell in a block; what rounding may take from an angle and from a product.
+PIVOTS, CELL_PACK, ROW_BLOCK, SLACK, EVEN = 1024, 1024, 1024, 1e-6, 1e-12
+#: Partitions that blocks of rows are dealt to, and bytes of blocks that go to Python at once.
+DEALT, BLOCK_BYTES = 64, 8 << 20
 
 
-def angle(a: Column, b: Column) -> Column:
-    return F.acos(F.least(F.greatest(dot(a, b), F.lit(-1.0)), F.lit(1.0)))
+def _matrix(batch: pa.RecordBatch, name: str, row: int) -> np.ndarray:
+    """A column's vectors of one row, one after the other, as a matrix with as many rows as the row has keys."""
+    flat = batch.column(name)[row].values.to_numpy(zero_copy_only=False)
+    return flat.reshape(len(batch.column("keys" if name == "vs" else "names")[row].values), -1)
 
 
-def cells(probes: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """An index of probes (probe, pvec) over angles, which are a metric of unit vectors: the pivots with their cells' reach, in one row, and packs of each cell's probes.
+def _angles(cosines: np.ndarray) -> np.ndarray:
+    return np.arccos(np.clip(cosines, -1.0, 1.0))
 
-    About the square root of the probes serve as pivots, ``PIVOTS`` at most, so that row is of bounded size; a probe belongs to its nearest pivot.
+
+def _best(vs: np.ndarray, ps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each row the greatest product with a probe and that probe's place, of equals the first.
+
+    A product of matrices finds those that may be greatest; they are summed again in the order of their dimensions, as equal vectors must have equal cosines.
     """
-    unit_probes = written(probes.select("probe", unit(F.col("pvec")).alias("p")).where("p is not null"), "probes")
-    k = max(1, min(PIVOTS, round(unit_probes.count() ** 0.5)))
-    first = unit_probes.orderBy(F.xxhash64("probe"), "probe").limit(k).agg(F.collect_list("p").alias("_pivots"))
-    angles = F.transform("_pivots", lambda c: angle(c, F.col("p")))
-    held = unit_probes.crossJoin(F.broadcast(first)).withColumn("_angles", angles).withColumn("_a", F.array_min("_angles"))
-    held = held.select("probe", "p", "_a", (F.array_position("_angles", F.col("_a")) - 1).cast("int").alias("cell"))
-    held = written(held, "cells")
-    reach = held.groupBy("cell").agg(F.min("_a").alias("near"), F.max("_a").alias("far"), F.count(F.lit(1)).alias("n"))
-    parts = F.greatest(F.lit(1), F.ceil(F.col("n") / CELL_PACK))
-    packed = held.join(F.broadcast(reach.select("cell", "n")), "cell").groupBy("cell", F.pmod(F.xxhash64("probe"), parts).alias("part")).agg(F.collect_list(F.struct("_a", "probe", "p")).alias("_probes"))
-    table = reach.agg(F.map_from_entries(F.collect_list(F.struct("cell", F.struct("near", "far")))).alias("_reach"))
-    return first.crossJoin(table), packed
+    about = vs @ ps.T
+    row, place = np.nonzero(about >= about.max(axis=1, keepdims=True) - EVEN)
+    cosine = np.empty(len(row))
+    for at in range(0, len(row), 1 << 16):
+        cosine[at : at + (1 << 16)] = np.cumsum(vs[row[at : at + (1 << 16)]] * ps[place[at : at + (1 << 16)]], axis=1)[:, -1]
+    order = np.lexsort((place, -cosine, row))
+    first = order[np.searchsorted(row[order], np.arange(len(vs)))]
+    return cosine[first], place[first]
+
+
+def _celled(rows: DataFrame, pivots: np.ndarray) -> DataFrame:
+    """Rows (name, v) with the cell of their nearest pivot and the angle to it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                cosines = batch.column("v").flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1) @ pivots.T
+                cell = cosines.argmax(axis=1)
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cell.astype(np.int32)), pa.array(_angles(cosines.max(axis=1)))], names=["name", "v", "cell", "a"])
+
+    return rows.mapInArrow(run, f"name {dict(rows.dtypes)['name']}, v array<double>, cell int, a double")
+
+
+def _blocks(celled: DataFrame, size: int, names: str, vectors: str, angles: str) -> DataFrame:
+    """Blocks of about ``size`` rows of a cell, in the order of their names."""
+    counts = celled.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / size).alias("_parts"))  # a row a cell
+    part = F.when(F.col("_parts") > 1, F.pmod(F.xxhash64("name"), F.col("_parts"))).otherwise(0).cast("int")
+    held = celled.join(F.broadcast(counts), "cell").groupBy("cell", part.alias("part")).agg(F.array_sort(F.collect_list(F.struct("name", "a", "v"))).alias("_r"))
+    return held.select("cell", "part", F.col("_r.name").alias(names), F.flatten("_r.v").alias(vectors), F.col("_r.a").alias(angles))
 
 
 def nearest(rows: DataFrame, probes: DataFrame, key: str, rows_vec: str = "vec") -> DataFrame:
@@ -75,30 +103,63 @@ def nearest(rows: DataFrame, probes: DataFrame, key: str, rows_vec: str = "vec")
 def looked_at(rows: DataFrame, probes: DataFrame, key: str, rows_vec: str = "vec") -> DataFrame:
     """``nearest`` with the number of probes that each row was compared with, ``pairs``.
 
-    A row first folds over the probes of its own cell.  By the triangle inequality a cell can hold a better one only if the row's
-    angle to the pivot differs from what its probes have by no more than the best angle so far; of the cells that are left, only
-    probes for which that holds are compared.  So rows meet cells by a join, and no row is made for a pair.
+    About the square root of the distinct probes serve as pivots, ``PIVOTS`` at most; rows and probes belong to the cell of their nearest
+    pivot and stand in blocks of a cell.  A row first meets a block of its own cell's probes.  By the triangle inequality a cell can hold a
+    better one only if the row's angle to the pivot differs from what its probes have by no more than the best angle so far; blocks meet where
+    that holds for one of their rows, as matrices.  Where vectors have many dimensions and no clusters it holds nearly everywhere, so the
+    job is as many products as there are pairs; it needs the memory of two blocks a task, and no row is made or exchanged for a pair.
     """
-    index, packed = cells(probes)
-    packed = written(packed, "packs")
-    kind = dict(probes.dtypes)["probe"]
-    none = F.struct(F.lit(None).cast("double").alias("cosine"), F.lit(None).cast(kind).alias("probe"))
-    better = lambda a, x: F.when((x["cosine"] > a["cosine"]) | ((x["cosine"] == a["cosine"]) & (x["probe"] < a["probe"])) | a["probe"].isNull(), x).otherwise(a)
-    fold = lambda found: F.aggregate(found, none, lambda a, x: better(a, F.struct(dot(F.col("_v"), x["p"]).alias("cosine"), x["probe"].alias("probe"))))
-    least = F.min_by("_b", F.struct(-F.col("_b.cosine"), F.col("_b.probe"))).alias("_b")
-    own = rows.select(key, unit(F.col(rows_vec)).alias("_v")).where("_v is not null").crossJoin(F.broadcast(index))
-    own = own.withColumn("_angles", F.transform("_pivots", lambda c: angle(c, F.col("_v")))).withColumn("cell", (F.array_position("_angles", F.array_min("_angles")) - 1).cast("int"))
-    first = own.select(key, "_v", "_angles", "cell", "_reach").join(packed, "cell")
-    first = first.select(key, "cell", "_v", "_angles", "_reach", fold(F.col("_probes")).alias("_b"), F.size("_probes").alias("_k"))
-    first = written(first.groupBy(key).agg(least, F.sum("_k").alias("_k"), *(F.first(c).alias(c) for c in ("cell", "_v", "_angles", "_reach"))), "best")
-    bound = F.acos(F.least(F.col("_b.cosine"), F.lit(1.0))) + SLACK
-    may = lambda c: (c != F.col("cell")) & (F.element_at("_angles", c + 1) - F.element_at("_reach", c)["far"] <= F.col("_bound")) & (F.element_at("_reach", c)["near"] - F.element_at("_angles", c + 1) <= F.col("_bound"))
-    others = first.withColumn("_bound", bound).withColumn("cell", F.explode(F.filter(F.map_keys("_reach"), may))).withColumn("_own", F.element_at("_angles", F.col("cell") + 1))
-    close = F.filter("_probes", lambda x: F.abs(x["_a"] - F.col("_own")) <= F.col("_bound"))
-    second = others.select(key, "_v", "_bound", "_own", "cell").join(packed, "cell").withColumn("_close", close).where(F.size("_close") > 0)
-    second = second.select(key, fold(F.col("_close")).alias("_b"), F.size("_close").cast("long").alias("_k"))
-    every = first.select(key, "_b", "_k").unionByName(second)
-    return every.groupBy(key).agg(least, F.sum("_k").alias("pairs")).select(key, F.col("_b.cosine").alias("cosine"), F.col("_b.probe").alias("nearest"), "pairs")
+    spark = rows.sparkSession
+    kinds = dict(rows.dtypes)[key], dict(probes.dtypes)["probe"]
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BLOCK_BYTES))
+    # equal vectors are one probe, of the least name
+    asked = written(probes.select("probe", unit(F.col("pvec")).alias("v")).where("v is not null").groupBy("v").agg(F.min("probe").alias("name")).select("name", "v"), "probes")
+    k = max(1, min(PIVOTS, round(asked.count() ** 0.5)))
+    pivots = np.array([r.v for r in asked.orderBy(F.xxhash64("name"), "name").limit(k).select("v").collect()])
+    if not len(pivots):
+        return rows.limit(0).select(key, F.lit(None).cast("double").alias("cosine"), F.lit(None).cast(kinds[1]).alias("nearest"), F.lit(None).cast("long").alias("pairs"))
+    held = written(_celled(asked, pivots), "cells")
+    near, far = np.full(len(pivots), np.inf), np.full(len(pivots), -np.inf)
+    for r in held.groupBy("cell").agg(F.min("a").alias("near"), F.max("a").alias("far")).collect():  # a row a pivot
+        near[r.cell], far[r.cell] = r.near, r.far
+    packs_ = written(_blocks(held, CELL_PACK, "names", "ps", "angles"), "packs").withColumnsRenamed({"cell": "_cell", "part": "_part"})
+    own = written(_celled(rows.select(F.col(key).alias("name"), unit(F.col(rows_vec)).alias("v")).where("v is not null"), pivots), "rows")
+    blocks = _blocks(own, ROW_BLOCK, "keys", "vs", "_a").drop("_a").repartition(DEALT, "cell", "part")
+
+    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in range(batch.num_rows):
+                vs, names = _matrix(batch, "vs", row), batch.column("names")[row]
+                n = len(vs)
+                if names.is_valid:
+                    cosine, place = _best(vs, _matrix(batch, "ps", row))
+                    found, bound, met = names.values.take(pa.array(place)), _angles(cosine) + SLACK, len(names.values)
+                else:  # no probe is nearest to this pivot
+                    cosine, found, bound, met = np.full(n, -np.inf), pa.nulls(n, batch.schema.field("names").type.value_type), np.full(n, 4.0), 0
+                angles = _angles(vs @ pivots.T)
+                need = ((angles - far <= bound[:, None]) & (near - angles <= bound[:, None])).any(axis=0)
+                lists = [pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x) for x in (pa.array(cosine), found, pa.array(bound), pa.array(need))]
+                yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(row, 1) for c in ("cell", "part", "keys", "vs")), *lists, pa.array([met])], names=["cell", "part", "keys", "vs", "cosines", "found", "bounds", "need", "met"])
+
+    def others(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in range(batch.num_rows):
+                c, vs, ps = batch.column("_cell")[row].as_py(), _matrix(batch, "vs", row), _matrix(batch, "ps", row)
+                bound, angle = (batch.column(x)[row].values.to_numpy(zero_copy_only=False) for x in ("bounds", "angles"))
+                close = np.abs(angle - _angles(vs @ pivots[c])[:, None]) <= bound[:, None]
+                some, these = np.nonzero(close.any(axis=1))[0], np.nonzero(close.any(axis=0))[0]
+                if len(some):
+                    cosine, place = _best(vs[some], ps[these])
+                    yield pa.RecordBatch.from_arrays([batch.column("keys")[row].values.take(pa.array(some)), pa.array(cosine), batch.column("names")[row].values.take(pa.array(these[place])), pa.array(np.full(len(some), len(these)))], names=["key", "cosine", "probe", "k"])
+
+    met = blocks.join(packs_.where("_part = 0"), F.col("cell") == F.col("_cell"), "left").select("cell", "part", "keys", "vs", "names", "ps")
+    begun = written(met.mapInArrow(first, f"cell int, part int, keys array<{kinds[0]}>, vs array<double>, cosines array<double>, found array<{kinds[1]}>, bounds array<double>, need array<boolean>, met long").repartition(DEALT, "cell", "part"), "begun")
+    pairs = begun.join(packs_, F.get("need", F.col("_cell")) & ~((F.col("cell") == F.col("_cell")) & (F.col("_part") == 0))).select("_cell", "keys", "vs", "bounds", "names", "ps", "angles")
+    rest = pairs.mapInArrow(others, f"key {kinds[0]}, cosine double, probe {kinds[1]}, k long")
+    start = begun.select(F.explode(F.arrays_zip("keys", "cosines", "found")).alias("_z"), "met").select(F.col("_z.keys").alias("key"), F.col("_z.cosines").alias("cosine"), F.col("_z.found").alias("probe"), F.col("met").alias("k"))
+    best = F.min_by(F.struct("cosine", "probe"), F.struct(-F.col("cosine"), F.col("probe"))).alias("_b")
+    every = start.unionByName(rest).groupBy("key").agg(best, F.sum("k").alias("pairs"))
+    return every.select(F.col("key").alias(key), F.col("_b.cosine").alias("cosine"), F.col("_b.probe").alias("nearest"), "pairs")
 
 
 def words(c: Column) -> Column:

@@ -50,3 +50,18 @@ def test_no_direction_no_rows_one_probe(spark):
     assert [(r.id, round(r.cosine, 9), r.nearest) for r in search.nearest(left, right, "id").collect()] == [(1, 1.0, "a")]
     assert search.nearest(left, right.limit(0), "id").count() == 0
     assert search.nearest(left.limit(0), right, "id").count() == 0
+
+
+def test_copies_are_compared_once(spark, monkeypatch):
+    """Vectors without clusters in many dimensions, each under fifty names: small blocks, the least name, and no more products than distinct vectors."""
+    monkeypatch.setattr(search, "CELL_PACK", 4)
+    monkeypatch.setattr(search, "ROW_BLOCK", 16)
+    rng = np.random.default_rng(4)
+    rows, probes = rng.normal(size=(120, 64)).tolist(), rng.normal(size=(40, 64)).tolist()
+    best, cosines = by_hand(rows, probes)
+    left = spark.createDataFrame(pd.DataFrame({"id": range(120), "vec": rows}))
+    right = spark.createDataFrame(pd.DataFrame({"probe": range(2000), "pvec": probes * 50}))
+    got = {r.id: r for r in search.looked_at(left, right, "id").collect()}
+    assert len(got) == 120
+    for k, r in got.items():
+        assert abs(r.cosine - best[k]) < 1e-9 and r.nearest == int(cosines[k].argmax()) and r.pairs <= 40
