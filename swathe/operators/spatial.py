@@ -244,6 +244,23 @@ def pairs_within(a: DataFrame, b: DataFrame, radius: float, full: int | None = N
     return _leaf_join(left, right, close if apart is None else close & apart, how)
 
 
+def counts_within(points: DataFrame, key: str, zones: dict[str, tuple[float, float]], unit: float = 1.0) -> DataFrame:
+    """A row a key with the number of points of other keys in each zone (name -> least distance, and that beyond it, in units).
+
+    Points on one spot have all distances in common, so spots are paired with their counts; what a key's own points add to them is taken off.
+    """
+    dist = F.hypot(F.col("x") - F.col("x2"), F.col("y") - F.col("y2")) / unit
+    summed = lambda n: [F.sum(F.when((dist >= low) & (dist < high), n).otherwise(0)).alias(z) for z, (low, high) in zones.items()]
+    held = written(points.groupBy(key, "x", "y").agg(F.count(F.lit(1)).alias("_k")), "spots")
+    spots = written(held.where(F.col(key).isNotNull()).groupBy("x", "y").agg(F.sum("_k").alias("_k")), "spots")
+    second = {"x": "x2", "y": "y2", "_k": "_k2"}
+    around = pairs_within(spots, spots.withColumnsRenamed(second), unit * max(high for _, high in zones.values())).groupBy("x", "y").agg(*summed(F.col("_k2")))
+    whole = held.join(around, ["x", "y"], "left").groupBy(key).agg(*(F.sum(F.col("_k") * F.coalesce(F.col(f"`{z}`"), F.lit(0))).alias(z) for z in zones))
+    own = held.join(held.withColumnsRenamed(second), key).groupBy(key).agg(*summed(F.col("_k") * F.col("_k2")))
+    both = whole.join(own.withColumnsRenamed({z: f"_own{z}" for z in zones}), key, "left")
+    return both.select(key, *(F.when(F.col(key).isNotNull(), F.col(f"`{z}`") - F.coalesce(F.col(f"`_own{z}`"), F.lit(0))).otherwise(0).alias(z) for z in zones))
+
+
 def set_key(members: Column) -> Column:
     """A key of a set whatever the order of its members: their number and two sums of hashes; equal sets have equal keys, and equal keys are verified."""
     total = lambda seed: F.aggregate(members, F.lit(0).cast("long"), lambda a, m: a.bitwiseXOR(F.xxhash64(F.lit(seed), m)))

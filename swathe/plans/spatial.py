@@ -199,11 +199,8 @@ ZONES = [("ring", a, b, f"_r{a}-{b}") for a, b in RINGS] + [("circle", 0, r, f"_
 @query("g18_point_rings", twin(f"select a.spill_id||z.tag as zone_id, z.kind as zone_type, count(b.spill_id) as points from spill_points a cross join (values {', '.join(str(z) for z in ZONES)}) as z(kind, low, high, tag) left join spill_points b on a.spill_id<>b.spill_id and sqrt((a.x-b.x)*(a.x-b.x)+(a.y-b.y)*(a.y-b.y))/{UNIT}<z.high and sqrt((a.x-b.x)*(a.x-b.x)+(a.y-b.y)*(a.y-b.y))/{UNIT}>=z.low group by 1,2"))
 def _(spark, d):
     """Every site's four rings and two circles with the points in them; a circle is the union of its rings."""
-    p = points(spark, d)
-    near = S.pairs_within(p, p.select(c("spill_id").alias("other"), c("x").alias("x2"), c("y").alias("y2")), 200.0 * UNIT).where("spill_id <> other").withColumn("dist", F.hypot(c("x") - c("x2"), c("y") - c("y2")) / UNIT)
-    counts = near.groupBy("spill_id").agg(*(F.count_if((c("dist") >= a) & (c("dist") < b)).alias(tag) for _, a, b, tag in ZONES))
-    every = p.select("spill_id").join(counts, "spill_id", "left")
-    zones = F.array(*(F.struct(F.concat("spill_id", F.lit(tag)).alias("zone_id"), F.lit(kind).alias("zone_type"), F.coalesce(c(f"`{tag}`"), F.lit(0)).alias("points")) for kind, _, _, tag in ZONES))
+    every = S.counts_within(points(spark, d), "spill_id", {tag: (a, b) for _, a, b, tag in ZONES}, UNIT)
+    zones = F.array(*(F.struct(F.concat("spill_id", F.lit(tag)).alias("zone_id"), F.lit(kind).alias("zone_type"), c(f"`{tag}`").alias("points")) for kind, _, _, tag in ZONES))
     return every.select(F.explode(zones).alias("z")).select("z.*")
 
 

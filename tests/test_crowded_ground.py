@@ -109,3 +109,22 @@ def test_hot_spots_of_points_that_share_spots(spark):
     mean, sd = 8 / 3, (sum((v - 8 / 3) ** 2 for v in (5, 2, 1)) / 3) ** 0.5
     z = lambda s, w: (s - mean * w) / (sd * ((4 * w - w * w) / 3) ** 0.5)
     assert all(abs(got[k] - v) < 1e-9 for k, v in {1: z(7, 3), 2: z(7, 3), 3: z(7, 3), 4: z(1, 1)}.items())
+
+
+def test_points_on_one_spot_are_counted_once(spark, monkeypatch):
+    """A thousand points on few spots, some keys on several of them: the same counts as by hand, and pairs of spots only."""
+    rng = random.Random(6)
+    spots = [(rng.randrange(0, 300) * 1.0, rng.randrange(0, 300) * 1.0) for _ in range(20)]
+    rows = [(k if k < 900 else k - 900, *rng.choice(spots)) for k in range(1000)] + [(None, *spots[0])]
+    zones, seen = {"r0-25": (0, 25), "r25-100": (25, 100), "c100": (0, 100)}, []
+    whole = S.pairs_within
+    monkeypatch.setattr(S, "pairs_within", lambda a, b, *more: seen.append(a.count() * b.count()) or whole(a, b, *more))
+    got = {r[0]: tuple(r[1:]) for r in S.counts_within(spark.createDataFrame(rows, "id int, x double, y double"), "id", zones, 2.0).collect()}
+    want = {k: [0, 0, 0] for k, _, _ in rows}
+    for k, x, y in rows:
+        for other, x2, y2 in rows:
+            if k is not None and other is not None and k != other:
+                d = math.hypot(x - x2, y - y2) / 2
+                for at, (low, high) in enumerate(zones.values()):
+                    want[k][at] += low <= d < high
+    assert got == {k: tuple(v) for k, v in want.items()} and seen[0] <= 400
