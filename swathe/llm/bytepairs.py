@@ -28,7 +28,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_and_text, map_rows
+from .common import held_model, id_and_text, map_rows
 
 #: Words that a worker keeps, and their characters; it forgets all when there are more.  A longer word is not kept.
 CACHE_WORDS, CACHE_CHARS, WORD_CHARS = 600_000, 8_000_000, 64
@@ -325,10 +325,8 @@ class BytePairCodec:
         return b"".join([raw.get(i, b"") for i in ids]).decode("utf-8", "replace")
 
 
-@functools.lru_cache(1)
 def codec_of(path: str) -> BytePairCodec:
-    """One for each Python worker, so that what it has met serves its next tasks too."""
-    return BytePairCodec(path)
+    return held_model(("pairs", path), lambda: BytePairCodec(path))
 
 
 def _encoded(rows: Iterator[tuple], codec: BytePairCodec) -> Iterator[tuple]:

@@ -22,7 +22,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import column, free_name, map_rows, map_texts
+from .common import column, free_name, held_model, map_rows, map_texts
 
 MARK = "▁"
 #: Words that a task keeps, and their characters.
@@ -203,19 +203,13 @@ class Forward:
         return out
 
 
-#: The model that this Python worker has used last.
-_held: dict[str, Forward] = {}
-
-
 def language(model: dict, text: Column) -> Column:
     """``lang_pred`` and ``score`` of a text, as one struct."""
     name = uuid.uuid4().hex
 
     def start() -> Callable[[list], list]:
-        if name not in _held:
-            _held.clear()
-            _held[name] = Forward(model)
-        return lambda texts: [{"lang_pred": lang, "score": score} for lang, score in _held[name].predict(texts)]
+        held = held_model(("languages", name), lambda: Forward(model))
+        return lambda texts: [{"lang_pred": lang, "score": score} for lang, score in held.predict(texts)]
 
     return map_texts(text, start, "lang_pred string, score double")
 

@@ -13,7 +13,6 @@ cut into pieces while one task holds its ids; an empty table gives no rows; othe
 from __future__ import annotations
 
 import array
-import functools
 import itertools
 import re
 import zlib
@@ -26,11 +25,11 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import id_and_text, map_rows, materialize
+from .common import held_model, id_and_text, map_rows, materialize
 
 CACHE_WORDS = 250_000
 #: Texts whose words are looked up at once hold so many characters, or are one text.
-BLOCK_CHARS = 8_000_000
+BLOCK_CHARS = 2_000_000
 #: Words of printable ASCII and of letters that Latin-1 adds: they are their own normal form, and lower case is as plain.
 PLAIN = re.compile("[!-~À-ÖØ-öø-ÿ]+")
 #: The first byte of a character from U+0300 on.
@@ -108,12 +107,6 @@ class WordCache:
                 known[w.encode()] = array.array("I", e.ids).tobytes()
 
 
-@functools.lru_cache(2)
-def cache_of(path: str) -> WordCache:
-    """One for each Python worker, so that what it has met serves its next tasks too."""
-    return WordCache(path)
-
-
 class Capacities:
     """Open sequences by remaining capacity.  A segment tree over capacities 0..limit counts them; each capacity has runs of sequence numbers."""
 
@@ -189,7 +182,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, end_id: int, limit: int) -> Dat
     def run(rows: Iterator[tuple]) -> Iterator[tuple]:
         from pyspark import TaskContext
 
-        cache, end, task, met = cache_of(tokenizer_path), np.array([end_id], "<u4"), TaskContext.get().partitionId(), Counter()
+        cache, end, task, met = held_model(("words", tokenizer_path), lambda: WordCache(tokenizer_path)), np.array([end_id], "<u4"), TaskContext.get().partitionId(), Counter()
         for held in blocks(rows):
             for (doc_id, _), ids in zip(held, cache.ids([r[1] for r in held]), strict=True):
                 ids = np.concatenate([ids, end])

@@ -17,14 +17,13 @@ empty table gives no rows; other columns are not read.
 from __future__ import annotations
 
 import array
-import functools
 import re
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 from pyspark.sql import DataFrame
 
-from .common import id_and_text, map_rows
+from .common import held_model, id_and_text, map_rows
 
 MARK = "▁"
 #: Stretches that a worker keeps, and their characters; it forgets all when there are more.
@@ -226,10 +225,8 @@ class PieceCodec:
         return text[1:] if text[:1] == " " else text
 
 
-@functools.lru_cache(2)
 def codec_of(model_path: str) -> PieceCodec:
-    """One for each Python worker, so that what it has met serves its next tasks too."""
-    return PieceCodec(model_path)
+    return held_model(("pieces", model_path), lambda: PieceCodec(model_path))
 
 
 def encode(docs: DataFrame, model_path: str) -> DataFrame:
