@@ -24,3 +24,14 @@ def test_repeated_segments(spark, folder, name):
     rel, df = con.sql(registry.SQL[name]), registry.QUERIES[name](spark, folder)
     columns, names = sorted(df.columns), list(rel.columns)
     assert ordered([tuple(norm(r[c]) for c in columns) for r in df.collect()]) == ordered([tuple(norm(r[names.index(c)]) for c in columns) for r in rel.fetchall()])
+
+
+def test_an_image_a_pass_takes_one_sort(spark):
+    """Of equal images the first, one without a count last; the rows of a task are sorted once."""
+    from swathe.operators.corridor import one_image_per_pass
+
+    rows = [("a", 1, 0, 2, 5), ("a", 1, 0, 2, 5), ("a", 1, 0, 1, 10), ("a", 1, 0, 0, 9), ("b", 1, 0, 1, None), ("b", 1, 0, 0, None), ("b", 1, 1, 1, 0), ("b", 1, 1, 0, None), ("b", 1, 1, None, 0)]
+    obs = spark.createDataFrame(rows, "segment_id string, pass_date int, orbit int, image int, n long")
+    found = one_image_per_pass(obs, "segment_id")
+    assert sorted(map(tuple, found.collect()), key=str) == [("a", 1, 0, 1, 10), ("b", 1, 0, 0, None), ("b", 1, 1, 1, 0)]
+    assert found._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1].count("Sort [") == 1
