@@ -185,6 +185,18 @@ def near_edges(points: DataFrame, lines: DataFrame, reach: float, full: int | No
     return _leaf_join(left, right, dist <= reach).withColumn("dist", dist).drop("dx", "dy", "l2")
 
 
+#: Keys on one spot that go along as one list.
+TOGETHER = 100
+
+
+def near_edges_of_keys(points: DataFrame, key: str, lines: DataFrame, reach: float, full: int | None = None) -> DataFrame:
+    """The same where keys share spots: an edge meets a spot once, with ``keys``, a list of structs of about ``TOGETHER`` of them at most."""
+    sizes = points.groupBy("x", "y").agg(F.ceil(F.count(F.lit(1)) / TOGETHER).alias("_lists"))
+    dealt = points.select(key, "x", "y").join(sizes, ["x", "y"])
+    lists = dealt.groupBy("x", "y", F.pmod(F.xxhash64(key), F.col("_lists")).alias("_list")).agg(F.collect_list(F.struct(key)).alias("keys"))
+    return near_edges(written(lists.drop("_list"), "spots"), lines, reach, full)
+
+
 def places(points: DataFrame, key: str, **sums: Column) -> DataFrame:
     """Distinct places of keys, a row a spot: ``place``, x, y, ``alone``, the number ``n`` of keys there and other sums over them.
 

@@ -161,9 +161,10 @@ def _(spark, d):
 
 @query("g29_signed_offset", twin(f"select p.spill_id, e.line_uid, e.seq, round(sign((e.x2-e.x1)*(p.y-e.y1)-(e.y2-e.y1)*(p.x-e.x1))*{DIST},6) as offset_m from spill_points p, el e where {DIST}<=500", **EDGES))
 def _(spark, d):
-    near = S.near_edges(points(spark, d), lines(spark, d), 500.0)
+    near = S.near_edges_of_keys(points(spark, d), "spill_id", lines(spark, d), 500.0)
     side = F.signum((c("x2") - c("x1")) * (c("y") - c("y1")) - (c("y2") - c("y1")) * (c("x") - c("x1")))
-    return near.select("spill_id", "line_uid", "seq", F.round(side * c("dist"), 6).alias("offset_m"))
+    offsets = near.select("keys", "line_uid", "seq", F.round(side * c("dist"), 6).alias("offset_m"))
+    return offsets.select(F.inline("keys").alias("spill_id"), "line_uid", "seq", "offset_m")
 
 
 IN = {"ins": "select spill_id, region from (select p.spill_id, r.region, count(*) n from spill_points p, region_edges r where r.y1<>r.y2 and ((r.y1>p.y)<>(r.y2>p.y)) and p.x<(r.x2-r.x1)*(p.y-r.y1)/(r.y2-r.y1)+r.x1 group by 1,2) where n%2=1"}

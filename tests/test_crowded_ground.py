@@ -128,3 +128,17 @@ def test_points_on_one_spot_are_counted_once(spark, monkeypatch):
                 for at, (low, high) in enumerate(zones.values()):
                     want[k][at] += low <= d < high
     assert got == {k: tuple(v) for k, v in want.items()} and seen[0] <= 400
+
+
+@pytest.mark.parametrize("together", [100, 7])
+def test_an_edge_meets_a_spot_of_many_keys_once(ground, spark, monkeypatch, together):
+    """Keys that share a spot, one of them null and one twice: the pairs of all of them, from a row a list of keys."""
+    _, lines, _, edges = ground
+    monkeypatch.setattr(S, "TOGETHER", together)
+    seen, whole = [], S.near_edges
+    monkeypatch.setattr(S, "near_edges", lambda points, *more: seen.append(points.count()) or whole(points, *more))
+    rows = [(k, 40.0 + k % 3, 40.0) for k in range(90)] + [(None, 41.0, 40.0), (5, 42.0, 40.0), (999, 5000.0, 5000.0)]
+    near = S.near_edges_of_keys(spark.createDataFrame(rows, "id int, x double, y double"), "id", lines, REACH)
+    got = sorted(((r.id, r.line_uid) for r in near.select(F.inline("keys").alias("id"), "line_uid").collect()), key=str)
+    assert got == sorted(((k, e[0]) for k, x, y in rows for e in edges if distance(x, y, *e[2:]) <= REACH), key=str)
+    assert seen[0] <= 4 if together == 100 else seen[0] <= 16
