@@ -1,13 +1,14 @@
 """Documents linked by the Jaccard likeness of their word n-grams, and the components of those links.
 
-Equal sets are one set from the start.  All n-grams stand in one global order, rare ones first: a sketch of fixed size counts
-them over all texts, and the hash orders those that it counts alike.  Two linked sets share an n-gram among the first few of
-both (all but the overlap that a link needs, and one), and their sizes are of one step or of neighbours; so each of those
-n-grams with a size step is a signature.  A task keeps one row for each signature it has met and turns the others into edges
-at once, so a hot group reaches the exchange as one row a task.  What signatures connect is only a candidate group; inside, a
-prefix tree decides.  It holds the sets in the global order from its other end, frequent n-grams first, so sets with much in
-common share a path.  A set is looked up by walking the tree with the overlap so far, and a subtree is left as soon as the
-n-grams that remain on either side can't reach the overlap that a link needs.
+Equal sets are one set from the start.  A set's n-grams are dealt by hash into parts, as many for all sets of a size step, so
+many that a link leaves some of them equal whatever n-grams differ; those parts that say most of a text, by a sketch of fixed
+size that counts n-grams over all texts, are its signatures.  Two linked sets share one, and sets that aren't alike hardly
+ever do, as all n-grams of a part must be the same, even where the table is so large that the sketch can't tell rare n-grams.
+Sizes of linked sets are of one step or of neighbours.  A task keeps one row for each signature it has met and turns the others
+into edges at once, so a hot group reaches the exchange as one row a task.  What signatures connect is only a candidate group;
+inside, a prefix tree decides.  It holds the sets in the order of the sketch and of hashes, frequent n-grams first, so sets
+with much in common share a path.  A set is looked up by walking the tree with the overlap so far, and a subtree is left as
+soon as the n-grams that remain on either side can't reach the overlap that a link needs.
 
 A large candidate group is cut by size into steps so wide that linked sets are of one step or of neighbours, and a step into
 blocks; every two blocks that can be linked are joined in a task of their own.
@@ -19,6 +20,7 @@ an empty table gives no rows; other columns are not read, and ``one_of_each`` ke
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,9 +34,11 @@ from .fingerprints import WordHashes, mix, shingle_hashes
 GRAM_WORDS = 3
 #: A link needs 100 * intersection >= PERCENT * union.
 PERCENT = 90
-#: Counters of the sketch, a byte each: about so many a document, within limits, as the sketch goes to every task.  Fewer make rare n-grams look
-#: frequent, so frequent ones become signatures and connect sets that have little in common.
-COUNTERS_PER_DOC, LEAST_BITS, MOST_BITS = 128, 16, 25
+#: Counters of the sketch, a byte each: about so many a document, within limits, as the sketch goes to every task.  It only says which parts are
+#: better signatures; with 190 n-grams a counter candidate groups were as with 3.
+COUNTERS_PER_DOC, LEAST_BITS, MOST_BITS = 128, 16, 22
+#: Levels that a doubling of a count is.
+STEEP = 6
 #: Counters that one row of the sketch has.
 CHUNK_BITS = 16
 #: Sets, and n-grams of all of them, in a block of a large candidate group.
@@ -49,17 +53,25 @@ SEEN, TOLD = 120_000, 60_000
 class Order:
     """N-grams by level, a logarithm of how often the sketch has counted what shares their counter, then by hash."""
 
-    def __init__(self, levels: np.ndarray):
-        self.levels, self.shift = levels, np.uint64(65 - len(levels).bit_length())
+    def __init__(self, levels: np.ndarray, n_texts: int = 0):
+        self.levels, self.shift, self.top = levels, np.uint64(65 - len(levels).bit_length()), int(STEEP * np.log2(1 + n_texts))
+
+    def level(self, grams: np.ndarray) -> np.ndarray:
+        return self.levels[(grams >> self.shift).astype(np.int64)]
 
     def sorted(self, grams: np.ndarray) -> np.ndarray:
         """The n-grams, rare ones first."""
-        return grams[np.lexsort((grams, self.levels[(grams >> self.shift).astype(np.int64)]))]
+        return grams[np.lexsort((grams, self.level(grams)))]
+
+    def weights(self, grams: np.ndarray) -> np.ndarray:
+        """How much each n-gram says of a text: the logarithm of how few texts have it."""
+        return np.maximum(self.top - self.level(grams).astype(np.int64), 1)
 
 
 def learn_order(rows: DataFrame, k: int) -> Order:
     """Counts of all n-grams of all texts in a sketch: each task sums its own, then the tasks' sketches are summed chunk by chunk."""
-    bits = min(max(LEAST_BITS, (COUNTERS_PER_DOC * rows.count()).bit_length()), MOST_BITS)
+    n_texts = rows.count()
+    bits = min(max(LEAST_BITS, (COUNTERS_PER_DOC * n_texts).bit_length()), MOST_BITS)
     chunk = 1 << min(bits, CHUNK_BITS)
 
     def count(parts: Iterator[tuple]) -> Iterator[tuple]:
@@ -101,11 +113,11 @@ def learn_order(rows: DataFrame, k: int) -> Order:
     levels = np.zeros(1 << bits, np.uint8)
     for at, own in map_rows(found, ["chunk", "counts"], total, "chunk int, levels binary").collect():
         levels[at * chunk : (at + 1) * chunk] = np.frombuffer(own, np.uint8)
-    return Order(levels)
+    return Order(levels, n_texts)
 
 
 def _levels(counts: np.ndarray) -> bytes:
-    return np.minimum(6 * np.log2(1 + counts), 255).astype(np.uint8).tobytes()
+    return np.minimum(STEEP * np.log2(1 + counts), 255).astype(np.uint8).tobytes()
 
 
 # --- signatures ------------------------------------------------------------------------------------------------------
@@ -123,19 +135,47 @@ def size_steps(percent: int, growth: float = 1.1) -> np.ndarray:
     return np.array(out)
 
 
-def signatures(ordered: np.ndarray, percent: int, steps: np.ndarray) -> np.ndarray:
-    """Hashes of the first n-grams in the global order with the set's size step, and with the step before it if a linked set can be of that.
+#: A set has so many parts that have n-grams, for each that a link may change.
+SPARE = 1.15
+
+
+def n_parts(most: int, percent: int) -> int:
+    """Parts for sets of at most ``most`` n-grams: so many that more have n-grams than differ between linked sets, and no more, as long parts tell more."""
+    share = min(SPARE * (100 - percent) / percent, 0.9)
+    low, high = 0.1, 100.0  # n-grams a part; the share of n-grams that are the first of their part falls with it
+    while high - low > 1e-3:
+        middle = (low + high) / 2
+        low, high = (middle, high) if -math.expm1(-middle) / middle > share else (low, middle)
+    return max(int(most / low) + 1, 2)
+
+
+def signatures(grams: np.ndarray, percent: int, steps: np.ndarray, weights: np.ndarray | None = None) -> np.ndarray:
+    """Hashes of a set's heaviest parts with its size step, and with the step before it if a linked set can be of that.
 
-    A linked set shares at least percent / 100 of the n-grams.  Of two linked sets, take the shared n-gram that comes first
-    in the order: fewer than (100 - percent) / 100 of either set's n-grams are before it, as those aren't shared.
+    The n-grams are dealt by hash into parts, as many for all sets of a step; ``weights`` are whole numbers, one for each.  An
+    n-gram that only one of two linked sets has changes one part, so with at most d of those at most d parts differ.  All
+    contents of parts stand in one order, by weight: of the parts that are equal take the heaviest; at most d parts of either
+    set are heavier, so it is among the first d + 1 of both.  A set with d parts or fewer has one more signature for what is empty.
     """
-    n = len(ordered)
-    least = -(-percent * n // 100)
-    first = ordered[: n - least + 1]
+    n = len(grams)
     step = int(np.searchsorted(steps, n, side="right"))
-    out = [mix(first + np.uint64(step))]
-    if least < steps[step - 1]:
-        out.append(mix(first + np.uint64(step - 1)))
+    spread, weights = mix(grams), np.ones(n) if weights is None else weights
+    place = (spread >> np.uint64(32)).astype(np.uint64)
+
+    def heaviest(at: int, other: int) -> np.ndarray:
+        """Signatures for links of which the smaller set is of step ``at``; ``other`` is the most that a linked set then has."""
+        need = (n + other) * (100 - percent) // (100 + percent) + 1
+        part = (place * np.uint64(n_parts(int(steps[at]) - 1, percent)) >> np.uint64(32)).astype(np.int64)
+        order = np.argsort(part, kind="stable")
+        first = np.flatnonzero(np.diff(part[order], prepend=-1))
+        contents = mix(np.add.reduceat(spread[order], first) + np.uint64(at))
+        if need < len(first):
+            return contents[np.lexsort((contents, np.add.reduceat(weights[order], first)))[-need:]]
+        return contents if need == len(first) else np.append(contents, mix(np.array([at], np.uint64)))
+
+    out = [heaviest(step, 100 * n // percent)]
+    if -(-percent * n // 100) < steps[step - 1]:
+        out.append(heaviest(step - 1, int(steps[step - 1]) - 1))
     return np.concatenate(out)
 
 
@@ -303,7 +343,7 @@ def _read(rows: DataFrame, k: int, percent: int, order: Order) -> DataFrame:
                 yield doc_id, 0, None, None, [], [], None
                 continue
             name, new, others = _name(grams), [], []
-            for s in signatures(order.sorted(grams), percent, wide).view(np.int64).tolist():
+            for s in signatures(grams, percent, wide, order.weights(grams)).view(np.int64).tolist():
                 first = seen.get(s)
                 if first is None:
                     if len(seen) >= SEEN:
