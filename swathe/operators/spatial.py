@@ -3,9 +3,14 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..sources.files import written
 from . import ranks
@@ -210,17 +215,82 @@ def places(points: DataFrame, key: str, **sums: Column) -> DataFrame:
 def near_lines(spots: DataFrame, lines: DataFrame, reach: float, keep=None, full: int | None = None) -> DataFrame:
     """Each place and line at most ``reach`` apart once, with the least distance of those edges that ``keep(x, y, edge)`` lets pass.
 
-    A cell's edges of one line meet a spot of the cell as one list, so nothing is sorted or exchanged by pairs; only places of several spots are.
+    A cell's spots are held, and its edges stream by, line after line, and meet them as arrays; only places of several spots are grouped afterwards.
     """
-    x, y = F.col("x"), F.col("y")
     left, right = deal(spots, _boxed(lines, reach), reach, full)
-    edge = F.struct(*(k for k in ("x1", "y1", "dx", "dy", "l2", "seq", "last") if k in right.columns))
-    listed = right.groupBy("line_uid", "cx", "cy", "leaf").agg(F.collect_list(edge).alias("_edges"))
-    own = (lambda e: distance(x, y, e)) if keep is None else (lambda e: F.when(keep(x, y, e), distance(x, y, e)))
-    pairs = lambda some: _leaf_join(left.where(some), listed, F.lit(True)).withColumn("dist", F.array_min(F.transform("_edges", own))).where(F.col("dist") <= reach)
+    text = F.coalesce(F.col("leaf").cast("string"), F.lit("")).alias("leaf")
     kept = [k for k in spots.columns if k not in ("x", "y", "alone")]
-    sets = pairs(~F.col("alone")).groupBy(*kept, "line_uid").agg(F.min("dist").alias("dist"))
-    return pairs(F.col("alone")).select(*kept, "line_uid", "dist").unionByName(sets)
+    values = [k for k in ("x1", "y1", "dx", "dy", "l2", "seq", "last") if k in right.columns]
+    own = left.select("cx", "cy", text, F.struct("x", "y", "alone", *kept).alias("spot"))
+    edge = right.select("cx", "cy", text, "line_uid", F.struct(*values).alias("edge"))
+    # the cell's spots, without a line, come before its edges
+    rows = own.unionByName(edge, allowMissingColumns=True).repartition("cx", "cy", "leaf").sortWithinPartitions("cx", "cy", "leaf", F.col("spot").isNull(), "line_uid")
+    out = spots.select(*kept, "alone").schema.add("line_uid", "string").add("dist", "double")
+    found = rows.select("cx", "cy", "leaf", "spot", "line_uid", "edge").mapInArrow(_met(kept, values, reach, keep, to_arrow_schema(out)), out)
+    sets = found.where(~F.col("alone")).groupBy(*kept, "line_uid").agg(F.min("dist").alias("dist"))
+    return found.where("alone").select(*kept, "line_uid", "dist").unionByName(sets)
+
+
+#: Pairs of a spot and an edge that are worked out at once.
+PAIRS = 400_000
+
+
+def _met(kept: list[str], values: list[str], reach: float, keep, schema: pa.Schema):
+    """Rows of cells, the spots of each before its edges in the order of lines, to pairs of a spot and a line with the least distance of their edges."""
+
+    def pairs(spots: pa.RecordBatch, names: pa.Array, edges: dict[str, np.ndarray], first: np.ndarray) -> Iterator[pa.RecordBatch]:
+        most = max(PAIRS // len(edges["x1"]), 1)
+        for at in range(0, spots.num_rows, most):
+            some = spots.slice(at, most)
+            x, y = (some.column(k).to_numpy(zero_copy_only=False)[:, None] for k in ("x", "y"))
+            t = np.clip(((x - edges["x1"]) * edges["dx"] + (y - edges["y1"]) * edges["dy"]) / edges["l2"], 0.0, 1.0)
+            far = np.hypot(x - (edges["x1"] + t * edges["dx"]), y - (edges["y1"] + t * edges["dy"]))
+            if keep is not None:
+                far = np.where(keep(x, y, edges), far, np.inf)
+            least = np.fmin.reduceat(far, first, axis=1)
+            spot, line = np.nonzero(least <= reach)
+            if len(spot):
+                columns = [some.column(k).take(pa.array(spot)) for k in (*kept, "alone")]
+                yield pa.RecordBatch.from_arrays([*columns, names.take(pa.array(first[line])), pa.array(least[spot, line])], schema=schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cell, spots, rest = None, [], None
+
+        def solve(rows: pa.RecordBatch, last: bool) -> Iterator[pa.RecordBatch]:
+            """Edges of whole lines meet the cell's spots; what may be a part of a line is left for the next batch."""
+            nonlocal rest
+            rows = rows if rest is None else pa.concat_batches([rest, rows])
+            rest, names = None, rows.column("line_uid")
+            codes = names.dictionary_encode().indices.fill_null(-1).to_numpy(zero_copy_only=False)
+            first = np.flatnonzero(np.diff(codes, prepend=codes[:1] - 1)) if len(codes) else codes
+            end = rows.num_rows if last or not len(first) else int(first[-1])
+            if end < rows.num_rows:
+                rest, rows, first = rows.slice(end), rows.slice(0, end), first[first < end]
+            if rows.num_rows and spots:
+                struct = rows.column("edge")
+                edges = {k: struct.field(k).to_numpy(zero_copy_only=False) for k in values}
+                for held in spots:
+                    yield from pairs(held, rows.column("line_uid"), edges, first)
+
+        for batch in batches:
+            keys = [batch.column(k).dictionary_encode().indices.fill_null(-1).to_numpy(zero_copy_only=False) for k in ("cx", "cy", "leaf")]
+            cut = [0, *(np.flatnonzero(np.any([np.diff(k) != 0 for k in keys], axis=0)) + 1).tolist(), batch.num_rows] if batch.num_rows else []
+            for low, high in zip(cut, cut[1:], strict=False):
+                part = batch.slice(low, high - low)
+                key = [part.column(k)[0].as_py() for k in ("cx", "cy", "leaf")]
+                if key != cell:
+                    if rest is not None:
+                        yield from solve(rest.slice(0, 0), True)
+                    cell, spots, rest = key, [], None
+                known = part.column("spot").is_valid()
+                if known.true_count:
+                    spots.append(pa.RecordBatch.from_struct_array(part.filter(known).column("spot")))
+                if known.false_count:
+                    yield from solve(part.filter(pc.invert(known)), False)
+        if rest is not None:
+            yield from solve(rest.slice(0, 0), True)
+
+    return run
 
 
 def nearest_line(points: DataFrame, lines: DataFrame, key: str, cap: float) -> DataFrame:
